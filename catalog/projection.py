@@ -71,8 +71,15 @@ def shape(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.sql(text, events=rows)
 
 
+_SHAPED: dict = {}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape(spark, table(spark, sf_dir, "events"))
+    """The unevaluated projection, analysed once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHAPED:
+        _SHAPED[key] = shape(spark, table(spark, sf_dir, "events"))
+    return _SHAPED[key]
 
 
 def duckdb_projection() -> str:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, signals
 
+MODULES = (core, signals)
 
 
 def plans() -> dict:
