@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, signals
+from . import core, evaluations, signals
 
-MODULES = (core, signals)
+MODULES = (core, signals, evaluations)
 
 
 def plans() -> dict:
