@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, evaluations, signals
+from . import core, evaluations, signals, trees
 
-MODULES = (core, signals, evaluations)
+MODULES = (core, signals, evaluations, trees)
 
 
 def plans() -> dict:
