@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CARRIED, DOTTED, FIELDS, KNOWN_ROOTS, MAX_TEXT, SENSITIVE
+from ..schema import CARRIED, COLUMN_TYPES, DOTTED, FIELDS, KNOWN_ROOTS, MAX_TEXT, SENSITIVE
 
 PRODUCT = "spanloom"
 OBSERVER_TYPE = "agent-observability"
@@ -61,21 +61,19 @@ def is_sensitive(key: Column) -> Column:
     return hit
 
 
-def _from_message(name: str, kind: str) -> Column:
-    return F.col("_flat")[DOTTED[name]].try_cast(kind)
+def _from_message(name: str, kind: str) -> str:
+    return f"try_cast(_flat['{DOTTED[name]}'] AS {kind})"
 
 
 def _unreadable() -> Column:
     """Names of message fields whose value does not fit the declared type."""
     found = [
-        F.when(
-            F.col("_flat")[DOTTED[name]].isNotNull() & ~F.is_variant_null(F.col("_flat")[DOTTED[name]]) & _from_message(name, kind).isNull(),
-            F.lit(DOTTED[name]),
-        )
+        f"if(_flat['{DOTTED[name]}'] IS NOT NULL AND NOT is_variant_null(_flat['{DOTTED[name]}']) "
+        f"AND {_from_message(name, kind)} IS NULL, '{DOTTED[name]}', NULL)"
         for name, kind in _SCALARS.items()
         if kind != "string"
     ]
-    names = F.array_compact(F.array(*found))
+    names = F.expr(f"array_compact(array({', '.join(found)}))")
     return F.when(F.size(names) > 0, F.concat(F.lit("unreadable value: "), F.array_join(names, ", ")))
 
 
@@ -92,9 +90,14 @@ def outcome_from_error(error_type: Column) -> Column:
     return F.when(error_type.isNotNull(), "failure").otherwise("success")
 
 
+def declared_names() -> Column:
+    """The dotted names that have a column, as one constant array."""
+    return F.expr("array(" + ", ".join(f"'{name}'" for name in DOTTED.values()) + ")")
+
+
 def unmapped_fields(flat: str = "_flat") -> Column:
     """Message fields without a column, as text; null when there are none."""
-    declared = F.array(*[F.lit(name) for name in DOTTED.values()])
+    declared = declared_names()
     rest = F.map_filter(F.col(flat), lambda k, v: ~F.array_contains(declared, k) & ~is_sensitive(k) & ~F.is_variant_null(v))
     text = F.transform_values(rest, lambda k, v: v.cast("string"))
     return F.when(F.size(text) > 0, text)
@@ -120,22 +123,16 @@ def normalize(
     override what the rows carry, as a collector's resource upsert does.
     """
     now = ingest_ts if ingest_ts is not None else F.current_timestamp()
-    given = df.select(
-        *[
-            (F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)).alias(name)
-            for name, kind, _ in FIELDS + CARRIED
-        ]
-    )
+    given = df.selectExpr(*typed_columns(df.columns))
     flat = message_fields(given)
-    merged = flat.select(
+    merged = flat.selectExpr(
         *[
-            (F.coalesce(F.col(name), _from_message(name, kind)) if name in _SCALARS and name != "message" else F.col(name)).alias(name)
+            f"coalesce({name}, {_from_message(name, kind)}) AS {name}" if name in _SCALARS and name != "message" else name
             for name, kind, _ in FIELDS + CARRIED
         ],
         "_flat",
-        _unreadable().alias("_unreadable"),
-    )
-    columns = {name: F.col(name) for name, _, _ in FIELDS + CARRIED}
+    ).withColumn("_unreadable", _unreadable())
+    columns: dict[str, Column] = {}
     columns["ts"] = F.coalesce("ts", now.cast("timestamp"))
     columns["event_kind"] = F.coalesce("event_kind", F.lit("event"))
     columns["event_category"] = F.coalesce("event_category", F.lit("process"))
@@ -150,8 +147,13 @@ def normalize(
     for name, limit in MAX_TEXT.items():
         columns[name] = truncate(F.col(name), limit)
     for name, value in (resource or {}).items():
-        columns[name] = F.lit(value).cast(dict((n, k) for n, k, _ in FIELDS + CARRIED)[name])
-    return merged.select(*[column.alias(name) for name, column in columns.items()])
+        columns[name] = F.lit(value).cast(COLUMN_TYPES[name])
+    return merged.withColumns(columns).drop("_flat", "_unreadable")
+
+
+def typed_columns(have: Sequence[str]) -> list[str]:
+    """One expression per schema column: the column in its declared type, or null."""
+    return [f"CAST({name if name in have else 'NULL'} AS {kind}) AS {name}" for name, kind, _ in FIELDS + CARRIED]
 
 
 def _merged_maps(first: Column, second: Column) -> Column:

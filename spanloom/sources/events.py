@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeframe import at_least, at_most
-from ..schema import CARRIED, FIELDS, PARTITION_COLUMN, event_schema
+from ..operators.normalize import typed_columns
+from ..schema import PARTITION_COLUMN, event_schema
 
 # Rows per file; with one folder per day this is the roll-over rule.
 ROWS_PER_FILE = 50_000_000
@@ -25,11 +26,7 @@ def scan(spark: SparkSession, path: str, since: str | None = None, until: str |
 
 def conform(df: DataFrame) -> DataFrame:
     """Every schema column, missing ones empty, plus the day it is stored under."""
-    columns = [
-        (F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)).alias(name)
-        for name, kind, _ in FIELDS + CARRIED
-    ]
-    return df.select(*columns).withColumn(PARTITION_COLUMN, F.to_date("ts"))
+    return df.selectExpr(*typed_columns(df.columns)).withColumn(PARTITION_COLUMN, F.to_date("ts"))
 
 
 def append(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.normalize import is_sensitive, unique_keys
-from ..schema import CARRIED, DOTTED, FIELDS
+from ..operators.normalize import declared_names, is_sensitive, unique_keys
+from ..schema import CARRIED, COLUMN_TYPES, FIELDS
 
 _ATTRIBUTES = "attributes: array<struct<key: string, value: variant>>"
 _SCOPE = f"struct<name: string, version: string, {_ATTRIBUTES}>"
@@ -148,18 +148,14 @@ def _exploded(payloads: DataFrame, signal: str, blocks: str, legacy: str, record
 
 def _to_events(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
     """Derived values first, then attributes of the same name; the rest goes to ``unmapped``."""
+    declared = declared_names()
+    rest = F.map_filter("attrs", lambda k, v: ~F.array_contains(declared, k))
+    named = rows.select("attrs", *[column.cast(COLUMN_TYPES[name]).alias(name) for name, column in derived.items()])
     columns = []
-    declared = F.array(*[F.lit(d) for d in DOTTED.values()])
     for name, kind, dotted in FIELDS + CARRIED:
-        if name == "unmapped":
-            rest = F.map_filter("attrs", lambda k, v: ~F.array_contains(declared, k))
-            columns.append(F.when(F.size(rest) > 0, rest).alias(name))
-        elif "<" in kind:
-            columns.append(F.lit(None).cast(kind).alias(name))
-        else:
-            attribute = F.col("attrs")[dotted].try_cast(kind)
-            columns.append((F.coalesce(derived[name].cast(kind), attribute) if name in derived else attribute).alias(name))
-    return rows.select(*columns)
+        attribute = "NULL" if "<" in kind else f"try_cast(attrs['{dotted}'] AS {kind})"
+        columns.append(f"CAST({f'coalesce({name}, {attribute})' if name in derived else attribute} AS {kind}) AS {name}")
+    return named.withColumn("_rest", F.when(F.size(rest) > 0, rest)).selectExpr(*columns, "_rest").withColumn("unmapped", F.col("_rest")).drop("_rest")
 
 
 def _attribute(name: str) -> Column:
