@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, evaluations, signals, trees
+from . import checks, core, evaluations, ingest, signals, trees
 
-MODULES = (core, signals, evaluations, trees)
+MODULES = (core, signals, evaluations, trees, ingest, checks)
 
 
 def plans() -> dict:
