@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checks, core, evaluations, ingest, signals, trees
+from . import checks, core, evaluations, ingest, signals, streams, trees
 
-MODULES = (core, signals, evaluations, trees, ingest, checks)
+MODULES = (core, signals, evaluations, trees, ingest, checks, streams)
 
 
 def plans() -> dict:

@@ -26,10 +26,14 @@ def ordered_dimensions(dimensions: Sequence[str] | None) -> list[str]:
 def date_histogram(
     df: DataFrame, interval: str, split: Sequence[str] = (), ts: str = "ts", **measures: Column
 ) -> DataFrame:
-    """Measures per time bucket, optionally split by further columns."""
-    return df.groupBy(bucket(df, interval, ts).alias("bucket"), *split).agg(
+    """Measures per time bucket, optionally split by further columns.
+
+    Grouped by the window itself, which keeps the watermark of a stream.
+    """
+    grouped = df.groupBy(F.window(ts, interval).alias("_w"), *split).agg(
         *[column.alias(name) for name, column in measures.items()]
     )
+    return grouped.select(F.col("_w.start").alias("bucket"), *split, *measures)
 
 
 def percentile_histogram(

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import count_if, failed, fixed, keep_external, top_key, total
-from ..functions.timeframe import at_least, within
+from ..functions.timeframe import at_least, bucket, within
 from ..operators.facets import best, facet_counts, ranked_lists
+from ..operators.histogram import DURATION_EDGES_MS, duration_edges
 from ..operators.quantiles import merge_groups, quantiles
 from .report import turns_by_latency
 
@@ -123,8 +124,6 @@ def snapshot(
 
     ``only`` names the alert types wanted; what no one of them reads is not computed.
     """
-    wanted = {name for found in _chosen(only) for name in found["lists"]}
-    needs_p95 = "top_latency_tools" in wanted
     external = keep_external(events, "all")
     rows = two_windows(
         external, at_least(events, rules.time_range, as_of), within(events, rules.baseline_range, as_of), by
@@ -141,8 +140,15 @@ def snapshot(
         total(F.when(before, tokens)).alias("b_tokens"),
         total(F.when(before, F.col("retry_count"))).cast("bigint").alias("b_retries"),
     )
-    current = rows.where(now)
-    parts = [metrics]
+    return _assemble([metrics, *_evidence(rows, only, approx)], rules)
+
+
+def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFrame]:
+    """Per-scope evidence lists and P95 of the wanted alert types, from flagged rows."""
+    wanted = {name for found in _chosen(only) for name in found["lists"]}
+    needs_p95 = "top_latency_tools" in wanted
+    current = rows.where(F.col("in_current"))
+    parts = []
     facet_lists = {name: source for name, source in LISTS.items() if name in wanted}
     used = {facet for facet, _ in facet_lists.values()} | ({"tool"} if needs_p95 else set())
     if used:
@@ -172,6 +178,10 @@ def snapshot(
         parts += [whole, _latency_tools(counts.where(F.col("facet") == "tool"), p95.where(F.col("tool").isNotNull()))]
     if "top_turns" in wanted:
         parts.append(_slow_turns(current))
+    return parts
+
+
+def _assemble(parts: Sequence[DataFrame], rules: Rules) -> DataFrame:
     merged = merge_groups(["scope"], *parts)
     return merged.select(
         *[c for c in merged.columns if c not in EVIDENCE_LISTS],
@@ -186,6 +196,55 @@ def snapshot(
     )
 
 
+def per_window(
+    events: DataFrame,
+    every: str = "15 minutes",
+    baseline: str = "24 hours",
+    rules: Rules = Rules(),
+    by: Sequence[str] = (),
+    only: Sequence[str] = (),
+    approx: bool = False,
+    ts: str = "ts",
+) -> DataFrame:
+    """The wide rows of every tumbling window: each is compared with the time before it.
+
+    Baselines come from a roll-up with one row per scope and window, summed over a
+    range frame, so no event is read once per window it belongs to. A baseline P95
+    would not add up and is taken from the histogram of durations (upper edge).
+    ``scope`` reads ``<scope>@<window start>``.
+    """
+    external = scoped(keep_external(events, "all").withColumn("window_start", bucket(events, every, ts)), by)
+    rows = (
+        external.withColumn("base", F.col("scope"))
+        .withColumn("scope", F.concat("base", F.lit("@"), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
+        .withColumn("in_current", F.lit(True))
+        .withColumn("in_baseline", F.lit(False))
+    )
+    edges = duration_edges(F.col("event_duration"))
+    additive = {
+        "events": F.count(F.lit(1)),
+        "errors": count_if(failed()),
+        "tokens": total(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))),
+        "retries": total("retry_count").cast("bigint"),
+        "timed": F.count("event_duration"),
+        **edges,
+    }
+    rolled = rows.groupBy("base", "window_start", "scope").agg(*[c.alias(n) for n, c in additive.items()])
+    seconds = F.unix_timestamp(F.col("window_start").cast("timestamp"))
+    width, reach = (F.expr(f"CAST(INTERVAL {length} AS INTERVAL SECOND)").cast("decimal(20,6)").cast("bigint") for length in (every, baseline))
+    spans = events.sparkSession.range(1).select(width.alias("w"), reach.alias("r")).first()
+    frame = Window.partitionBy("base").orderBy(seconds).rangeBetween(-spans.r, -spans.w)
+    metrics = rolled.select("*", *[F.coalesce(F.sum(n).over(frame), F.lit(0)).alias(f"b_{n}") for n in additive])
+    b_p95 = F.lit(None).cast("double")
+    for edge in reversed(DURATION_EDGES_MS):
+        b_p95 = F.when(F.col(f"b_le_{edge}") >= F.col("b_timed") * 0.95, float(edge)).otherwise(b_p95)
+    base = metrics.select(
+        "scope", "events", "errors", "tokens", "retries", "b_events", "b_errors", "b_tokens", "b_retries",
+        F.when(F.col("b_timed") > 0, b_p95).alias("b_p95_ms"),
+    )
+    return _assemble([base, *_evidence(rows, only, approx)], rules)
+
+
 def _latency_tools(counts: DataFrame, p95: DataFrame) -> DataFrame:
     both = merge_groups(
         ["scope", "key"],
