@@ -31,11 +31,11 @@ def _opened(entries: str) -> str:
     )
 
 
-def unique_keys(entries: Column) -> Column:
-    """A map from (key, value) entries; the first of equal keys wins."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    chosen = F.transform(keys, lambda k: F.try_element_at(F.filter(entries, lambda e: e["key"] == k), F.lit(1))["value"])
-    return F.when(F.size(keys) == F.size(entries), F.map_from_entries(entries)).otherwise(F.map_from_arrays(keys, chosen))
+def with_map(df: DataFrame, entries: str, into: str) -> DataFrame:
+    """Turn a column of (key, value) entries into a map; the first of equal keys wins."""
+    keyed = df.withColumn("_keys", F.expr(f"transform({entries}, e -> e.key)"))
+    firsts = f"map_from_entries(filter({entries}, (e, i) -> array_position(_keys, e.key) = i + 1))"
+    return keyed.withColumn(into, F.expr(firsts)).drop("_keys", entries)
 
 
 def message_fields(df: DataFrame, message: str = "message", into: str = "_flat") -> DataFrame:
@@ -51,7 +51,7 @@ def message_fields(df: DataFrame, message: str = "message", into: str = "_flat")
     known = "filter(_top, e -> e.key IN ({roots}))".format(roots=roots)
     closed = "filter(_top, e -> e.key NOT IN ({roots}))".format(roots=roots)
     entries = top.withColumn("_entries", F.expr(f"concat({closed}, {_opened(_opened(_opened(known)))})"))
-    return entries.withColumn(into, F.when(F.col("_entries").isNotNull(), unique_keys(F.col("_entries")))).drop("_top", "_entries")
+    return with_map(entries.drop("_top"), "_entries", into)
 
 
 def is_sensitive(key: Column) -> Column:

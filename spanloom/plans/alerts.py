@@ -78,6 +78,16 @@ NUMBERS = {
 NAMES = ("primary_type", "primary_tool", "primary_model", "primary_session", "primary_component", "primary_turn", "primary_session_source")
 TEXTS = ("phenomenon", "root_cause", "recommendation")
 
+# alert type -> evidence lists it shows
+EVIDENCE_OF = {
+    "error_rate_spike": ("top_error_types", "top_error_tools", "top_error_models", "top_failure_sessions"),
+    "token_consumption_anomaly": ("top_tools", "top_models", "top_token_sessions", "top_retry_sessions"),
+    "latency_degradation": ("top_latency_tools", "top_turns"),
+    "session_failure_hotspot": ("top_failure_sessions", "top_failure_components"),
+    "retry_storm": ("top_retry_sessions", "top_retry_tools"),
+    "long_turn_hotspot": ("top_turns",),
+}
+
 # Lists that count as independent signals for the confidence.
 SIGNALS = (
     "top_error_tools", "top_error_models", "top_latency_tools", "top_tools", "top_models",
@@ -145,7 +155,7 @@ def snapshot(
 
 def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFrame]:
     """Per-scope evidence lists and P95 of the wanted alert types, from flagged rows."""
-    wanted = {name for found in _chosen(only) for name in found["lists"]}
+    wanted = {name for kind, lists in EVIDENCE_OF.items() if not only or kind in only for name in lists}
     needs_p95 = "top_latency_tools" in wanted
     current = rows.where(F.col("in_current"))
     parts = []
@@ -311,7 +321,6 @@ def _error_spike() -> dict:
         "severe": rate > 0.5,
         "error_count": F.col("errors"), "error_rate": rate, "baseline_rate": base,
         "primary_type": kind, "primary_tool": tool, "primary_model": model, "primary_session": session,
-        "lists": ("top_error_types", "top_error_tools", "top_error_models", "top_failure_sessions"),
         "phenomenon": F.concat(
             _whole(F.col("errors")), F.lit(" failures, an error rate of "), _percent(rate), F.lit("; the baseline rate is "), _percent(base), F.lit(".")
         ),
@@ -339,7 +348,6 @@ def _token_anomaly() -> dict:
         "severe": ratio >= 5,
         "current_tokens": F.col("tokens"), "baseline_tokens": F.col("b_tokens"), "ratio": ratio,
         "primary_tool": tool, "primary_model": model, "primary_session": session, "primary_session_source": source,
-        "lists": ("top_tools", "top_models", "top_token_sessions", "top_retry_sessions"),
         "phenomenon": F.concat(
             _whole(F.col("tokens")), F.lit(" tokens against "), _whole(F.col("b_tokens")), F.lit(" in the baseline, "), ratio.cast("string"), F.lit(" times as many.")
         ),
@@ -364,7 +372,6 @@ def _latency() -> dict:
         "severe": p95 >= F.col("t_ms") * 2,
         "p95_ms": fixed(p95, 1), "baseline_p95_ms": fixed(base, 1), "threshold_ms": F.col("t_ms"),
         "primary_tool": tool, "primary_turn": slow, "primary_session": session,
-        "lists": ("top_latency_tools", "top_turns"),
         "phenomenon": F.concat(
             F.lit("P95 duration "), _whole(p95), F.lit(" ms; threshold "), _whole(F.col("t_ms")), F.lit(" ms, baseline "), _whole(base), F.lit(" ms.")
         ),
@@ -389,7 +396,6 @@ def _session_hotspot() -> dict:
         "severe": share >= 0.6,
         "total_failures": F.col("errors"), "session_failures": hot["count"], "concentration": fixed(share, 4),
         "primary_session": session, "primary_component": component,
-        "lists": ("top_failure_sessions", "top_failure_components"),
         "phenomenon": F.concat(
             F.lit("Session "), session, F.lit(" holds "), _whole(hot["count"]), F.lit(" of "), _whole(F.col("errors")), F.lit(" failures ("), _percent(share), F.lit(").")
         ),
@@ -414,7 +420,6 @@ def _retry_storm() -> dict:
         "severe": most >= F.greatest(F.lit(10), F.col("t_errors")),
         "total_retries": F.col("retries"), "baseline_retries": F.col("b_retries"), "baseline_multiplier": fixed(multiplier, 2),
         "primary_session": session, "primary_tool": tool,
-        "lists": ("top_retry_sessions", "top_retry_tools"),
         "phenomenon": F.concat(
             F.lit("Session "), session, F.lit(" made "), _whole(most), F.lit(" of "), _whole(F.col("retries")), F.lit(" retries.")
         ),
@@ -436,7 +441,6 @@ def _long_turn() -> dict:
         "severe": turn["value"] >= F.col("t_ms") * 1.5,
         "turn_latency_ms": turn["value"], "threshold_ms": F.col("t_ms"),
         "primary_turn": slow, "primary_session": session, "primary_component": component,
-        "lists": ("top_turns",),
         "phenomenon": F.concat(F.lit("Turn "), slow, F.lit(" of session "), session, F.lit(" averages "), _whole(turn["value"]), F.lit(" ms, the slowest turn.")),
         "root_cause": F.concat(F.lit("Component "), component, F.lit(" dominates the turn; one stalled step is likelier than a slow system.")),
         "recommendation": F.concat(
@@ -449,25 +453,22 @@ ANALYZERS = (_error_spike, _token_anomaly, _latency, _session_hotspot, _retry_st
 
 
 def _chosen(only: Sequence[str] = ()) -> list[dict]:
-    found = [{"ord": i, **analyzer()} for i, analyzer in enumerate(ANALYZERS)]
+    found = [{"ord": F.lit(i), **analyzer()} for i, analyzer in enumerate(ANALYZERS)]
     return [f for f in found if not only or f["alert_type"] in only]
 
 
-def _as_row(found: dict) -> Column:
-    lists = found["lists"]
-    fired = F.coalesce(found["fired"], F.lit(False))
-    out = [
-        F.lit(found["ord"]).alias("ord"),
-        F.lit(found["alert_type"]).alias("alert_type"),
-        fired.alias("fired"),
-        F.when(fired, F.when(found["severe"], "critical").otherwise("warning")).alias("severity"),
-    ]
-    out += [found.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in NUMBERS.items()]
-    out += [found.get(name, F.lit(None)).cast("string").alias(name) for name in (*NAMES, *TEXTS)]
-    out += [
-        (F.col(name) if name in lists else F.lit(None)).cast(kind).alias(name) for name, kind in EVIDENCE_LISTS.items()
-    ]
-    return F.struct(*out)
+def _by_type(chosen: Sequence[dict], name: str, kind: str) -> Column:
+    """A result column: each alert type's expression for its own rows, null for the others."""
+    out = None
+    for found in chosen:
+        if name in EVIDENCE_LISTS:
+            value = F.col(name) if name in EVIDENCE_OF[found["alert_type"]] else None
+        else:
+            value = found.get(name)
+        if value is not None:
+            mine = F.col("alert_type") == found["alert_type"]
+            out = F.when(mine, value) if out is None else out.when(mine, value)
+    return (F.lit(None) if out is None else out).cast(kind).alias(name)
 
 
 def _confidence() -> Column:
@@ -498,8 +499,12 @@ def _confidence() -> Column:
 
 def analyze(wide: DataFrame, fired_only: bool = True, only: Sequence[str] = ()) -> DataFrame:
     """One row per scope and analyzer with severity, numbers, evidence lists and confidence."""
-    rows = F.array(*[_as_row(found) for found in _chosen(only)])
-    out = wide.select("scope", F.explode(rows).alias("a")).select("scope", "a.*")
+    chosen = _chosen(only)
+    types = wide.withColumn("alert_type", F.explode(F.array(*[F.lit(found["alert_type"]) for found in chosen])))
+    kinds = {"ord": "int", "fired": "boolean", "severe": "boolean", **NUMBERS, **{n: "string" for n in (*NAMES, *TEXTS)}, **EVIDENCE_LISTS}
+    columns = {name: _by_type(chosen, name, kind) for name, kind in kinds.items()}
+    out = types.select("scope", "alert_type", *columns.values()).withColumn("fired", F.coalesce("fired", F.lit(False)))
+    out = out.withColumn("severity", F.when(F.col("fired"), F.when(F.col("severe"), "critical").otherwise("warning"))).drop("severe")
     out = out.withColumn("confidence", F.when(F.col("fired"), _confidence()))
     return out.where(F.col("fired")) if fired_only else out
 

@@ -1,7 +1,8 @@
 """OTLP JSON (logs and traces) as flat event rows, for batch and stream.
 
-The nested payload is declared, not inferred; attribute values are read as variants
-because their shape differs per record.
+The nested payload is declared, not inferred. An attribute value is one of several
+alternatives; the scalar ones are read as text, only arrays and key-value lists are
+read as variants because their shape differs per record.
 """
 
 from __future__ import annotations
@@ -9,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.normalize import declared_names, is_sensitive, unique_keys
+from ..operators.normalize import declared_names, is_sensitive, with_map
 from ..schema import CARRIED, COLUMN_TYPES, FIELDS
 
-_ATTRIBUTES = "attributes: array<struct<key: string, value: variant>>"
+_VALUE = (
+    "struct<stringValue: string, boolValue: string, intValue: string, doubleValue: string, bytesValue: string, "
+    "arrayValue: variant, kvlistValue: variant>"
+)
+_ATTRIBUTES = f"attributes: array<struct<key: string, value: {_VALUE}>>"
 _SCOPE = f"struct<name: string, version: string, {_ATTRIBUTES}>"
 
 
@@ -24,7 +29,7 @@ def _schema(signal: str, blocks: str, legacy: str, records: str, record: str) ->
 OTLP_LOGS = _schema(
     "resourceLogs", "scopeLogs", "instrumentationLibraryLogs", "logRecords",
     "timeUnixNano: string, time_unix_nano: string, observedTimeUnixNano: string, observed_time_unix_nano: string, "
-    "severityNumber: string, severity_number: string, severityText: string, severity_text: string, body: variant, "
+    "severityNumber: string, severity_number: string, severityText: string, severity_text: string, body: " + _VALUE + ", "
     "traceId: string, trace_id: string, spanId: string, span_id: string",
 )
 OTLP_TRACES = _schema(
@@ -42,17 +47,33 @@ def _quoted(text: str) -> str:
     return f"regexp_replace(to_json(array({text})), '^.|.$', '')"
 
 
+def _array_text(array: str, depth: int) -> str:
+    items = f"coalesce(try_variant_get({array}, '$.values', 'array<variant>'), array())"
+    x = f"x{depth}"
+    return f"concat('[', array_join(transform({items}, {x} -> {_json_text(x, depth - 1)}), ', '), ']')"
+
+
+def _list_text(pairs: str, depth: int) -> str:
+    """JSON object text of a key-value list, keys sorted, blank keys left out."""
+    items = f"coalesce(try_variant_get({pairs}, '$.values', 'array<struct<key: string, value: variant>>'), array())"
+    y = f"y{depth}"
+    shown = f"transform({items}, {y} -> named_struct('key', trim({y}.key), 'text', {_json_text(f'{y}.value', depth - 1)}))"
+    return (
+        f"concat('{{', array_join(transform(array_sort(filter({shown}, {y} -> {y}.key <> '')), "
+        f"{y} -> concat({_quoted(f'{y}.key')}, ': ', {y}.text)), ', '), '}}')"
+    )
+
+
 def _json_text(value: str, depth: int) -> str:
-    """JSON text of an attribute value, keys of objects sorted."""
+    """JSON text of a value nested in an array or a key-value list."""
 
     def part(path: str, kind: str) -> str:
         return f"try_variant_get({value}, '$.{path}', '{kind}')"
 
-    x, y = f"x{depth}", f"y{depth}"
     def quoted_part(path: str) -> str:
         return f"if({part(path, 'string')} IS NOT NULL, {_quoted(part(path, 'string'))}, NULL)"
 
-    scalars = [
+    options = [
         quoted_part("stringValue"),
         part("boolValue", "string"),
         f"cast({part('intValue', 'bigint')} AS string)",
@@ -60,46 +81,30 @@ def _json_text(value: str, depth: int) -> str:
         part("doubleValue", "string"),
         quoted_part("bytesValue"),
     ]
-    nested = []
     if depth:
-        items = part("arrayValue.values", "array<variant>")
-        nested.append(
-            f"if({part('arrayValue', 'variant')} IS NOT NULL, concat('[', array_join(transform(coalesce({items}, array()), {x} -> {_json_text(x, depth - 1)}), ', '), ']'), NULL)"
-        )
-        pairs = part("kvlistValue.values", "array<struct<key: string, value: variant>>")
-        nested.append(
-            f"if({part('kvlistValue', 'variant')} IS NOT NULL, concat('{{', array_join(transform(array_sort(filter(transform(coalesce({pairs}, array()), "
-            f"{y} -> named_struct('key', trim({y}.key), 'text', {_json_text(f'{y}.value', depth - 1)})), {y} -> {y}.key <> '')), "
-            f"{y} -> concat({_quoted(f'{y}.key')}, ': ', {y}.text)), ', '), '}}'), NULL)"
-        )
-    return f"coalesce({', '.join([*scalars, *nested])}, to_json({value}), 'null')"
-
-
-def _entries(attributes: str) -> str:
-    return f"transform(coalesce({attributes}, array()), a -> named_struct('key', trim(a.key), 'value', a.value))"
+        for path, text in (("arrayValue", _array_text), ("kvlistValue", _list_text)):
+            options.append(f"if({part(path, 'variant')} IS NOT NULL, {text(part(path, 'variant'), depth)}, NULL)")
+    return f"coalesce({', '.join(options)}, to_json({value}), 'null')"
 
 
-def _attribute_map(df: DataFrame, *groups: str) -> DataFrame:
-    text = _lambda_text("e.value")
-    listed = df.withColumn(
-        "_pairs",
-        F.expr(
-            f"filter(transform(reverse(concat({', '.join(_entries(g) for g in groups)})), e -> named_struct('key', e.key, 'value', {text})), "
-            "e -> e.key <> '' AND e.value IS NOT NULL)"
-        ),
-    )
-    return listed.withColumn("attrs", F.map_filter(unique_keys(F.col("_pairs")), lambda k, v: ~is_sensitive(k))).drop("_pairs")
-
-
-def _lambda_text(value: str) -> str:
+def _value_text(value: str) -> str:
     """An attribute value as text: scalars plain, arrays and key-value lists as JSON, null when empty."""
-    plain = f"coalesce(try_variant_get({value}, '$.stringValue', 'string'), try_variant_get({value}, '$.bytesValue', 'string'), try_variant_get({value}, '$.intValue', 'string'))"
+    plain = ", ".join(f"{value}.{name}" for name in ("stringValue", "intValue", "boolValue", "doubleValue", "bytesValue"))
+    array, pairs = f"{value}.arrayValue", f"{value}.kvlistValue"
     return (
-        f"if({value} IS NULL OR is_variant_null({value}), NULL, coalesce({plain}, "
-        f"if(schema_of_variant({value}) LIKE 'OBJECT%', {_json_text(value, VALUE_DEPTH)}, cast({value} AS string))))"
+        f"coalesce({plain}, if({array} IS NULL, NULL, {_array_text(array, VALUE_DEPTH)}), "
+        f"if({pairs} IS NULL, NULL, {_list_text(pairs, VALUE_DEPTH)}))"
     )
 
 
+def _attribute_map(df: DataFrame, *groups: str) -> DataFrame:
+    """Add ``attrs``: a later group and a later entry win; blank keys, nulls and payloads are dropped."""
+    every = ", ".join(f"coalesce({group}, array())" for group in groups)
+    pairs = f"transform(reverse(concat({every})), e -> named_struct('key', trim(e.key), 'value', {_value_text('e.value')}))"
+    kept = F.filter(F.expr(pairs), lambda e: (e["key"] != "") & e["value"].isNotNull() & ~is_sensitive(e["key"]))
+    return with_map(df.withColumn("_pairs", kept), "_pairs", "attrs")
+
+
 def nanos_to_timestamp(nanos: Column, fallback: Column) -> Column:
     """Microsecond time of a nanosecond count; negative counts as zero, unreadable as ``fallback``."""
     count = F.trim(nanos).try_cast("decimal(38,0)").try_cast("bigint")
@@ -181,8 +186,8 @@ def log_events(payloads: DataFrame, received: Column | None = None) -> DataFrame
     rows = _attribute_map(
         _exploded(payloads, "resourceLogs", "scopeLogs", "instrumentationLibraryLogs", "logRecords"), "res", "scope.attributes", "r.attributes"
     )
-    body = F.expr(_lambda_text("r.body"))
-    is_text = F.expr("try_variant_get(r.body, '$.stringValue', 'string') IS NOT NULL")
+    body = F.expr(_value_text("r.body"))
+    is_text = F.col("r.body.stringValue").isNotNull()
     level = _text("severityText", "severity_text")
     derived = {
         **_common("logs"),
