@@ -26,15 +26,16 @@ def last_per_span(rows: DataFrame, scope: str, order: Sequence[Column], payload:
     return grouped.select(scope, "span_id", "place", "events", "_p.*")
 
 
-def forest(nodes: DataFrame, scope: str, node: str = "span_id", parent: str = "parent_id", place: str = "place") -> DataFrame:
-    """Add ``depth``, ``root`` and ``path`` (places from the root down) to every reachable node.
+def forest(edges: DataFrame, scope: str, node: str = "span_id", parent: str = "parent_id", place: str = "place") -> DataFrame:
+    """``scope, node, root, depth, path`` of every reachable node; path lists the places from the root down.
 
     ``(scope, node)`` must be unique. A node whose parent is not in the scope is a
     root, also when it names one. Ordering by ``scope, path`` lists each tree in
-    pre-order, children by their place.
+    pre-order, children by their place. Hand in the narrow edge columns only; wide
+    rows are joined to the result once.
     """
-    edges = nodes.select(scope, node, F.nullif(F.col(parent), F.lit("")).alias("_parent"), F.col(place).alias("_place"))
-    known = nodes.select(F.col(scope).alias("_s"), F.col(node).alias("_known"))
+    edges = edges.select(scope, node, F.nullif(F.col(parent), F.lit("")).alias("_parent"), F.col(place).alias("_place"))
+    known = edges.select(F.col(scope).alias("_s"), F.col(node).alias("_known"))
     linked = edges.join(known, (F.col(scope) == F.col("_s")) & (F.col("_parent") == F.col("_known")), "left").select(
         scope, node, F.col("_known").alias("_up"), F.array("_place").alias("path")
     )
@@ -57,7 +58,6 @@ def forest(nodes: DataFrame, scope: str, node: str = "span_id", parent: str = "p
         if left == rest:  # nobody arrived: what is left runs in circles
             break
         rest = left
-    reached = state.where(F.col("done")).select(
-        F.col(scope).alias("_s"), F.col(node).alias("_n"), F.col("_up").alias("root"), "path", (F.size("path") - 1).alias("depth")
+    return state.where(F.col("done")).select(
+        scope, node, F.col("_up").alias("root"), (F.size("path") - 1).alias("depth"), "path"
     )
-    return nodes.join(reached, (F.col(scope) == F.col("_s")) & (F.col(node) == F.col("_n"))).drop("_s", "_n")

@@ -41,8 +41,7 @@ def _synthetic_span() -> Column:
     return F.concat(F.lit("_evt_"), F.sha2(F.to_json(F.struct("*")), 256))
 
 
-def nodes(events: DataFrame, scope: str = "trace_id") -> DataFrame:
-    """One node per span of a scope; a repeated span id keeps its last row, a row without one stays alone."""
+def _shaped(events: DataFrame, scope: str) -> DataFrame:
     rows = events.where(F.col(scope).isNotNull())
     rows = rows.withColumn("span_id", F.coalesce(F.nullif(F.col("span_id"), F.lit("")), _synthetic_span()))
     step = F.col("reasoning_step_index") if "reasoning_step_index" in events.columns else F.lit(None).cast("int")
@@ -50,19 +49,32 @@ def nodes(events: DataFrame, scope: str = "trace_id") -> DataFrame:
         (F.col(source) if source in events.columns else F.lit(None).cast(_TYPES.get(name, "string"))).alias(name)
         for source, name in NODE_FIELDS.items()
     ]
-    shaped = rows.select(
-        F.col(scope).alias("scope"),
-        "span_id",
-        *picked,
-        F.coalesce(step, F.lit(2147483647)).alias("step"),
+    return rows.select(
+        F.col(scope).alias("scope"), "span_id", *picked, F.coalesce(step, F.lit(2147483647)).alias("step")
     ).withColumn("message", F.left("message", F.lit(MESSAGE_CHARS)))
-    order = [F.col("timestamp"), F.col("step"), F.col("span_id")]
-    return last_per_span(shaped, "scope", order, list(NODE_FIELDS.values()))
+
+
+def _last(shaped: DataFrame, payload: list[str]) -> DataFrame:
+    return last_per_span(shaped, "scope", [F.col("timestamp"), F.col("step"), F.col("span_id")], payload)
+
+
+def nodes(events: DataFrame, scope: str = "trace_id") -> DataFrame:
+    """One node per span of a scope; a repeated span id keeps its last row.
+
+    ``events`` counts the rows behind a node. A row without a span id is a node of
+    its own; rows equal in every column share one.
+    """
+    return _last(_shaped(events, scope), list(NODE_FIELDS.values()))
 
 
 def replay(events: DataFrame, scope: str = "trace_id") -> DataFrame:
-    """Every reachable node with depth, root and pre-order path."""
-    return forest(nodes(events, scope), "scope")
+    """Every reachable node with depth, root and pre-order path.
+
+    The forest is built from the edges alone; the node fields join it once.
+    """
+    shaped = _shaped(events, scope)
+    placed = forest(_last(shaped, ["parent_id"]), "scope")
+    return _last(shaped, list(NODE_FIELDS.values())).join(placed, ["scope", "span_id"])
 
 
 def replay_one(events: DataFrame, session_id: str = "", trace_id: str = "", max_events: int = 500) -> DataFrame:
@@ -77,7 +89,7 @@ def replay_one(events: DataFrame, session_id: str = "", trace_id: str = "", max_
 
 def stats(events: DataFrame, scope: str = "trace_id") -> DataFrame:
     """Events and root spans per scope; one pass over the edges, no tree needed."""
-    found = nodes(events, scope)
+    found = _last(_shaped(events, scope), ["parent_id"])
     known = found.select(F.col("scope").alias("_s"), F.col("span_id").alias("_known"))
     linked = found.join(known, (F.col("scope") == F.col("_s")) & (F.col("parent_id") == F.col("_known")), "left")
     return linked.groupBy("scope").agg(
