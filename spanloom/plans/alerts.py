@@ -564,7 +564,7 @@ def chains(found: DataFrame) -> DataFrame:
     names = F.array_join(F.expr("transform(c, a -> a.alert_type)"), " -> ")
     first_shared = F.array_join(
         F.array_compact(
-            F.array(*[F.expr(f"concat('{kind}=', element_at(filter(shared_entities, e -> e.kind = '{kind}'), 1).key)") for kind in ENTITY_KINDS])
+            F.array(*[F.expr(f"concat('{kind}=', try_element_at(filter(shared_entities, e -> e.kind = '{kind}'), 1).key)") for kind in ENTITY_KINDS])
         ),
         ", ",
     )
