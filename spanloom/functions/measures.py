@@ -53,6 +53,11 @@ def mean(column: Column | str) -> Column:
     return F.try_divide(F.sum(exact(column)).cast("double"), F.count(column).cast("double"))
 
 
+def average(total_column: str, count_column: str) -> Column:
+    """The same from an exact sum and a count that are already there."""
+    return F.try_divide(F.col(total_column).cast("double"), F.col(count_column).cast("double"))
+
+
 def rate(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 

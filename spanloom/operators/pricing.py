@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
+
 # Up to this many entries the table is matched inside the row, without any join.
 INLINE_PRICES = 500
 
@@ -50,7 +52,8 @@ def with_price(
 ) -> DataFrame:
     """Add ``_price`` (null for an unpriced model)."""
     if isinstance(table, DataFrame):
-        return df.join(match_models(df, table, model), model, "left")
+        # one row per distinct model: broadcast when counted small, so a hot model is not shuffled
+        return df.join(small_side(match_models(df, table, model)), model, "left")
     if len(table) > INLINE_PRICES:
         from ..sources.prices import price_frame
 

@@ -16,14 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small_side
 
 BUCKETS_PER_E = 1024
 
-# A bucket table up to this many rows (some 10 MB) is sent to every task; a larger
-# one is joined by shuffling.
-BROADCAST_ROWS = 200_000
-
 
 def _bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BUCKETS_PER_E)).cast("bigint")
@@ -42,27 +38,39 @@ def quantiles(
     probs: Mapping[str, float],
     approx: bool = False,
     accuracy: int = 10000,
+    measures: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> 0..1).
 
-    Ranks between two rows are interpolated linearly. Groups without any value
-    have no row. ``approx=True`` keeps a bounded sketch per group instead, in a
-    single pass.
+    Ranks between two rows are interpolated linearly. ``approx=True`` keeps a bounded
+    sketch per group instead, in a single pass. ``measures`` are additive aggregates
+    (sums and counts) of all rows of a group, taken along by the first pass; without
+    them a group that has no value has no row.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
     if approx:
-        return _approximate(df.where(value.isNotNull()), by, value, probs, accuracy)
+        found = _approximate(df.where(value.isNotNull()), by, value, probs, accuracy)
+        if not measures:
+            return found
+        return merge_groups(by, df.groupBy(*by).agg(*[m.alias(name) for name, m in measures.items()]), found)
 
     keys = by or ["_all"]
-    rows = df.where(value.isNotNull()).select(
-        *by, *([] if by else [F.lit(0).alias("_all")]), value.alias("_v"), _bucket(value).alias("_b")
-    )
+    keyed = df if by else df.withColumn("_all", F.lit(0))
+    rows = keyed.where(value.isNotNull()).select(*keys, value.alias("_v"), _bucket(value).alias("_b"))
 
     def position(p: float) -> Column:
         return (F.col("_n") - 1) * F.lit(float(p))
 
-    counted = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    if measures:
+        first = cut(
+            keyed.withColumn("_b", _bucket(value))
+            .groupBy(*keys, "_b")
+            .agg(F.count(value).alias("_c"), *[m.alias(name) for name, m in measures.items()])
+        )
+        counted = first.where(F.col("_b").isNotNull()).select(*keys, "_b", "_c")
+    else:
+        counted = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = counted.select(
         *keys,
@@ -82,9 +90,7 @@ def quantiles(
     if not by:
         targets = F.broadcast(targets)  # two rows per percentile at most
     else:
-        targets = cut(targets)
-        if targets.count() <= BROADCAST_ROWS:
-            targets = F.broadcast(targets)
+        targets = small_side(targets)
     match = F.col("_b") == F.col("_t_b")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
@@ -111,8 +117,8 @@ def quantiles(
             )
         ],
     )
-    return picked.select(
-        *by,
+    out = picked.select(
+        *keys,
         *[
             (
                 F.col(f"_lo_{name}")
@@ -121,6 +127,9 @@ def quantiles(
             for name, p in probs.items()
         ],
     )
+    if measures:
+        out = merge_groups(keys, first.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in measures]), out)
+    return out if by else out.drop("_all")
 
 
 def merge_groups(by: Sequence[str], *parts: DataFrame) -> DataFrame:

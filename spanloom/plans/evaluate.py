@@ -98,10 +98,10 @@ def per_tool(events: DataFrame, time_range=TIME_RANGE, as_of=None, size: int | N
     rows = keep_external(events, "all").where(
         at_least(events, time_range, as_of) & at_most(events, "now", as_of) & F.col("tool_name").isNotNull()
     )
-    counts = rows.groupBy("tool_name").agg(F.count(F.lit(1)).alias("total"), count_if(failed()).alias("failures"))
-    p95 = quantiles(rows, ["tool_name"], "event_duration", {"p95": 0.95}, approx)
-    both = merge_groups(["tool_name"], counts, p95).select("tool_name", "total", "failures", (F.col("p95") / F.lit(1e6)).alias("p95_ms"))
-    return best(both, "tool_name", "total", size)
+    measures = {"total": F.count(F.lit(1)), "failures": count_if(failed())}
+    found = quantiles(rows, ["tool_name"], "event_duration", {"p95": 0.95}, approx, measures=measures)
+    named = found.select("tool_name", "total", "failures", (F.col("p95") / F.lit(1e6)).alias("p95_ms"))
+    return best(named, "tool_name", "total", size)
 
 
 def _verdict(outcome: Column, score: Column, ratio: Column, detail: Column) -> dict:

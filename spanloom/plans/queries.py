@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import count_if, failed, fixed, keep_external, mean, money, total
+from ..functions.measures import average, count_if, exact, failed, fixed, keep_external, money, total
 from ..functions.timeframe import at_least
 from ..operators.facets import best, terms
-from ..operators.quantiles import merge_groups, quantiles
+from ..operators.quantiles import quantiles
 
 TRACE_COLUMNS = (
     "ts", "event_action", "event_outcome", "service_name", "tool_name", "request_model", "latency_ms",
@@ -53,13 +53,21 @@ def traces(events: DataFrame, size: int = 200) -> DataFrame:
 def tools(events: DataFrame, time_range: str = "now-24h", size: int | None = 10, as_of=None, approx: bool = False):
     """Calls, failures, mean and P95 latency per tool, most called first."""
     rows = _recent(events, time_range, as_of).where(F.col("tool_name").isNotNull())
-    counts = rows.groupBy("tool_name").agg(
-        F.count(F.lit(1)).alias("calls"),
-        count_if(failed()).alias("errors"),
-        mean("latency_ms").alias("avg_latency_ms"),
+    found = quantiles(
+        rows,
+        ["tool_name"],
+        "latency_ms",
+        {"p95_latency_ms": 0.95},
+        approx,
+        measures={
+            "calls": F.count(F.lit(1)),
+            "errors": count_if(failed()),
+            "_sum": F.sum(exact("latency_ms")),
+            "_timed": F.count("latency_ms"),
+        },
     )
-    p95 = quantiles(rows, ["tool_name"], "latency_ms", {"p95_latency_ms": 0.95}, approx)
-    return best(merge_groups(["tool_name"], counts, p95), "tool_name", "calls", size)
+    named = found.select("tool_name", "calls", "errors", average("_sum", "_timed").alias("avg_latency_ms"), "p95_latency_ms")
+    return best(named, "tool_name", "calls", size)
 
 
 def errors(events: DataFrame, time_range: str = "now-24h", size: int = 20, as_of=None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import count_if, failed, fixed, keep_external, mean, money, rate, total
+from ..functions.measures import average, count_if, exact, failed, fixed, keep_external, money, rate, total
 from ..functions.timeframe import at_least
 from ..operators.facets import best, dominant, facet_counts, ranked_lists
 from ..operators.quantiles import merge_groups, quantiles
@@ -42,23 +42,37 @@ def scalars(events: DataFrame, time_range="now-24h", as_of=None, ts="ts", digits
     """One row: documents, success and tool error rate, P50/P95, retry, token and cost totals."""
     rows = _scope(events, time_range, as_of, ts).withColumn("scope", F.lit("all"))
     with_tool = F.col("tool_name").isNotNull()
-    ms = F.col("event_duration") / F.lit(1e6)
-    counts = rows.groupBy("scope").agg(
-        F.count(F.lit(1)).alias("documents"),
-        (F.lit(1.0) - rate(count_if(failed()), F.count(F.lit(1)))).alias("success_rate"),
-        rate(count_if(failed() & with_tool), count_if(with_tool)).alias("tool_error_rate"),
-        total("retry_count").cast("bigint").alias("retry_total"),
-        total("input_tokens").alias("token_input_total"),
-        total("output_tokens").alias("token_output_total"),
-        total(money("cost")).cast("double").alias("cost_total"),
+    found = quantiles(
+        rows,
+        ["scope"],
+        "event_duration",
+        {"p50": 0.5, "p95": 0.95},
+        approx,
+        measures={
+            "documents": F.count(F.lit(1)),
+            "failures": count_if(failed()),
+            "tool_calls": count_if(with_tool),
+            "tool_failures": count_if(failed() & with_tool),
+            "retry_total": total("retry_count").cast("bigint"),
+            "token_input_total": total("input_tokens"),
+            "token_output_total": total("output_tokens"),
+            "cost_total": total(money("cost")),
+        },
     )
-    latency = quantiles(rows, [], "event_duration", {"p50": 0.5, "p95": 0.95}, approx).select(
-        F.lit("all").alias("scope"),
+    named = found.select(
+        "scope",
+        "documents",
+        (F.lit(1.0) - rate(F.col("failures"), F.col("documents"))).alias("success_rate"),
+        rate(F.col("tool_failures"), F.col("tool_calls")).alias("tool_error_rate"),
         (F.col("p50") / F.lit(1e6)).alias("p50_latency_ms"),
         (F.col("p95") / F.lit(1e6)).alias("p95_latency_ms"),
+        "retry_total",
+        "token_input_total",
+        "token_output_total",
+        F.col("cost_total").cast("double").alias("cost_total"),
     )
     empty = rows.sparkSession.range(1).select(F.lit("all").alias("scope"))
-    merged = merge_groups(["scope"], counts, latency, empty).drop("scope")
+    merged = merge_groups(["scope"], named, empty).drop("scope")
     shape = {"success_rate": 4, "tool_error_rate": 4, "p50_latency_ms": 2, "p95_latency_ms": 2}
     out = []
     for name in merged.columns:
@@ -99,14 +113,19 @@ def turns_by_latency(rows: DataFrame, size: int, by=()) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             count_if(failed()).alias("failures"),
-            F.sum(F.col("latency_ms").cast("decimal(20,6)")).alias("latency"),
+            F.sum(exact("latency_ms")).alias("latency"),
             F.count("latency_ms").alias("timed"),
         )
     )
-    turns = split.groupBy(*by, "turn_id").agg(
-        F.sum("n").alias("doc_count"),
-        F.sum("failures").alias("failure_count"),
-        F.try_divide(F.sum("latency").cast("double"), F.sum("timed").cast("double")).alias("avg_latency"),
+    turns = (
+        split.groupBy(*by, "turn_id")
+        .agg(
+            F.sum("n").alias("doc_count"),
+            F.sum("failures").alias("failure_count"),
+            F.sum("latency").alias("_latency"),
+            F.sum("timed").alias("_timed"),
+        )
+        .withColumn("avg_latency", average("_latency", "_timed"))
     )
     top = best(turns, "turn_id", "avg_latency", size, by).drop("rank")
     keys = [*by, "turn_id"]

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "spanloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,3 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that later rounds do not replay it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A side of a join with at most this many rows (some 10 MB) is sent to every task.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` materialised and counted: marked for broadcast when it is small enough,
+    left to a shuffled join when it is not."""
+    kept = cut(df)
+    limit = BROADCAST_ROWS if limit is None else limit
+    return F.broadcast(kept) if kept.count() <= limit else kept

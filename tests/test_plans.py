@@ -81,9 +81,9 @@ def test_quantiles_against_brute_force(spark):
 
 
 def test_quantiles_join_path_for_many_groups(spark, monkeypatch):
-    from spanloom.operators import quantiles as module
+    from spanloom import session
 
-    monkeypatch.setattr(module, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
     rows = [(i % 7, i) for i in range(500)]
     out = quantiles(spark.createDataFrame(rows, "g int, v bigint"), ["g"], "v", {"p": 0.9}).collect()
     assert {r.g: r.p for r in out} == {g: pytest.approx(exact([v for k, v in rows if k == g], 0.9)) for g in range(7)}
@@ -97,6 +97,13 @@ def test_quantiles_of_one_hot_group_stay_split(spark):
     assert quantiles(rows, [], "v", {"p": 0.5}).first().p == pytest.approx(49999.5)
 
 
+def test_measures_ride_along_with_quantiles(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2), ("a", None, 3), ("b", None, 4)], "g string, v double, n int")
+    for approx in (False, True):
+        out = quantiles(rows, ["g"], "v", {"p": 0.5}, approx, measures={"rows": F.count(F.lit(1)), "total": F.sum("n")}).collect()
+        assert {r.g: (r.rows, r.total, r.p) for r in out} == {"a": (2, 5, 1.0), "b": (1, 4, None)}
+
+
 # ---------------------------------------------------------------- facets
 def test_terms_order_and_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), (None,)], "k string")
