@@ -187,8 +187,7 @@ def discovered_modules(spark, sf):
 
 
 def _profile(spark, sf):
-    files = _files(spark, sf)
-    return discovery.profile(discovery.modules(files, RULES), discovery.command_handlers(files))
+    return discovery.profile(discovery.modules(_files(spark, sf), RULES))
 
 
 def _has(column, *names):

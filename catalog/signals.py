@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.measures import fixed
 from spanloom.plans import alerts, cost
+from spanloom.session import cut
 from spanloom.sources.prices import DEFAULT_PRICES
 
 from .core import EV, FAIL, NOT_INTERNAL, RECENT, fx, mean, money, register
@@ -296,6 +297,6 @@ def alert_chains(spark, sf):
     UNION ALL SELECT scope, 'alert_check_ok', 'success', NULL FROM mt WHERE scope NOT IN (SELECT scope FROM st)""",
 )
 def alert_event_rows(spark, sf):
-    wide = alerts.snapshot(events(spark, sf), RULES, AS_OF, BY)
+    wide = cut(alerts.snapshot(events(spark, sf), RULES, AS_OF, BY))
     rows = alerts.alert_events(alerts.analyze(wide), wide, F.lit(AS_OF).cast("timestamp"))
     return rows.select("scope", "event_action", "event_outcome", "alert_severity")

@@ -19,6 +19,7 @@ from ..functions.timeframe import at_least, bucket, within
 from ..operators.facets import best, facet_counts, ranked_lists
 from ..operators.histogram import DURATION_EDGES_MS, duration_edges
 from ..operators.quantiles import merge_groups, quantiles
+from ..session import cut
 from .report import turns_by_latency
 
 
@@ -123,7 +124,9 @@ def windowed_p95(rows: DataFrame, approx: bool = False) -> DataFrame:
     spread = rows.select("scope", "event_duration", F.explode(F.array_compact(F.array(*side))).alias("w")).select(
         "scope", "event_duration", "w.side", "w.tool"
     )
-    p95 = quantiles(spread, ["scope", "side", "tool"], "event_duration", {"p95": 0.95}, approx)
+    p95 = quantiles(
+        spread, ["scope", "side", "tool"], "event_duration", {"p95": 0.95}, approx, measures={"count": F.count(F.lit(1))}
+    )
     return p95.withColumn("p95", F.col("p95") / F.lit(1e6))
 
 
@@ -160,8 +163,8 @@ def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFr
     current = rows.where(F.col("in_current"))
     parts = []
     facet_lists = {name: source for name, source in LISTS.items() if name in wanted}
-    used = {facet for facet, _ in facet_lists.values()} | ({"tool"} if needs_p95 else set())
-    if used:
+    if facet_lists:
+        used = {facet for facet, _ in facet_lists.values()}
         facets = {name: column for name, column in FACETS.items() if name in used}
         counts = facet_counts(
             current.select("scope", "event_outcome", "input_tokens", "retry_count", *facets.values()),
@@ -171,7 +174,6 @@ def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFr
             tokens=total("input_tokens"),
             retries=total("retry_count"),
         )
-    if facet_lists:
         ranked = ranked_lists(counts, facet_lists, LIST_SIZE, ["scope"], FAILURE_LISTS)
         entry = F.struct("rank", "key", "count", "value")
         parts.append(
@@ -180,12 +182,12 @@ def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFr
             )
         )
     if needs_p95:
-        p95 = windowed_p95(rows, approx)
+        p95 = cut(windowed_p95(rows, approx))  # one row per scope, side and tool, read twice
         whole = p95.where(F.col("tool").isNull()).groupBy("scope").agg(
             F.max(F.when(F.col("side") == "current", F.col("p95"))).alias("p95_ms"),
             F.max(F.when(F.col("side") == "baseline", F.col("p95"))).alias("b_p95_ms"),
         )
-        parts += [whole, _latency_tools(counts.where(F.col("facet") == "tool"), p95.where(F.col("tool").isNotNull()))]
+        parts += [whole, _latency_tools(p95.where(F.col("tool").isNotNull()))]
     if "top_turns" in wanted:
         parts.append(_slow_turns(current))
     return parts
@@ -255,13 +257,9 @@ def per_window(
     return _assemble([base, *_evidence(rows, only, approx)], rules)
 
 
-def _latency_tools(counts: DataFrame, p95: DataFrame) -> DataFrame:
-    both = merge_groups(
-        ["scope", "key"],
-        counts.select("scope", "key", "count"),
-        p95.select("scope", F.col("tool").alias("key"), F.col("p95").alias("value")),
-    )
-    top = best(both, "key", "value", LIST_SIZE, ["scope"])
+def _latency_tools(p95: DataFrame) -> DataFrame:
+    named = p95.select("scope", "count", F.col("tool").alias("key"), F.col("p95").alias("value"))
+    top = best(named, "key", "value", LIST_SIZE, ["scope"])
     entry = F.struct("rank", "key", "count", "value")
     return top.groupBy("scope").agg(F.array_sort(F.collect_list(entry)).cast(ENTRY).alias("top_latency_tools"))
 
@@ -589,7 +587,7 @@ def alert_events(found: DataFrame, scopes: DataFrame, checked_at: Column | None
     ``scopes`` holds every scope that was checked (for instance the snapshot).
     """
     stamp = checked_at if checked_at is not None else F.current_timestamp()
-    fired = found.where(F.col("fired"))
+    fired = cut(found.where(F.col("fired")))  # six rows per scope at most, read twice
     base = [
         stamp.alias("ts"),
         F.lit("alert").alias("event_kind"),

@@ -44,23 +44,41 @@ def _score(rule: Mapping) -> Column:
     return sum(points, F.lit(0))
 
 
-def file_scores(files: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
-    """Evidence: ``workspace, path, module_kind, score`` for every file that scores."""
+def _handler_names() -> Column:
+    return F.array_distinct(F.regexp_extract_all("content", F.lit(HANDLER_PATTERN), F.lit(1)))
+
+
+def evidence(files: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
+    """All evidence from one read of the texts: ``workspace, path, module_kind, score, handler``.
+
+    ``handler`` is set on the rows of command handlers only, one per name and file.
+    """
     read = files.select(
-        "workspace", "path", F.lower("path").alias("_path"), F.lower(normalize_text(F.col("content"))).alias("_text")
+        "workspace", "path", "content", F.lower("path").alias("_path"), F.lower(normalize_text(F.col("content"))).alias("_text")
+    )
+    none = F.lit(None).cast("string")
+    scored = F.array(
+        *[F.struct(F.lit(kind).alias("module_kind"), _score(rule).alias("score"), none.alias("handler")) for kind, rule in rules.items()]
+    )
+    handlers = F.transform(
+        _handler_names(),
+        lambda name: F.struct(F.lit(HANDLERS).alias("module_kind"), F.lit(HANDLER_POINTS).alias("score"), name.alias("handler")),
     )
-    scored = F.array(*[F.struct(F.lit(kind).alias("module_kind"), _score(rule).alias("score")) for kind, rule in rules.items()])
     return (
-        read.select("workspace", "path", F.explode(scored).alias("s"))
-        .select("workspace", "path", "s.module_kind", "s.score")
+        read.select("workspace", "path", F.explode(F.concat(scored, handlers)).alias("e"))
+        .select("workspace", "path", "e.module_kind", "e.score", "e.handler")
         .where(F.col("score") > 0)
     )
 
 
+def file_scores(files: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
+    """``workspace, path, module_kind, score`` for every file that scores under a rule."""
+    return evidence(files, rules).where(F.col("handler").isNull()).drop("handler")
+
+
 def command_handlers(files: DataFrame) -> DataFrame:
     """Handlers defined per file: ``workspace, path, handler``."""
-    names = F.array_distinct(F.regexp_extract_all("content", F.lit(HANDLER_PATTERN), F.lit(1)))
-    return files.select("workspace", "path", F.explode(names).alias("handler"))
+    return files.select("workspace", "path", F.explode(_handler_names()).alias("handler"))
 
 
 def _by_kind(rules: Mapping[str, Mapping], value: str, kind: str) -> Column:
@@ -74,17 +92,17 @@ def _by_kind(rules: Mapping[str, Mapping], value: str, kind: str) -> Column:
 
 
 def modules(files: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
-    """Detected modules: ``workspace, module_kind, score, evidence_files, priority, signals``."""
+    """Detected modules: ``workspace, module_kind, score, evidence_files, handlers, priority, signals``."""
     known = dict(rules)
     known[HANDLERS] = {"priority": HANDLER_PRIORITY, "signals": HANDLER_SIGNALS}
-    found = file_scores(files, rules).select("workspace", "path", "module_kind", "score")
-    handlers = command_handlers(files).select(
-        "workspace", "path", F.lit(HANDLERS).alias("module_kind"), F.lit(HANDLER_POINTS).alias("score")
-    )
     counted = (
-        found.unionByName(handlers)
+        evidence(files, rules)
         .groupBy("workspace", "module_kind")
-        .agg(F.sum("score").alias("score"), F.count_distinct("path").alias("evidence_files"))
+        .agg(
+            F.sum("score").alias("score"),
+            F.count_distinct("path").alias("evidence_files"),
+            F.count_distinct("handler").alias("handlers"),
+        )
     )
     return counted.withColumn("priority", _by_kind(known, "priority", "module_kind")).withColumn(
         "signals", _by_kind(known, "signals", "module_kind")
@@ -97,16 +115,13 @@ def monitoring_plan(found: DataFrame) -> DataFrame:
     return found.withColumn("why", why).orderBy("workspace", F.col("priority").desc(), "module_kind")
 
 
-def profile(found: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
+def profile(found: DataFrame) -> DataFrame:
     """One row per workspace: its kinds, signals and number of distinct handlers."""
-    base = found.groupBy("workspace").agg(
+    return found.groupBy("workspace").agg(
         F.array_sort(F.collect_set("module_kind")).alias("kinds"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"),
+        F.sum("handlers").alias("handlers"),
     )
-    if handlers is None:
-        return base.withColumn("handlers", F.lit(0).cast("bigint"))
-    distinct = handlers.groupBy("workspace").agg(F.count_distinct("handler").alias("handlers"))
-    return base.join(distinct, "workspace", "left").fillna(0, ["handlers"])
 
 
 def _kind(*names: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import average, count_if, exact, failed, fixed, keep_external, money, rate, total
 from ..functions.timeframe import at_least
-from ..operators.facets import best, dominant, facet_counts, ranked_lists
+from ..operators.facets import best, facet_counts, ranked_lists
 from ..operators.quantiles import merge_groups, quantiles
 
 TOP = 5
@@ -106,10 +106,16 @@ def slow_turns(events: DataFrame, time_range="now-24h", as_of=None, ts="ts", siz
 
 
 def turns_by_latency(rows: DataFrame, size: int, by=()) -> DataFrame:
+    """One scan: totals and the counts of both side keys come from the same grouped rows."""
     by = list(by)
+    sides = F.array(
+        F.struct(F.lit("session").alias("side"), F.col("conversation_id").alias("key")),
+        F.struct(F.lit("component").alias("side"), F.col("component_type").alias("key")),
+    )
     split = (
         rows.where(F.col("turn_id").isNotNull())
-        .groupBy(*by, "turn_id", "conversation_id", "component_type")
+        .select(*by, "turn_id", "event_outcome", "latency_ms", F.explode(sides).alias("_s"))
+        .groupBy(*by, "turn_id", F.col("_s.side").alias("side"), F.col("_s.key").alias("key"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             count_if(failed()).alias("failures"),
@@ -117,26 +123,35 @@ def turns_by_latency(rows: DataFrame, size: int, by=()) -> DataFrame:
             F.count("latency_ms").alias("timed"),
         )
     )
+
+    def once(column: str):
+        return F.sum(F.when(F.col("side") == "session", F.col(column)))
+
+    def most(side: str):
+        mine = (F.col("side") == side) & F.col("key").isNotNull()
+        return F.min_by("key", F.when(mine, F.struct(-F.col("n"), F.col("key"))))
+
     turns = (
         split.groupBy(*by, "turn_id")
         .agg(
-            F.sum("n").alias("doc_count"),
-            F.sum("failures").alias("failure_count"),
-            F.sum("latency").alias("_latency"),
-            F.sum("timed").alias("_timed"),
+            once("n").alias("doc_count"),
+            once("failures").alias("failure_count"),
+            once("latency").alias("_latency"),
+            once("timed").alias("_timed"),
+            most("session").alias("session_id"),
+            most("component").alias("component_type"),
         )
         .withColumn("avg_latency", average("_latency", "_timed"))
     )
-    top = best(turns, "turn_id", "avg_latency", size, by).drop("rank")
-    keys = [*by, "turn_id"]
-    inside = split.join(top.select(*keys), keys, "left_semi")
-    return merge_groups(
-        keys,
-        top.select(
-            *keys, "doc_count", "failure_count", fixed(F.coalesce("avg_latency", F.lit(0.0)), 2).alias("avg_latency_ms")
-        ),
-        dominant(inside, keys, "conversation_id", "n", "session_id"),
-        dominant(inside, keys, "component_type", "n"),
+    top = best(turns, "turn_id", "avg_latency", size, by)
+    return top.select(
+        *by,
+        "turn_id",
+        "doc_count",
+        "failure_count",
+        fixed(F.coalesce("avg_latency", F.lit(0.0)), 2).alias("avg_latency_ms"),
+        "session_id",
+        "component_type",
     )
 
 

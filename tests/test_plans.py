@@ -466,7 +466,7 @@ def test_rule_scores_and_handlers(spark):
     assert [(r.handler) for r in discovery.command_handlers(files).collect()] == ["cmd_go"]
     found = discovery.modules(files, RULES)
     assert [(r.module_kind, r.score) for r in discovery.monitoring_plan(found).collect()] == [("runtime_entrypoint", 8), ("tool_registry", 6), ("command_handlers", 4)]
-    row = discovery.maturity(discovery.profile(found, discovery.command_handlers(files))).first()
+    row = discovery.maturity(discovery.profile(found)).first()
     assert (row.basic_logging, row.genai_instrumentation, row.operational_readiness, row.depth_bonus) == (11, 11, 5, 7)
     assert (row.score, row.level) == (34, "basic")
 
