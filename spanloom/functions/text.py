@@ -8,13 +8,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# White space within a line: everything but the line feed; the second set is without the blank.
+_SPACE = r" \t\x0B\f\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_OTHER = _SPACE[1:]
+_OTHER_CHARS = "\t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _holds(text: Column, *parts: str) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | text.contains(part)
+    return found
+
+
 def normalize_text(text: Column) -> Column:
-    """One kind of line end, single spaces, no blank lines."""
-    unix = F.regexp_replace(text, "\r\n?", "\n")
-    # white space other than the line end collapses inside a line
-    spaces = F.regexp_replace(unix, r"(?U)[\s&&[^\n]]+", " ")
-    trimmed = F.regexp_replace(spaces, r"(?m)^ | $", "")
-    return F.regexp_replace(F.regexp_replace(trimmed, "\n{2,}", "\n"), r"^\n|\n$", "")
+    """One kind of line end, single spaces, no blank lines.
+
+    Byte searches first: the patterns run only on texts that have something to change.
+    """
+    spaced = _holds(text, "  ", *_OTHER_CHARS)
+    ragged = _holds(text, "\r", " \n", "\n ", "\n\n") | spaced
+    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    # a lone blank needs no replacement, so it is not matched
+    single = F.when(spaced, F.regexp_replace(unix, f" [{_SPACE}]+|[{_OTHER}][{_SPACE}]*", " ")).otherwise(unix)
+    lines = F.regexp_replace(single, r" ?\n[ \n]*", "\n")
+    return F.btrim(F.when(ragged, lines).otherwise(text), F.lit(" \n"))
 
 
 # A keyword with one of these is looked up as plain text.
