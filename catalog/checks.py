@@ -246,3 +246,26 @@ register(
         table(spark, sf, "documents").selectExpr("lang || '-' || source || '-' || (doc_id % 40) AS workspace", f"{PATHS} AS path", "text AS content"), SIGNATURES
     )
 )
+
+
+# Source files written from the events: one handler per event type and user group.
+CODE = """'import x' || chr(10) || 'def cmd_' || event_type || '_' || CAST(user_id % 9 AS VARCHAR(9)) || ' (a):' || chr(10) || '  def helper(): pass' || chr(10) || 'def  cmd_all(): pass'"""
+
+
+def _code(spark, sf):
+    text = CODE.replace("VARCHAR(9)", "STRING")
+    return table(spark, sf, "events").selectExpr("'w' || user_id % 7 AS workspace", "event_id || '.py' AS path", f"{text} AS content")
+
+
+register(
+    "command_handlers",
+    """SELECT 'w' || user_id % 7 AS workspace, event_id || '.py' AS path, 'cmd_' || event_type || '_' || user_id % 9 AS handler FROM events
+    UNION ALL SELECT 'w' || user_id % 7, event_id || '.py', 'cmd_all' FROM events""",
+)(lambda spark, sf: discovery.command_handlers(_code(spark, sf)))
+
+HANDLED = "SELECT 'w' || user_id % 7 AS workspace, count(*) * 8 AS score, count(*) AS evidence_files, count(DISTINCT event_type || user_id % 9) + 1 AS handlers FROM events GROUP BY 1"
+register("command_modules", f"SELECT workspace, '{discovery.HANDLERS}' AS module_kind, score, evidence_files, handlers, {discovery.HANDLER_PRIORITY} AS priority FROM ({HANDLED})")(
+    lambda spark, sf: discovery.modules(_code(spark, sf), RULES)
+    .where(F.col("module_kind") == discovery.HANDLERS)
+    .select("workspace", "module_kind", "score", "evidence_files", "handlers", "priority")
+)

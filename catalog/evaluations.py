@@ -136,3 +136,30 @@ def judge_parse(spark, sf):
     shape = REPLY_SHAPES.replace("VARCHAR(9)", "STRING")
     replies = table(spark, sf, "events").selectExpr("event_id", f"{shape} AS reply")
     return evaluate.judge_scores(replies)
+
+
+METRICS = ("total", "errors", "tokens", "sessions", "guarded", "blocked")
+register(
+    "eval_window_metrics",
+    f"{BASE} SELECT scope, "
+    + ", ".join(f"CAST({p}{m} AS BIGINT) AS {p}{m}" for p in ("", "b_") for m in METRICS)
+    + f", cost, b_cost, {fx('p95', 4)} AS p95_ms, {fx('b_p95', 4)} AS b_p95_ms, tools, known AS known_tools FROM mt",
+)(
+    lambda spark, sf: evaluate.window_metrics(events(spark, sf), TIME, BEFORE, AS_OF, BY).select(
+        "scope",
+        *[f"{p}{m}" for p in ("", "b_") for m in METRICS],
+        "cost",
+        "b_cost",
+        fixed(F.col("p95_ms"), 4).alias("p95_ms"),
+        fixed(F.col("b_p95_ms"), 4).alias("b_p95_ms"),
+        "tools",
+        "known_tools",
+    )
+)
+
+INSTRUCTIONS = "Rate the quality of these messages from 0 to 10."
+register(
+    "judge_prompt",
+    f"""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank, '- [] tool= model=: ' || left(text, 500) AS line
+    FROM conversations WHERE text IS NOT NULL) SELECT conv_id, md5('{INSTRUCTIONS}' || chr(10) || string_agg(line, chr(10) ORDER BY rank)) AS digest FROM r WHERE rank <= 5 GROUP BY conv_id""",
+)(lambda spark, sf: evaluate.judge_prompt(judge_sample(spark, sf), INSTRUCTIONS).select("conv_id", F.md5("prompt").alias("digest")))

@@ -10,7 +10,7 @@ from spanloom.session import cut
 from spanloom.sources.prices import DEFAULT_PRICES
 
 from .core import EV, FAIL, NOT_INTERNAL, RECENT, fx, mean, money, register
-from .projection import AS_OF, BASELINE, CURRENT, RANGE, events
+from .projection import AS_OF, BASELINE, CURRENT, RANGE, events, table
 
 PRICE_ROWS = "pr AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{name}', CAST({a} AS DECIMAL(12,6)), CAST({b} AS DECIMAL(12,6)))" for name, (a, b) in DEFAULT_PRICES.items()
@@ -300,3 +300,42 @@ def alert_event_rows(spark, sf):
     wide = cut(alerts.snapshot(events(spark, sf), RULES, AS_OF, BY))
     rows = alerts.alert_events(alerts.analyze(wide), wide, F.lit(AS_OF).cast("timestamp"))
     return rows.select("scope", "event_action", "event_outcome", "alert_severity")
+
+
+EVIDENCE = {
+    "top_error_types": ("error_type", "count(*)", "true"), "top_error_tools": ("tool_name", "count(*)", FAIL), "top_error_models": ("request_model", "count(*)", FAIL),
+    "top_failure_sessions": ("conversation_id", "count(*)", FAIL), "top_failure_components": ("component_type", "count(*)", FAIL),
+    "top_tools": ("tool_name", TOKENS, "true"), "top_models": ("request_model", TOKENS, "true"), "top_token_sessions": ("conversation_id", TOKENS, "true"),
+    "top_retry_sessions": ("conversation_id", RETRIES, "true"), "top_retry_tools": ("tool_name", RETRIES, "true"),
+    "top_latency_tools": ("tool_name", "quantile_cont(event_duration, 0.95) / 1e6", "true"), "top_turns": ("turn_id", fx(mean("latency_ms"), 2), "true"),
+}
+
+
+def _evidence(name):
+    column, measure, where = EVIDENCE[name]
+    return f"""SELECT scope, '{name}' AS list, rank, key, count, {fx('value', 4)} AS value FROM (SELECT scope, {column} AS key, count(*) AS count, CAST({measure} AS DOUBLE) AS value,
+    CAST(row_number() OVER (PARTITION BY scope ORDER BY {measure} DESC, {column}) AS INTEGER) AS rank FROM sc WHERE cur AND {column} IS NOT NULL AND {where} GROUP BY scope, {column}) WHERE rank <= 5"""
+
+
+@register("alert_evidence", f"{SCOPES} " + " UNION ALL ".join(_evidence(n) for n in EVIDENCE))
+def alert_evidence(spark, sf):
+    rows = alerts.evidence_rows(alerts.snapshot(events(spark, sf), RULES, AS_OF, BY))
+    return rows.withColumn("value", fixed(F.col("value"), 4))
+
+
+register(
+    "alert_overrides",
+    f"""{SCOPES}, o AS (SELECT 'service_name=svc-' || (user_id % 4) AS scope, CAST(floor(count(*) FILTER (event_type = 'error') / 20) AS INTEGER) AS t FROM events WHERE user_id % 4 <> 3 GROUP BY 1)
+    SELECT mt.scope, errors AS error_count FROM mt LEFT JOIN o ON o.scope = mt.scope WHERE errors >= coalesce(t, {T})""",
+)(lambda spark, sf: _with_overrides(spark, sf))
+
+
+def _with_overrides(spark, sf):
+    """Each service's own error threshold: a twentieth of its errors; svc-3 and the whole keep the default."""
+    own = spark.sql(
+        "SELECT 'service_name=svc-' || (user_id % 4) AS scope, CAST(floor(count_if(event_type = 'error') / 20) AS INT) AS error_threshold, CAST(NULL AS DOUBLE) AS p95_latency_threshold_ms, "
+        "CAST(NULL AS DOUBLE) AS token_threshold_multiplier FROM {events} WHERE user_id % 4 <> 3 GROUP BY 1",
+        events=table(spark, sf, "events"),
+    )
+    wide = alerts.override(alerts.snapshot(events(spark, sf), RULES, AS_OF, BY, only=["error_rate_spike"]), own)
+    return alerts.analyze(wide, True, ["error_rate_spike"]).select("scope", "error_count")

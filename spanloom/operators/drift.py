@@ -16,9 +16,11 @@ _LIST = "array<variant>"
 def json_nodes(documents: DataFrame, key: str, body: str) -> DataFrame:
     """Every object, list and value of each document, one level per round.
 
-    Result: ``key, path, parent, kind, text, size``. Paths read ``a.b[0].c``.
+    Result: ``key, path, parent, kind, text, size``. Paths read ``a.b[0].c``. The
+    documents are spread over the tasks before they are opened: a few input splits
+    can hold many times their size in nodes.
     """
-    level = documents.select(
+    level = documents.repartition(F.col(key)).select(
         key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.try_parse_json(F.col(body)).alias("v")
     )
     done: list[DataFrame] = []

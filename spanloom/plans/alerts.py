@@ -278,6 +278,15 @@ def _slow_turns(current: DataFrame) -> DataFrame:
     )
 
 
+def evidence_rows(wide: DataFrame) -> DataFrame:
+    """The evidence lists of a snapshot in long form: ``scope, list, rank, key, count, value``."""
+    plain = {n: F.col(n) for n in EVIDENCE_LISTS if n != "top_turns"}
+    turns = F.transform("top_turns", lambda e: F.struct(e["rank"], e["key"], e["count"], e["value"])).cast(ENTRY)
+    named = F.create_map(*[part for n, c in {**plain, "top_turns": turns}.items() for part in (F.lit(n), c)])
+    lists = wide.select("scope", F.explode(named).alias("list", "entries"))
+    return lists.select("scope", "list", F.explode("entries").alias("e")).select("scope", "list", "e.*")
+
+
 def override(wide: DataFrame, overrides: DataFrame) -> DataFrame:
     """Per-scope thresholds (``scope, error_threshold, p95_latency_threshold_ms, token_threshold_multiplier``)."""
     joined = wide.join(overrides, "scope", "left")

@@ -57,3 +57,8 @@ def read_text_tree(
         .where(wanted & ~hidden)
         .select(relative.alias("path"), F.regexp_replace(text, "^﻿", "").alias("content"))
     )
+
+
+def read_config(spark: SparkSession, path: str) -> str:
+    """Text of one small settings file (prices, alert rules, panels, discovery rules) on shared storage."""
+    return spark.read.text(path, wholetext=True).first()["value"]
