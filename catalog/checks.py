@@ -24,7 +24,7 @@ register(
     "health_freshness_by_service",
     f"""{EV}, c AS (SELECT service_name, count(*) FILTER (ts >= {NOW} - INTERVAL 1 DAY) AS doc_count, max(ts) AS last_seen FROM ev WHERE {NOT_INTERNAL} GROUP BY 1)
     SELECT *, CASE WHEN doc_count > 0 THEN 'pass' ELSE 'fail' END AS status FROM c""",
-)(lambda spark, sf: health.freshness_by_service(events(spark, sf), DAY, AS_OF))
+)(lambda spark, sf: health.freshness_by_service(events(spark, sf), DAY, AS_OF, "now-31d"))
 register("health_top_services", f"{REAL} SELECT service_name, count(*) AS count FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")(
     lambda spark, sf: health.top_services(events(spark, sf), MINUTES, AS_OF)
 )

@@ -90,7 +90,7 @@ def quantiles(
     if not by:
         targets = F.broadcast(targets)  # two rows per percentile at most
     else:
-        targets = small_side(targets)
+        targets = small_side(targets, cheap=bool(measures))  # read off the cut bucket table, if there is one
     match = F.col("_b") == F.col("_t_b")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))

@@ -110,9 +110,21 @@ def two_windows(events: DataFrame, current: Column, baseline: Column, by: Sequen
     return scoped(flagged.where(F.col("in_current") | F.col("in_baseline")), by)
 
 
+def _additive(side: Column | None = None) -> dict[str, Column]:
+    """Counts and sums of one side's rows."""
+    mine = F.lit(True) if side is None else side
+    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0))
+    return {
+        "events": count_if(mine),
+        "errors": count_if(mine & failed()),
+        "tokens": total(F.when(mine, tokens)),
+        "retries": total(F.when(mine, F.col("retry_count"))).cast("bigint"),
+    }
+
+
 def windowed_p95(rows: DataFrame, approx: bool = False) -> DataFrame:
-    """P95 of the duration in milliseconds: both windows as a whole (tool null), and the
-    current window per tool, from one pair of passes."""
+    """P95 of the duration in milliseconds and the additive measures: both windows as a
+    whole (tool null), and the current window per tool, from one pair of passes."""
     side = [
         F.when(F.col("in_current"), F.struct(F.lit("current").alias("side"), F.lit(None).cast("string").alias("tool"))),
         F.when(F.col("in_baseline"), F.struct(F.lit("baseline").alias("side"), F.lit(None).cast("string").alias("tool"))),
@@ -121,11 +133,10 @@ def windowed_p95(rows: DataFrame, approx: bool = False) -> DataFrame:
             F.struct(F.lit("current").alias("side"), F.col("tool_name").alias("tool")),
         ),
     ]
-    spread = rows.select("scope", "event_duration", F.explode(F.array_compact(F.array(*side))).alias("w")).select(
-        "scope", "event_duration", "w.side", "w.tool"
-    )
+    inputs = ["scope", "event_duration", "event_outcome", "input_tokens", "output_tokens", "retry_count"]
+    spread = rows.select(*inputs, F.explode(F.array_compact(F.array(*side))).alias("w")).select(*inputs, "w.side", "w.tool")
     p95 = quantiles(
-        spread, ["scope", "side", "tool"], "event_duration", {"p95": 0.95}, approx, measures={"count": F.count(F.lit(1))}
+        spread, ["scope", "side", "tool"], "event_duration", {"p95": 0.95}, approx, measures=_additive()
     )
     return p95.withColumn("p95", F.col("p95") / F.lit(1e6))
 
@@ -141,19 +152,12 @@ def snapshot(
     rows = two_windows(
         external, at_least(events, rules.time_range, as_of), within(events, rules.baseline_range, as_of), by
     )
-    now, before = F.col("in_current"), F.col("in_baseline")
-    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0))
-    metrics = rows.groupBy("scope").agg(
-        count_if(now).alias("events"),
-        count_if(now & failed()).alias("errors"),
-        total(F.when(now, tokens)).alias("tokens"),
-        total(F.when(now, F.col("retry_count"))).cast("bigint").alias("retries"),
-        count_if(before).alias("b_events"),
-        count_if(before & failed()).alias("b_errors"),
-        total(F.when(before, tokens)).alias("b_tokens"),
-        total(F.when(before, F.col("retry_count"))).cast("bigint").alias("b_retries"),
-    )
-    return _assemble([metrics, *_evidence(rows, only, approx)], rules)
+    parts = _evidence(rows, only, approx)
+    if not any("errors" in part.columns for part in parts):  # else they came along with the percentiles
+        sides = (("", F.col("in_current")), ("b_", F.col("in_baseline")))
+        measures = [c.alias(f"{prefix}{n}") for prefix, side in sides for n, c in _additive(side).items()]
+        parts = [rows.groupBy("scope").agg(*measures), *parts]
+    return _assemble(parts, rules)
 
 
 def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFrame]:
@@ -183,9 +187,14 @@ def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFr
         )
     if needs_p95:
         p95 = cut(windowed_p95(rows, approx))  # one row per scope, side and tool, read twice
+        sides = (("", "current"), ("b_", "baseline"))
         whole = p95.where(F.col("tool").isNull()).groupBy("scope").agg(
-            F.max(F.when(F.col("side") == "current", F.col("p95"))).alias("p95_ms"),
-            F.max(F.when(F.col("side") == "baseline", F.col("p95"))).alias("b_p95_ms"),
+            *[F.max(F.when(F.col("side") == side, F.col("p95"))).alias(f"{prefix}p95_ms") for prefix, side in sides],
+            *[
+                F.coalesce(F.max(F.when(F.col("side") == side, F.col(n))), F.lit(0)).alias(f"{prefix}{n}")
+                for prefix, side in sides
+                for n in _additive()
+            ],
         )
         parts += [whole, _latency_tools(p95.where(F.col("tool").isNotNull()))]
     if "top_turns" in wanted:
@@ -254,11 +263,12 @@ def per_window(
         "scope", "events", "errors", "tokens", "retries", "b_events", "b_errors", "b_tokens", "b_retries",
         F.when(F.col("b_timed") > 0, b_p95).alias("b_p95_ms"),
     )
-    return _assemble([base, *_evidence(rows, only, approx)], rules)
+    mine = set(base.columns) - {"scope"}
+    return _assemble([base, *[part.drop(*mine) for part in _evidence(rows, only, approx)]], rules)
 
 
 def _latency_tools(p95: DataFrame) -> DataFrame:
-    named = p95.select("scope", "count", F.col("tool").alias("key"), F.col("p95").alias("value"))
+    named = p95.select("scope", F.col("events").alias("count"), F.col("tool").alias("key"), F.col("p95").alias("value"))
     top = best(named, "key", "value", LIST_SIZE, ["scope"])
     entry = F.struct("rank", "key", "count", "value")
     return top.groupBy("scope").agg(F.array_sort(F.collect_list(entry)).cast(ENTRY).alias("top_latency_tools"))

@@ -30,12 +30,12 @@ def freshness(events: DataFrame, minutes: int = 10, as_of=None) -> DataFrame:
     ).select(F.when(F.col("doc_count") > 0, "pass").otherwise("fail").alias("status"), "doc_count", "last_seen")
 
 
-def freshness_by_service(events: DataFrame, minutes: int = 10, as_of=None) -> DataFrame:
-    """The same per service ever seen, so that a silent service fails."""
+def freshness_by_service(events: DataFrame, minutes: int = 10, as_of=None, known_since: str = "now-30d") -> DataFrame:
+    """The same per service seen since ``known_since``, so that a silent service fails."""
     recent = at_least(events, f"now-{minutes}m", as_of)
     return (
         keep_external(events, "all")
-        .where(F.col("service_name").isNotNull())
+        .where(at_least(events, known_since, as_of) & F.col("service_name").isNotNull())
         .groupBy("service_name")
         .agg(count_if(recent).alias("doc_count"), F.max("ts").alias("last_seen"))
         .withColumn("status", F.when(F.col("doc_count") > 0, "pass").otherwise("fail"))

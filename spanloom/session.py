@@ -62,9 +62,9 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """``df`` materialised and counted: marked for broadcast when it is small enough,
-    left to a shuffled join when it is not."""
-    kept = cut(df)
+def small_side(df: DataFrame, limit: int | None = None, cheap: bool = False) -> DataFrame:
+    """``df`` counted: marked for broadcast when it is small enough, left to a shuffled
+    join when it is not. It is materialised first unless it is ``cheap`` to compute twice."""
+    kept = df if cheap else cut(df)
     limit = BROADCAST_ROWS if limit is None else limit
     return F.broadcast(kept) if kept.count() <= limit else kept

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.timeframe import at_least, at_most
 from ..plans import alerts
 
 
@@ -29,8 +30,8 @@ def check_windows(
         F.date_format(F.min("window_start") - F.expr(f"INTERVAL {baseline}"), "yyyy-MM-dd HH:mm:ss").alias("low"),
         F.date_format(F.max("window_end"), "yyyy-MM-dd HH:mm:ss").alias("high"),
     ).first()
-    kind = events.schema[ts].dataType
-    near = events.where((F.col(ts) >= F.lit(span.low).cast(kind)) & (F.col(ts) < F.lit(span.high).cast(kind)))
+    before_end = F.col(ts) < F.lit(span.high).cast(events.schema[ts].dataType)
+    near = events.where(at_least(events, span.low, ts=ts) & at_most(events, span.high, ts=ts) & before_end)
     wide = alerts.per_window(near, every, baseline, rules, by, ts=ts)
     asked = windows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("_start")).distinct()
     return alerts.analyze(wide.join(asked, F.substring_index("scope", "@", -1) == F.col("_start"), "left_semi"))

@@ -491,3 +491,51 @@ def test_severity_and_sampling(spark):
     assert filters.sample_traces(spans, 1.0).count() == 4000
     assert ordered_dimensions(["a", " ", "b", "a"]) == ["a", "b"]
     assert list(itertools.islice(ordered_dimensions(None), 1)) == ["service_name"]
+
+
+# ---------------------------------------------------------------- hot keys and small helpers
+def test_a_third_of_all_rows_under_one_parent(spark):
+    """A star next to chains: every child arrives once, and ranks stay exact."""
+    star = spark.range(3000).selectExpr("'s' AS scope", "concat('k', id) AS span_id", "'hub' AS parent_id", "id AS place")
+    chains = spark.range(6000).selectExpr("'s' AS scope", "concat('c', id) AS span_id", "if(id % 6 = 0, NULL, concat('c', id - 1)) AS parent_id", "id + 3000 AS place")
+    hub = spark.createDataFrame([("s", "hub", None, -1)], "scope string, span_id string, parent_id string, place bigint")
+    depths = {r.depth: r["count"] for r in forest(star.union(chains).union(hub), "scope").groupBy("depth").count().collect()}
+    assert depths == {0: 1001, 1: 4000, 2: 1000, 3: 1000, 4: 1000, 5: 1000}
+
+
+def test_hot_session_in_every_list(spark):
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, 'hot', concat('c', id)) AS k")
+    top = terms(rows, "k", 2).collect()
+    assert [(r.k, r["count"]) for r in top] == [("hot", 3000), ("c1", 1)]
+
+
+def test_sketched_percentiles_in_alerts(spark):
+    rows = events_of(spark, window_rows(errors=20, ms=12_000) + baseline_rows())
+    exact_run = {r.alert_type: r.p95_ms for r in alerts.alerts(rows, as_of=NOW).collect()}
+    sketched = {r.alert_type: r.p95_ms for r in alerts.alerts(rows, as_of=NOW, approx=True).collect()}
+    assert sketched == exact_run and exact_run["latency_degradation"] == 12000.0
+
+
+def test_alerts_per_window_use_only_earlier_windows(spark):
+    day = 24 * 60
+    rows = [{"ago": d * day + 60, "event_outcome": "failure" if i < d * 4 else "success", "conversation_id": f"c{i}", "input_tokens": 10 * d} for d in (1, 2, 3) for i in range(20)]
+    wide = alerts.per_window(events_of(spark, rows), "1 day", "2 days", only=["error_rate_spike"])
+    got = {r.scope: (r.errors, r.b_errors, r.b_events, r.b_tokens) for r in wide.collect()}
+    assert got == {
+        "all@2024-01-27 00:00:00": (12, 0, 0, 0), "all@2024-01-28 00:00:00": (8, 12, 20, 600), "all@2024-01-29 00:00:00": (4, 20, 40, 1000),
+    }
+
+
+def test_settings_files_and_shared_folder(spark, tmp_path, monkeypatch):
+    from spanloom import session
+    from spanloom.sources.events import append_metrics
+    from spanloom.sources.files import read_config
+
+    (tmp_path / "p.json").write_text('{"m": [1, 2]}')
+    assert prices.prices(read_config(spark, str(tmp_path / "p.json")))["m"] == (1.0, 2.0)
+    metrics = spark.createDataFrame([(BASE, 1)], "bucket timestamp, calls bigint")
+    append_metrics(metrics, str(tmp_path / "metrics"))
+    append_metrics(metrics, str(tmp_path / "metrics"))
+    assert spark.read.parquet(str(tmp_path / "metrics")).agg(F.sum("calls")).first()[0] == 2
+    assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+    assert session.shared_dir(spark)
