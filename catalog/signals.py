@@ -170,7 +170,8 @@ OUTPUT = {
     },
     "token_consumption_anomaly": {
         "current_tokens": "tokens", "baseline_tokens": "b_tokens", "ratio": RATIO, "primary_tool": first("l_tok_tools"),
-        "primary_model": first("l_tok_models"), "primary_session": first("l_tok_sess"), "primary_session_source": "'token'",
+        "primary_model": first("l_tok_models"), "primary_session": f"coalesce({first('l_tok_sess')}, {first('l_ret_sess')})",
+        "primary_session_source": f"CASE WHEN {first('l_tok_sess')} IS NOT NULL THEN 'token' WHEN {first('l_ret_sess')} IS NOT NULL THEN 'retry_fallback' ELSE 'none' END",
     },
     "latency_degradation": {
         "p95_ms": fx(P95, 1), "baseline_p95_ms": fx(B95, 1), "threshold_ms": f"CAST({L} AS DOUBLE)", "primary_tool": first("l_lat_tools"),
@@ -199,11 +200,16 @@ def _found(spark, sf, fired_only=False, only=()):
     return alerts.alerts(events(spark, sf), RULES, AS_OF, BY, fired_only, only=only)
 
 
+def _named(name, sql):
+    """What has no key is called unknown."""
+    return f"coalesce({sql}, 'unknown')" if name.startswith("primary_") else sql
+
+
 def _alert(kind):
     outputs = OUTPUT[kind]
     register(
         f"alert_{SHORT[kind]}",
-        f"{BASE} SELECT scope, {state(kind)}, " + ", ".join(f"{sql} AS {name}" for name, sql in outputs.items()) + " FROM mt",
+        f"{BASE} SELECT scope, {state(kind)}, " + ", ".join(f"{_named(name, sql)} AS {name}" for name, sql in outputs.items()) + " FROM mt",
     )(
         lambda spark, sf: _found(spark, sf, only=[kind]).select("scope", "fired", "severity", *outputs)
     )
