@@ -81,7 +81,8 @@ def _evaluator(name):
 for _name in RULES:
     _evaluator(_name)
 
-ALL = " UNION ALL ".join(_select(n) for n in RULES)
+JUDGE = "SELECT scope, 'llm_judge' AS evaluator, 'quality' AS dimension, 'pass' AS outcome, CAST(1.0 AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS ratio FROM mt"
+ALL = " UNION ALL ".join([*(_select(n) for n in RULES), JUDGE])
 
 register(
     "eval_summary",
@@ -163,3 +164,22 @@ register(
     f"""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank, '- [] tool= model=: ' || left(text, 500) AS line
     FROM conversations WHERE text IS NOT NULL) SELECT conv_id, md5('{INSTRUCTIONS}' || chr(10) || string_agg(line, chr(10) ORDER BY rank)) AS digest FROM r WHERE rank <= 5 GROUP BY conv_id""",
 )(lambda spark, sf: evaluate.judge_prompt(judge_sample(spark, sf), INSTRUCTIONS).select("conv_id", F.md5("prompt").alias("digest")))
+
+
+# One reply per service, scored, in place of the skipped judge rows.
+REPLY = "'Overall ' || CAST(count(*) % 11 AS VARCHAR(9)) || ' of 10'"
+register(
+    "eval_with_judge",
+    f"""{BASE}, a AS ({ALL}), j AS (SELECT 'service_name=svc-' || (user_id % 4) AS scope, CAST(count(*) % 11 AS DOUBLE) / 10 AS s FROM events GROUP BY 1)
+    SELECT a.scope, evaluator, CASE WHEN evaluator = 'llm_judge' AND s IS NOT NULL THEN CASE WHEN s < 0.4 THEN 'fail' WHEN s < 0.7 THEN 'degraded' ELSE 'pass' END ELSE outcome END AS outcome,
+    CASE WHEN evaluator = 'llm_judge' AND s IS NOT NULL THEN s ELSE score END AS score FROM a LEFT JOIN j ON j.scope = a.scope""",
+)(lambda spark, sf: _with_judge(spark, sf))
+
+
+def _with_judge(spark, sf):
+    reply = REPLY.replace("VARCHAR(9)", "STRING")
+    replies = spark.sql(
+        f"SELECT 'service_name=svc-' || (user_id % 4) AS scope, {reply} AS reply FROM {{events}} GROUP BY 1", events=table(spark, sf, "events")
+    )
+    results = evaluate.run(events(spark, sf), None, TIME, BEFORE, AS_OF, BY)
+    return evaluate.with_judge(results, evaluate.judge_scores(replies)).select("scope", "evaluator", "outcome", "score")

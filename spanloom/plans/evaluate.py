@@ -24,7 +24,7 @@ DIMENSIONS = {
     "cost_regression": "cost",
     "tool_coverage": "quality",
     "guardrail_block_rate": "safety",
-    "judge": "quality",
+    "llm_judge": "quality",
 }
 BLOCKED = ("block", "redact")
 MISSING_SHOWN = 5
@@ -171,6 +171,11 @@ def guardrail_block_rate() -> dict:
     return _verdict(outcome, fixed(1 - F.coalesce(share, F.lit(0.0)), 2), share, detail)
 
 
+def judge_not_asked() -> dict:
+    """Stands in until replies are given to ``with_judge``: a pass, as for any check without data."""
+    return _verdict(F.lit("pass"), F.lit(1.0), F.lit(None), F.lit("skipped: no replies"))
+
+
 EVALUATORS: dict[str, Callable[[], dict]] = {
     "latency_regression": latency_regression,
     "error_rate_regression": error_rate_regression,
@@ -178,6 +183,7 @@ EVALUATORS: dict[str, Callable[[], dict]] = {
     "cost_regression": cost_regression,
     "tool_coverage": tool_coverage,
     "guardrail_block_rate": guardrail_block_rate,
+    "llm_judge": judge_not_asked,
 }
 
 
@@ -306,3 +312,19 @@ def judge_scores(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return replies.withColumn("score", score).withColumn(
         "outcome", F.when(score < 0.4, "fail").when(score < 0.7, "degraded").otherwise("pass")
     )
+
+
+def with_judge(results: DataFrame, scores: DataFrame) -> DataFrame:
+    """Evaluation results with the judge's rows replaced by scored replies (``scope, score, outcome``)."""
+    judged = scores.select(
+        "scope",
+        F.lit("llm_judge").alias("evaluator"),
+        F.lit(DIMENSIONS["llm_judge"]).alias("dimension"),
+        "outcome",
+        F.col("score").cast("double").alias("score"),
+        F.lit(None).cast("double").alias("ratio"),
+        F.concat(F.lit("judged "), F.format_number(F.col("score") * 10, 1), F.lit(" of 10")).alias("detail"),
+    )
+    asked = F.col("_asked").isNotNull() & (F.col("evaluator") == "llm_judge")
+    marked = results.join(scores.select("scope").distinct().withColumn("_asked", F.lit(True)), "scope", "left")
+    return marked.where(~asked).drop("_asked").unionByName(judged)

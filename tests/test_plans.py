@@ -328,7 +328,7 @@ def test_regressions(spark):
     assert "b, c, d" in out["tool_coverage"].detail
     assert (out["guardrail_block_rate"].outcome, out["guardrail_block_rate"].score) == ("pass", 0.95)
     total = evaluate.summary(evaluate.run(events_of(spark, now + before), as_of=NOW)).first()
-    assert (total.overall_outcome, total.evaluator_count) == ("fail", 6)
+    assert (total.overall_outcome, total.evaluator_count) == ("fail", 7)
 
 
 def test_registry(spark, monkeypatch):
