@@ -24,9 +24,7 @@ MAX_BYTES = 200_000
 
 def log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines of a log file as event rows; a JSON line is read by the normalisation."""
-    return lines.where(F.trim(F.col(column)) != "").select(
-        F.col(column).alias("message"), F.lit("otlp.log").alias("event_action"), F.lit("logs").alias("otel_signal")
-    )
+    return lines.where(F.trim(F.col(column)) != "").select(F.col(column).alias("message"), F.lit("logs").alias("otel_signal"))
 
 
 def read_log_files(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:

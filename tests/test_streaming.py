@@ -2,7 +2,9 @@
 
 import json
 
+import pytest
 
+from spanloom.operators.normalize import normalize
 from spanloom.plans import alerts
 from spanloom.session import scratch_path
 from spanloom.sources import events as store
@@ -86,8 +88,6 @@ def test_stored_table_and_written_rows(spark, tmp_path):
 def test_log_files_and_text_trees(spark, tmp_path):
     (tmp_path / "x.log").write_text('{"service": {"name": "s"}}\nplain\n\n')
     (tmp_path / "other.txt").write_text("no")
-    from spanloom.operators.normalize import normalize
-
     rows = normalize(files.read_log_files(spark, str(tmp_path))).select("message", "service_name").collect()
     assert sorted((r.message, r.service_name) for r in rows) == [("plain", None), ('{"service": {"name": "s"}}', "s")]
 
@@ -100,3 +100,30 @@ def test_log_files_and_text_trees(spark, tmp_path):
         (tree / name).write_bytes(data)
     got = {r.path: r.content for r in files.read_text_tree(spark, str(tree)).collect()}
     assert got == {"a.py": "x = 1", "sub/b.MD": "é", "sub/latin.txt": "été", "bom.txt": "hi", "Dockerfile": "FROM x"}
+
+
+LOG = {"resourceLogs": [{"resource": {"attributes": []}, "scopeLogs": [{"logRecords": [
+    {"timeUnixNano": "1700000000000000000", "severityNumber": 9, "body": {"stringValue": "{\"gen_ai\": {\"tool\": {\"name\": \"t\"}}}"}, "spanId": "A"},
+    {"timeUnixNano": "1700000001000000000", "severityText": "warn", "body": {"intValue": "5"}},
+]}]}]}
+LANDING = {
+    "logs": ("a.json", json.dumps(LOG), {("t", "otlp.log"), (None, "otlp.log")}),
+    "feedback": ("b.json", json.dumps({"score": 1, "trace_id": "x"}) + "\n" + json.dumps({"score": -1}), {(None, "user_feedback")}),
+    "files": ("c.log", '{"gen_ai": {"tool": {"name": "f"}}, "event": {"action": "act"}}\nplain line\n', {("f", "act"), (None, None)}),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LANDING))
+def test_stream_and_batch_give_the_same_rows(spark, tmp_path, kind):
+    name, text, want = LANDING[kind]
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / name).write_text(text)
+    table = str(tmp_path / "table")
+    ingest.ingest(spark, kind, str(landing), table, str(tmp_path / "cp"), interval=None).awaitTermination()
+    columns = [c for c in store.scan(spark, table).columns if c not in ("ts", "event_date")]
+    streamed = store.scan(spark, table).select(columns)
+    batch = normalize(ingest.SOURCES[kind](spark, str(landing))).select(columns)
+    assert {(r.tool_name, r.event_action) for r in streamed.collect()} == want
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+    assert streamed.count() == 2
