@@ -36,61 +36,87 @@ def _rows(events: DataFrame, time_range: str, baseline_range: str, as_of, by: Se
     return two_windows(keep_external(events, "all"), current, within(events, f"{low}/{high}", as_of), by)
 
 
+def _additive(side: Column | None = None) -> dict[str, Column]:
+    """Counts and sums of one side's rows."""
+    mine = F.lit(True) if side is None else side
+    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0))
+    return {
+        "total": count_if(mine),
+        "errors": count_if(mine & failed()),
+        "tokens": total(F.when(mine, tokens)),
+        "cost": total(F.when(mine, money("cost"))),
+        "guarded": count_if(mine & F.col("guardrail_action").isNotNull()),
+        "blocked": count_if(mine & F.col("guardrail_action").isin(*BLOCKED)),
+    }
+
+
+SIDES = (("", "current"), ("b_", "baseline"))
+_EMPTY = {
+    "sessions": "bigint", "b_sessions": "bigint", "tools": "bigint", "known_tools": "bigint", "missing_tools": "array<string>",
+    "p95_ms": "double", "b_p95_ms": "double",
+}
+
+
 def window_metrics(
-    events: DataFrame, time_range=TIME_RANGE, baseline_range=BASELINE_RANGE, as_of=None, by: Sequence[str] = (), approx=False, p95=True, tools=True
+    events: DataFrame, time_range=TIME_RANGE, baseline_range=BASELINE_RANGE, as_of=None, by: Sequence[str] = (), approx=False, p95=True, sets=True
 ) -> DataFrame:
-    """One row per scope; columns of the baseline start with ``b_``."""
+    """One row per scope; columns of the baseline start with ``b_``.
+
+    The additive measures ride along with the percentile passes; sessions and tools are
+    counted from one pass over their distinct keys.
+    """
     rows = _rows(events, time_range, baseline_range, as_of, by)
-    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0))
-    measures = []
-    for prefix, side in (("", F.col("in_current")), ("b_", F.col("in_baseline"))):
-        measures += [
-            count_if(side).alias(f"{prefix}total"),
-            count_if(side & failed()).alias(f"{prefix}errors"),
-            total(F.when(side, tokens)).alias(f"{prefix}tokens"),
-            total(F.when(side, money("cost"))).cast("double").alias(f"{prefix}cost"),
-            F.count_distinct(F.when(side, F.col("conversation_id"))).alias(f"{prefix}sessions"),
-            count_if(side & F.col("guardrail_action").isNotNull()).alias(f"{prefix}guarded"),
-            count_if(side & F.col("guardrail_action").isin(*BLOCKED)).alias(f"{prefix}blocked"),
-        ]
-    parts = [rows.groupBy("scope").agg(*measures)]
     if p95:
-        sides = F.array_compact(F.array(F.when(F.col("in_current"), "c"), F.when(F.col("in_baseline"), "b")))
-        spread = rows.select("scope", "event_duration", F.explode(sides).alias("side"))
-        per = quantiles(spread, ["scope", "side"], "event_duration", {"p95": 0.95}, approx)
-        parts.append(
-            per.groupBy("scope").agg(
-                F.max(F.when(F.col("side") == "c", F.col("p95") / F.lit(1e6))).alias("p95_ms"),
-                F.max(F.when(F.col("side") == "b", F.col("p95") / F.lit(1e6))).alias("b_p95_ms"),
-            )
+        present = F.array_compact(F.array(*[F.when(F.col(f"in_{side}"), side) for _, side in SIDES]))
+        spread = rows.withColumn("side", F.explode(present))
+        per = quantiles(spread, ["scope", "side"], "event_duration", {"p95": 0.95}, approx, measures=_additive())
+        named = per.withColumn("p95_ms", F.col("p95") / F.lit(1e6))
+        base = named.groupBy("scope").agg(
+            *[F.max(F.when(F.col("side") == side, F.col(n))).alias(f"{prefix}{n}") for prefix, side in SIDES for n in (*_additive(), "p95_ms")]
         )
-    if tools:
-        parts.append(tool_sets(rows))
-    merged = merge_groups(["scope"], *parts)
-    zero = {"tools": "bigint", "known_tools": "bigint", "missing_tools": "array<string>", "p95_ms": "double", "b_p95_ms": "double"}
-    for name, kind in zero.items():
+    else:
+        measures = [c.alias(f"{prefix}{n}") for prefix, side in SIDES for n, c in _additive(F.col(f"in_{side}")).items()]
+        base = rows.groupBy("scope").agg(*measures)
+    merged = merge_groups(["scope"], base, *(key_sets(rows) if sets else []))
+    out = []
+    for name in ["scope", *[f"{prefix}{n}" for prefix, _ in SIDES for n in _additive()], *_EMPTY]:
+        kind = "double" if name in ("cost", "b_cost") else _EMPTY.get(name, "bigint")
         empty = (F.array() if kind.startswith("array") else F.lit(0)).cast(kind)
-        merged = merged.withColumn(name, F.coalesce(F.col(name), empty) if name in merged.columns else empty)
-    return merged
-
-
-def tool_sets(rows: DataFrame) -> DataFrame:
-    """Tools called now, tools known from either window, and the first missing ones."""
+        if name == "scope":
+            out.append(F.col(name))
+        else:
+            out.append((F.coalesce(F.col(name).cast(kind), empty) if name in merged.columns else empty).alias(name))
+    return merged.select(*out)
+
+
+def key_sets(rows: DataFrame) -> list[DataFrame]:
+    """Distinct sessions and tools per window, tools known from either, and the first missing ones."""
+    keys = F.array(
+        F.struct(F.lit("session").alias("kind"), F.col("conversation_id").alias("key")),
+        F.struct(F.lit("tool").alias("kind"), F.col("tool_name").alias("key")),
+    )
     seen = (
-        rows.where(F.col("tool_name").isNotNull())
-        .groupBy("scope", "tool_name")
-        .agg(F.max("in_current").alias("now"))
+        rows.select("scope", "in_current", "in_baseline", F.explode(keys).alias("k"))
+        .where(F.col("k.key").isNotNull())
+        .groupBy("scope", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
+        .agg(F.max("in_current").alias("now"), F.max("in_baseline").alias("before"))
+    )
+    session, tool = F.col("kind") == "session", F.col("kind") == "tool"
+    counts = seen.groupBy("scope").agg(
+        count_if(session & F.col("now")).alias("sessions"),
+        count_if(session & F.col("before")).alias("b_sessions"),
+        count_if(tool & F.col("now")).alias("tools"),
+        count_if(tool).alias("known_tools"),
     )
-    counts = seen.groupBy("scope").agg(count_if(F.col("now")).alias("tools"), F.count(F.lit(1)).alias("known_tools"))
-    rank = F.row_number().over(Window.partitionBy("scope").orderBy("tool_name"))
+    rank = F.row_number().over(Window.partitionBy("scope").orderBy("key"))
     missing = (
-        seen.where(~F.col("now"))
+        seen.where(tool & ~F.col("now"))
         .withColumn("rank", rank)
         .where(F.col("rank") <= MISSING_SHOWN)
         .groupBy("scope")
-        .agg(F.array_sort(F.collect_list("tool_name")).alias("missing_tools"))
+        .agg(F.array_sort(F.collect_list("key")).alias("missing_tools"))
     )
-    return merge_groups(["scope"], counts, missing)
+    return [counts, missing]
 
 
 def per_tool(events: DataFrame, time_range=TIME_RANGE, as_of=None, size: int | None = 20, approx=False) -> DataFrame:
@@ -214,13 +240,14 @@ def run(
     wide = window_metrics(
         events, time_range, baseline_range, as_of, by, approx,
         p95=any(n == "latency_regression" or n not in _BUILT_IN for n in names),
-        tools=any(n == "tool_coverage" or n not in _BUILT_IN for n in names),
+        sets=any(n in _NEED_SETS or n not in _BUILT_IN for n in names),
     )
     rows = F.array(*[_result(name, _checked(name)) for name in names])
     return wide.select("scope", F.explode(rows).alias("e")).select("scope", "e.*")
 
 
 _BUILT_IN = frozenset(EVALUATORS)
+_NEED_SETS = ("token_efficiency", "cost_regression", "tool_coverage")
 
 
 def _result(name: str, found: dict) -> Column:
