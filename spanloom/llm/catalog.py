@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, token_counts
 
 PLANS: dict = {}
 SQL: dict = {}
@@ -23,3 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.report(decontaminate.search(documents, table(spark, sf_dir, "benchmark")))
+
+
+@plan
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.report(token_counts.count_tokens(documents, public_tokenizers.path("byte_bpe_50k.json")), limit=512)
