@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_counts
+from . import decontaminate, token_counts, token_files
 
 PLANS: dict = {}
 SQL: dict = {}
@@ -30,3 +30,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.report(token_counts.count_tokens(documents, public_tokenizers.path("byte_bpe_50k.json")), limit=512)
+
+
+@plan
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
