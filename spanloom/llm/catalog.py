@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_counts, token_files
+from . import decontaminate, mixing, token_counts, token_files
+from .common import stored
 
 PLANS: dict = {}
 SQL: dict = {}
@@ -35,3 +36,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@plan
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("words"))
+    return mixing.report(mixing.mix(stored(documents, "sizes"), size="words"))
