@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, token_counts, token_files
+from . import decontaminate, mixing, quality, token_counts, token_files
 from .common import stored
 
 PLANS: dict = {}
@@ -42,3 +42,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("words"))
     return mixing.report(mixing.mix(stored(documents, "sizes"), size="words"))
+
+
+@plan
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    return quality.report(quality.score(documents, model))
