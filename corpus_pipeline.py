@@ -22,7 +22,7 @@ from spanloom.llm.common import free_name, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
     name = free_name("score", docs.columns)
     return quality.score(docs, model, name=name).where(F.col(name) >= 0.5).select(*docs.columns)
 
