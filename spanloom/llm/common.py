@@ -51,39 +51,23 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
-def runs(frames: Iterator[pd.DataFrame], keys: list[str], work: Callable[[pd.DataFrame], Iterator[pd.DataFrame] | None], batch: int = 0) -> Iterator[pd.DataFrame]:
-    """Call ``work`` with whole groups of equal ``keys`` out of frames that come sorted by them.
-
-    Holds one group, and with ``batch`` as many further groups as fit in so many rows: small groups then
-    come together in one frame.
-    """
+def runs(frames: Iterator[pd.DataFrame], keys: list[str], work: Callable[[pd.DataFrame], Iterator[pd.DataFrame] | None]) -> Iterator[pd.DataFrame]:
+    """Call ``work`` with each group of equal ``keys`` out of frames that come sorted by them; holds one group."""
     held: list[pd.DataFrame] = []
-    rows = 0
-
-    def last_start(frame: pd.DataFrame) -> int:
-        tail = np.ones(len(frame), bool)
-        for k in keys:
-            column = frame[k].to_numpy()
-            tail &= column == column[-1]
-        return len(frame) - int(np.argmin(tail[::-1])) if not tail.all() else 0
-
-    def same(a: pd.DataFrame, b: pd.DataFrame) -> bool:
-        return all(a[k].iloc[-1] == b[k].iloc[0] for k in keys)
-
     for frame in frames:
         if not len(frame):
             continue
-        if held and rows > batch and not same(held[-1], frame):
-            yield from work(pd.concat(held, ignore_index=True)) or ()
-            held, rows = [], 0
-        start = last_start(frame)
-        if start and rows + start > batch:
-            held.append(frame.iloc[:start])
-            yield from work(pd.concat(held, ignore_index=True)) or ()
-            held, rows = [frame.iloc[start:]], len(frame) - start
-        else:
-            held.append(frame)
-            rows += len(frame)
+        change = np.zeros(len(frame), bool)
+        for k in keys:
+            column = frame[k].to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), len(frame)]
+        for a, b in zip(cuts, cuts[1:]):
+            piece = frame.iloc[a:b]
+            if held and (a or any(held[-1][k].iloc[-1] != piece[k].iloc[0] for k in keys)):
+                yield from work(pd.concat(held, ignore_index=True)) or ()
+                held = []
+            held.append(piece)
     if held:
         yield from work(pd.concat(held, ignore_index=True)) or ()
 
