@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, quality, token_counts, token_files
+from . import decontaminate, jaccard_join, mixing, pivots, quality, token_counts, token_files
 from .common import stored
 
 PLANS: dict = {}
@@ -54,3 +54,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(jaccard_join.classes(table(spark, sf_dir, "documents"), size=3, num=90, den=100))
+
+
+@plan
+def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
