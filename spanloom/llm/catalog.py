@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, pivots, quality, token_counts, token_files
+from . import decontaminate, jaccard_join, mixing, pivots, quality, token_counts, token_files, warc
 from .common import stored
 
 PLANS: dict = {}
@@ -59,3 +59,21 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+@plan
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+SQL["op5_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY hex, n) AS top FROM q),
+w AS (SELECT *, list_transform(range(4), lambda i: ('0x' || substr(hex, 10 * i + 1, 10))::BIGINT) AS five FROM m)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[j // 8 + 1] >> (35 - 5 * (j % 8))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM w
+"""
