@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, pivots, quality, token_counts, token_files, warc
+from . import decontaminate, jaccard_join, language_model, mixing, pivots, quality, token_counts, token_files, warc
 from .common import stored
 
 PLANS: dict = {}
@@ -77,3 +77,8 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM w
 """
+
+
+@plan
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
