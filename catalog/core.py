@@ -49,7 +49,7 @@ TIMELINE = "ts, event_action, event_outcome, tool_name, request_model, latency_m
 @register(
     "q_trace",
     f"""{EV}, r AS (SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY ts, span_id) AS INTEGER) AS seq, {TRACE}
-    FROM ev WHERE {NOT_SANITY}) SELECT * FROM r WHERE seq <= 200""",
+    FROM ev WHERE {NOT_SANITY}) SELECT * FROM r""",
 )
 def q_trace(spark, sf):
     return queries.traces(events(spark, sf))
@@ -59,7 +59,7 @@ def q_trace(spark, sf):
     "q_timeline",
     f"""{EV}, i AS (SELECT agent_id AS run_id, * FROM ev UNION ALL SELECT trace_id AS run_id, * FROM ev),
     r AS (SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY ts, span_id) AS INTEGER) AS seq, {TIMELINE}
-    FROM i WHERE {NOT_SANITY}) SELECT * FROM r WHERE seq <= 200""",
+    FROM i WHERE {NOT_SANITY}) SELECT * FROM r""",
 )
 def q_timeline(spark, sf):
     return queries.timelines(events(spark, sf))
@@ -83,10 +83,10 @@ def q_tools(spark, sf):
 
 @register(
     "q_errors",
-    f"{EV} SELECT {ERRORS} FROM ev WHERE {RECENT} AND {NOT_SANITY} AND event_outcome = 'failure' ORDER BY ts DESC, span_id LIMIT 20",
+    f"{EV} SELECT {ERRORS} FROM ev WHERE {RECENT} AND {NOT_SANITY} AND event_outcome = 'failure' ORDER BY ts DESC, span_id",
 )
 def q_errors(spark, sf):
-    return queries.errors(events(spark, sf), RANGE, 20, AS_OF)
+    return queries.errors(events(spark, sf), RANGE, None, AS_OF)
 
 
 @register(
@@ -171,8 +171,7 @@ def _panel(spark, sf):
 
 register(
     "panel_event_rate",
-    f"""{PANEL}, o AS (SELECT event_outcome FROM p WHERE event_outcome IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)
-    SELECT {DAY}, event_outcome, count(*) AS count FROM p WHERE event_outcome IN (SELECT event_outcome FROM o) GROUP BY 1, 2""",
+    f"{PANEL} SELECT {DAY}, event_outcome, count(*) AS count FROM p WHERE event_outcome IS NOT NULL GROUP BY 1, 2",
 )(lambda spark, sf: panels.event_rate(_panel(spark, sf), "1 day"))
 
 

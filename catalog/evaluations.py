@@ -115,7 +115,7 @@ def eval_per_tool(spark, sf):
 
 @register(
     "judge_sample",
-    """WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank, '- [] tool= model=: ' || left(text, 500) AS line
+    """WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank, '- [] tool= model=: ' || text AS line
     FROM conversations WHERE text IS NOT NULL) SELECT conv_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS sample FROM r WHERE rank <= 5 GROUP BY conv_id""",
 )
 def judge_sample(spark, sf):
@@ -161,7 +161,7 @@ register(
 INSTRUCTIONS = "Rate the quality of these messages from 0 to 10."
 register(
     "judge_prompt",
-    f"""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank, '- [] tool= model=: ' || left(text, 500) AS line
+    f"""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank, '- [] tool= model=: ' || text AS line
     FROM conversations WHERE text IS NOT NULL) SELECT conv_id, md5('{INSTRUCTIONS}' || chr(10) || string_agg(line, chr(10) ORDER BY rank)) AS digest FROM r WHERE rank <= 5 GROUP BY conv_id""",
 )(lambda spark, sf: evaluate.judge_prompt(judge_sample(spark, sf), INSTRUCTIONS).select("conv_id", F.md5("prompt").alias("digest")))
 

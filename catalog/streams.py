@@ -70,7 +70,18 @@ def ingest_stream(spark, sf):
 @register("dedup_stream", f"{EV} SELECT DISTINCT service_name, trace_id FROM ev")
 def dedup_stream(spark, sf):
     rows = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drain(spark, ingest.drop_repeats(rows, ["service_name", "trace_id"], "60 days").select("service_name", "trace_id"), "dedup")
+    return _drain(spark, ingest.drop_repeats(rows, ["service_name", "trace_id"], "10 minutes").select("service_name", "trace_id"), "dedup")
+
+
+SPAN = "CASE WHEN event_id % 3 > 0 THEN trace_id END AS span_id"
+
+
+@register("dedup_logs_stream", f"{EV} SELECT event_id, trace_id, {SPAN} FROM ev")
+def dedup_logs_stream(spark, sf):
+    """Every row delivered twice; spans have many logs, and some logs have no span."""
+    rows = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).selectExpr("event_id", "ts", "trace_id", SPAN, "message")
+    kept = ingest.drop_repeats(rows.unionByName(rows))
+    return _drain(spark, kept.select("event_id", "trace_id", "span_id"), "dedup_logs")
 
 
 # ---------------------------------------------------------------- alerts of every window

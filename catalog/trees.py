@@ -47,9 +47,9 @@ TEXT = """concat_ws(chr(10),
    event_action, '(' || component_type || ')', 'tool=' || tool_name, 'model=' || request_model, 'agent=' || agent_name,
    CASE WHEN latency_ms <> 0 THEN CAST(CAST(round_even(latency_ms, 0) AS BIGINT) AS VARCHAR) || 'ms' END),
  CASE WHEN reasoning_action IS NOT NULL THEN repeat('  ', depth) || concat_ws(' ', '  💭', 'decided=' || reasoning_action, 'type=' || reasoning_decision_type) END,
- CASE WHEN reasoning_action IS NOT NULL AND reasoning_rationale IS NOT NULL THEN repeat('  ', depth) || '  📝 ' || left(reasoning_rationale, 150) END,
+ CASE WHEN reasoning_action IS NOT NULL AND reasoning_rationale IS NOT NULL THEN repeat('  ', depth) || '  📝 ' || reasoning_rationale END,
  CASE WHEN feedback_score IS NOT NULL THEN repeat('  ', depth) || concat_ws(' ', '  👤', 'score=' || CAST(feedback_score AS VARCHAR), 'sentiment=' || feedback_sentiment) END,
- repeat('  ', depth) || '  → ' || left(message, 120))"""
+ repeat('  ', depth) || '  → ' || message)"""
 
 register(
     "replay_text",

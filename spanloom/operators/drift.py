@@ -45,9 +45,11 @@ def json_nodes(documents: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def _same(left: Column, right: Column) -> Column:
-    """Equal text, or equal numbers written differently."""
-    number = F.coalesce(left.try_cast("double") == right.try_cast("double"), F.lit(False))
-    return (left == right) | number
+    """Equal text, or equal numbers written differently; integers are compared digit by digit."""
+    whole = left.rlike(r"^-?\d+$") & right.rlike(r"^-?\d+$")
+    exact = left.try_cast("decimal(38,0)") == right.try_cast("decimal(38,0)")
+    near = left.try_cast("double") == right.try_cast("double")
+    return (left == right) | F.coalesce(F.when(whole, exact).otherwise(near), F.lit(False))
 
 
 def drift(local: DataFrame, remote: DataFrame, key: str = "asset", body: str = "body") -> DataFrame:

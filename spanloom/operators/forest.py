@@ -34,7 +34,7 @@ def forest(edges: DataFrame, scope: str, node: str = "span_id", parent: str = "p
     pre-order, children by their place. Hand in the narrow edge columns only; wide
     rows are joined to the result once.
     """
-    edges = edges.select(scope, node, F.nullif(F.col(parent), F.lit("")).alias("_parent"), F.col(place).alias("_place"))
+    edges = cut(edges.select(scope, node, F.nullif(F.col(parent), F.lit("")).alias("_parent"), F.col(place).alias("_place")))
     known = edges.select(F.col(scope).alias("_s"), F.col(node).alias("_known"))
     linked = edges.join(known, (F.col(scope) == F.col("_s")) & (F.col("_parent") == F.col("_known")), "left").select(
         scope, node, F.col("_known").alias("_up"), F.array("_place").alias("path")

@@ -7,11 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_side
-
-# Up to this many entries the table is matched inside the row, without any join.
-INLINE_PRICES = 500
-
 _PRICE = "decimal(12,6)"
 
 
@@ -20,28 +15,30 @@ def model_key(model: Column) -> Column:
 
 
 def inline_price(model: Column, table: Mapping[str, tuple[float, float]]) -> Column:
-    """Price struct of the longest pattern the model starts with; an exact name is the longest."""
+    """Price struct of the longest pattern the model starts with; an exact name is the longest.
+
+    An empty pattern prices nothing.
+    """
     key = model_key(model)
-    found = None
-    for pattern in sorted(table, key=lambda p: (-len(p), p)):
+    found = F.when(F.lit(False), F.lit(None).cast(f"struct<pattern:string,price_in:{_PRICE},price_out:{_PRICE}>"))
+    for pattern in sorted(filter(None, table), key=lambda p: (-len(p), p)):
         low, high = table[pattern]
         price = F.struct(
             F.lit(pattern).alias("pattern"),
             F.lit(str(low)).cast(_PRICE).alias("price_in"),
             F.lit(str(high)).cast(_PRICE).alias("price_out"),
         )
-        test = key.startswith(pattern)
-        found = F.when(test, price) if found is None else found.when(test, price)
+        found = found.when(key.startswith(pattern), price)
     return found
 
 
 def match_models(models: DataFrame, price_rows: DataFrame, model: str = "request_model") -> DataFrame:
-    """The same for a price table of any size: equi-join on every prefix of each distinct model."""
+    """The same for a price table that is a table: equi-join on every prefix of each distinct model."""
     distinct = models.where(F.col(model).isNotNull()).select(F.col(model)).distinct()
     prefixes = distinct.select(
         model, F.explode(F.expr(f"transform(sequence(1, greatest(length(trim(lower({model}))), 1)), n -> left(trim(lower({model})), n))")).alias("pattern")
     )
-    hits = prefixes.join(price_rows, "pattern").groupBy(model).agg(
+    hits = prefixes.where("pattern <> ''").join(price_rows, "pattern").groupBy(model).agg(
         F.max_by(F.struct("pattern", "price_in", "price_out"), F.length("pattern")).alias("_price")
     )
     return distinct.join(hits, model, "left").select(model, "_price")
@@ -52,12 +49,7 @@ def with_price(
 ) -> DataFrame:
     """Add ``_price`` (null for an unpriced model)."""
     if isinstance(table, DataFrame):
-        # one row per distinct model: broadcast when counted small, so a hot model is not shuffled
-        return df.join(small_side(match_models(df, table, model)), model, "left")
-    if len(table) > INLINE_PRICES:
-        from ..sources.prices import price_frame
-
-        return with_price(df, price_frame(df.sparkSession, table), model)
+        return df.join(match_models(df, table, model), model, "left")  # one row per distinct model
     return df.withColumn("_price", inline_price(F.col(model), table))
 
 

@@ -4,7 +4,7 @@ Two column-pruned passes. The first counts rows per logarithmic value bucket (a
 map-side combine, so a hot group shuffles only its buckets) and finds the bucket
 that holds each wanted rank. The second reads only rows of those buckets, counts
 them per distinct value and picks the ranks by running total. A bucket spans a
-factor of about 1.001, so the sorted part stays a sliver of the group whatever
+factor of about 1.001 at any magnitude, also below one, so the sorted part stays a sliver of the group whatever
 the group's size; equal values collapse into one row before any sort.
 """
 
@@ -22,7 +22,9 @@ BUCKETS_PER_E = 1024
 
 
 def _bucket(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BUCKETS_PER_E)).cast("bigint")
+    # powers of e are offset so that every magnitude a double has keeps the order of its sign
+    size = F.floor((F.log(F.abs(value)) + F.lit(800.0)) * F.lit(BUCKETS_PER_E)).cast("bigint")
+    return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, size).otherwise(-size)
 
 
 def _approximate(df: DataFrame, by: Sequence[str], value: Column, probs: Mapping[str, float], accuracy: int):

@@ -27,7 +27,6 @@ DIMENSIONS = {
     "llm_judge": "quality",
 }
 BLOCKED = ("block", "redact")
-MISSING_SHOWN = 5
 
 
 def _rows(events: DataFrame, time_range: str, baseline_range: str, as_of, by: Sequence[str]) -> DataFrame:
@@ -108,11 +107,8 @@ def key_sets(rows: DataFrame) -> list[DataFrame]:
         count_if(tool & F.col("now")).alias("tools"),
         count_if(tool).alias("known_tools"),
     )
-    rank = F.row_number().over(Window.partitionBy("scope").orderBy("key"))
     missing = (
         seen.where(tool & ~F.col("now"))
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= MISSING_SHOWN)
         .groupBy("scope")
         .agg(F.array_sort(F.collect_list("key")).alias("missing_tools"))
     )
@@ -219,11 +215,14 @@ def register_evaluator(name: str, rule: Callable[[], dict], dimension: str = "qu
     DIMENSIONS[name] = dimension
 
 
-def _checked(name: str) -> dict:
+def _checked(name: str, wide: DataFrame) -> dict:
     try:
-        return EVALUATORS[name]()
+        found = EVALUATORS[name]()
+        wide.select(_result(name, found).alias("e"))  # resolves the rule against the metrics
+        return found
     except Exception as problem:  # a broken rule is a failed evaluation, not a failed run
-        return _verdict(F.lit("fail"), F.lit(0.0), F.lit(None), F.lit(f"evaluator failed: {problem}"))
+        reason = str(problem).splitlines()[0] if str(problem) else type(problem).__name__
+        return _verdict(F.lit("fail"), F.lit(0.0), F.lit(None), F.lit(f"evaluator failed: {reason}"))
 
 
 def run(
@@ -242,7 +241,7 @@ def run(
         p95=any(n == "latency_regression" or n not in _BUILT_IN for n in names),
         sets=any(n in _NEED_SETS or n not in _BUILT_IN for n in names),
     )
-    rows = F.array(*[_result(name, _checked(name)) for name in names])
+    rows = F.array(*[_result(name, _checked(name, wide)) for name in names])
     return wide.select("scope", F.explode(rows).alias("e")).select("scope", "e.*")
 
 
@@ -294,7 +293,6 @@ def result_events(results: DataFrame, run_id: str, evaluated_at: Column | None =
 
 # ---------------------------------------------------------------- judge
 SAMPLES = 5
-SAMPLE_CHARS = 500
 
 
 def judge_samples(messages: DataFrame, group: str, newest_first: Sequence[Column], size: int = SAMPLES) -> DataFrame:
@@ -303,7 +301,7 @@ def judge_samples(messages: DataFrame, group: str, newest_first: Sequence[Column
     have = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in messages.columns else F.lit("") for c in ("event_outcome", "tool_name", "request_model")}
     line = F.concat(
         F.lit("- ["), have["event_outcome"], F.lit("] tool="), have["tool_name"], F.lit(" model="), have["request_model"], F.lit(": "),
-        F.left(F.col("message"), F.lit(SAMPLE_CHARS)),
+        F.col("message"),
     )
     top = messages.where(F.col("message").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= size)
     return (

@@ -52,11 +52,14 @@ def window(events: DataFrame, time_range: str = "now-24h", as_of=None) -> DataFr
     return events.where(at_least(events, time_range, as_of))
 
 
-def event_rate(rows: DataFrame, interval: str, size: int = 5) -> DataFrame:
-    """Events per time bucket and outcome, for the ``size`` most frequent outcomes."""
+def event_rate(rows: DataFrame, interval: str, size: int | None = None) -> DataFrame:
+    """Events per time bucket and outcome; all outcomes, or the ``size`` most frequent by the same counts."""
     counts = date_histogram(rows.where(F.col("event_outcome").isNotNull()), interval, ["event_outcome"], count=F.count(F.lit(1)))
-    outcomes = terms(rows, "event_outcome", size).select("event_outcome")
-    return counts.join(outcomes, "event_outcome", "left_semi").select("bucket", "event_outcome", "count")
+    counts = counts.select("bucket", "event_outcome", "count")
+    if size is None:
+        return counts
+    outcomes = counts.groupBy("event_outcome").agg(F.sum("count").alias("n")).orderBy(F.col("n").desc(), "event_outcome").limit(size)
+    return counts.join(outcomes.select("event_outcome"), "event_outcome", "left_semi")
 
 
 def latency(rows: DataFrame, interval: str, approx: bool = False) -> DataFrame:

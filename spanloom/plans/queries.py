@@ -33,21 +33,27 @@ def _recent(events: DataFrame, time_range: str, as_of) -> DataFrame:
     return keep_external(events, "sanity").where(at_least(events, time_range, as_of))
 
 
-def _first_in_group(rows: DataFrame, group: str, size: int) -> DataFrame:
+def _numbered(rows: DataFrame, group: str, size: int | None) -> DataFrame:
+    """Rows with their place in their group; all of them unless a ``size`` is asked for."""
     order = Window.partitionBy(group).orderBy(F.col("ts").asc(), F.col("span_id").asc_nulls_last())
-    return rows.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= size)
+    numbered = rows.withColumn("seq", F.row_number().over(order))
+    return numbered if size is None else numbered.where(F.col("seq") <= size)
 
 
-def trace(events: DataFrame, trace_id: str, size: int = 200) -> DataFrame:
+def _first(rows: DataFrame, size: int | None) -> DataFrame:
+    return rows if size is None else rows.limit(size)
+
+
+def trace(events: DataFrame, trace_id: str, size: int | None = None) -> DataFrame:
     """All events of one trace in time order."""
     rows = keep_external(events, "sanity").where(F.col("trace_id") == trace_id)
-    return rows.select(*TRACE_COLUMNS).orderBy("ts", F.col("span_id").asc_nulls_last()).limit(size)
+    return _first(rows.select(*TRACE_COLUMNS).orderBy("ts", F.col("span_id").asc_nulls_last()), size)
 
 
-def traces(events: DataFrame, size: int = 200) -> DataFrame:
+def traces(events: DataFrame, size: int | None = None) -> DataFrame:
     """The same for every trace, with the place of each event in its trace."""
     rows = keep_external(events, "sanity").where(F.col("trace_id").isNotNull())
-    return _first_in_group(rows, "trace_id", size).select("trace_id", "seq", *TRACE_COLUMNS)
+    return _numbered(rows, "trace_id", size).select("trace_id", "seq", *TRACE_COLUMNS)
 
 
 def tools(events: DataFrame, time_range: str = "now-24h", size: int | None = 10, as_of=None, approx: bool = False):
@@ -70,10 +76,10 @@ def tools(events: DataFrame, time_range: str = "now-24h", size: int | None = 10,
     return best(named, "tool_name", "calls", size)
 
 
-def errors(events: DataFrame, time_range: str = "now-24h", size: int = 20, as_of=None) -> DataFrame:
+def errors(events: DataFrame, time_range: str = "now-24h", size: int | None = None, as_of=None) -> DataFrame:
     """Failures, newest first."""
     rows = _recent(events, time_range, as_of).where(failed())
-    return rows.orderBy(F.col("ts").desc(), F.col("span_id").asc_nulls_last()).limit(size).select(*ERROR_COLUMNS)
+    return _first(rows.orderBy(F.col("ts").desc(), F.col("span_id").asc_nulls_last()), size).select(*ERROR_COLUMNS)
 
 
 def sessions(events: DataFrame, time_range: str = "now-24h", size: int | None = 10, as_of=None) -> DataFrame:
@@ -91,17 +97,17 @@ def sessions(events: DataFrame, time_range: str = "now-24h", size: int | None =
     ).withColumnRenamed("count", "events")
 
 
-def timeline(events: DataFrame, run_id: str, size: int = 200) -> DataFrame:
+def timeline(events: DataFrame, run_id: str, size: int | None = None) -> DataFrame:
     """Events of one agent run, found by run id or by trace id, in time order."""
     rows = keep_external(events, "sanity").where((F.col("agent_id") == run_id) | (F.col("trace_id") == run_id))
-    return rows.select(*TIMELINE_COLUMNS).orderBy("ts", F.col("span_id").asc_nulls_last()).limit(size)
+    return _first(rows.select(*TIMELINE_COLUMNS).orderBy("ts", F.col("span_id").asc_nulls_last()), size)
 
 
 def _run_ids() -> Column:
     return F.array_distinct(F.array_compact(F.array("agent_id", "trace_id")))
 
 
-def timelines(events: DataFrame, size: int = 200) -> DataFrame:
+def timelines(events: DataFrame, size: int | None = None) -> DataFrame:
     """The same for every id an event can be found by."""
     rows = keep_external(events, "sanity").withColumn("run_id", F.explode(_run_ids()))
-    return _first_in_group(rows, "run_id", size).select("run_id", "seq", *TIMELINE_COLUMNS)
+    return _numbered(rows, "run_id", size).select("run_id", "seq", *TIMELINE_COLUMNS)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.forest import forest, last_per_span
 
-MESSAGE_CHARS = 200
+# Fields of a replayed node.
 NODE_FIELDS = {
     "parent_id": "parent_id",
     "ts": "timestamp",
@@ -36,14 +36,21 @@ _TYPES = {
 }
 
 
-def _synthetic_span() -> Column:
-    """Id for a row without a span: same content, same id, whichever executor computes it."""
-    return F.concat(F.lit("_evt_"), F.sha2(F.to_json(F.struct("*")), 256))
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """Rows without a span get an id of their own: their content's hash, and a number among equal rows.
+
+    The ids are the same whichever executor computes them.
+    """
+    blank = F.coalesce(F.col("span_id"), F.lit("")) == ""
+    bare = rows.where(blank).withColumn("_hash", F.sha2(F.to_json(F.struct("*")), 256))
+    number = F.row_number().over(Window.partitionBy("_hash").orderBy("_hash"))
+    named = bare.withColumn("span_id", F.concat(F.lit("_evt_"), F.col("_hash"), F.lit("_"), number.cast("string"))).drop("_hash")
+    return rows.where(~blank).unionByName(named)
 
 
 def _shaped(events: DataFrame, scope: str) -> DataFrame:
     rows = events.where(F.col(scope).isNotNull())
-    rows = rows.withColumn("span_id", F.coalesce(F.nullif(F.col("span_id"), F.lit("")), _synthetic_span()))
+    rows = _with_spans(rows)
     step = F.col("reasoning_step_index") if "reasoning_step_index" in events.columns else F.lit(None).cast("int")
     picked = [
         (F.col(source) if source in events.columns else F.lit(None).cast(_TYPES.get(name, "string"))).alias(name)
@@ -51,7 +58,7 @@ def _shaped(events: DataFrame, scope: str) -> DataFrame:
     ]
     return rows.select(
         F.col(scope).alias("scope"), "span_id", *picked, F.coalesce(step, F.lit(2147483647)).alias("step")
-    ).withColumn("message", F.left("message", F.lit(MESSAGE_CHARS)))
+    )
 
 
 def _last(shaped: DataFrame, payload: list[str]) -> DataFrame:
@@ -61,8 +68,8 @@ def _last(shaped: DataFrame, payload: list[str]) -> DataFrame:
 def nodes(events: DataFrame, scope: str = "trace_id") -> DataFrame:
     """One node per span of a scope; a repeated span id keeps its last row.
 
-    ``events`` counts the rows behind a node. A row without a span id is a node of
-    its own; rows equal in every column share one.
+    ``events`` counts the rows behind a node. Every row without a span id is a node of
+    its own.
     """
     return _last(_shaped(events, scope), list(NODE_FIELDS.values()))
 
@@ -77,13 +84,14 @@ def replay(events: DataFrame, scope: str = "trace_id") -> DataFrame:
     return _last(shaped, list(NODE_FIELDS.values())).join(placed, ["scope", "span_id"])
 
 
-def replay_one(events: DataFrame, session_id: str = "", trace_id: str = "", max_events: int = 500) -> DataFrame:
+def replay_one(events: DataFrame, session_id: str = "", trace_id: str = "", max_events: int | None = None) -> DataFrame:
     """Tree of one session (it takes precedence) or one trace, in print order."""
     if not session_id and not trace_id:
         raise ValueError("give a session id or a trace id")
     column, value = ("conversation_id", session_id) if session_id else ("trace_id", trace_id)
     step = [F.col("reasoning_step_index").asc_nulls_last()] if "reasoning_step_index" in events.columns else []
-    rows = events.where(F.col(column) == value).orderBy("ts", *step, F.col("span_id").asc_nulls_last()).limit(max_events)
+    rows = events.where(F.col(column) == value).orderBy("ts", *step, F.col("span_id").asc_nulls_last())
+    rows = rows if max_events is None else rows.limit(max_events)
     return in_order(replay(rows, column))
 
 
@@ -153,7 +161,7 @@ def lines(tree: DataFrame) -> DataFrame:
         ),
     )
     rationale = F.when(
-        decided, _shown(F.col("reasoning_rationale"), F.concat(indent, F.lit("  📝 "), F.left("reasoning_rationale", F.lit(150))))
+        decided, _shown(F.col("reasoning_rationale"), F.concat(indent, F.lit("  📝 "), F.col("reasoning_rationale")))
     )
     feedback = F.when(
         F.col("feedback_score").isNotNull() | (F.col("feedback_sentiment") != ""),
@@ -161,7 +169,7 @@ def lines(tree: DataFrame) -> DataFrame:
     )
     message = F.when(
         ~F.coalesce(F.col("action"), F.lit("")).isin("otlp.log", "otlp.span"),
-        _shown(F.col("message"), F.concat(indent, F.lit("  → "), F.replace(F.left("message", F.lit(120)), F.lit("\n"), F.lit(" ")))),
+        _shown(F.col("message"), F.concat(indent, F.lit("  → "), F.replace(F.col("message"), F.lit("\n"), F.lit(" ")))),
     )
     return tree.select(
         "scope", "path", "span_id", "depth", F.concat_ws("\n", main, reasoning, rationale, feedback, message).alias("text")

@@ -18,6 +18,7 @@ def session(app: str = "spanloom", master: str | None = None, **conf: str) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
         builder = builder.master(master)
@@ -58,13 +59,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# A side of a join with at most this many rows (some 10 MB) is sent to every task.
-BROADCAST_ROWS = 200_000
+# A side of a join of at most this size is sent to every task.
+BROADCAST_BYTES = 8 << 20
 
 
 def small_side(df: DataFrame, limit: int | None = None, cheap: bool = False) -> DataFrame:
-    """``df`` counted: marked for broadcast when it is small enough, left to a shuffled
-    join when it is not. It is materialised first unless it is ``cheap`` to compute twice."""
+    """``df`` measured: marked for broadcast when its values take few enough bytes, left to
+    a shuffled join when not. It is materialised first unless it is ``cheap`` to compute twice."""
     kept = df if cheap else cut(df)
-    limit = BROADCAST_ROWS if limit is None else limit
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in kept.columns), F.lit(0))
+    size = kept.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(kept) if size <= (BROADCAST_BYTES if limit is None else limit) else kept

@@ -19,7 +19,6 @@ IGNORED_DIRS = (
     ".git", ".codebuddy", "node_modules", "vendor", "dist", "build", "coverage", "__pycache__", ".idea", ".vscode",
     "generated", "references", "tests", "assets", ".pytest_cache",
 )
-MAX_BYTES = 200_000
 
 
 def log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -34,11 +33,12 @@ def read_log_files(spark: SparkSession, path: str, stream: bool = False, **optio
 
 
 def read_text_tree(
-    spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, ignored=IGNORED_DIRS, suffixes=TEXT_SUFFIXES
+    spark: SparkSession, path: str, max_bytes: int | None = None, ignored=IGNORED_DIRS, suffixes=TEXT_SUFFIXES
 ) -> DataFrame:
-    """Text files below ``path``: ``path`` relative to it, ``content`` as text.
+    """Text files below ``path``: ``path`` relative to it, ``content`` as text, ``readable``.
 
-    UTF-8 (a byte order mark is dropped); other bytes are read as Latin-1.
+    UTF-8 (a byte order mark is dropped). A file with other bytes is reported by ``readable`` false; its
+    content has replacement characters in their place. ``max_bytes`` leaves out larger files, none by default.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     base = F.regexp_replace(F.lit(path.rstrip("/")), "^file:/*", "/")
@@ -49,11 +49,12 @@ def read_text_tree(
     dot = F.regexp_extract(F.lower(name), r"(?<=.)(\.[^.]+)$", 1)
     wanted = dot.isin(*suffixes) | name.isin(*TEXT_NAMES)
     hidden = F.arrays_overlap(parts, F.array(*[F.lit(d) for d in ignored]))
-    text = F.when(F.is_valid_utf8(F.col("content")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    return (
-        files.where(F.col("length") <= max_bytes)
-        .where(wanted & ~hidden)
-        .select(relative.alias("path"), F.regexp_replace(text, "^﻿", "").alias("content"))
+    files = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    raw = F.col("content").cast("string")
+    return files.where(wanted & ~hidden).select(
+        relative.alias("path"),
+        F.regexp_replace(F.make_valid_utf8(raw), "^﻿", "").alias("content"),
+        F.is_valid_utf8(raw).alias("readable"),
     )
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.normalize import normalize
@@ -29,12 +32,19 @@ def open_stream(spark: SparkSession, kind: str, path: str, max_files: int = 1000
     return normalize(rows, **options)
 
 
-def drop_repeats(stream: DataFrame, keys: Sequence[str] = ("trace_id", "span_id"), delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """Rows delivered twice within ``delay`` kept once; state is bounded by the watermark.
+def drop_repeats(stream: DataFrame, keys: Sequence[str] | None = None, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
+    """Rows delivered twice within ``delay`` kept once; the watermark bounds the state.
 
+    A repeat is a row equal in every column, so a span keeps all its logs. With ``keys``
+    it is a row with the same keys, and rows without one of them pass untouched.
     Off by default: without it a late or repeated row simply lands.
     """
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    watched = stream.withWatermark(ts, delay)
+    if keys is None:
+        content = F.sha2(F.to_json(F.struct("*")), 256)
+        return watched.withColumn("_record", content).dropDuplicatesWithinWatermark(["_record"]).drop("_record")
+    complete = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return watched.where(complete).dropDuplicatesWithinWatermark(list(keys)).unionByName(watched.where(~complete))
 
 
 def start(
@@ -65,5 +75,3 @@ def ingest(spark: SparkSession, kind: str, landing: str, table: str, checkpoint:
     """The whole path for one kind of source."""
     rows = conform(open_stream(spark, kind, landing, **options))
     return start(rows, table, checkpoint, interval=interval)
-
-
