@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_model, mixing, pivots, quality, token_counts, token_files, warc
+from . import decontaminate, jaccard_join, language_model, mixing, pivots, quality, repeats, token_counts, token_files, warc
 from .common import stored
 
 PLANS: dict = {}
@@ -82,3 +82,8 @@ FROM w
 @plan
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
+
+
+@plan
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(repeats.remove(table(spark, sf_dir, "documents"), length=200))
