@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -34,6 +35,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many bytes goes to every task; a larger one is joined by a shuffle.
+SMALL_BYTES = 16 << 20
+
+
+def sent(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a stored table of rows of at most ``row_bytes``: marked for broadcast where its counted size is small."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
+
+
 def spread(spark: SparkSession, least: int = 1) -> int:
     """Partitions for a shuffle: the session's number, never under ``least``."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,7 +2,8 @@
 
 Equal sets are one vertex (a 64-bit hash of the set). Candidates meet by segments: a set is cut by hash into so
 many segments that two sets which differ as much as the threshold allows still agree in some of them; the number
-depends on the size, so a set emits its segments for its own class of sizes and for the next larger one. Each
+depends on the size, so a set emits its segments for its own class of sizes and for the next larger one. Shingles
+that are common (by a sample) are left out of segments that hold others, so shared passages link nobody. Each
 task combines equal segments before the shuffle (a segment that a third of all documents share leaves a task
 once) and links their owners; what meets after the shuffle is linked too. The components of these links are
 families: no similar pair lies across two of them.
@@ -16,6 +17,7 @@ Families above ``BLOCK`` sets are cut into blocks and joined as pairs of blocks,
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, parts_for, runs, spread, stored, words
+from .common import free_name, parts_for, runs, sent, spread, stored, words
 from .graph import components
 
 BLOCK = 1024
@@ -35,9 +37,8 @@ BLOCK = 1024
 FLUSH = 1 << 20
 #: Segments of one bucket after the shuffle, about.
 BUCKET = 1 << 21
-#: With MANY or more allowed differences, segments of fewer than WEAK shingles are left out: that a similar pair has
-#: no larger segment in common then has a chance below 1e-9, as cuts are by hash.
-MANY, WEAK = 64, 3
+#: Shingles of the sample that shows which are common, about, and in how many of its sets a common one is.
+SAMPLE, COMMON = 4 << 20, 3
 FAN = 8
 
 
@@ -71,34 +72,48 @@ class Sizes:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.low, self.allowed = [], []
+        self.low, self.allowed, self.cuts = [], [], []
         low = 1
         while low < 1 << 33:
             high = low * den // num
             self.low.append(low)
-            self.allowed.append(2 * high * (den - num) // (den + num))
+            k = 2 * high * (den - num) // (den + num)
+            empty = (k + 2) * math.exp(-low / (k + 2))
+            self.allowed.append(k)
+            # Two similar sets agree in all but k segments; so many more that hardly any set is empty in all the others.
+            self.cuts.append(k + 2 + math.ceil(empty + 4 * math.sqrt(empty) - 1e-3))
             low = high + 1
 
     def needed(self, a, b):
         """Least overlap of two similar sets."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def segments(self, hashes: np.ndarray) -> np.ndarray:
-        """Hashes of the segments of one set, in the cuts of its own class and of the next."""
+    def segments(self, hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Hashes of the segments of one set, in the cuts of its own class and of the next.
+
+        Sets that agree in a segment agree in its shingles that are not ``common``, so those are hashed. Where a
+        set has so many segments without any that all its agreements may lie there, these go with all shingles.
+        """
         own = bisect_right(self.low, len(hashes)) - 1
         out = []
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(0xA0761D6478BD642F)))])
+        mixed = mix(hashes + np.uint64(0xA0761D6478BD642F))
+        rare = np.ones(len(hashes), bool)
+        if len(common):
+            rare = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes
+        start = np.zeros(1, np.uint64)
+        some, every = np.concatenate([start, np.cumsum(np.where(rare, mixed, start))]), np.concatenate([start, np.cumsum(mixed)])
+        number = np.concatenate([[0], np.cumsum(rare)])
         for c in (own, own + 1):
-            k = self.allowed[c]
-            m = k + 2
+            k, m = self.allowed[c], self.cuts[c]
             cuts = np.append(np.searchsorted(hashes, np.arange(m, dtype=np.uint64) * np.uint64((1 << 64) // m)), len(hashes))
-            counts = np.diff(cuts)
-            keep = counts >= (WEAK if k >= MANY else 1)
-            if m - int((counts > 0).sum()) >= m - k:  # so many empty segments that only those may agree
-                keep |= counts == 0
-            keep = np.flatnonzero(keep)
-            salt = (np.uint64(c + 1) << np.uint64(40)) + keep.astype(np.uint64)
-            out.append(mix(sums[cuts[keep + 1]] - sums[cuts[keep]] + mix(salt)))
+            salt = mix((np.uint64(2 * c + 2) << np.uint64(40)) + np.arange(m, dtype=np.uint64))
+            full = number[cuts[1:]] > number[cuts[:-1]]
+            out.append(mix((some[cuts[1:]] - some[cuts[:-1]] + salt)[full]))
+            if m - int(full.sum()) >= m - k:
+                rest = ~full
+                if int((cuts[1:] == cuts[:-1]).sum()) < m - k:
+                    rest &= cuts[1:] > cuts[:-1]  # not all agreements are empty
+                out.append(mix((every[cuts[1:]] - every[cuts[:-1]] + mix(salt))[rest]))
         return np.concatenate(out)
 
 
@@ -119,11 +134,11 @@ def meet(segments: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return segments[first], owners[first], links
 
 
-def _segments(text: str, size: int, num: int, den: int, buckets: int):
+def _segments(text: str, size: int, num: int, den: int, buckets: int, common):
     schema = pa.schema([("bucket", pa.int64()), ("linked", pa.bool_()), ("payload", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = sizes_for(num, den)
+        sizes, often = sizes_for(num, den), common.value
         held: list[np.ndarray] = []
         owner: list[tuple[int, int]] = []
         total = sent = 0
@@ -151,7 +166,7 @@ def _segments(text: str, size: int, num: int, den: int, buckets: int):
             for body in batch.column(text).to_pylist():
                 hashes = shingles(body, size)
                 if len(hashes):
-                    held.append(sizes.segments(hashes))
+                    held.append(sizes.segments(hashes, often))
                     owner.append((vertex(hashes), len(held[-1])))
                     total += len(held[-1])
                     if total >= FLUSH:
@@ -173,6 +188,29 @@ def _meetings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from runs(frames, ["bucket"], work)
 
 
+def _common(source: DataFrame, total: int, size: int) -> np.ndarray:
+    """Shingles that at least ``COMMON`` sets of a sample of about ``SAMPLE`` shingles have, sorted.
+
+    Only the number of candidates depends on them, never the result.
+    """
+    share = int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))
+    drawn = source.where(F.pmod(F.xxhash64(F.lit("common"), F.col("body")), F.lit(1 << 30)) < share).select("body").distinct()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [h for h in (shingles(t, size) for t in batch.column("body").to_pylist()) if len(h)]
+            yield pa.RecordBatch.from_pydict({"vertex": pa.array([vertex(h) for h in sets], pa.int64()), "hashes": pa.array([h.tobytes() for h in sets], pa.binary())})
+
+    def often(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = {v: h for frame in frames for v, h in zip(frame["vertex"], frame["hashes"])}
+        found, count = np.unique(np.frombuffer(b"".join(rows.values()), np.uint64), return_counts=True)
+        yield pd.DataFrame({"hashes": [found[count >= COMMON].tobytes()]})
+
+    sets = drawn.mapInArrow(gather, "vertex long, hashes binary").repartition(1)
+    rows = sets.mapInPandas(often, "hashes binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r["hashes"]), np.uint64) for r in rows)]))
+
+
 class Tree:
     """Signature tree over sets that are ordered by size; level 0 holds the leaves."""
 
@@ -319,9 +357,10 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
     members = stored(source.mapInArrow(describe, "doc_id long, n_shingles long, vertex long"), "members")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     spark = docs.sparkSession
-    share = 2.6 * (den - num) / (den + num)  # segments per shingle, about
+    share = 5.2 * (den - num) / (den + num)  # segments per shingle, about
     buckets = max(spread(spark), parts_for(int(total * share), BUCKET))
-    segments = source.select("body").mapInArrow(_segments("body", size, num, den, buckets), "bucket long, linked boolean, payload binary")
+    common = spark.sparkContext.broadcast(_common(source, int(total), size))
+    segments = source.select("body").mapInArrow(_segments("body", size, num, den, buckets, common), "bucket long, linked boolean, payload binary")
     met = segments.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(_meetings, "a long, b long")
     family = components(met)
     family = family.select(F.col("id").alias("vertex"), F.col("component").alias("family"))
@@ -340,7 +379,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
                 hashes = pa.array([h.tobytes() for h, ok in zip(found, keep.to_pylist()) if ok], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, hashes], names=["id", "family", "blocks", "hashes"])
 
-    sets = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("body", "vertex", "family", "blocks")
+    sets = source.join(sent(wanted, 64), source["doc_id"].eqNullSafe(wanted["doc_id"])).select("body", "vertex", "family", "blocks")
     sets = sets.mapInArrow(rebuild, "id long, family long, blocks long, hashes binary")
     sets = sets.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = sets.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -370,8 +409,8 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, text
     Documents without words are linked with nothing and stay, as do rows without id.
     """
     found = classes(docs, size, num, den, text, doc_id)
-    left = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    rest = docs.join(left, docs[doc_id] == left["gone"], "left_anti")
+    left = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    rest = docs.join(sent(left, 32), docs[doc_id] == left["gone"], "left_anti")
     again = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
     again = stored(again, "twice")
     if not again.head(1):
