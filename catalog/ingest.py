@@ -78,7 +78,9 @@ LOG_PAYLOAD = """'{"resourceLogs":[{"resource":{"attributes":[{"key":"service.na
 "scopeLogs":[{"scope":{"name":"shop","version":"1"},"logRecords":[{"timeUnixNano":"' || (1704067200000000000 + event_id * 1000001) || '","severityText":"' || CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'Info' END || '",
 "traceId":"AB' || event_id || '","spanId":"CD' || event_id || '","body":{"stringValue":"' || event_type || '"},
 "attributes":[{"key":"gen_ai.usage.input_tokens","value":{"intValue":"' || user_id || '"}},{"key":"gen_ai.agent_ext.cache_hit","value":{"boolValue":' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || '}},
-{"key":"gen_ai.prompt","value":{"stringValue":"secret"}},{"key":"x","value":{"arrayValue":{"values":[{"intValue":"' || user_id || '"},{"stringValue":"a"}]}}}]}]}]}]}'"""
+{"key":"gen_ai.prompt","value":{"stringValue":"secret"}},{"key":"x","value":{"arrayValue":{"values":[{"intValue":"' || user_id || '"},{"stringValue":"a"}]}}}' || CASE WHEN event_id % 10 = 0 THEN ',
+{"key":"four","value":' || repeat('{"arrayValue":{"values":[', 4) || '{"intValue":"' || user_id || '"}' || repeat(']}}', 4) || '},
+{"key":"six","value":' || repeat('{"kvlistValue":{"values":[{"key":"k","value":', 3) || repeat('{"arrayValue":{"values":[', 3) || '{"stringValue":"é"},{"boolValue":true}' || repeat(']}}', 3) || repeat('}]}}', 3) || '}' ELSE '' END || ']}]}]}]}'"""
 SPAN_PAYLOAD = """'{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc-' || (user_id % 4) || '"}}]},
 "scopeSpans":[{"scope":{"name":"shop"},"spans":[{"name":"' || event_type || '","kind":' || (1 + user_id % 5) || ',"traceId":"T' || event_id || '","spanId":"S' || event_id || '","parentSpanId":"P' || user_id || '",
 "startTimeUnixNano":"' || (1704067200000000000 + event_id * 1000) || '","endTimeUnixNano":"' || (1704067200000000000 + event_id * 1000 + user_id * 500 - 5000) || '",
@@ -97,13 +99,14 @@ def _payloads(spark, sf, payload, schema, signal):
     """SELECT make_timestamp(CAST(floor((1704067200000000000 + event_id * 1000001) / 1000) AS BIGINT)) AS ts, 'svc-' || (user_id % 4) AS service_name, 'otlp.log' AS event_action,
     CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS log_level, CASE event_type WHEN 'error' THEN 17 ELSE 9 END AS severity_number,
     'ab' || event_id AS trace_id, 'cd' || event_id AS span_id, event_type AS message, user_id AS input_tokens, user_id % 2 = 0 AS cache_hit,
-    '[' || user_id || ', "a"]' AS x FROM events""".replace("floor((1704067200000000000 + event_id * 1000001) / 1000)", "(1704067200000000000 + event_id * 1000001) // 1000"),
+    '[' || user_id || ', "a"]' AS x, CASE WHEN event_id % 10 = 0 THEN '[[[[' || user_id || ']]]]' END AS four,
+    CASE WHEN event_id % 10 = 0 THEN '{"k": {"k": {"k": [[["é", true]]]}}}' END AS six FROM events""".replace("floor((1704067200000000000 + event_id * 1000001) / 1000)", "(1704067200000000000 + event_id * 1000001) // 1000"),
 )
 def otlp_logs(spark, sf):
     out = otlp.log_events(_payloads(spark, sf, LOG_PAYLOAD, otlp.OTLP_LOGS, "resourceLogs"))
     return out.select(
         F.col("ts").cast("timestamp_ntz").alias("ts"), "service_name", "event_action", "log_level", "severity_number", "trace_id", "span_id",
-        "message", "input_tokens", "cache_hit", F.col("unmapped")["x"].alias("x"),
+        "message", "input_tokens", "cache_hit", *[F.col("unmapped")[k].alias(k) for k in ("x", "four", "six")],
     )
 
 

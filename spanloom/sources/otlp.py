@@ -2,13 +2,17 @@
 
 The nested payload is declared, not inferred. An attribute value is one of several
 alternatives; the scalar ones are read as text, only arrays and key-value lists are
-read as variants because their shape differs per record.
+read as variants because their shape differs per record and nests to any depth.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.normalize import declared_names, is_sensitive, with_map
 from ..schema import CARRIED, COLUMN_TYPES, FIELDS
@@ -39,70 +43,71 @@ OTLP_TRACES = _schema(
     "endTimeUnixNano: string, end_time_unix_nano: string, status: struct<code: string>",
 )
 
-# Levels of arrays and key-value lists that are decoded; deeper ones stay as received.
-VALUE_DEPTH = 3
+_SCALARS = ("stringValue", "intValue", "boolValue", "doubleValue", "bytesValue")
 
 
-def _quoted(text: str) -> str:
-    return f"regexp_replace(to_json(array({text})), '^.|.$', '')"
+def _plain(value):
+    """What an attribute value stands for; what is no attribute value stays as received."""
+    if not isinstance(value, dict):
+        return value
+    if value.get("intValue") is not None:
+        text = str(value["intValue"])
+        return int(text) if text.removeprefix("-").isdigit() else text
+    for name in ("stringValue", "boolValue", "doubleValue", "bytesValue"):
+        if value.get(name) is not None:
+            return value[name]
+    if isinstance(value.get("arrayValue"), dict):
+        return [_plain(v) for v in value["arrayValue"].get("values") or ()]
+    if isinstance(value.get("kvlistValue"), dict):
+        pairs = ((str(e.get("key") or "").strip(), _plain(e.get("value"))) for e in value["kvlistValue"].get("values") or () if isinstance(e, dict))
+        return dict(sorted((p for p in pairs if p[0]), key=lambda p: p[0]))
+    return value
 
 
-def _array_text(array: str, depth: int) -> str:
-    items = f"coalesce(try_variant_get({array}, '$.values', 'array<variant>'), array())"
-    x = f"x{depth}"
-    return f"concat('[', array_join(transform({items}, {x} -> {_json_text(x, depth - 1)}), ', '), ']')"
+def _nested_text(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        return json.dumps(_plain(json.loads(text)), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return text
 
 
-def _list_text(pairs: str, depth: int) -> str:
-    """JSON object text of a key-value list, keys sorted, blank keys left out."""
-    items = f"coalesce(try_variant_get({pairs}, '$.values', 'array<struct<key: string, value: variant>>'), array())"
-    y = f"y{depth}"
-    shown = f"transform({items}, {y} -> named_struct('key', trim({y}.key), 'text', {_json_text(f'{y}.value', depth - 1)}))"
-    return (
-        f"concat('{{', array_join(transform(array_sort(filter({shown}, {y} -> {y}.key <> '')), "
-        f"{y} -> concat({_quoted(f'{y}.key')}, ': ', {y}.text)), ', '), '}}')"
-    )
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nested_texts(column: pd.Series) -> pd.Series:
+    """Arrays and key-value lists as JSON, however deep; built-in functions cannot recurse."""
+    return column.map(lambda texts: None if texts is None else [_nested_text(t) for t in texts])
 
 
-def _json_text(value: str, depth: int) -> str:
-    """JSON text of a value nested in an array or a key-value list."""
-
-    def part(path: str, kind: str) -> str:
-        return f"try_variant_get({value}, '$.{path}', '{kind}')"
-
-    def quoted_part(path: str) -> str:
-        return f"if({part(path, 'string')} IS NOT NULL, {_quoted(part(path, 'string'))}, NULL)"
-
-    options = [
-        quoted_part("stringValue"),
-        part("boolValue", "string"),
-        f"cast({part('intValue', 'bigint')} AS string)",
-        quoted_part("intValue"),
-        part("doubleValue", "string"),
-        quoted_part("bytesValue"),
-    ]
-    if depth:
-        for path, text in (("arrayValue", _array_text), ("kvlistValue", _list_text)):
-            options.append(f"if({part(path, 'variant')} IS NOT NULL, {text(part(path, 'variant'), depth)}, NULL)")
-    return f"coalesce({', '.join(options)}, to_json({value}), 'null')"
-
-
-def _value_text(value: str) -> str:
-    """An attribute value as text: scalars plain, arrays and key-value lists as JSON, null when empty."""
-    plain = ", ".join(f"{value}.{name}" for name in ("stringValue", "intValue", "boolValue", "doubleValue", "bytesValue"))
-    array, pairs = f"{value}.arrayValue", f"{value}.kvlistValue"
-    return (
-        f"coalesce({plain}, if({array} IS NULL, NULL, {_array_text(array, VALUE_DEPTH)}), "
-        f"if({pairs} IS NULL, NULL, {_list_text(pairs, VALUE_DEPTH)}))"
-    )
+def _parts(value: str) -> str:
+    """An attribute value as text: scalars at once; of an array or a list the JSON that is still to be decoded."""
+    scalars = ", ".join(f"{value}.{name}" for name in _SCALARS)
+    array, pairs = (f"to_json(named_struct('{n}', {value}.{n}))" for n in ("arrayValue", "kvlistValue"))
+    nested = f"CASE WHEN coalesce({scalars}) IS NOT NULL THEN NULL WHEN {value}.arrayValue IS NOT NULL THEN {array} WHEN {value}.kvlistValue IS NOT NULL THEN {pairs} END"
+    return f"'text', coalesce({scalars}), 'nested', {nested}"
+
+
+def _decoded(df: DataFrame, column: str) -> DataFrame:
+    """Replace an array of (key, text, nested) by (key, value). Only rows that hold something nested carry it over."""
+    some = f"exists({column}, e -> e.nested IS NOT NULL)"
+    df = df.withColumn("_nested", _nested_texts(F.expr(f"CASE WHEN {some} THEN transform({column}, e -> e.nested) END")))
+    return df.withColumn(column, F.expr(f"transform({column}, (e, i) -> named_struct('key', e.key, 'value', coalesce(e.text, _nested[i])))")).drop("_nested")
+
 
+def _attribute_map(df: DataFrame, *groups: str, body: str | None = None) -> DataFrame:
+    """Add ``attrs``: a later group and a later entry win; blank keys, nulls and payloads are dropped.
 
-def _attribute_map(df: DataFrame, *groups: str) -> DataFrame:
-    """Add ``attrs``: a later group and a later entry win; blank keys, nulls and payloads are dropped."""
+    With ``body``, that value is decoded along into ``_body``.
+    """
     every = ", ".join(f"coalesce({group}, array())" for group in groups)
-    pairs = f"transform(reverse(concat({every})), e -> named_struct('key', trim(e.key), 'value', {_value_text('e.value')}))"
-    kept = F.filter(F.expr(pairs), lambda e: (e["key"] != "") & e["value"].isNotNull() & ~is_sensitive(e["key"]))
-    return with_map(df.withColumn("_pairs", kept), "_pairs", "attrs")
+    pairs = f"transform(reverse(concat({every})), e -> named_struct('key', trim(e.key), {_parts('e.value')}))"
+    if body:
+        pairs = f"concat(array(named_struct('key', '', {_parts(body)})), {pairs})"
+    rows = _decoded(df.withColumn("_pairs", F.expr(pairs)), "_pairs")
+    if body:
+        rows = rows.withColumn("_body", F.expr("_pairs[0].value"))
+    kept = F.filter("_pairs", lambda e: (e["key"] != "") & e["value"].isNotNull() & ~is_sensitive(e["key"]))
+    return with_map(rows.withColumn("_pairs", kept), "_pairs", "attrs")
 
 
 def nanos_to_timestamp(nanos: Column, fallback: Column) -> Column:
@@ -184,9 +189,9 @@ def log_events(payloads: DataFrame, received: Column | None = None) -> DataFrame
     """Flat event rows of log payloads."""
     now = received if received is not None else F.current_timestamp()
     rows = _attribute_map(
-        _exploded(payloads, "resourceLogs", "scopeLogs", "instrumentationLibraryLogs", "logRecords"), "res", "scope.attributes", "r.attributes"
+        _exploded(payloads, "resourceLogs", "scopeLogs", "instrumentationLibraryLogs", "logRecords"), "res", "scope.attributes", "r.attributes", body="r.body"
     )
-    body = F.expr(_value_text("r.body"))
+    body = F.col("_body")
     is_text = F.col("r.body.stringValue").isNotNull()
     level = _text("severityText", "severity_text")
     derived = {
