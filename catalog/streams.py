@@ -91,26 +91,27 @@ WINDOWS = f"""{EV}, x AS (SELECT *, CAST(date_trunc('day', ts) AS TIMESTAMP) AS
 sc AS (SELECT 'all' AS scope, * FROM x UNION ALL SELECT 'service_name=' || service_name, * FROM x),
 m AS (SELECT scope, w, count(*) AS events, count(*) FILTER ({FAIL}) AS errors, CAST(sum(coalesce(input_tokens,0) + coalesce(output_tokens,0)) AS BIGINT) AS tokens,
   CAST(coalesce(sum(retry_count), 0) AS BIGINT) AS retries, quantile_cont(event_duration, 0.95) / 1e6 AS p95 FROM sc GROUP BY 1, 2),
+bp AS (SELECT m.scope, m.w, quantile_cont(s.event_duration, 0.95) / 1e6 AS b_p95 FROM m JOIN sc s ON s.scope = m.scope AND s.w BETWEEN m.w - INTERVAL 7 DAY AND m.w - INTERVAL 1 DAY GROUP BY 1, 2),
 b AS (SELECT *, sum(events) OVER f AS b_events, sum(errors) OVER f AS b_errors, coalesce(sum(tokens) OVER f, 0) AS b_tokens, coalesce(sum(retries) OVER f, 0) AS b_retries
   FROM m WINDOW f AS (PARTITION BY scope ORDER BY w RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
 hs AS (SELECT scope, w, max(r) AS hot FROM (SELECT scope, w, conversation_id, coalesce(sum(retry_count), 0) AS r FROM sc WHERE conversation_id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
 fs AS (SELECT scope, w, max(n) AS hot FROM (SELECT scope, w, conversation_id, count(*) AS n FROM sc WHERE {FAIL} GROUP BY 1, 2, 3) GROUP BY 1, 2),
 tu AS (SELECT scope, w, max(ms) AS ms FROM (SELECT scope, w, turn_id, {fx("CAST(sum(CAST(latency_ms AS DECIMAL(20,6))) AS DOUBLE) / count(latency_ms)", 2)} AS ms FROM sc GROUP BY 1, 2, 3) GROUP BY 1, 2),
-a AS (SELECT b.scope || '@' || strftime(b.w, '%Y-%m-%d %H:%M:%S') AS scope, b.* EXCLUDE (scope), hs.hot AS hot_retries, coalesce(fs.hot, 0) AS hot_failures, tu.ms
-  FROM b LEFT JOIN hs ON hs.scope = b.scope AND hs.w = b.w LEFT JOIN fs ON fs.scope = b.scope AND fs.w = b.w LEFT JOIN tu ON tu.scope = b.scope AND tu.w = b.w)"""
+a AS (SELECT b.scope || '@' || strftime(b.w, '%Y-%m-%d %H:%M:%S') AS scope, b.* EXCLUDE (scope), hs.hot AS hot_retries, coalesce(fs.hot, 0) AS hot_failures, tu.ms, bp.b_p95
+  FROM b LEFT JOIN bp ON bp.scope = b.scope AND bp.w = b.w LEFT JOIN hs ON hs.scope = b.scope AND hs.w = b.w LEFT JOIN fs ON fs.scope = b.scope AND fs.w = b.w LEFT JOIN tu ON tu.scope = b.scope AND tu.w = b.w)"""
 _E = fx("errors / CAST(greatest(events,1) AS DOUBLE)", 4)
 _R = fx("tokens / CAST(greatest(b_tokens,1) AS DOUBLE)", 2)
-FOUND = f"""SELECT scope, 'error_rate_spike' AS alert_type, CASE WHEN {_E} > 0.5 THEN 'critical' ELSE 'warning' END AS severity, {_E} AS value FROM a WHERE errors >= 10
-UNION ALL SELECT scope, 'token_consumption_anomaly', CASE WHEN {_R} >= 5 THEN 'critical' ELSE 'warning' END, {_R} FROM a WHERE b_tokens > 0 AND tokens > b_tokens * CAST(0.2 AS DOUBLE)
-UNION ALL SELECT scope, 'latency_degradation', CASE WHEN p95 >= 10000 THEN 'critical' ELSE 'warning' END, {fx('p95', 1)} FROM a WHERE p95 >= 5000
-UNION ALL SELECT scope, 'session_failure_hotspot', CASE WHEN hot_failures / CAST(errors AS DOUBLE) >= 0.6 THEN 'critical' ELSE 'warning' END, {fx('hot_failures / CAST(errors AS DOUBLE)', 4)} FROM a WHERE errors > 0 AND hot_failures >= 5 AND hot_failures / CAST(errors AS DOUBLE) >= 0.35
-UNION ALL SELECT scope, 'retry_storm', CASE WHEN hot_retries >= 10 THEN 'critical' ELSE 'warning' END, CAST(retries AS DOUBLE) FROM a WHERE NOT (hot_retries < 5 AND retries < 10)
-UNION ALL SELECT scope, 'long_turn_hotspot', CASE WHEN ms >= 7500 THEN 'critical' ELSE 'warning' END, ms FROM a WHERE ms >= 3000"""
+FOUND = f"""SELECT scope, 'error_rate_spike' AS alert_type, CASE WHEN {_E} > 0.5 THEN 'critical' ELSE 'warning' END AS severity, {_E} AS value, CAST(NULL AS DOUBLE) AS baseline_p95_ms FROM a WHERE errors >= 10
+UNION ALL SELECT scope, 'token_consumption_anomaly', CASE WHEN {_R} >= 5 THEN 'critical' ELSE 'warning' END, {_R}, NULL FROM a WHERE b_tokens > 0 AND tokens > b_tokens * CAST(0.2 AS DOUBLE)
+UNION ALL SELECT scope, 'latency_degradation', CASE WHEN p95 >= 10000 THEN 'critical' ELSE 'warning' END, {fx('p95', 1)}, {fx('coalesce(b_p95, 0)', 1)} FROM a WHERE p95 >= 5000
+UNION ALL SELECT scope, 'session_failure_hotspot', CASE WHEN hot_failures / CAST(errors AS DOUBLE) >= 0.6 THEN 'critical' ELSE 'warning' END, {fx('hot_failures / CAST(errors AS DOUBLE)', 4)}, NULL FROM a WHERE errors > 0 AND hot_failures >= 5 AND hot_failures / CAST(errors AS DOUBLE) >= 0.35
+UNION ALL SELECT scope, 'retry_storm', CASE WHEN hot_retries >= 10 THEN 'critical' ELSE 'warning' END, CAST(retries AS DOUBLE), NULL FROM a WHERE NOT (hot_retries < 5 AND retries < 10)
+UNION ALL SELECT scope, 'long_turn_hotspot', CASE WHEN ms >= 7500 THEN 'critical' ELSE 'warning' END, ms, NULL FROM a WHERE ms >= 3000"""
 
 
 def _values(found):
     value = F.coalesce("error_rate", "ratio", "p95_ms", "concentration", F.col("total_retries").cast("double"), "turn_latency_ms")
-    return found.select("scope", "alert_type", "severity", value.alias("value"))
+    return found.select("scope", "alert_type", "severity", value.alias("value"), "baseline_p95_ms")
 
 
 @register("alert_windows", f"{WINDOWS} {FOUND}")
@@ -118,6 +119,14 @@ def alert_windows(spark, sf):
     return _values(alerts.analyze(alerts.per_window(events(spark, sf), EVERY, BASELINE, RULES, ["service_name"])))
 
 
+@register("alert_windows_slow", f"{WINDOWS.replace('SELECT *, CAST(date_trunc', 'SELECT * REPLACE (event_duration * 20 AS event_duration), CAST(date_trunc', 1)} SELECT * FROM ({FOUND}) WHERE alert_type = 'latency_degradation'")
+def alert_windows_slow(spark, sf):
+    """The same with durations of minutes."""
+    slow = events(spark, sf).withColumn("event_duration", F.col("event_duration") * 20)
+    only = ["latency_degradation"]
+    return _values(alerts.analyze(alerts.per_window(slow, EVERY, BASELINE, RULES, ["service_name"], only), only=only))
+
+
 LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)"
 
 

@@ -33,6 +33,66 @@ def _approximate(df: DataFrame, by: Sequence[str], value: Column, probs: Mapping
     )
 
 
+def _position(p: float) -> Column:
+    return (F.col("_n") - 1) * F.lit(float(p))
+
+
+def _holding(counted: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """The buckets that hold a wanted rank, of rows ``keys, _b, _c``; with the rows before them and in all."""
+    running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counted.select(
+        *keys,
+        "_b",
+        (F.sum("_c").over(running) - F.col("_c")).alias("_before"),
+        F.sum("_c").over(running).alias("_upto"),
+        F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"),
+    )
+    wanted = F.lit(False)
+    for p in probs.values():
+        for edge in (F.floor(_position(p)), F.ceil(_position(p))):
+            wanted = wanted | ((edge >= F.col("_before")) & (edge < F.col("_upto")))
+    return ends.where(wanted)
+
+
+def _picked(near: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Interpolated percentiles from the distinct values (``_v``, ``_c`` times) of the buckets that hold them."""
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+
+    def at(edge: Column) -> Column:
+        hit = (edge < F.col("_upto")) & (edge >= F.col("_upto") - F.col("_c"))
+        return F.max(F.when(hit, F.col("_v"))).cast("double")
+
+    ends = {name: (F.floor(_position(p)), F.ceil(_position(p))) for name, p in probs.items()}
+    picked = ranked.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *[at(e).alias(f"_{side}_{name}") for name, both in ends.items() for side, e in zip(("lo", "hi"), both)]
+    )
+    between = {n: F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (_position(p) - F.floor(_position(p))) for n, p in probs.items()}
+    return picked.select(*keys, *[column.alias(name) for name, column in between.items()])
+
+
+def sliding_quantiles(rows: DataFrame, by: str, start: str, value: str, every: int, reach: int, probs: Mapping[str, float]) -> DataFrame:
+    """Percentiles of the rows ``every`` to ``reach`` seconds before each window; exact.
+
+    Rows carry their tumbling window's ``start`` in seconds. Counts per value bucket are handed to the windows
+    that look back on them; only the values of the buckets that hold a wanted rank are read again.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(by, F.col(start).alias("_at"), F.col(value).alias("_v"), _bucket(F.col(value)).alias("_b"))
+    values = known.groupBy(by, "_at", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    windows = F.explode(F.transform(F.sequence(F.lit(1), F.lit(reach // every)), lambda k: F.col("_at") + k * every))
+    counts = values.groupBy(by, "_at", "_b").agg(F.sum("_c").alias("_c")).select(by, "_b", "_c", windows.alias(start))
+    summed = counts.groupBy(by, start, "_b").agg(F.sum("_c").alias("_c"))
+    asked = rows.select(by, start).distinct()
+    targets = _holding(summed.join(asked, [by, start], "left_semi"), [by, start], probs)
+    near = (
+        values.join(targets.drop("_c"), [by, "_b"])
+        .where((F.col("_at") <= F.col(start) - every) & (F.col("_at") >= F.col(start) - reach))
+        .groupBy(by, start, "_b", "_v", "_before", "_n")
+        .agg(F.sum("_c").alias("_c"))
+    )
+    return _picked(near, [by, start], probs)
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -61,9 +121,6 @@ def quantiles(
     keyed = df if by else df.withColumn("_all", F.lit(0))
     rows = keyed.where(value.isNotNull()).select(*keys, value.alias("_v"), _bucket(value).alias("_b"))
 
-    def position(p: float) -> Column:
-        return (F.col("_n") - 1) * F.lit(float(p))
-
     if measures:
         first = cut(
             keyed.withColumn("_b", _bucket(value))
@@ -73,19 +130,8 @@ def quantiles(
         counted = first.where(F.col("_b").isNotNull()).select(*keys, "_b", "_c")
     else:
         counted = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = counted.select(
-        *keys,
-        "_b",
-        (F.sum("_c").over(running) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(running).alias("_upto"),
-        F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"),
-    )
-    wanted = F.lit(False)
-    for p in probs.values():
-        for edge in (F.floor(position(p)), F.ceil(position(p))):
-            wanted = wanted | ((edge >= F.col("_before")) & (edge < F.col("_upto")))
-    targets = ends.where(wanted).select(
+    ends = _holding(counted, keys, probs)
+    targets = ends.select(
         *[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_b").alias("_t_b"), "_before", "_n"
     )
 
@@ -101,34 +147,7 @@ def quantiles(
         .groupBy(*keys, "_b", "_v", "_before", "_n")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
-
-    def at(edge: Column) -> Column:
-        hit = (edge < F.col("_upto")) & (edge >= F.col("_upto") - F.col("_c"))
-        return F.max(F.when(hit, F.col("_v"))).cast("double")
-
-    picked = ranked.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        *[
-            part
-            for name, p in probs.items()
-            for part in (
-                at(F.floor(position(p))).alias(f"_lo_{name}"),
-                at(F.ceil(position(p))).alias(f"_hi_{name}"),
-            )
-        ],
-    )
-    out = picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (position(p) - F.floor(position(p)))
-            ).alias(name)
-            for name, p in probs.items()
-        ],
-    )
+    out = _picked(near, keys, probs)
     if measures:
         out = merge_groups(keys, first.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in measures]), out)
     return out if by else out.drop("_all")

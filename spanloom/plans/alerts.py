@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import count_if, failed, fixed, keep_external, top_key, total
 from ..functions.timeframe import at_least, bucket, within
 from ..operators.facets import best, facet_counts, ranked_lists
-from ..operators.histogram import DURATION_EDGES_MS, duration_edges
-from ..operators.quantiles import merge_groups, quantiles
+from ..operators.quantiles import merge_groups, quantiles, sliding_quantiles
 from ..session import cut
 from .report import turns_by_latency
 
@@ -230,8 +229,9 @@ def per_window(
     """The wide rows of every tumbling window: each is compared with the time before it.
 
     Baselines come from a roll-up with one row per scope and window, summed over a
-    range frame, so no event is read once per window it belongs to. A baseline P95
-    would not add up and is taken from the histogram of durations (upper edge).
+    range frame, so no event is read once per window it belongs to. The baseline P95
+    is exact: counts per value bucket slide along, and only the bucket that holds
+    the rank is opened.
     ``scope`` reads ``<scope>@<window start>``.
     """
     external = scoped(keep_external(events, "all").withColumn("window_start", bucket(events, every, ts)), by)
@@ -241,14 +241,11 @@ def per_window(
         .withColumn("in_current", F.lit(True))
         .withColumn("in_baseline", F.lit(False))
     )
-    edges = duration_edges(F.col("event_duration"))
     additive = {
         "events": F.count(F.lit(1)),
         "errors": count_if(failed()),
         "tokens": total(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))),
         "retries": total("retry_count").cast("bigint"),
-        "timed": F.count("event_duration"),
-        **edges,
     }
     rolled = rows.groupBy("base", "window_start", "scope").agg(*[c.alias(n) for n, c in additive.items()])
     seconds = F.unix_timestamp(F.col("window_start").cast("timestamp"))
@@ -256,15 +253,14 @@ def per_window(
     spans = events.sparkSession.range(1).select(width.alias("w"), reach.alias("r")).first()
     frame = Window.partitionBy("base").orderBy(seconds).rangeBetween(-spans.r, -spans.w)
     metrics = rolled.select("*", *[F.coalesce(F.sum(n).over(frame), F.lit(0)).alias(f"b_{n}") for n in additive])
-    b_p95 = F.lit(None).cast("double")
-    for edge in reversed(DURATION_EDGES_MS):
-        b_p95 = F.when(F.col(f"b_le_{edge}") >= F.col("b_timed") * 0.95, float(edge)).otherwise(b_p95)
-    base = metrics.select(
-        "scope", "events", "errors", "tokens", "retries", "b_events", "b_errors", "b_tokens", "b_retries",
-        F.when(F.col("b_timed") > 0, b_p95).alias("b_p95_ms"),
-    )
-    mine = set(base.columns) - {"scope"}
-    return _assemble([base, *[part.drop(*mine) for part in _evidence(rows, only, approx)]], rules)
+    metrics = metrics.withColumn("_start", seconds)
+    timed = rows.select("base", F.unix_timestamp(F.col("window_start").cast("timestamp")).alias("_start"), "event_duration")
+    slid = sliding_quantiles(timed, "base", "_start", "event_duration", spans.w, spans.r, {"b_p95_ms": 0.95})
+    names = metrics.select("scope", "base", "_start")
+    b_p95 = slid.join(names, ["base", "_start"]).select("scope", (F.col("b_p95_ms") / F.lit(1e6)).alias("b_p95_ms"))
+    base = metrics.select("scope", "events", "errors", "tokens", "retries", "b_events", "b_errors", "b_tokens", "b_retries")
+    mine = {*base.columns, "b_p95_ms"} - {"scope"}
+    return _assemble([base, b_p95, *[part.drop(*mine) for part in _evidence(rows, only, approx)]], rules)
 
 
 def _latency_tools(p95: DataFrame) -> DataFrame:
