@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checks, core, evaluations, ingest, signals, streams, trees
+from . import checks, core, evaluations, ingest, paths, signals, streams, trees
 
-MODULES = (core, signals, evaluations, trees, ingest, checks, streams)
+MODULES = (core, signals, evaluations, trees, ingest, checks, streams, paths)
 
 
 def plans() -> dict:

@@ -141,3 +141,23 @@ def alert_stream(spark, sf):
     )
     query.awaitTermination()
     return _values(spark.read.parquet(out))
+
+
+CLOSED_DAYS = f"CAST(split_part(scope, '@', 2) AS TIMESTAMP) + INTERVAL 1 DAY <= {LAST}"
+
+
+@register(
+    "alert_stream_rows",
+    f"""{WINDOWS}, f AS (SELECT scope, alert_type, severity FROM ({FOUND}))
+    SELECT scope, alert_type AS event_action, 'failure' AS event_outcome, severity AS alert_severity, 'internal.alert_check' AS event_dataset FROM f WHERE {CLOSED_DAYS}
+    UNION ALL SELECT scope, 'alert_check_ok', 'success', NULL, 'internal.alert_check' FROM a WHERE scope NOT IN (SELECT scope FROM f) AND {CLOSED_DAYS}""",
+)
+def alert_stream_rows(spark, sf):
+    """What the watch appends to the event table: a row per alert, and one per quiet window."""
+    rows = scratch_path(spark, "alert-rows")
+    query = stream_alerts.watch(
+        spark, _stream(spark, sf), lambda: events(spark, sf), scratch_path(spark, "alerts"), scratch_path(spark, "alerts-checkpoint"),
+        EVERY, BASELINE, RULES, ["service_name"], "10 minutes", rows_out=rows,
+    )
+    query.awaitTermination()
+    return spark.read.parquet(rows).select("scope", "event_action", "event_outcome", "alert_severity", "event_dataset")

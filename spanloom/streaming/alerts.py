@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timeframe import at_least, at_most
 from ..plans import alerts
+from ..session import cut
 
 
 def closed_windows(stream: DataFrame, every: str = "15 minutes", delay: str = "5 minutes", ts: str = "ts") -> DataFrame:
@@ -22,10 +23,10 @@ def closed_windows(stream: DataFrame, every: str = "15 minutes", delay: str = "5
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events")
 
 
-def check_windows(
+def window_snapshot(
     events: DataFrame, windows: DataFrame, every: str, baseline: str, rules: alerts.Rules = alerts.Rules(), by: Sequence[str] = (), ts: str = "ts"
 ) -> DataFrame:
-    """Alerts of the given windows. Only their span and one baseline before it is read."""
+    """The wide rows of the given windows. Only their span and one baseline before it is read."""
     span = windows.agg(
         F.date_format(F.min("window_start") - F.expr(f"INTERVAL {baseline}"), "yyyy-MM-dd HH:mm:ss").alias("low"),
         F.date_format(F.max("window_end"), "yyyy-MM-dd HH:mm:ss").alias("high"),
@@ -34,7 +35,14 @@ def check_windows(
     near = events.where(at_least(events, span.low, ts=ts) & at_most(events, span.high, ts=ts) & before_end)
     wide = alerts.per_window(near, every, baseline, rules, by, ts=ts)
     asked = windows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("_start")).distinct()
-    return alerts.analyze(wide.join(asked, F.substring_index("scope", "@", -1) == F.col("_start"), "left_semi"))
+    return wide.join(asked, F.substring_index("scope", "@", -1) == F.col("_start"), "left_semi")
+
+
+def check_windows(
+    events: DataFrame, windows: DataFrame, every: str, baseline: str, rules: alerts.Rules = alerts.Rules(), by: Sequence[str] = (), ts: str = "ts"
+) -> DataFrame:
+    """Alerts of the given windows."""
+    return alerts.analyze(window_snapshot(events, windows, every, baseline, rules, by, ts))
 
 
 def watch(
@@ -49,17 +57,22 @@ def watch(
     by: Sequence[str] = (),
     delay: str = "5 minutes",
     interval: str | None = None,
+    rows_out: str | None = None,
 ) -> StreamingQuery:
-    """Write the alerts of each closed window below ``out``.
+    """Write the alerts of each closed window below ``out``, and below ``rows_out`` their event rows.
 
-    A repeated batch overwrites its own folder, so a retry adds nothing twice.
+    A quiet window has one event row that says so. A repeated batch overwrites its own folders, so a retry
+    adds nothing twice.
     """
 
     def check(windows: DataFrame, batch: int) -> None:
         if windows.isEmpty():
             return
-        found = check_windows(read_events(), windows, every, baseline, rules, by)
+        wide = cut(window_snapshot(read_events(), windows, every, baseline, rules, by))
+        found = alerts.analyze(wide)
         found.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
+        if rows_out:
+            alerts.alert_events(found, wide).write.mode("overwrite").parquet(f"{rows_out.rstrip('/')}/batch={batch}")
 
     writer = closed_windows(stream, every, delay).writeStream.outputMode("append").foreachBatch(check).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()
