@@ -13,7 +13,7 @@ from spanloom.functions.measures import fixed
 from spanloom.operators import normalize, pricing
 from spanloom.operators.histogram import span_metrics
 from spanloom.operators.quantiles import quantiles
-from spanloom.plans import evaluate, replay, report
+from spanloom.plans import evaluate, health, replay, report
 from spanloom.session import scratch_path
 from spanloom.sources import events as store
 from spanloom.sources import prices
@@ -113,6 +113,20 @@ def normalize_conflicts(spark, sf):
     return out.select("trace_id", "tool_name", "latency_ms", "ingest_error", "service_name", "observer_product", F.array_join("recommended_modules", ",").alias("modules"), "event_outcome")
 
 
+@register(
+    "retention_expire",
+    f"""{EV}, d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM ev GROUP BY 1)
+    SELECT day, rows, DATE '2024-01-31' - day >= 20 AS removed FROM d""",
+)
+def retention_expire(spark, sf):
+    """Days past retention leave a stored table, the others stay whole."""
+    path = scratch_path(spark, "retention")
+    store.append(events(spark, sf), path)
+    gone = health.expire(spark, path, 20, "2024-01-31").select("day", "rows", F.lit(True).alias("removed"))
+    left = store.scan(spark, path).groupBy(F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("rows")).withColumn("removed", F.lit(False))
+    return gone.unionByName(left)
+
+
 @register(
     "metrics_store",
     f"{EV} SELECT CAST(ts AS DATE) AS bucket_date, service_name, count(*) AS calls FROM ev GROUP BY 1, 2",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..schema import CARRIED, COLUMN_TYPES, DOTTED, FIELDS, KNOWN_ROOTS, MAX_TEXT, SENSITIVE
 
 PRODUCT = "spanloom"
-OBSERVER_TYPE = "agent-observability"
+OBSERVER_TYPE = "event-normaliser"
 TRUNCATED = "... [truncated]"
 
 _NESTED = "map<string,variant>"
@@ -114,6 +114,7 @@ def normalize(
     df: DataFrame,
     modules: Sequence[str] = (),
     product: str = PRODUCT,
+    observer_type: str = OBSERVER_TYPE,
     resource: dict[str, str] | None = None,
     ingest_ts: Column | None = None,
 ) -> DataFrame:
@@ -139,7 +140,7 @@ def normalize(
     columns["event_duration"] = F.coalesce("event_duration", duration_from_latency(F.col("latency_ms")))
     columns["event_outcome"] = F.coalesce("event_outcome", outcome_from_error(F.col("error_type")))
     columns["observer_product"] = F.lit(product)
-    columns["observer_type"] = F.lit(OBSERVER_TYPE)
+    columns["observer_type"] = F.lit(observer_type)
     columns["recommended_modules"] = F.array(*[F.lit(m) for m in modules]).cast("array<string>")
     columns["ingest_error"] = F.coalesce("ingest_error", "_unreadable")
     columns["unmapped"] = _merged_maps(F.col("unmapped"), unmapped_fields())

@@ -485,7 +485,7 @@ def _by_type(chosen: Sequence[dict], name: str, kind: str) -> Column:
 
 
 def _confidence() -> Column:
-    """Evidence-based score in 0.3..1 for a fired alert."""
+    """Evidence-based score in 0.3..1 for a fired alert; weights and bounds are fixed values."""
 
     def part(value: Column, top: float) -> Column:
         return F.least(F.lit(top), F.coalesce(value, F.lit(0.0)))

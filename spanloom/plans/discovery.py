@@ -21,11 +21,28 @@ HANDLER_POINTS = 4
 HANDLERS = "command_handlers"
 HANDLER_PRIORITY = 89
 HANDLER_SIGNALS = ("command_calls", "command_errors", "command_latency")
+# Fixed value: command handlers are functions that are named so.
 HANDLER_PATTERN = r"def\s+(cmd_[a-zA-Z0-9_]+)\s*\("
 
 
-def load_rules(source: str | Mapping) -> dict[str, dict]:
-    """Rules from JSON text or a mapping ``{kind: {priority, path_keywords, content_keywords, signals}}``."""
+# What each kind of module is told by, when no rules are given: priority, words in paths, words in texts, signals.
+OWN_RULES = {
+    "model_calls": (90, ("llm", "completion"), ("chat.completions", "generate(", "temperature"), ("call_count", "call_latency", "token_usage")),
+    "retrieval": (80, ("retriev", "vector", "embed"), ("similarity search", "top_k", "embedding"), ("retrieval_latency", "retrieval_hits")),
+    "tool_use": (75, ("tool", "plugin"), ("tool_call", "function call"), ("tool_calls", "tool_errors")),
+    "guard": (70, ("guard", "policy"), ("moderation", "blocked", "redact"), ("blocked_requests",)),
+    "memory": (60, ("memory", "history"), ("conversation history", "session state"), ("memory_reads", "memory_writes")),
+    "planning": (55, ("planner", "reason"), ("next step", "chain of thought"), ("plan_steps",)),
+    "serving": (40, ("server", "api", "route"), ("fastapi", "flask", "endpoint"), ("request_rate", "request_errors")),
+    "scheduling": (30, ("cron", "queue", "worker"), ("schedule", "enqueue"), ("queue_depth",)),
+}
+
+
+def load_rules(source: str | Mapping | None = None) -> dict[str, dict]:
+    """Rules from JSON text or a mapping ``{kind: {priority, path_keywords, content_keywords, signals}}``; else an own set."""
+    if source is None:
+        parts = ("priority", "path_keywords", "content_keywords", "signals")
+        source = {kind: dict(zip(parts, rule)) for kind, rule in OWN_RULES.items()}
     given = json.loads(source) if isinstance(source, str) else source
     return {
         kind: {

@@ -324,12 +324,16 @@ def judge_prompt(samples: DataFrame, instructions: str) -> DataFrame:
     return samples.withColumn("prompt", F.concat(F.lit(instructions.rstrip() + "\n"), F.col("sample")))
 
 
+# Fixed value: what counts as a number in a reply.
+NUMBER = r"\b(\d+(?:\.\d+)?)\b"
+
+
 def judge_scores(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Score replies: a JSON ``score``, else the first number in the text, else 5; out of ten."""
     parsed = F.try_parse_json(F.col(reply))
     as_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     given = F.try_variant_get(parsed, "$.score", "double")
-    number = F.regexp_extract(F.col(reply), r"\b(\d+(?:\.\d+)?)\b", 1).try_cast("double")
+    number = F.regexp_extract(F.col(reply), NUMBER, 1).try_cast("double")
     # an object without a score counts as 5, one with an unreadable score as plain text
     absent = F.try_variant_get(parsed, "$.score", "string").isNull()
     raw = F.when(as_object & absent, F.lit(5.0)).when(as_object & given.isNotNull(), given).otherwise(F.coalesce(number, F.lit(5.0)))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import count_if, fixed, keep_external
 from ..functions.timeframe import at_least
 from ..operators.facets import terms
-from ..schema import COVERAGE_TIERS, DOTTED, PARTITION_COLUMN
+from ..schema import COVERAGE_TIERS, DOTTED, PARTITION_COLUMN, event_schema
+from ..session import cut
 
 WEIGHTS = {2: 2, 3: 1}
 
@@ -163,6 +164,21 @@ def retention(events: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     return events.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("rows")).select("day", "rows", age.alias("age_days"), tier.alias("tier"))
 
 
+def expire(spark: SparkSession, path: str, days: int = 30, as_of=None) -> DataFrame:
+    """Remove the days of a stored table that are past retention; returns what each removed day held.
+
+    A day is a partition folder, so it is removed whole, through the file system the path belongs to.
+    """
+    schema = event_schema().add(PARTITION_COLUMN, "date")
+    stored = spark.read.schema(schema).option("basePath", path).parquet(path)
+    gone = cut(retention(stored, days, as_of).where("tier = 'delete' AND day IS NOT NULL"))
+    jvm = spark._jvm
+    for row in gone.select(F.date_format("day", "yyyy-MM-dd").alias("day")).toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{PARTITION_COLUMN}={row['day']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
 def compact(events: DataFrame, target: str) -> None:
     """Write the given days again with few large files, into another folder."""
     (

@@ -105,7 +105,7 @@ def test_unreadable_values_are_named(spark):
 
 def test_stamps_and_resource_override(spark):
     row = one(spark, {"message": "x", "service.name": "a", "observer.type": "bridge"}, modules=["m1"], resource={"service_name": "b", "service_environment": "prod"})
-    assert (row.service_name, row.service_environment, row.observer_type, row.recommended_modules) == ("b", "prod", "agent-observability", ["m1"])
+    assert (row.service_name, row.service_environment, row.observer_type, row.recommended_modules) == ("b", "prod", "event-normaliser", ["m1"])
 
 
 def test_only_schema_columns_come_out(spark):
