@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import parts_for, spread, stored
+from .common import parts_for, sent, spread, stored
 
 FILE_BYTES = 16 << 20
 LINES = 3000
@@ -81,8 +81,9 @@ def write(pages: DataFrame, to: str, least: int = 0, page_id: str = "page_id", u
     rows = rows.withColumns({"digest": F.sha1(F.col("body").cast("binary")), "bytes": F.octet_length("body").cast("long")})
     facts = stored(rows.select("id", "digest", "bytes"), "payloads")
     copies = facts.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    copies = sent(stored(copies.select("digest", "bytes", "first"), "copies"), 96)
     volume = facts.agg(F.sum(F.col("bytes") + 700)).first()[0] or 0
-    rows = rows.join(copies.select("digest", "bytes", "first"), ["digest", "bytes"], "left")
+    rows = rows.join(copies, ["digest", "bytes"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END + END))
     block = F.when(revisit, head).otherwise(F.concat(head, F.col("body")))
