@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, free_name, stored
+from .common import as_bytes, free_name, settle, stored
 
 SAMPLE = 5000
 BUCKETS = 1 << 15
@@ -99,7 +99,8 @@ def word_vectors(streams: list[np.ndarray]) -> np.ndarray:
 
 
 def pool(vectors: np.ndarray, streams: list[np.ndarray]) -> np.ndarray:
-    return np.stack([vectors[s].mean(axis=0) if len(s) else np.zeros(vectors.shape[1], np.float32) for s in streams])
+    empty = np.zeros(vectors.shape[1], np.float32)
+    return np.array([vectors[s].mean(axis=0) if len(s) else empty for s in streams]).reshape(len(streams), len(empty))
 
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, batch: int = 128) -> dict[str, np.ndarray]:
@@ -216,6 +217,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", nam
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         scorer = Scorer(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
