@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,34 @@ def words(text: str | None) -> list[bytes]:
     return as_bytes(text).lower().split()
 
 
+_KEPT: dict = {}
+
+
+def settle() -> None:
+    """Called as a task begins: what this worker kept for another stage goes, and freed memory goes back to the system.
+
+    Workers are used again by later stages, so without this they would hold the most that any stage has needed.
+    """
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if _KEPT.get("stage", stage) != stage:
+        _KEPT.clear()
+    _KEPT["stage"] = stage
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def kept(make: Callable[[str], object], path: str):
+    """``make(path)``, made once per worker and stage."""
+    settle()
+    if path not in _KEPT:
+        _KEPT[path] = make(path)
+    return _KEPT[path]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: computed once, safe from lost executors."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, parts_for, runs, sent, spread, stored, words
+from .common import free_name, parts_for, runs, sent, settle, spread, stored, words
 from .graph import components
 
 BLOCK = 1024
@@ -37,6 +37,9 @@ BLOCK = 1024
 FLUSH = 1 << 20
 #: Segments of one bucket after the shuffle, about.
 BUCKET = 1 << 21
+#: With enough segments of three (or two) shingles and more, smaller ones are left out, as any shared passage fills
+#: some. Cuts are by hash, so a pair at the threshold then has none of so many in common with a chance below 1e-8.
+STRONG = ((3, 40), (2, 32))
 #: Shingles of the sample that shows which are common, about, and in how many of its sets a common one is.
 SAMPLE, COMMON = 4 << 20, 3
 FAN = 8
@@ -107,8 +110,10 @@ class Sizes:
             k, m = self.allowed[c], self.cuts[c]
             cuts = np.append(np.searchsorted(hashes, np.arange(m, dtype=np.uint64) * np.uint64((1 << 64) // m)), len(hashes))
             salt = mix((np.uint64(2 * c + 2) << np.uint64(40)) + np.arange(m, dtype=np.uint64))
-            full = number[cuts[1:]] > number[cuts[:-1]]
-            out.append(mix((some[cuts[1:]] - some[cuts[:-1]] + salt)[full]))
+            held = number[cuts[1:]] - number[cuts[:-1]]
+            full = held > 0
+            least = next((size for size, enough in STRONG if int((held >= size).sum()) >= enough), 1)
+            out.append(mix((some[cuts[1:]] - some[cuts[:-1]] + salt)[held >= least]))
             if m - int(full.sum()) >= m - k:
                 rest = ~full
                 if int((cuts[1:] == cuts[:-1]).sum()) < m - k:
@@ -138,6 +143,7 @@ def _segments(text: str, size: int, num: int, den: int, buckets: int, common):
     schema = pa.schema([("bucket", pa.int64()), ("linked", pa.bool_()), ("payload", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         sizes, often = sizes_for(num, den), common.value
         held: list[np.ndarray] = []
         owner: list[tuple[int, int]] = []
@@ -177,6 +183,8 @@ def _segments(text: str, size: int, num: int, den: int, buckets: int, common):
 
 
 def _meetings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    settle()
+
     def work(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
         given = [np.frombuffer(p, np.int64).reshape(-1, 2) for p, linked in zip(group["payload"], group["linked"]) if linked]
         rest = [np.frombuffer(p, np.int64).reshape(2, -1) for p, linked in zip(group["payload"], group["linked"]) if not linked]
@@ -347,6 +355,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             found = [shingles(t, size) for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -370,6 +379,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
     wanted = stored(family.join(counts, "family").join(stands, "vertex").select("doc_id", "vertex", "family", "blocks"), "families")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 piece = batch.slice(k, 500)
