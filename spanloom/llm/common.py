@@ -34,7 +34,7 @@ _KEPT: dict = {}
 
 
 def settle() -> None:
-    """Called as a task begins: what this worker kept for another stage goes, and freed memory goes back to the system.
+    """Called as a task begins or ends: what this worker kept for another stage goes, freed memory goes back to the system.
 
     Workers are used again by later stages, so without this they would hold the most that any stage has needed.
     """

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, stored, with_columns
+from .common import as_bytes, free_name, settle, stored, with_columns
 
 WINDOW = 10
 PIECE_BYTES = 16 << 20
@@ -175,6 +175,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
 
 def _worker(shared, text: str, names: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         patterns = shared.value
         for whole in batches:
             for k in range(0, whole.num_rows, 500):

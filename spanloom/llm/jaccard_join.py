@@ -178,6 +178,7 @@ def _segments(text: str, size: int, num: int, den: int, buckets: int, common):
                     if total >= FLUSH:
                         yield from flush()
         yield from flush()
+        settle()
 
     return work
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, spread, stored
+from .common import free_name, settle, spread, stored
 
 UNITS = 1000
 POOL = 14
@@ -150,6 +150,7 @@ def land(p: list[float], x: list[float]) -> list[int]:
 
 def _flight(name: dict, own: dict, last: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         held: pa.Table | None = None  # rows still undecided, at most POOL
         group = None
         for batch in _with_end(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, free_name, settle, stored
 
-SAMPLE = 5000
+SAMPLE = 3000
 BUCKETS = 1 << 15
 WIDTH, NONZERO, HIDDEN = 64, 8, 32
 REMEMBER = 200_000
@@ -89,11 +89,12 @@ def index_vectors() -> np.ndarray:
 def word_vectors(streams: list[np.ndarray]) -> np.ndarray:
     """Index vector plus neighbours' index vectors, both of length 1, for the buckets of a sample."""
     index = index_vectors()
-    left = np.concatenate([*(s[:-1] for s in streams), np.zeros(0, np.int64)])
-    right = np.concatenate([*(s[1:] for s in streams), np.zeros(0, np.int64)])
-    around = np.stack(
-        [np.bincount(left, index[right, j], BUCKETS) + np.bincount(right, index[left, j], BUCKETS) for j in range(WIDTH)], axis=1
-    )
+    around = np.zeros((BUCKETS, WIDTH))
+    for k in range(0, len(streams), 500):
+        some = streams[k : k + 500]
+        left, right = np.concatenate([s[:-1] for s in some]), np.concatenate([s[1:] for s in some])
+        for j in range(WIDTH):
+            around[:, j] += np.bincount(left, index[right, j], BUCKETS) + np.bincount(right, index[left, j], BUCKETS)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
     return (unit(index) + unit(around)).astype(np.float32)
 
@@ -195,9 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     one = rows.repartition(1).sortWithinPartitions("id", "body")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        settle()
         frame = pd.concat([*frames, pd.DataFrame({"id": [], "body": [], "label": []})])
         file = io.BytesIO()
         np.savez(file, **fit(frame["body"].tolist(), frame["label"].to_numpy(np.float64)))
+        del frame
+        settle()
         yield pd.DataFrame({"model": [file.getvalue()]})
 
     found = one.mapInPandas(work, "model binary").collect()

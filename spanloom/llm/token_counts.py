@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, free_name
+from .common import as_bytes, free_name, kept
 
 CHUNK = 1024
 #: Above so many compiled states, a worker starts over after the current piece.
@@ -315,11 +314,6 @@ class Counter:
         return out.tolist()
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
-
-
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes`` and ``n_tokens`` added, for the tokenizer file at ``path`` on every worker.
 
@@ -332,7 +326,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType(), False) for n in names)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = counter(path)
+        tool = kept(Counter, path)
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             counts: list[int] = []
