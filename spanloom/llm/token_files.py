@@ -15,9 +15,9 @@ are rows of Parquet, so any store that Spark reads holds them, and a lost execut
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import scratch_path
-from .common import spread
+from .common import kept, settle, spread
 
 BLOCK = 1 << 16
-#: Distinct words a worker remembers the ids of.
-REMEMBER = 300_000
+#: Distinct units that a worker remembers the ids of.
+REMEMBER = 450_000
+#: Latin-1 letters that stay single letters in any normal form, and the lower-case ones of them.
+LETTERS = re.compile(rb"[a-z\xDF-\xF6\xF8-\xFF]")
+RUNS = re.compile(rb"[a-z\xDF-\xF6\xF8-\xFF]+|[^a-z\xDF-\xF6\xF8-\xFF\x09-\x0D\x20]+")
+#: Those, digits, white space and signs, but for the apostrophe and the angle that special strings begin with.
+SAFE = bytes([*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100), *range(0x30, 0x3A), *range(9, 14), *b' !"#$%&()*+,-./:;=>?@[]^_`{|}~'])
 SCHEMA = T.StructType([
     T.StructField("part", T.LongType(), False), T.StructField("block", T.LongType(), False), T.StructField("at", T.LongType(), False),
     T.StructField("n_ids", T.LongType(), False), T.StructField("bits", T.IntegerType(), False), T.StructField("payload", T.BinaryType(), False),
@@ -45,12 +50,18 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if bits % 8 == 0:  # whole bytes
+        return np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
     spread_out = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
     return np.packbits(spread_out.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
 def unpack(payload: bytes, bits: int, first: int, last: int) -> np.ndarray:
     """Ids number ``first`` to ``last`` (not included) of a block, without reading what is before them."""
+    if bits % 8 == 0:
+        out = np.zeros((last - first, 4), np.uint8)
+        out[:, : bits // 8] = np.frombuffer(payload, np.uint8)[first * bits // 8 : last * bits // 8].reshape(-1, bits // 8)
+        return out.view("<u4").ravel().astype(np.uint32)
     bit = np.arange(first, last, dtype=np.int64) * bits
     raw = np.frombuffer(payload + bytes(8), np.uint8)
     word = np.zeros(len(bit), np.uint64)
@@ -59,11 +70,25 @@ def unpack(payload: bytes, bits: int, first: int, last: int) -> np.ndarray:
     return ((word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+class Numbers(dict):
+    """Numbers of distinct units in the order they were met; the new ones wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, unit) -> int:
+        found = self[unit] = len(self)
+        self.new.append(unit)
+        return found
+
+
 class Encoder:
-    """Ids of texts by one tokenizer file; each distinct word goes through the library once.
+    """Ids of texts by one tokenizer file; a worker sends each distinct word through the library once.
 
     Words end at ASCII white space. That is only done where no token can span it: the pre-tokenizer drops
-    white space and no special token holds any.
+    white space and no special token holds any. Where it also cuts between letters and signs, a text of plain
+    characters goes by runs of either.
     """
 
     def __init__(self, path: str):
@@ -81,48 +106,86 @@ class Encoder:
         drops = cuts[0].get("type") == "Split" and cuts[0].get("behavior") == "Removed" and bool(cuts[0].get("invert"))
         apart = all(t["content"].split() == [t["content"]] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec.get("added_tokens", []))
         self.by_word = drops and apart and all(not self.tool.encode(c, add_special_tokens=False).ids for c in " \t\n\r\x0b\x0c")
+        # Where every piece ends in one token that only ends pieces, runs of plain letters can be encoded together.
+        suffix = spec["model"].get("end_of_word_suffix")
+        pieces = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.by_piece = self.by_word and bool(suffix) and cuts[0].get("pattern") == {"Regex": pieces}
         self.vocabulary = max(self.tool.get_vocab(with_added_tokens=True).values()) + 1
+        self.ends = np.zeros(self.vocabulary, bool)
+        for token, i in spec["model"]["vocab"].items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
+        self.rows = np.zeros(0, np.int64)  # where the ids of each number are: between starts[row] and starts[row + 1]
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, new: list[str]) -> None:
-        for word, found in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False)):
-            ids, n = found.ids, len(self.number)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if n + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.number[word] = n
-            self.starts[n + 1] = self.used
+        self.used = self.filled = 0
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Store the joined ``ids`` of new units that end at ``ends``; the rows they have then."""
+        n = self.filled
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(ends) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + len(ends) + 1] = self.used + ends
+        self.used += len(ids)
+        self.filled += len(ends)
+        return np.arange(n, n + len(ends))
+
+    def learn(self, new: list) -> None:
+        """Units are words as text, or runs of plain letters or of signs in Latin-1."""
+        plain = [i for i, u in enumerate(new) if isinstance(u, bytes) and LETTERS.match(u)]
+        letters = set(plain)
+        whole = [i for i in range(len(new)) if i not in letters]
+        rows = np.zeros(len(new), np.int64)
+        together = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+        texts = [b" ".join([new[i] for i in some]).decode("latin-1") for some in together]
+        for some, encoding in zip(together, self.tool.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoding.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                rows[some] = self.add(ids, ends)
+            else:
+                whole += some
+        texts = [new[i].decode("latin-1") if isinstance(new[i], bytes) else new[i] for i in whole]
+        found = [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        rows[whole] = self.add(np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found], dtype=np.int64))
+        self.rows = np.concatenate([self.rows, rows])
+
+    def units(self, text: str) -> list:
+        """What a text is encoded by: runs of letters and signs where all characters are plain, else words."""
+        if self.by_piece:
+            try:
+                raw = text.lower().encode("latin-1")
+                if not raw.translate(None, SAFE):
+                    return RUNS.findall(raw)
+            except UnicodeEncodeError:
+                pass
+        for blank in "\t\n\r\v\f":
+            text = text.replace(blank, " ")
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\v", " ").replace("\x0c", " ").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") for t in texts]
+        split = [self.units(t) for t in texts]
+        every = [u for units in split for u in units]
         if len(self.number) > REMEMBER:
             self.forget()
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.number))
-        self.learn(new)
-        out = []
-        get = self.number.__getitem__
-        for words in split:
-            n = np.fromiter(map(get, words), np.int64, len(words))
-            start, size = self.starts[n], self.starts[n + 1] - self.starts[n]
-            ends = np.cumsum(size)
-            out.append(self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+        numbers = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        if self.number.new:
+            new, self.number.new = self.number.new, []
+            self.learn(new)
+        rows = self.rows[numbers]
+        start = self.starts[rows]
+        size = self.starts[rows + 1] - start
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, np.append(0, ends)[np.cumsum([len(u) for u in split])[:-1]]) if texts else []
 
 
 def write(docs: DataFrame, path: str, to: str, end_id: int | None = None, text: str = "text", doc_id: str = "doc_id", parts: int | None = None) -> None:
@@ -138,7 +201,7 @@ def write(docs: DataFrame, path: str, to: str, end_id: int | None = None, text:
     ranged = rows.repartitionByRange(parts or spread(spark), "id", "h").sortWithinPartitions("id", "h", "body")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part = encoder(path), TaskContext.get().partitionId()
+        tool, part = kept(Encoder, path), TaskContext.get().partitionId()
         bits = width(max(tool.vocabulary, (end_id or 0) + 1))
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         block = at = position = held = 0
@@ -166,8 +229,8 @@ def write(docs: DataFrame, path: str, to: str, end_id: int | None = None, text:
             pieces, held = [joined], len(joined)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                piece = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1000):
+                piece = batch.slice(k, 1000)
                 for i, found in zip(piece.column("id").to_pylist(), tool.encode(piece.column("body").to_pylist())):
                     pieces += [found, tail]
                     held += len(found) + len(tail)
@@ -177,6 +240,7 @@ def write(docs: DataFrame, path: str, to: str, end_id: int | None = None, text:
                 if held >= 4 * BLOCK:
                     yield from full(False)
         yield from full(True)
+        settle()
 
     ranged.select("id", "body").mapInArrow(work, SCHEMA).write.parquet(f"{to}/blocks")
     totals = spark.read.parquet(f"{to}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.sum(F.size("doc_ids")).alias("n_docs"))
