@@ -8,10 +8,11 @@ tokens to the buckets and get sums back.
 Model. The recurrent network predicts the most frequent words and, for all others, their class of endings; a
 word inside its class has its relative count, and what was never seen has the class's share of words seen once
 (the unseen are one type, as in the unigram score). The state is gated: h' = h + z (c - h), with z and c from the
-last token and h. The softmax is factored: first one of about 20 frequency classes, then the word in it. Training
+last token and h. The softmax is factored: first one of about 16 frequency classes, then the word in it. Training
 is truncated backpropagation by Adam in numpy over windows of ``WINDOW`` tokens, all lanes of documents side by
 side, the state carried from window to window. Each round, every partition trains on its share of the training
-rows from the same parameters, and the results are averaged by tokens; the rounds together read every row once.
+rows from the same parameters, and the results are averaged by tokens; the rounds together read every row (of
+very few rows, several times).
 Scoring carries the state through each whole document.
 """
 
@@ -21,6 +22,7 @@ import io
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, runs, spread, stored, words
+from .common import parts_for, runs, settle, spread, stored, words
 
-WORDS, ENDINGS, CLASSES = 448, 64, 20
+WORDS, ENDINGS, CLASSES = 320, 64, 16
 HIDDEN, WINDOW, LANES = 16, 16, 512
 ROUNDS = 2
 #: Tokens of a window that is learnt from at full pace.
@@ -43,47 +45,72 @@ FREQUENT = 400_000
 #: Distinct tokens of pieces that a task holds before it sends them, and tokens per bucket, about.
 FLUSH, BUCKET = 2 << 20, 8 << 20
 REMEMBER = 400_000
+#: Windows that a round of training has at least, and bytes of text for a task of it, about.
+LEAST, SHARE = 100, 8 << 20
 #: Tokens of documents whose lanes advance together.
 TOGETHER = 3 << 20
 END = -(1 << 63)  # the end token; its class of endings is 0
+STOP = b"\n"  # no word
 
 
-def key(word: bytes) -> int:
-    """Hash of a word; the last six bits tell the class of its ending."""
-    return ((xxhash.xxh3_64_intdigest(word) & ~(ENDINGS - 1)) | int.from_bytes(word[-2:], "little") % 61) - (1 << 63)
+def keys_of(found: list[bytes]) -> np.ndarray:
+    """Hashes of words; the last six bits tell the class of a word's ending (its last two bytes)."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    endings = np.frombuffer(b"".join([w[-2:].ljust(2, b"\0") for w in found]), "<u2") % 61
+    out = ((hashes & ~np.uint64(ENDINGS - 1)) | endings.astype(np.uint64)) ^ np.uint64(1 << 63)
+    out = out.view(np.int64)
+    out[[w == STOP for w in found]] = END
+    return out
 
 
 class Known(dict):
-    """Keys of words, made when first asked for."""
+    """Numbers of distinct words in the order they were met; the new ones wait in ``new``."""
+
+    def __init__(self):
+        super().__init__({STOP: 0})
+        self.new = [STOP]
 
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = key(word)
+        found = self[word] = len(self)
+        self.new.append(word)
         return found
 
 
 class Keys:
-    """Keys of texts, a distinct word hashed once as long as it is remembered."""
+    """Texts as numbers of distinct words, each hashed and looked up once as long as it is remembered.
 
-    def __init__(self):
-        self.known = Known()
+    ``derive`` gives columns for new keys; ``columns`` holds them for all words that are remembered.
+    """
 
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Per text, the keys of its words and the end."""
+    def __init__(self, derive=lambda keys: ()):
+        self.derive, self.known, self.columns = derive, Known(), None
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, each text followed by the end (0), and the length of each."""
         if len(self.known) > REMEMBER:
-            self.known = Known()
-        split = [words(t) for t in texts]
-        every = [w for found in split for w in found]
-        keys = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        cuts = np.cumsum([len(found) for found in split])
-        return [np.append(part, END) for part in np.split(keys, cuts[:-1])] if split else []
+            self.known, self.columns = Known(), None
+        split = [[*words(t), STOP] for t in texts]
+        sizes = np.array([len(found) for found in split], np.int64)
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        self.extend()
+        return numbers, sizes
+
+    def extend(self) -> None:
+        if self.known.new:
+            new = keys_of(self.known.new)
+            self.known.new = []
+            more = (new, *self.derive(new))
+            self.columns = more if self.columns is None else tuple(np.concatenate([a, b]) for a, b in zip(self.columns, more))
 
     def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of some texts and how often each occurs."""
         if len(self.known) > REMEMBER:
-            self.known = Known()
-        found = Counter(w for t in texts for w in words(t))
-        keys = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-        return np.append(keys, END), np.append(np.fromiter(found.values(), np.int64, len(found)), len(texts))
+            self.known, self.columns = Known(), None
+        found = Counter(chain.from_iterable(map(words, texts)))
+        found[STOP] = len(texts)
+        numbers = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        self.extend()
+        return self.columns[0][numbers], np.fromiter(found.values(), np.int64, len(found))
 
 
 def training(doc_id: str, rest: int = 1, parts: int = 5) -> Column:
@@ -409,8 +436,8 @@ def unpacked(raw: bytes) -> dict[str, np.ndarray]:
         return {k: saved[k] for k in saved.files}
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` of training on ``rows`` (doc_id, body), each on its own share of them."""
+def train(rows: DataFrame, vocabulary: Vocabulary, volume: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters after ``rounds`` of training on ``rows`` (doc_id, body) of ``volume`` bytes, each on its own share."""
     context = rows.sparkSession.sparkContext
     p = initial(vocabulary.weights)
 
@@ -428,20 +455,24 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict
         shared = context.broadcast((p, vocabulary))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            settle()
             begin, v = shared.value
-            trainer, keys = Trainer(begin), Keys()
+            trainer, keys = Trainer(begin), Keys(lambda new: v.numbers_of(new)[:1])
+            docs: list[np.ndarray] = []
             for batch in batches:
-                docs: list[np.ndarray] = []
                 for at in range(0, batch.num_rows, 500):
-                    docs += [v.numbers_of(found)[0] for found in keys.of(batch.column("body").slice(at, 500).to_pylist())]
+                    numbers, sizes = keys.of(batch.column("body").slice(at, 500).to_pylist())
+                    docs += np.split(keys.columns[1][numbers].astype(np.int32), np.cumsum(sizes)[:-1])
                     if sum(map(len, docs)) >= TOGETHER:
                         trainer.learn(docs, v.end)
                         docs = []
+            trainer.learn(docs, v.end)
+            while docs and trainer.steps < LEAST:  # a small share is read again
                 trainer.learn(docs, v.end)
             if trainer.tokens:
                 yield pa.RecordBatch.from_pydict({"model": [packed(trainer.p)], "tokens": pa.array([trainer.tokens], pa.int64())})
 
-        part = rows.where(F.pmod(F.xxhash64(F.lit("round"), F.col("doc_id"), F.col("body")), F.lit(rounds)) == k).select("body")
+        part = rows.where(F.pmod(F.xxhash64(F.lit("round"), F.col("doc_id"), F.col("body")), F.lit(rounds)) == k).select("body").coalesce(parts_for(volume, SHARE))
         models = part.mapInArrow(learn, "model binary, tokens long").repartition(16).mapInArrow(averaged, "model binary, tokens long")
         found = [(unpacked(bytes(r["model"])), r["tokens"]) for r in models.collect()]  # at most 16
         total = sum(n for _, n in found)
@@ -473,13 +504,21 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         by_ending += np.frombuffer(bytes(row["by_ending"]), np.int64).reshape(2, -1)
     top_keys, top_counts = frequent(counts, FREQUENT)
     vocabulary = Vocabulary(top_keys, top_counts, by_ending)
-    p = train(learnt, vocabulary) if n else initial(vocabulary.weights)
+    p = train(learnt, vocabulary, int(volume)) if n else initial(vocabulary.weights)
     shared = spark.sparkContext.broadcast((p, vocabulary, top_keys, top_counts))
     below = math.log10(n + 0.5 * (types + 1))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         model, v, known, times = shared.value
-        keys, at_row = Keys(), TaskContext.get().partitionId() << 32
+        def facts_of(new: np.ndarray) -> tuple:
+            number, own = v.numbers_of(new)
+            at = np.minimum(np.searchsorted(known, new), max(0, len(known) - 1))
+            here = known[at] == new if len(known) else np.zeros(len(new), bool)
+            c = np.where(here, times[at], 0) if len(known) else np.zeros(len(new), np.int64)
+            return number.astype(np.int32), here, np.where(here, np.log10(c + 0.5), 0.0), np.where(here & ~own, v.inside(new, c), 0.0)
+
+        keys, at_row = Keys(facts_of), TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []
         total = 0
 
@@ -491,36 +530,40 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             held, total = [], 0
 
         for piece in pieces(batches):
-            if piece.num_rows:
-                found = [k for start in range(0, piece.num_rows, 500) for k in keys.of(piece.column("body").slice(start, 500).to_pylist())]
-                numbers, base, inner, seen = [], [], [], []
-                for k in found:
-                    number, own = v.numbers_of(k)
-                    numbers.append(number)
-                    at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
-                    here = known[at] == k if len(known) else np.zeros(len(k), bool)
-                    c = times[at][here] if len(known) else np.zeros(0, np.int64)
-                    base.append(float(np.log10(c + 0.5).sum()))
-                    seen.append(int(here.sum()))
-                    among = here & ~own
-                    inner.append(float(v.inside(k[among], times[at][among]).sum()) if among.any() else 0.0)
-                    rare, often = np.unique(k[~here], return_counts=True)
-                    if len(rare):
-                        held.append(np.stack([rare, np.full(len(rare), at_row), often]))
-                        total += len(rare)
-                    at_row += 1
-                network = log10_of(model, numbers, v.end)
-                ids = at_row - len(found) + np.arange(len(found))
-                yield whole(row=ids.tolist(), doc_id=piece.column("doc_id").to_pylist(), n_tokens=[len(k) for k in found], n_known=seen, base=base, model=(network + np.array(inner)).tolist())
-                if total >= FLUSH:
-                    yield from flush()
+            docs, seen, base, inner, sizes = [], [], [], [], []
+            for start in range(0, piece.num_rows, 500):
+                numbers, size = keys.of(piece.column("body").slice(start, 500).to_pylist())
+                number, here, log_count, inside = (c[numbers] for c in keys.columns[1:])
+                begins = np.cumsum(size) - size
+                docs += np.split(number, begins[1:])
+                seen.append(np.add.reduceat(here, begins, dtype=np.int64))
+                base.append(np.add.reduceat(log_count, begins))
+                inner.append(np.add.reduceat(inside, begins))
+                sizes.append(size)
+                rare = np.flatnonzero(~here)
+                if len(rare):
+                    row = np.repeat(np.arange(len(size)), size)[rare]
+                    k = keys.columns[0][numbers[rare]]
+                    order = np.lexsort((k, row))
+                    row, k = row[order], k[order]
+                    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (k[1:] != k[:-1])))
+                    held.append(np.stack([k[first], at_row + row[first], np.diff(np.append(first, len(k)))]))
+                    total += len(first)
+                at_row += len(size)
+            if docs:
+                join = np.concatenate
+                ids = at_row - len(docs) + np.arange(len(docs))
+                network = log10_of(model, docs, v.end)
+                yield whole(row=ids, doc_id=piece.column("doc_id"), n_tokens=join(sizes), n_known=join(seen), base=join(base), model=network + join(inner))
+            if total >= FLUSH:
+                yield from flush()
         yield from flush()
 
     fields = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
 
-    def whole(**values: list) -> pa.RecordBatch:
+    def whole(**values) -> pa.RecordBatch:
         size = len(next(iter(values.values())))
-        return pa.RecordBatch.from_arrays([pa.array(values.get(f.name, [None] * size), f.type) for f in fields], schema=fields)
+        return pa.RecordBatch.from_arrays([values[f.name] if isinstance(values.get(f.name), pa.Array) else pa.array(values.get(f.name, [None] * size), f.type) for f in fields], schema=fields)
 
     def look_up(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
         v = shared.value[1]
