@@ -4,13 +4,15 @@ A difference-cover suffix array finds them, over the text that can hold one. Whi
 the hashes of all ``GRAM``-byte strings in a window of ``length`` bytes the least marks an anchor; equal windows have
 equal anchors in equal places. So a repeated window lies in the contexts (``length`` bytes and the anchor's reach
 before) of two anchors of one hash, and an anchor whose hash occurs once needs no look. Contexts that occur
-twice as a whole are repeated all over and need none either. What is left (contexts at the edges of repeated
+twice as a whole are repeated all over and need none either; of the others, only those that have half a window
+around the anchor in common with another can hold a repeated one. What is left (contexts at the edges of repeated
 passages) is sorted: suffixes at sampled positions by their triples, by recursion on the names of the triples,
 merged with the others, and neighbours in that order compared over ``length`` bytes.
 
 Work is dealt by anchor hash; counts of contexts are combined before they are shuffled, so a passage in a third of
 all documents is one row per task. A hash with more than ``MOST`` contexts that differ is dealt on by windows.
-The documents' texts are read three times and shuffled at most once, where their spans are joined.
+The texts are read three times; they are shuffled where the contexts are cut out and, unless the spans of all
+documents are small, where those are removed.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, runs, sent, spread, stored
+from .common import SMALL_BYTES, as_bytes, parts_for, runs, settle, spread, stored
 
 LENGTH, GRAM = 200, 40
 PIECE = 1 << 20
-NO_ID = -(1 << 63)  # stands for a missing id inside the jobs
+#: Anchors that a task holds before it sends their counts, and contexts that are known to every task.
+FLUSH, KNOWN = 2 << 20, 4 << 20
 #: Contexts of one anchor that are sorted in one task, and bytes that are sorted together.
-MOST, TOGETHER = 2000, 2 << 20
+MOST, TOGETHER = 5000, 1 << 18
 
 
 # --- anchors ---
@@ -99,23 +102,48 @@ def found_anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.nd
 # --- suffix arrays ---
 
 
+def packed(*columns: np.ndarray) -> np.ndarray | None:
+    """Columns side by side in one number each; None if that takes more than 63 bits."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 63:
+        return None
+    out = np.zeros(len(columns[0]), np.int64)
+    for c, b in zip(columns, bits):
+        out = (out << b) | c
+    return out
+
+
 def ranked(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by their columns, and the rank of each row (equal rows share one, from 1 on)."""
-    order = np.lexsort(columns[::-1])
+    one = packed(*columns)
+    order = np.lexsort(columns[::-1]) if one is None else np.argsort(one)
     change = np.zeros(len(order), np.int64)
-    for c in columns:
+    for c in columns if one is None else (one,):
         change[1:] |= c[order][1:] != c[order][:-1]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(change) + 1
     return order, rank
 
 
+def before(sorted_columns: tuple[np.ndarray, ...], columns: tuple[np.ndarray, ...]) -> np.ndarray:
+    """For each row, how many of the sorted rows come before it (none is equal)."""
+    n = len(sorted_columns[0])
+    both = packed(*(np.concatenate(pair) for pair in zip(sorted_columns, columns)))
+    if both is None:
+        order = np.lexsort([np.concatenate(pair) for pair in zip(sorted_columns, columns)][::-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return rank[n:] - np.argsort(np.argsort(rank[n:]))
+    return np.searchsorted(both[:n], both[n:])
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes of ``s`` (values from 1 on) in order, by the difference cover {1, 2} modulo 3.
 
     Triples at sampled positions are sorted and named; if names repeat, the sequence of names is sorted by
-    recursion. The other suffixes follow from their first value and the rank of the sampled one behind, and
-    both are merged by comparing up to two values and ranks.
+    recursion. The other suffixes follow from their first value and the rank of the sampled one behind. They are
+    merged by counting, for each, the sampled ones before it: those at 1 modulo 3 by a value and a rank, those
+    at 2 by two values and a rank.
     """
     n = len(s)
     if n < 4:
@@ -134,18 +162,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sampled = sample[order]
     sampled = sampled[sampled < n]
     zeros = np.arange(0, n, 3)
-    others = zeros[np.lexsort((rank[zeros + 1], padded[zeros]))]
-    # Merge: where each of the others falls among the sampled, by a binary search side by side.
-    low, high = np.zeros(len(others), np.int64), np.full(len(others), len(sampled), np.int64)
-    while (low < high).any():
-        middle = np.minimum((low + high) // 2, len(sampled) - 1)
-        j = sampled[middle]
-        before = _precedes(padded, rank, j, others) & (low < high)
-        after = ~before & (low < high)
-        low = np.where(before, middle + 1, low)
-        high = np.where(after, middle, high)
+    others = zeros[ranked(padded[zeros], rank[zeros + 1])[0]]
+    one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    place = np.arange(len(others))
+    place += before((padded[one], rank[one + 1]), (padded[others], rank[others + 1]))
+    place += before((padded[two], padded[two + 1], rank[two + 2]), (padded[others], padded[others + 1], rank[others + 2]))
     out = np.empty(n, np.int64)
-    place = low + np.arange(len(others))
     out[place] = others
     rest = np.ones(n, bool)
     rest[place] = False
@@ -153,18 +175,6 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _precedes(s: np.ndarray, rank: np.ndarray, j: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Whether sampled suffix ``j`` comes before suffix ``i`` at a multiple of three."""
-    one = j % 3 == 1
-    first = s[j] < s[i]
-    tie = s[j] == s[i]
-    by_one = rank[j + 1] < rank[i + 1]
-    second = s[j + 1] < s[i + 1]
-    tie_two = s[j + 1] == s[i + 1]
-    by_two = rank[np.minimum(j + 2, len(rank) - 1)] < rank[i + 2]
-    return first | (tie & np.where(one, by_one, second | (tie_two & by_two)))
-
-
 def repeated_starts(contexts: list[bytes], places: list[int], length: int) -> list[np.ndarray]:
     """Per context, the positions where ``length`` bytes start that also start elsewhere.
 
@@ -198,80 +208,218 @@ def repeated_starts(contexts: list[bytes], places: list[int], length: int) -> li
 # --- jobs ---
 
 
-def _contexts(raw: bytes, at: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
-    """Begin, end and hash of the context of each anchor; the hash tells where in it the anchor is."""
-    reach = length - gram
-    for p in at.tolist():
-        begin, end = max(0, p - reach), min(len(raw), p + length)
-        yield begin, end, xxhash.xxh3_64_intdigest(raw[begin:end], seed=p - begin) - (1 << 63)
-
-
 def _bodies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Key, text and hash of the text of every row; rows of equal key and hash have the same spans."""
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    body = docs.select(key.alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    return body.withColumn("body_hash", F.xxhash64("body"))
+    """Id, text and key of every row; rows of equal id and text have one key, and the same spans."""
+    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    return body.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(-1 << 63)), "body"))
 
 
-def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``body_hash`` and ``spans`` of every document with repeated passages: ranges [from, to) of bytes.
+def _marked(source: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row per anchor: its hash, and hash, begin and end of its context (the hash tells where in it the anchor is).
 
-    A missing id reads ``NO_ID``.
+    ``left`` and ``right`` are hashes of the anchor's string with half a window before it, or behind it (0 where
+    the text is too short); every window around the anchor holds one of the two.
     """
-    spark = docs.sparkSession
-    source = _bodies(docs, text, doc_id)
+    reach, half = length - gram, (length - gram) // 2
+    digest = xxhash.xxh3_64_intdigest
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                piece = batch.slice(k, 200)
-                rows: list[tuple] = []
-                for d, h, body in zip(piece.column("doc_id").to_pylist(), piece.column("body_hash").to_pylist(), piece.column("body").to_pylist()):
+            for k in range(0, batch.num_rows, 500):
+                piece = batch.slice(k, 500)
+                keys, hashes, begins, ends, contexts, lefts, rights = [], [], [], [], [], [], []
+                for key, body in zip(piece.column("key").to_pylist(), piece.column("body").to_pylist()):
                     raw = as_bytes(body)
-                    at, hashes = found_anchors(raw, length, gram)
-                    anchor = (hashes ^ np.uint64(1 << 63)).view(np.int64).tolist()
-                    rows += [(d, h, a, c, begin, end) for a, (begin, end, c) in zip(anchor, _contexts(raw, at, length, gram))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=["doc_id", "body_hash", "anchor", "context", "begin", "end"])
-
-    marked = stored(source.mapInArrow(mark, "doc_id long, body_hash long, anchor long, context long, begin long, end long"), "anchors")
-    by_context = marked.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"))
-    by_anchor = by_context.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("all")).where("all > 1")
-    known = stored(by_context.join(by_anchor, "anchor").select("anchor", "context", "n", "contexts"), "repeated")
-    known = sent(known, 40)
-    shared = marked.join(known, ["anchor", "context"])
-    whole = shared.where("n > 1").where(F.col("end") - F.col("begin") >= length).select("doc_id", "body_hash", "begin", "end")
+                    at, found = found_anchors(raw, length, gram)
+                    begin, end = np.maximum(at - reach, 0), np.minimum(at + length, len(raw))
+                    contexts += [xxhash.xxh3_64_intdigest(raw[i:j], seed=p) - (1 << 63) for i, j, p in zip(begin.tolist(), end.tolist(), (at - begin).tolist())]
+                    lefts += [digest(raw[p - half : p + gram]) - (1 << 63) if p >= half else 0 for p in at.tolist()]
+                    rights += [digest(raw[p : p + gram + half], seed=1) - (1 << 63) if p + gram + half <= len(raw) else 0 for p in at.tolist()]
+                    keys.append(np.full(len(at), key))
+                    hashes.append(found)
+                    begins.append(begin)
+                    ends.append(end)
+                anchor = (np.concatenate(hashes) ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(anchor), pa.array(contexts, pa.int64()), pa.array(np.concatenate(begins)), pa.array(np.concatenate(ends)), pa.array(lefts, pa.int64()), pa.array(rights, pa.int64())],
+                    names=["key", "anchor", "context", "begin", "end", "left", "right"],
+                )
+
+    return source.select("key", "body").mapInArrow(work, "key long, anchor long, context long, begin long, end long, left long, right long")
+
+
+def combined(anchor: np.ndarray, context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, with their counts."""
+    order = np.lexsort((context, anchor))
+    anchor, context, count = anchor[order], context[order], count[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+    at = np.flatnonzero(first)
+    return anchor[at], context[at], np.add.reduceat(count, at) if len(at) else count
+
+
+def _known(marked: DataFrame, buckets: int) -> DataFrame:
+    """Contexts of anchors that occur more than once: how many contexts the anchor has, and whether this one repeats.
+
+    Tasks count what they read before it is dealt by anchor.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        total = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            a, c, n = combined(*(np.concatenate(x) for x in zip(*held)))
+            to = a % buckets
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                some = order[cuts[k] : cuts[k + 1]]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "payload": [a[some].tobytes() + c[some].tobytes() + n[some].tobytes()]})
+
+        for batch in batches:
+            if batch.num_rows:
+                a, c = (batch.column(x).to_numpy() for x in ("anchor", "context"))
+                held.append((a, c, np.ones(len(a), np.int64)))
+                total += len(a)
+                if total >= FLUSH:
+                    yield from flush()
+                    held, total = [], 0
+        if total:
+            yield from flush()
+
+    def merge(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        parts = [np.frombuffer(p, np.int64).reshape(3, -1) for p in group["payload"]]
+        a, c, n = combined(*np.concatenate(parts, axis=1))
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        contexts, every = np.diff(np.append(first, len(a))), np.add.reduceat(n, first)
+        owner = np.repeat(np.arange(len(first)), contexts)
+        keep = every[owner] > 1
+        yield pd.DataFrame({"context": c[keep], "contexts": contexts[owner][keep], "repeated": n[keep] > 1})
+
+    dealt = marked.select("anchor", "context").mapInArrow(local, "bucket long, payload binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInPandas(lambda frames: runs(frames, ["bucket"], merge), "context long, contexts long, repeated boolean")
+
+
+def _seen(marked: DataFrame, known: DataFrame, length: int) -> DataFrame:
+    """Of the marked rows: ranges of contexts that repeat as a whole, and contexts that differ from others of their anchor.
+
+    A known table of at most ``KNOWN`` rows (12 bytes each) goes to every task, else both sides are joined.
+    """
+    spark = marked.sparkSession
+    if known.count() > KNOWN:
+        both = marked.join(known, "context")
+        whole = both.where(F.col("repeated") & (F.col("end") - F.col("begin") >= length)).select("key", "begin", "end")
+        differ = both.where("contexts > 1").select("key", "begin", "end", "anchor", "context", "contexts", "repeated", "left", "right")
+        return whole.unionByName(differ, allowMissingColumns=True)
+    found, signed = _gathered(known.select("context", F.when(F.col("repeated"), -F.col("contexts")).otherwise(F.col("contexts"))))
+    shared = spark.sparkContext.broadcast((found, np.clip(signed, -(1 << 30), 1 << 30).astype(np.int32)))
+    names = ["key", "begin", "end", "anchor", "context", "contexts", "repeated", "left", "right"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, facts = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(contexts):
+                continue
+            key, anchor, context, begin, end, left, right = (c.to_numpy() for c in batch.columns)
+            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            hit = contexts[at] == context
+            many, repeated = np.abs(facts[at]).astype(np.int64), facts[at] < 0
+            rows = np.flatnonzero(hit & repeated & (end - begin >= length))
+            if len(rows):  # anchors come in order, so ranges that touch are neighbours
+                k, b, e = key[rows], begin[rows], end[rows]
+                first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (b[1:] > e[:-1])))
+                last = np.append(first[1:], len(rows)) - 1
+                none = pa.nulls(len(first), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(b[first]), pa.array(e[last]), none, none, none, pa.nulls(len(first), pa.bool_()), none, none], names=names)
+            rows = np.flatnonzero(hit & (many > 1))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (key, begin, end, anchor, context, many, repeated, left, right)], names=names)
+
+    return marked.select("key", "anchor", "context", "begin", "end", "left", "right").mapInArrow(
+        work, "key long, begin long, end long, anchor long, context long, contexts long, repeated boolean, left long, right long"
+    )
+
+
+def _gathered(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two long columns of a table of bounded size, sorted by the first."""
+    names = pairs.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"payload": [b"".join(c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in batch.columns)]})
+
+    parts = [np.frombuffer(bytes(r["payload"]), np.int64).reshape(len(names), -1) for r in pairs.mapInArrow(pack, "payload binary").toLocalIterator()]
+    first, second = np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1)
+    order = np.argsort(first)
+    return first[order], second[order]
+
+
+def _likely(differ: DataFrame, buckets: int) -> DataFrame:
+    """Of contexts that differ, those with a half that another one has too; the others hold no repeated window."""
+    halves = differ.select(F.explode(F.array("left", "right")).alias("anchor")).where("anchor <> 0").withColumn("context", F.col("anchor"))
+    twice = stored(_known(halves, buckets).where("repeated").select(F.col("context").alias("half")), "halves")
+    if twice.count() > KNOWN:
+        ways = [differ.join(twice, F.col(side) == F.col("half"), "left_semi") for side in ("left", "right")]
+        return ways[0].unionByName(ways[1]).dropDuplicates(["key", "begin", "end", "anchor", "context"])
+    shared = differ.sparkSession.sparkContext.broadcast(_gathered(twice.select("half", F.lit(0).cast("long").alias("n")))[0])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        for batch in batches:
+            if batch.num_rows and len(found):
+                hit = np.zeros(batch.num_rows, bool)
+                for side in ("left", "right"):
+                    values = batch.column(side).to_numpy()
+                    hit |= found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
+                yield batch.filter(pa.array(hit))
+
+    return differ.mapInArrow(work, differ.schema)
+
+
+
+
+def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``key`` and ``spans`` of every document with repeated passages: ranges [from, to) of bytes, which may overlap."""
+    spark = docs.sparkSession
+    source = _bodies(docs, text, doc_id)
+    marked = stored(_marked(source, length, gram), "anchors")
+    buckets = max(spread(spark), parts_for(marked.count(), FLUSH))
+    known = stored(_known(marked, buckets), "known")
+    seen = stored(_seen(marked, known, length), "seen")
+    whole = seen.where("anchor IS NULL").select("key", "begin", "end")
     # Contexts that differ meet as texts: those that occur once, and one document's for each that repeats.
-    once = shared.where("contexts > 1 AND n = 1").select("doc_id", "body_hash", "anchor", "contexts", "begin", "end", F.lit(True).alias("asks"))
-    one = shared.where("contexts > 1 AND n > 1").groupBy("anchor", "context", "contexts").agg(F.min(F.struct("doc_id", "body_hash", "begin", "end")).alias("r"))
-    asked = once.unionByName(one.select("r.doc_id", "r.body_hash", "anchor", "contexts", "r.begin", "r.end", F.lit(False).alias("asks")))
+    differ = stored(_likely(seen.where("anchor IS NOT NULL"), buckets), "likely")
+    once = differ.where(~F.col("repeated")).select("key", "anchor", "contexts", "begin", "end", F.lit(True).alias("asks"))
+    one = differ.where("repeated").groupBy("context", "anchor", "contexts").agg(F.min(F.struct("key", "begin", "end")).alias("r"))
+    asked = once.unionByName(one.select("r.key", "anchor", "contexts", "r.begin", "r.end", F.lit(False).alias("asks")))
     # A document's contexts together are a few times its length at most.
-    per_doc = stored(asked.groupBy("doc_id", "body_hash").agg(F.collect_list(F.struct("anchor", "contexts", "begin", "end", "asks")).alias("wanted")), "wanted")
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "w_id", "body_hash": "w_hash"})
-    with_text = source.join(per_doc, (F.col("doc_id") == F.col("w_id")) & (F.col("body_hash") == F.col("w_hash"))).select("doc_id", "body_hash", "body", "wanted")
+    per_doc = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "contexts", "begin", "end", "asks")).alias("wanted"))
+    with_text = source.join(per_doc, "key").select("key", "body", "wanted")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["doc_id", "body_hash", "anchor", "contexts", "begin", "asks"]
+        fields = ["key", "anchor", "contexts", "begin", "asks"]
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
                 rows: list[tuple] = []
                 for r in batch.slice(k, 100).to_pylist():
                     raw = as_bytes(r["body"])
-                    rows += [(r["doc_id"], r["body_hash"], w["anchor"], w["contexts"], w["begin"], w["asks"], raw[w["begin"] : w["end"]]) for w in r["wanted"]]
+                    rows += [(r["key"], w["anchor"], w["contexts"], w["begin"], w["asks"], raw[w["begin"] : w["end"]]) for w in r["wanted"]]
                 arrays = [pa.array([r[i] for r in rows], pa.bool_() if f == "asks" else pa.int64()) for i, f in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[6] for r in rows], pa.binary())], names=[*fields, "bytes"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[5] for r in rows], pa.binary())], names=[*fields, "bytes"])
 
-    cut = with_text.mapInArrow(cut_out, "doc_id long, body_hash long, anchor long, contexts long, begin long, asks boolean, bytes binary")
-    cut = stored(cut, "contexts")
+    cut = stored(with_text.mapInArrow(cut_out, "key long, anchor long, contexts long, begin long, asks boolean, bytes binary"), "contexts")
     few = cut.where(F.col("contexts") <= MOST).repartition(spread(spark), "anchor").sortWithinPartitions("anchor")
 
     def sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        settle()
         held: list[pd.DataFrame] = []
         size = 0
 
         def work(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            nonlocal held, size
+            nonlocal size
             held.append(group)
-            size += int(group["bytes"].str.len().sum())
+            size += sum(map(len, group["bytes"]))
             if size >= TOGETHER:
                 yield finish()
 
@@ -279,20 +427,19 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
             nonlocal held, size
             every = pd.concat(held, ignore_index=True)
             held, size = [], 0
-            out: list[tuple] = []
-            owner = every.groupby(["doc_id", "body_hash"], sort=False).ngroup().to_numpy().astype(np.int64)
+            owner = pd.factorize(every["key"])[0].astype(np.int64)
             places = ((owner << 40) + every["begin"].to_numpy()).tolist()
-            for d, h, begin, asks, starts in zip(every["doc_id"], every["body_hash"], every["begin"], every["asks"], repeated_starts(every["bytes"].tolist(), places, length)):
+            out: list[tuple] = []
+            for key, begin, asks, starts in zip(every["key"], every["begin"], every["asks"], repeated_starts(every["bytes"].tolist(), places, length)):
                 if asks and len(starts):
-                    for a, b in covered(starts, length):
-                        out.append((d, h, begin + a, begin + b))
-            return pd.DataFrame(out, columns=["doc_id", "body_hash", "begin", "end"], dtype="int64")
+                    out += [(key, begin + a, begin + b) for a, b in covered(starts, length)]
+            return pd.DataFrame(out, columns=["key", "begin", "end"], dtype="int64")
 
         yield from runs(frames, ["anchor"], work)
         if held:
             yield finish()
 
-    edges = few.mapInPandas(sort, "doc_id long, body_hash long, begin long, end long")
+    edges = few.mapInPandas(sort, "key long, begin long, end long")
     many = cut.where(F.col("contexts") > MOST)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,17 +447,16 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
             for k in range(0, batch.num_rows, 50):
                 rows = []
                 for r in batch.slice(k, 50).to_pylist():
-                    rows += [(r["doc_id"], r["body_hash"], r["asks"], r["begin"] + i, xxhash.xxh3_128_digest(r["bytes"][i : i + length])) for i in range(len(r["bytes"]) - length + 1)]
+                    rows += [(r["key"], r["asks"], r["begin"] + i, xxhash.xxh3_128_digest(r["bytes"][i : i + length])) for i in range(len(r["bytes"]) - length + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["doc_id", "body_hash", "asks", "begin", "window"]
+                    [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["key", "asks", "begin", "window"]
                 )
 
-    each = many.mapInArrow(windows, "doc_id long, body_hash long, asks boolean, begin long, window binary")
-    place = F.struct("doc_id", "body_hash", "begin")
-    twice = each.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("window")
-    more = each.where("asks").join(twice, "window").select("doc_id", "body_hash", "begin", (F.col("begin") + length).alias("end"))
-    parts = whole.unionByName(edges).unionByName(more)
-    return parts.groupBy("doc_id", "body_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    each = many.mapInArrow(windows, "key long, asks boolean, begin long, window binary")
+    place = F.struct("key", "begin")
+    twice = each.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(F.col("low") != F.col("high")).select("window")
+    more = each.where("asks").join(twice, "window").select("key", "begin", (F.col("begin") + length).alias("end"))
+    return whole.unionByName(edges).unionByName(more).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -338,8 +484,9 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
     * other columns are not read.
     """
     source = _bodies(docs, text, doc_id)
-    found = stored(spans(docs, text, doc_id, length, gram), "spans").withColumnsRenamed({"doc_id": "s_id", "body_hash": "s_hash"})
-    both = source.join(found, (F.col("doc_id") == F.col("s_id")) & (F.col("body_hash") == F.col("s_hash")), "left").select("doc_id", "body", "spans")
+    found = stored(spans(docs, text, doc_id, length, gram), "spans")
+    size = found.agg(F.sum(F.size("spans") * 16 + 48)).first()[0] or 0
+    both = source.join(F.broadcast(found) if size <= SMALL_BYTES else found, "key", "left").select("doc_id", "body", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,8 +502,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    out = both.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return both.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def report(removed: DataFrame) -> DataFrame:
