@@ -98,8 +98,11 @@ def test_log_files_and_text_trees(spark, tmp_path):
     }.items():
         (tree / name).parent.mkdir(parents=True, exist_ok=True)
         (tree / name).write_bytes(data)
-    got = {r.path: r.content for r in files.read_text_tree(spark, str(tree)).collect()}
-    assert got == {"a.py": "x = 1", "sub/b.MD": "é", "sub/latin.txt": "été", "bom.txt": "hi", "Dockerfile": "FROM x"}
+    got = {r.path: (r.content, r.readable) for r in files.read_text_tree(spark, str(tree)).collect()}
+    assert got.pop("big.txt") == ("x" * 200_001, True)
+    assert got.pop("sub/latin.txt") == ("\ufffdt\ufffd", False)  # not UTF-8: reported
+    assert got == {"a.py": ("x = 1", True), "sub/b.MD": ("é", True), "bom.txt": ("hi", True), "Dockerfile": ("FROM x", True)}
+    assert {r.path for r in files.read_text_tree(spark, str(tree), max_bytes=10).collect()} == {*got, "sub/latin.txt"}
 
 
 LOG = {"resourceLogs": [{"resource": {"attributes": []}, "scopeLogs": [{"logRecords": [
