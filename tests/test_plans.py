@@ -381,7 +381,7 @@ def test_replay_rows(spark):
     )
     out = replay.in_order(replay.replay(rows)).collect()
     assert [(r.action, r.depth, r.events) for r in out] == [("start", 0, 1), ("new", 1, 2), ("no span", 0, 1)]
-    assert len(out[1].message) == 200
+    assert len(out[1].message) == 300
     stats = replay.stats(rows).first()
     assert (stats.total_events, stats.root_count) == (4, 2)
     text = {r.span_id: r.text for r in replay.lines(replay.replay(rows)).collect()}
