@@ -53,7 +53,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.report(jaccard_join.classes(table(spark, sf_dir, "documents"), size=3, num=90, den=100))
+    return jaccard_join.report(jaccard_join.classes(table(spark, sf_dir, "documents"), size=3, num=90, den=100, counted=True))
 
 
 @plan

@@ -11,8 +11,10 @@ families: no similar pair lies across two of them.
 Inside a family, signature trees find the similar pairs. A leaf holds a set's size and a bitmap of its hashed
 shingles, a node the size range and the OR of its children. Two trees are descended together; a pair of nodes is
 dropped when the sizes cannot match or when the bits that both have are too few for the overlap that the
-smallest sizes need. Leaves that are left are compared exactly, except those already linked through others.
-Families above ``BLOCK`` sets are cut into blocks and joined as pairs of blocks, each a task of bounded size.
+smallest sizes need. Leaves that are left are compared exactly: all of them where links are counted, and where
+only components are wanted all but those already linked through others. Families above ``BLOCK`` sets are cut into
+blocks and joined as pairs of blocks, each a task of bounded size; no pairs leave it, only link counts per vertex
+and a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ STRONG = ((3, 40), (2, 32))
 #: Shingles of the sample that shows which are common, about, and in how many of its sets a common one is.
 SAMPLE, COMMON = 4 << 20, 3
 FAN = 8
+#: Shingles of the leaves that one leaf is compared with at once, about.
+SIDE = 1 << 21
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -259,62 +263,74 @@ def similar(a: np.ndarray, b: np.ndarray, sizes: Sizes) -> bool:
     return sizes.den * overlap >= sizes.num * (len(a) + len(b) - overlap)
 
 
-def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, sizes: Sizes) -> list[tuple[int, int]]:
-    """Links that connect whatever the similar pairs connect: inside ``left``, or between ``left`` and ``right``.
+class Descent:
+    """Node pairs of two trees (or of one with itself) that may hold similar pairs, down to the parents of leaves.
 
-    Numbers of ``right`` continue those of ``left``.
+    Sets of ``right`` are numbered on from those of ``left``.
     """
-    sets = left + (right or [])
-    mean = sum(map(len, sets)) / len(sets)
-    bits = 64
-    while bits < 64 * mean and bits < 1 << 16:
-        bits *= 2
-    by_size = lambda part: sorted(range(len(part)), key=lambda i: (len(part[i]), part[i][0]))
-    order_a = np.array(by_size(left))
-    a = Tree([left[i] for i in order_a], bits)
-    order_b, b = order_a, a
-    if right is not None:
-        order_b = np.array(by_size(right)) + len(left)
-        b = Tree([sets[i] for i in order_b], bits)
-    own = right is None
-    depth = max(len(a.levels), len(b.levels))
-    for t in (a, b):
-        t.levels += [t.levels[-1]] * (depth - len(t.levels))
-    label = np.arange(len(sets))
-    out: list[tuple[int, int]] = []
 
+    def __init__(self, left: list[np.ndarray], right: list[np.ndarray] | None, sizes: Sizes):
+        self.sets = sets = left + (right or [])
+        mean = sum(map(len, sets)) / len(sets)
+        bits = 64
+        while bits < 64 * mean and bits < 1 << 16:
+            bits *= 2
+        by_size = lambda part: sorted(range(len(part)), key=lambda i: (len(part[i]), part[i][0]))
+        self.order_a = np.array(by_size(left))
+        self.a = Tree([left[i] for i in self.order_a], bits)
+        self.order_b, self.b = self.order_a, self.a
+        if right is not None:
+            self.order_b = np.array(by_size(right)) + len(left)
+            self.b = Tree([sets[i] for i in self.order_b], bits)
+        self.own = right is None
+        depth = max(len(self.a.levels), len(self.b.levels))
+        for t in (self.a, self.b):
+            t.levels += [t.levels[-1]] * (depth - len(t.levels))
+        self.leaves = depth == 1  # no level above the leaves
+        self.x, self.y = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        if self.leaves:
+            if self.own:
+                self.x, self.y = self.x[:0], self.y[:0]
+            return
+        for level in range(depth - 2, 0, -1):
+            x, y = self.expand(level, self.x, self.y)
+            keep = possible(self.a, self.b, level, x, y, sizes)
+            self.x, self.y = x[keep], y[keep]
+
+    @staticmethod
     def children(tree: Tree, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child of each node and the number of its children."""
         count = len(tree.levels[level][1])
         if count == len(tree.levels[level + 1][1]):  # a short tree waits at its root
             return nodes, np.ones(len(nodes), np.int64)
-        sizes_ = np.minimum(FAN, count - nodes * FAN)
-        return nodes * FAN, sizes_
+        return nodes * FAN, np.minimum(FAN, count - nodes * FAN)
 
-    def expand(level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        (x0, nx), (y0, ny) = children(a, level, x), children(b, level, y)
+    def expand(self, level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (x0, nx), (y0, ny) = self.children(self.a, level, x), self.children(self.b, level, y)
         total = nx * ny
         at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
         wide = np.repeat(ny, total)
         u, v = np.repeat(x0, total) + at // wide, np.repeat(y0, total) + at % wide
-        if own:
+        if self.own:
             keep = u < v if level == 0 else u <= v
             u, v = u[keep], v[keep]
         return u, v
 
-    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    if depth == 1:
-        x, y = (x[:0], y[:0]) if own else (x, y)
-        leaves = [(x, y)]
-    else:
-        for level in range(depth - 2, 0, -1):
-            x, y = expand(level, x, y)
-            keep = possible(a, b, level, x, y, sizes)
-            x, y = x[keep], y[keep]
-        leaves = ((expand(0, x[k : k + 64], y[k : k + 64])) for k in range(0, len(x), 64))
+
+def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, sizes: Sizes) -> list[tuple[int, int]]:
+    """Links that connect whatever the similar pairs connect: inside ``left``, or between ``left`` and ``right``.
+
+    Numbers of ``right`` continue those of ``left``.
+    """
+    d = Descent(left, right, sizes)
+    sets, order_a, order_b = d.sets, d.order_a, d.order_b
+    label = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
+    leaves = [(d.x, d.y)] if d.leaves else (d.expand(0, d.x[k : k + 64], d.y[k : k + 64]) for k in range(0, len(d.x), 64))
     for u, v in leaves:
         apart = label[order_a[u]] != label[order_b[v]]
         u, v = u[apart], v[apart]
-        keep = possible(a, b, 0, u, v, sizes)
+        keep = possible(d.a, d.b, 0, u, v, sizes)
         for i, j in zip(order_a[u[keep]].tolist(), order_b[v[keep]].tolist()):
             if label[i] != label[j] and similar(sets[i], sets[j], sizes):
                 label[label == label[j]] = label[i]
@@ -322,7 +338,60 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, sizes: Si
     return out
 
 
-def _families(num: int, den: int):
+def tree_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, sizes: Sizes) -> Iterator[tuple[int, np.ndarray]]:
+    """All similar pairs, each once: a set and the numbers of those that it is similar to. Numbers as in ``tree_links``.
+
+    The leaves below a node are compared with all leaves that the descent left to it: of each, the shingles that the
+    one leaf has are counted.
+    """
+    d = Descent(left, right, sizes)
+    lengths = np.array([len(s) for s in d.sets], np.int64)
+    numbers = np.unique(np.concatenate(d.sets), return_inverse=True)[1].astype(np.int32)
+    parts = np.split(numbers, np.cumsum(lengths)[:-1])
+    has = np.zeros(int(numbers.max()) + 1, np.uint8)
+    order = np.argsort(d.x, kind="stable")
+    x, y = d.x[order], d.y[order]
+    for node in np.unique(x).tolist():
+        others = np.sort(y[np.searchsorted(x, node) : np.searchsorted(x, node, side="right")])
+        if d.leaves:
+            mine, theirs = np.array([node]), others
+        else:
+            (first,), (count,) = d.children(d.a, 0, np.array([node]))
+            mine = np.arange(first, first + count)
+            begins, counts = d.children(d.b, 0, others)
+            theirs = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        ends = np.cumsum(lengths[d.order_b[theirs]])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), SIDE), side="left"))
+        for p, q in zip(cuts, [*cuts[1:], len(theirs)]):
+            v = theirs[p:q]
+            b = d.order_b[v]
+            held = np.concatenate([parts[k] for k in b])
+            starts = np.cumsum(lengths[b]) - lengths[b]
+            for u in mine.tolist():
+                i = int(d.order_a[u])
+                has[parts[i]] = 1
+                overlap = np.add.reduceat(has[held], starts, dtype=np.int64)
+                has[parts[i]] = 0
+                near = sizes.den * overlap >= sizes.num * (lengths[i] + lengths[b] - overlap)
+                if d.own:
+                    near &= v > u
+                if near.any():
+                    yield i, b[near]
+
+
+def tree_counts(left: list[np.ndarray], right: list[np.ndarray] | None, sizes: Sizes, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per set, the weights of all sets that it is similar to, and the smallest number that links connect it with."""
+    count, root = np.zeros(len(weight), np.int64), np.arange(len(weight))
+    for i, near in tree_pairs(left, right, sizes):
+        count[i] += weight[near].sum()
+        count[near] += weight[i]
+        met = np.unique(np.append(root[near], root[i]))
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+    return count, root
+
+
+def _families(num: int, den: int, counted: bool):
     def work(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
         sizes = sizes_for(num, den)
         ids = group["id"].to_numpy()
@@ -330,23 +399,34 @@ def _families(num: int, den: int):
         group = group.iloc[keep]
         sets = [np.frombuffer(s, np.uint64) for s in group["hashes"]]
         if group["i"].iloc[0] == group["j"].iloc[0]:
-            order = np.arange(len(sets))
-            links = tree_links(sets, None, sizes) if len(sets) > 1 else []
+            order, left, right = np.arange(len(sets)), sets, None
+            if len(sets) < 2:
+                return
         else:
             mine = group["own"].to_numpy() == group["i"].to_numpy()
             order = np.concatenate([np.flatnonzero(mine), np.flatnonzero(~mine)])
-            links = tree_links([sets[k] for k in np.flatnonzero(mine)], [sets[k] for k in np.flatnonzero(~mine)], sizes) if 0 < mine.sum() < len(mine) else []
+            left, right = [sets[k] for k in np.flatnonzero(mine)], [sets[k] for k in np.flatnonzero(~mine)]
+            if not left or not right:
+                return
         ids = first[order]
-        yield pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
+        if counted:
+            count, root = tree_counts(left, right, sizes, group["weight"].to_numpy()[order])
+            linked = np.flatnonzero(count)
+            yield pd.DataFrame({"vertex": ids[linked], "links": count[linked], "root": ids[root[linked]]})
+        else:
+            links = tree_links(left, right, sizes)
+            yield pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
     return lambda frames: runs(frames, ["family", "i", "j"], work)
 
 
-def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Membership and links of the join: ``num * union <= den * overlap`` over sets of ``size``-word shingles.
 
     Returns ``(doc_id, n_shingles, vertex)`` with one row per row of ``docs``, and ``(a, b)``: similar pairs of
-    vertices, as many as connect what all similar pairs connect.
+    vertices, as many as connect what all similar pairs connect. With ``counted``, all similar pairs are found, and the
+    second is ``(vertex, links, root)``: parts of the number of rows with another set that a vertex is similar to, which
+    add up to it, and a vertex that it is connected with.
 
     * null, empty and wordless texts have no shingles, no vertex and no links.
     * fewer words than ``size`` are one shingle, linked with equal sequences only.
@@ -376,8 +456,8 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
     family = family.select(F.col("id").alias("vertex"), F.col("component").alias("family"))
     counts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     # One document stands for each vertex; its shingles are made again from its text.
-    stands = members.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(family.join(counts, "family").join(stands, "vertex").select("doc_id", "vertex", "family", "blocks"), "families")
+    stands = members.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"))
+    wanted = stored(family.join(counts, "family").join(stands, "vertex").select("doc_id", "vertex", "weight", "family", "blocks"), "families")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -386,32 +466,41 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
                 piece = batch.slice(k, 500)
                 found = [shingles(t, size) for t in piece.column("body").to_pylist()]
                 keep = pa.array([len(h) > 0 and vertex(h) == v for h, v in zip(found, piece.column("vertex").to_pylist())])
-                columns = [piece.column(n).filter(keep) for n in ("vertex", "family", "blocks")]
+                columns = [piece.column(n).filter(keep) for n in ("vertex", "weight", "family", "blocks")]
                 hashes = pa.array([h.tobytes() for h, ok in zip(found, keep.to_pylist()) if ok], pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, hashes], names=["id", "family", "blocks", "hashes"])
+                yield pa.RecordBatch.from_arrays([*columns, hashes], names=["id", "weight", "family", "blocks", "hashes"])
 
-    sets = source.join(sent(wanted, 64), source["doc_id"].eqNullSafe(wanted["doc_id"])).select("body", "vertex", "family", "blocks")
-    sets = sets.mapInArrow(rebuild, "id long, family long, blocks long, hashes binary")
+    sets = source.join(sent(wanted, 72), source["doc_id"].eqNullSafe(wanted["doc_id"])).select("body", "vertex", "weight", "family", "blocks")
+    sets = sets.mapInArrow(rebuild, "id long, weight long, family long, blocks long, hashes binary")
     sets = sets.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = sets.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    other = other.select("id", "family", "hashes", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    other = other.select("id", "weight", "family", "hashes", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
     keys = ["family", "i", "j"]
-    links = other.repartition(spread(spark), *keys).sortWithinPartitions(*keys).mapInPandas(_families(num, den), "a long, b long")
+    schema = "vertex long, links long, root long" if counted else "a long, b long"
+    links = other.repartition(spread(spark), *keys).sortWithinPartitions(*keys).mapInPandas(_families(num, den, counted), schema)
     return members, links
 
 
-def classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id``: the smallest doc_id reachable by links, itself included."""
-    members, links = join(docs, size, num, den, text, doc_id)
-    stands = members.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("first"))
+def classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", counted: bool = False) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id``: the smallest doc_id reachable by links, itself included.
+
+    With ``counted`` also ``n_links``, the number of other rows that a row is similar to, equal texts among them.
+    """
+    members, links = join(docs, size, num, den, text, doc_id, counted)
+    stands = members.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    more = ["n_links"] if counted else []
+    if counted:
+        links = stored(links, "links")
+        counts = links.groupBy("vertex").agg(F.sum("links").alias("links"))
+        stands = stands.join(counts, "vertex", "left").withColumn("n_links", F.coalesce("links", F.lit(0).cast("long")) + F.col("weight") - 1)
+        links = links.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
     found = components(links).select(F.col("id").alias("vertex"), "component")
     named = stands.join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = stored(named.join(smallest, "component").select("vertex", "component_id"), "named")
-    return (
-        members.where("vertex IS NOT NULL").join(named, "vertex").select("doc_id", "n_shingles", "component_id")
-        .unionByName(members.where("vertex IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    )
+    named = stored(named.join(smallest, "component").select("vertex", "component_id", *more), "named")
+    alone = members.where("vertex IS NULL").withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+    columns = ["doc_id", "n_shingles", "component_id", *more]
+    return members.where("vertex IS NOT NULL").join(named, "vertex").select(*columns).unionByName(alone.select(*columns))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -125,6 +125,35 @@ def test_tree_links_connect_what_all_pairs_connect():
     assert label(len(sets), jaccard_join.tree_links(sets[:half], sets[half:], sizes)) == label(len(sets), across)
 
 
+def brute_links(rows, size, num, den):
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if (w := words(t)) else set() for _, t in rows]
+    return [sum(1 for j, b in enumerate(sets) if i != j and a and b and den * len(a & b) >= num * len(a | b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("size,num,block,side", [(3, 90, 1024, 1 << 21), (5, 80, 8, 300), (3, 50, 8, 1 << 21), (1, 80, 1024, 300)])
+def test_jaccard_counts_all_links(docs, rows, none, monkeypatch, size, num, block, side):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SIDE", side)
+    found = jaccard_join.classes(docs, size, num, 100, counted=True)
+    given = [(i, t) for i, t, _ in rows]
+    links = sorted(((i, n) for (i, _), n in zip(given, brute_links(given, size, num, 100))), key=str)
+    assert sorted_rows(found.select("doc_id", "n_links")) == links
+    assert sorted_rows(found.drop("n_links")) == brute_components(given, size, num, 100)
+    assert jaccard_join.classes(none, counted=True).count() == 0
+
+
+def test_tree_pairs_are_all_similar_pairs():
+    sizes, rng = jaccard_join.Sizes(80, 100), np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    sets = [np.unique(np.append(rng.permutation(base)[int(rng.integers(0, 8)) :], rng.integers(0, 1 << 63, 3, dtype=np.uint64))) for _ in range(150)]
+    every = {(j, i) for i in range(150) for j in range(i) if jaccard_join.similar(sets[i], sets[j], sizes)}
+    pairs = [(min(i, j), max(i, j)) for i, near in jaccard_join.tree_pairs(sets, None, sizes) for j in near.tolist()]
+    assert len(pairs) == len(every) > 150 and set(pairs) == every  # a connecting forest has 149 at most
+    for cut in (1, 9, 70):
+        across = [(i, j) for i, near in jaccard_join.tree_pairs(sets[:cut], sets[cut:], sizes) for j in near.tolist()]
+        assert len(across) == len(set(across)) and set(across) == {(i, j) for i, j in every if i < cut <= j}
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)]
     found = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
