@@ -8,7 +8,8 @@ tokens to the buckets and get sums back.
 Model. The recurrent network predicts the most frequent words and, for all others, their class of endings; a
 word inside its class has its relative count, and what was never seen has the class's share of words seen once
 (the unseen are one type, as in the unigram score). The state is gated: h' = h + z (c - h), with z and c from the
-last token and h. The softmax is factored: first one of about 16 frequency classes, then the word in it. Training
+last token and h. The softmax is factored: first one of as many frequency classes as the root of the vocabulary,
+then the word in it. The vocabulary has as many words as the root of the counted types, ``WORDS`` at least. Training
 is truncated backpropagation by Adam in numpy over windows of ``WINDOW`` tokens, all lanes of documents side by
 side, the state carried from window to window. Each round, every partition trains on its share of the training
 rows from the same parameters, and the results are averaged by tokens; the rounds together read every row (of
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import parts_for, runs, settle, spread, stored, words
 
-WORDS, ENDINGS, CLASSES = 320, 64, 16
+#: Words of the network at least, and classes of endings.
+WORDS, ENDINGS = 448, 64
 HIDDEN, WINDOW, LANES = 16, 16, 512
 ROUNDS = 2
 #: Tokens of a window that is learnt from at full pace.
@@ -200,11 +202,17 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 # --- the network ---
 
 
+def words_for(types: int) -> int:
+    """Words that the network knows in a corpus of so many types: they grow with it."""
+    return max(WORDS, math.isqrt(types))
+
+
 def initial(weights: np.ndarray) -> dict[str, np.ndarray]:
     """Parameters that begin as the unigram distribution ``weights`` over the vocabulary (most frequent first)."""
     rng = np.random.default_rng(3)
     share = weights / weights.sum()
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(share), np.arange(1, CLASSES) / CLASSES) + 1, [len(share)]]))
+    classes = math.isqrt(len(share))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(share), np.arange(1, classes) / classes) + 1, [len(share)]]))
     cuts = cuts[cuts <= len(share)]
     owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     by_class = np.bincount(owner, share)
@@ -503,7 +511,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         n, types = n + row["tokens"], types + row["types"]
         by_ending += np.frombuffer(bytes(row["by_ending"]), np.int64).reshape(2, -1)
     top_keys, top_counts = frequent(counts, FREQUENT)
-    vocabulary = Vocabulary(top_keys, top_counts, by_ending)
+    vocabulary = Vocabulary(top_keys, top_counts, by_ending, words_for(types))
     p = train(learnt, vocabulary, int(volume)) if n else initial(vocabulary.weights)
     shared = spark.sparkContext.broadcast((p, vocabulary, top_keys, top_counts))
     below = math.log10(n + 0.5 * (types + 1))

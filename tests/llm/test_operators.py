@@ -420,6 +420,18 @@ def test_language_model_learns_context(spark):
     assert gain > 0.1  # one of two vocabularies is worth log10(2) per token
 
 
+@pytest.mark.parametrize("types,own", [(1000, 448), (250_000, 500), (4_000_000, 2000)])
+def test_vocabulary_follows_the_counted_types(types, own):
+    keys = language_model.keys_of([b"w%d" % k for k in range(3000)])
+    counts = np.arange(3000, 0, -1) ** 2
+    ending = np.bincount(keys & (language_model.ENDINGS - 1), counts, language_model.ENDINGS)
+    v = language_model.Vocabulary(keys, counts, np.stack([ending, np.zeros(language_model.ENDINGS)]), language_model.words_for(types))
+    assert v.numbers_of(keys)[1].tolist() == [k < own for k in range(3000)]
+    assert len(set(v.numbers_of(keys[:own])[0].tolist())) == own
+    size = own + language_model.ENDINGS
+    assert 0.7 * size**0.5 < len(language_model.initial(v.weights)["cuts"]) - 1 <= size**0.5
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(1)
     p = language_model.initial(np.arange(40, 0, -1.0))
