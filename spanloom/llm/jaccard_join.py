@@ -39,9 +39,6 @@ BLOCK = 1024
 FLUSH = 1 << 20
 #: Segments of one bucket after the shuffle, about.
 BUCKET = 1 << 21
-#: With enough segments of three (or two) shingles and more, smaller ones are left out, as any shared passage fills
-#: some. Cuts are by hash, so a pair at the threshold then has none of so many in common with a chance below 1e-8.
-STRONG = ((3, 40), (2, 32))
 #: Shingles of the sample that shows which are common, about, and in how many of its sets a common one is.
 SAMPLE, COMMON = 4 << 20, 3
 FAN = 8
@@ -100,6 +97,9 @@ class Sizes:
 
         Sets that agree in a segment agree in its shingles that are not ``common``, so those are hashed. Where a
         set has so many segments without any that all its agreements may lie there, these go with all shingles.
+        Of more than ``allowed`` segments with some, one more than ``allowed`` are enough, those with most shingles,
+        as any shared passage fills the small ones. Their order depends on what they hold alone, so of two similar sets
+        the one whose last segment ranks higher agrees with the other in one that both send.
         """
         own = bisect_right(self.low, len(hashes)) - 1
         out = []
@@ -116,8 +116,8 @@ class Sizes:
             salt = mix((np.uint64(2 * c + 2) << np.uint64(40)) + np.arange(m, dtype=np.uint64))
             held = number[cuts[1:]] - number[cuts[:-1]]
             full = held > 0
-            least = next((size for size, enough in STRONG if int((held >= size).sum()) >= enough), 1)
-            out.append(mix((some[cuts[1:]] - some[cuts[:-1]] + salt)[held >= least]))
+            sent = mix((some[cuts[1:]] - some[cuts[:-1]] + salt)[full])
+            out.append(sent if len(sent) <= k + 1 else sent[np.lexsort((sent, held[full]))[-k - 1 :]])
             if m - int(full.sum()) >= m - k:
                 rest = ~full
                 if int((cuts[1:] == cuts[:-1]).sum()) < m - k:

@@ -109,6 +109,24 @@ def test_segments_never_miss_a_pair(num):
             assert np.intersect1d(sizes.segments(a, common), sizes.segments(b, common)).size
 
 
+@pytest.mark.parametrize("near,share", [(300, 0.3), (340, 0.3), (300, 0.5), (340, 0.5), (380, 0.5)])
+def test_segments_meet_where_differences_hit_the_large_ones(near, share):
+    sizes, rng = jaccard_join.Sizes(80, 100), np.random.default_rng(near)
+    a = np.unique(rng.integers(0, 1 << 64, 2 * near, dtype=np.uint64))
+    a = np.sort(rng.permutation(a)[: min(low for low in sizes.low if low >= near) + 2])
+    common = np.sort(rng.permutation(a)[: int(len(a) * share)])
+    mine = sizes.segments(a, common)
+    lost = {int(s): set(np.setdiff1d(mine, sizes.segments(a[a != s], common)).tolist()) for s in a}
+    b = a[np.isin(a, common[:3], invert=True)]  # of the smaller class, so they meet in the cuts of one class only
+    while jaccard_join.similar(a, b, sizes):
+        met = set(np.intersect1d(mine, sizes.segments(b, common)).tolist())
+        assert met
+        hit = [s for s in b.tolist() if lost.get(s, set()) & met]
+        if not hit:
+            break
+        b = b[b != hit[0]]
+
+
 def test_tree_links_connect_what_all_pairs_connect():
     sizes, rng = jaccard_join.Sizes(80, 100), np.random.default_rng(2)
     bases = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(2, 80)), dtype=np.uint64)) for _ in range(6)]
