@@ -486,6 +486,12 @@ def classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text:
 
     With ``counted`` also ``n_links``, the number of other rows that a row is similar to, equal texts among them.
     """
+    found = _classes(docs, size, num, den, text, doc_id, counted)
+    return found.select("doc_id", "n_shingles", "component_id", *(["n_links"] if counted else []))
+
+
+def _classes(docs: DataFrame, size: int, num: int, den: int, text: str, doc_id: str, counted: bool = False) -> DataFrame:
+    """``classes`` with the ``vertex`` of each row and the ``component`` of the vertex."""
     members, links = join(docs, size, num, den, text, doc_id, counted)
     stands = members.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"))
     more = ["n_links"] if counted else []
@@ -497,35 +503,47 @@ def classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text:
     found = components(links).select(F.col("id").alias("vertex"), "component")
     named = stands.join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = stored(named.join(smallest, "component").select("vertex", "component_id", *more), "named")
-    alone = members.where("vertex IS NULL").withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
-    columns = ["doc_id", "n_shingles", "component_id", *more]
+    named = stored(named.join(smallest, "component").select("vertex", "component", "component_id", *more), "named")
+    alone = members.where("vertex IS NULL").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+    columns = ["doc_id", "n_shingles", "vertex", "component", "component_id", *more]
     return members.where("vertex IS NOT NULL").join(named, "vertex").select(*columns).unionByName(alone.select(*columns))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id (of repeated rows, one of them).
 
-    Documents without words are linked with nothing and stay, as do rows without id.
+    Documents without words are linked with nothing and stay, as do rows without id. An id on rows with different
+    texts goes by row: each stays or goes with the component of its own text.
     """
-    found = classes(docs, size, num, den, text, doc_id)
+    found = _classes(docs, size, num, den, text, doc_id)
     left = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    rest = docs.join(sent(left, 32), docs[doc_id] == left["gone"], "left_anti")
-    again = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
     again = stored(again, "twice")
     if not again.head(1):
-        return rest
-    whole = rest.join(again, rest[doc_id] == again["twice"], "left_anti")
-    mark = free_name("row_number", docs.columns)
-    some = rest.join(again, rest[doc_id] == again["twice"], "left_semi")
-    ordered = some.withColumn(mark, F.row_number().over(_by(doc_id, text)))
-    return whole.unionByName(ordered.where(F.col(mark) == 1).drop(mark))
-
-
-def _by(doc_id: str, text: str):
+        return docs.join(sent(left, 32), docs[doc_id] == left["gone"], "left_anti")
+    whole = docs.join(again, docs[doc_id] == again["twice"], "left_anti")
+    whole = whole.join(sent(left, 32), whole[doc_id] == left["gone"], "left_anti")
+    # Ids on several rows: of each component that such an id stands for, one vertex stays, with one row.
+    stays = found.where("doc_id = component_id AND vertex IS NOT NULL").join(again, F.col("doc_id") == again["twice"], "left_semi")
+    stays = stored(stays.groupBy("component").agg(F.min("doc_id").alias("stays"), F.min("vertex").alias("as")).select("stays", "as"), "stays")
+
+    @F.pandas_udf("long")
+    def vertices(texts: pd.Series) -> pd.Series:
+        return pd.Series([vertex(h) if len(h) else None for h in (shingles(t, size) for t in texts)], dtype="Int64")
+
+    of, mark = free_name("vertex", docs.columns), free_name("row_number", docs.columns)
+    some = docs.join(again, docs[doc_id] == again["twice"], "left_semi").withColumn(of, vertices(F.col(text).cast("string")))
+    ordered = some.where(F.col(of).isNotNull()).withColumn(mark, F.row_number().over(_by(doc_id, of, text)))
+    first = ordered.where(F.col(mark) == 1)
+    first = first.join(stays, (first[doc_id] == stays["stays"]) & (first[of] == stays["as"]), "left_semi")
+    wordless = some.where(F.col(of).isNull())
+    return whole.unionByName(first.drop(of, mark)).unionByName(wordless.drop(of))
+
+
+def _by(doc_id: str, of: str, text: str):
     from pyspark.sql.window import Window
 
-    return Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    return Window.partitionBy(doc_id, of).orderBy(F.xxhash64(text))
 
 
 def report(found: DataFrame) -> DataFrame:

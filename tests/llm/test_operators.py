@@ -96,6 +96,20 @@ def test_jaccard_keeps_one_of_each_group(docs, rows, none):
     assert jaccard_join.keep_one(none).count() == 0 and jaccard_join.classes(none).count() == 0
 
 
+def test_jaccard_keeps_texts_that_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    given = [(1, a), (2, b), (2, c), (3, a + " end"), (3, d), (3, d), (4, d.upper()), (5, ""), (5, " "), (5, b + " end"), (6, c), (6, c + " end"), (None, a)]
+    given += [(7, prose(rng, 60)) for _ in range(2)]
+    near = prose(rng, 60)
+    given += [(8, near), (8, near + " end")]  # one component of one id
+    kept = jaccard_join.keep_one(spark.createDataFrame(given, "doc_id long, text string"))
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    one = [r for r in found if r[0] == 8]
+    assert len(one) == 1 and one[0] in given
+    assert [r for r in found if r[0] != 8] == sorted([(1, a), (2, b), (2, c), (3, d), (5, ""), (5, " "), (None, a), *(r for r in given if r[0] == 7)], key=str)
+
+
 @pytest.mark.parametrize("num", [50, 80, 90, 95])
 def test_segments_never_miss_a_pair(num):
     sizes, rng = jaccard_join.Sizes(num, 100), np.random.default_rng(num)
