@@ -6,10 +6,9 @@ token could still reach back to, the last token of the encoding up to there; a t
 the next state and says how many tokens more (or fewer) the encoding has. States are compiled when first met.
 
 A text is one stream of bytes in which every word start resets the state. The stream is cut into chunks, and
-all chunks advance at once from a guessed start (the reset state). A chunk's state map then is: its end
-state, which any word start inside makes the same for every start state, and the counts up to the point
-where a run from the true start meets the guessed run. A scan composes these maps: only the heads of chunks
-are run again, from the end state of the chunk before, until the two runs meet.
+all chunks advance at once from a guessed start (the reset state). Then the heads of chunks are run again, all
+at once, from the end state of the chunk before, until each run meets the guessed one or a word start. No state
+maps are built and no prefix scan composes them; one word that fills many chunks is run serially.
 
 One map over the documents, no shuffle.
 """
@@ -203,7 +202,7 @@ class Transducer:
             state = np.where(fresh[here], 0, state)
             state, gains[here] = self.step(state, stream[here])
             seen[here] = state
-        # Compose: run the heads again from the true start, round by round until every run has met the guess.
+        # Repair: run the heads again from the true start, round by round until every run has met the guess.
         heads = np.arange(CHUNK, n, CHUNK)
         state = seen[heads - 1]
         while len(heads):
