@@ -356,6 +356,26 @@ def test_pivots(spark, monkeypatch, block):
     assert pivots.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_pivots_find_partners_near_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    one = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = one(rng.normal(size=(3000, 64)))
+    away = rng.normal(size=a.shape)
+    away = one(away - (away * a).sum(axis=1, keepdims=True) * a)
+    cosine = rng.uniform(0.95, 0.97, (3000, 1))
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * away])
+    unit = np.stack([pivots.unit(v) for v in x])
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    degree = np.bincount(np.concatenate([i, j]), minlength=len(x))
+    assert len(pivots.choose(list(unit[: pivots.SAMPLE]))) == 256 and len(i) > 2900
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in pivots.near_duplicates(table).select("vec_id", "n_links").collect()}
+    assert all(found[k] <= degree[k] for k in range(len(x)))
+    recall = sum(found.values()) / degree.sum()
+    print(f"recall {recall:.4f} of {len(i)} pairs")
+    assert recall >= 0.9
+
+
 # ---------------------------------------------------------------- 7
 
 
