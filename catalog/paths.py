@@ -98,6 +98,11 @@ register(
     f"{EV} SELECT span_id, event_outcome AS outcome, message FROM ev WHERE trace_id = 'trace-3'",
 )(lambda spark, sf: replay.replay_one(events(spark, sf), trace_id="trace-3").select("span_id", "outcome", "message"))
 
+register(
+    "replay_every",
+    f"{EV} SELECT trace_id AS scope, span_id, event_outcome AS outcome, message FROM ev WHERE trace_id IS NOT NULL",
+)(lambda spark, sf: replay.in_order(replay.replay(events(spark, sf))).select("scope", "span_id", "outcome", "message"))
+
 CONFLICT = """'{"gen_ai": {"tool": {"name": "other"}, "agent_ext": {"latency_ms": "x' || event_id || '"}}, "service": {"name": "svc"}}'"""
 
 

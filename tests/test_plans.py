@@ -392,6 +392,17 @@ def test_replay_rows(spark):
         replay.replay_one(rows)
 
 
+def test_every_replayed_trace_is_that_of_its_own_replay(spark):
+    from catalog import projection, registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = projection.events(spark, sf)
+    every = registry.plans()["replay_every"](spark, sf).collect()
+    assert len(every) == rows.where("trace_id IS NOT NULL").count() > 8
+    one = replay.replay_one(rows, trace_id="trace-3").select("span_id", "outcome", "message").collect()
+    assert [tuple(r)[1:] for r in every if r.scope == "trace-3"] == [tuple(r) for r in one]
+
+
 # ---------------------------------------------------------------- health
 def test_coverage_and_score(spark):
     rows = events_of(spark, [{"tool_name": "t", "conversation_id": "c", "turn_id": "u", "component_type": "tool"}, {"tool_name": "t"}])
