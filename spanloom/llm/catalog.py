@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hard_negatives, jaccard_join, language_model, mixing, pivots, quality, repeats, token_counts, token_files, warc
+from . import alignment, chat_format, decontaminate, hard_negatives, jaccard_join, language_model, mixing, pivots, quality, repeats, token_counts, token_files, warc
 from .common import stored
 
 PLANS: dict = {}
@@ -90,6 +90,12 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(repeats.remove(table(spark, sf_dir, "documents"), length=200))
 
 
+@plan
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.report(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @plan
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).selectExpr(

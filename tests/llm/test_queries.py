@@ -17,6 +17,9 @@ COLUMNS = {
     "op7_quality": ["doc_id", "held_out", "score", "predicted"],
     "op8_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_language_model": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op11_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
     "op10_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
 }
 TABLE = {"op5_warc": "pages", "op6_pivots": "embeddings"}
