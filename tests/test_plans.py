@@ -83,7 +83,7 @@ def test_quantiles_against_brute_force(spark):
 def test_quantiles_join_path_for_many_groups(spark, monkeypatch):
     from spanloom import session
 
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     rows = [(i % 7, i) for i in range(500)]
     out = quantiles(spark.createDataFrame(rows, "g int, v bigint"), ["g"], "v", {"p": 0.9}).collect()
     assert {r.g: r.p for r in out} == {g: pytest.approx(exact([v for k, v in rows if k == g], 0.9)) for g in range(7)}
