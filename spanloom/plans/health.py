@@ -124,7 +124,11 @@ def canaries(sent: DataFrame, events: DataFrame, dataset: str = CANARY_DATASET)
         .groupBy("verify_id")
         .agg(F.max_by(F.struct("event_dataset", "service_name"), "ts").alias("_l"))
     )
-    joined = sent.join(landed, "verify_id", "left")
+    return canary_verdicts(sent.join(landed, "verify_id", "left"), dataset)
+
+
+def canary_verdicts(joined: DataFrame, dataset: str = CANARY_DATASET) -> DataFrame:
+    """The same of canaries that stand beside what landed, a struct ``_l`` or null."""
     arrived = F.col("_l").isNotNull()
     dataset_ok = F.coalesce(F.col("_l.event_dataset") == dataset, F.lit(False))
     service_ok = F.coalesce(F.col("_l.service_name") != "", F.lit(False))

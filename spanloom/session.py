@@ -19,6 +19,8 @@ def session(app: str = "spanloom", master: str | None = None, **conf: str) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        # rows of one session meet in their map task first, so a busy conversation is not one task's input
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     )
     if master:
         builder = builder.master(master)
