@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from spanloom.session import scratch_path
 from spanloom.sources import events as store
-from spanloom.streaming import ingest, joins, metrics, sessions
+from spanloom.streaming import ingest, joins, metrics, sessions, watch
 
-from .core import EV, register
+from . import streams
+from .core import EV, SQL, register
 from .ingest import EDGES
 from .projection import events, shape, table
 from .streams import HOUR, _drain, _stream
@@ -126,3 +127,31 @@ def ingest_batches(spark, sf):
     rows = store.conform(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     ingest.start(rows, out, scratch_path(spark, "batches-checkpoint")).awaitTermination()
     return store.scan(spark, out).groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("span_id").alias("spans"))
+
+
+# ---------------------------------------------------------------- alerts with the baseline in state
+def _watched(spark, sf, slow=1, rows=False):
+    facts, out = scratch_path(spark, "facts"), scratch_path(spark, "state-alerts")
+    written = scratch_path(spark, "state-alert-rows") if rows else None
+    stream = _stream(spark, sf).withColumn("event_duration", F.col("event_duration") * slow)
+    watch.roll_up(stream, facts, scratch_path(spark, "facts-checkpoint"), streams.EVERY, ["service_name"], "10 minutes").awaitTermination()
+    query = watch.watch(spark, facts, out, scratch_path(spark, "state-checkpoint"), streams.EVERY, streams.BASELINE, streams.RULES, rows_out=written)
+    query.awaitTermination()
+    return spark.read.parquet(written or out)
+
+
+@register("alert_state_stream", SQL["alert_stream"])
+def alert_state_stream(spark, sf):
+    """The same alerts as alert_stream; no event is read twice."""
+    return streams._values(_watched(spark, sf))
+
+
+@register("alert_state_slow", f"SELECT * FROM ({SQL['alert_windows_slow']}) WHERE {streams.CLOSED_DAYS.replace('ev)', 'events)')}")
+def alert_state_slow(spark, sf):
+    """Latency alerts with exact baselines, durations of minutes."""
+    return streams._values(_watched(spark, sf, 20)).where(F.col("alert_type") == "latency_degradation")
+
+
+@register("alert_state_rows", SQL["alert_stream_rows"])
+def alert_state_rows(spark, sf):
+    return _watched(spark, sf, rows=True).select("scope", "event_action", "event_outcome", "alert_severity", "event_dataset")

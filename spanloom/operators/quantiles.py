@@ -21,7 +21,8 @@ from ..session import cut, small_side
 BUCKETS_PER_E = 1024
 
 
-def _bucket(value: Column) -> Column:
+def value_bucket(value: Column) -> Column:
+    """Number of the logarithmic bucket of a value; buckets are in the order of their values."""
     # powers of e are offset so that every magnitude a double has keeps the order of its sign
     size = F.floor((F.log(F.abs(value)) + F.lit(800.0)) * F.lit(BUCKETS_PER_E)).cast("bigint")
     return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, size).otherwise(-size)
@@ -71,13 +72,27 @@ def _picked(near: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) ->
     return picked.select(*keys, *[column.alias(name) for name, column in between.items()])
 
 
+def counted_quantiles(values: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Percentiles per group of values that are counted already (``_v``, ``_c`` times; a value may come in several rows)."""
+    by = list(by)
+    known = values.select(*by, "_v", "_c", value_bucket(F.col("_v")).alias("_b"))
+    targets = _holding(known.groupBy(*by, "_b").agg(F.sum("_c").alias("_c")), by, probs).drop("_c")
+    near = known.join(targets, [*by, "_b"]).groupBy(*by, "_b", "_v", "_before", "_n").agg(F.sum("_c").alias("_c"))
+    return _picked(near, by, probs)
+
+
+def opened_buckets(near: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Percentiles from the counted values of the buckets that hold them: ``by, _b, _v, _c, _before`` (rows below the bucket), ``_n`` (rows in all)."""
+    return _picked(near, list(by), probs)
+
+
 def sliding_quantiles(rows: DataFrame, by: str, start: str, value: str, every: int, reach: int, probs: Mapping[str, float]) -> DataFrame:
     """Percentiles of the rows ``every`` to ``reach`` seconds before each window; exact.
 
     Rows carry their tumbling window's ``start`` in seconds. Counts per value bucket are handed to the windows
     that look back on them; only the values of the buckets that hold a wanted rank are read again.
     """
-    known = rows.where(F.col(value).isNotNull()).select(by, F.col(start).alias("_at"), F.col(value).alias("_v"), _bucket(F.col(value)).alias("_b"))
+    known = rows.where(F.col(value).isNotNull()).select(by, F.col(start).alias("_at"), F.col(value).alias("_v"), value_bucket(F.col(value)).alias("_b"))
     values = known.groupBy(by, "_at", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
     windows = F.explode(F.transform(F.sequence(F.lit(1), F.lit(reach // every)), lambda k: F.col("_at") + k * every))
     counts = values.groupBy(by, "_at", "_b").agg(F.sum("_c").alias("_c")).select(by, "_b", "_c", windows.alias(start))
@@ -119,11 +134,11 @@ def quantiles(
 
     keys = by or ["_all"]
     keyed = df if by else df.withColumn("_all", F.lit(0))
-    rows = keyed.where(value.isNotNull()).select(*keys, value.alias("_v"), _bucket(value).alias("_b"))
+    rows = keyed.where(value.isNotNull()).select(*keys, value.alias("_v"), value_bucket(value).alias("_b"))
 
     if measures:
         first = cut(
-            keyed.withColumn("_b", _bucket(value))
+            keyed.withColumn("_b", value_bucket(value))
             .groupBy(*keys, "_b")
             .agg(F.count(value).alias("_c"), *[m.alias(name) for name, m in measures.items()])
         )

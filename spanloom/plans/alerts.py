@@ -14,12 +14,12 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import count_if, failed, fixed, keep_external, top_key, total
+from ..functions.measures import count_if, exact, failed, fixed, keep_external, top_key, total
 from ..functions.timeframe import at_least, bucket, within
 from ..operators.facets import best, facet_counts, ranked_lists
-from ..operators.quantiles import merge_groups, quantiles, sliding_quantiles
+from ..operators.quantiles import counted_quantiles, merge_groups, quantiles, sliding_quantiles, value_bucket
 from ..session import cut
-from .report import turns_by_latency
+from .report import turns_by_latency, turns_from_counts
 
 
 @dataclass(frozen=True)
@@ -177,13 +177,7 @@ def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFr
             tokens=total("input_tokens"),
             retries=total("retry_count"),
         )
-        ranked = ranked_lists(counts, facet_lists, LIST_SIZE, ["scope"], FAILURE_LISTS)
-        entry = F.struct("rank", "key", "count", "value")
-        parts.append(
-            ranked.groupBy("scope").agg(
-                *[F.array_sort(F.collect_list(F.when(F.col("list") == n, entry))).cast(ENTRY).alias(n) for n in facet_lists]
-            )
-        )
+        parts.append(_top_lists(counts, facet_lists))
     if needs_p95:
         p95 = cut(windowed_p95(rows, approx))  # one row per scope, side and tool, read twice
         sides = (("", "current"), ("b_", "baseline"))
@@ -201,6 +195,64 @@ def _evidence(rows: DataFrame, only: Sequence[str], approx: bool) -> list[DataFr
     return parts
 
 
+def _top_lists(counts: DataFrame, lists: Mapping[str, tuple[str, str]]) -> DataFrame:
+    ranked = ranked_lists(counts, lists, LIST_SIZE, ["scope"], FAILURE_LISTS)
+    entry = F.struct("rank", "key", "count", "value")
+    return ranked.groupBy("scope").agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == n, entry))).cast(ENTRY).alias(n) for n in lists])
+
+
+def window_facts(events: DataFrame, every: str = "15 minutes", by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """All that an alert check asks of a window, counted: one row per window, scope and counted thing (``kind``, ``key``, ``other``, ``number``).
+
+    Works on tables and, with a watermark on ``ts``, on streams. Kinds: ``all``; the facets; ``bucket`` (value bucket of the duration);
+    ``duration`` (its value, per tool); ``turn_session`` and ``turn_component``.
+    """
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    def thing(kind: str, key: Column = text, other: Column = text, number: Column = none, needs: Column | None = None) -> Column:
+        one = F.struct(F.lit(kind).alias("kind"), key.alias("key"), other.alias("other"), number.alias("number"))
+        return one if needs is None else F.when(needs.isNotNull(), one)
+
+    duration = F.col("event_duration")
+    things = [thing("all"), thing("bucket", number=value_bucket(duration), needs=duration), thing("duration", F.col("tool_name"), number=duration, needs=duration)]
+    things += [thing(facet, F.col(column), needs=F.col(column)) for facet, column in FACETS.items()]
+    things += [thing(f"turn_{side}", F.col("turn_id"), F.col(FACETS[side]), needs=F.col("turn_id")) for side in ("session", "component")]
+    measures = ["event_outcome", "input_tokens", "output_tokens", "retry_count", "latency_ms"]
+    rows = scoped(keep_external(events, "all"), by).select(ts, F.col("scope").alias("base"), *measures, F.explode(F.array_compact(F.array(*things))).alias("t"))
+    grouped = rows.groupBy(F.window(ts, every).alias("w"), "base", "t.kind", "t.key", "t.other", "t.number").agg(
+        F.count(F.lit(1)).alias("count"),
+        count_if(failed()).alias("failures"),
+        total(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).cast("bigint").alias("tokens"),
+        total("input_tokens").cast("bigint").alias("tokens_in"),
+        total("retry_count").cast("bigint").alias("retries"),
+        F.sum(exact("latency_ms")).alias("latency"),
+        F.count("latency_ms").alias("timed"),
+    )
+    return grouped.select(F.col("w.start").alias("window_start"), *[c for c in grouped.columns if c != "w"])
+
+
+def window_scope() -> Column:
+    return F.concat("base", F.lit("@"), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def from_facts(facts: DataFrame, baseline: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The wide rows of the windows in ``facts`` (as ``window_facts`` counts them), without reading an event.
+
+    ``baseline`` has ``scope`` and ``b_events``, ``b_errors``, ``b_tokens``, ``b_retries``.
+    """
+    rows = facts.withColumn("scope", window_scope())
+    whole = rows.where(F.col("kind") == "all").select("scope", F.col("count").alias("events"), F.col("failures").alias("errors"), "tokens", "retries")
+    counts = rows.where(F.col("kind").isin(*FACETS)).select("scope", F.col("kind").alias("facet"), "key", "count", "failures", F.col("tokens_in").alias("tokens"), "retries")
+    values = rows.where(F.col("kind") == "duration").select("scope", F.col("key").alias("tool"), F.col("number").alias("_v"), F.col("count").alias("_c"))
+    p95 = counted_quantiles(values.drop("tool"), ["scope"], {"p95": 0.95}).select("scope", (F.col("p95") / F.lit(1e6)).alias("p95_ms"))
+    per_tool = counted_quantiles(values.where(F.col("tool").isNotNull()), ["scope", "tool"], {"p95": 0.95})
+    calls = counts.where(F.col("facet") == "tool").select("scope", F.col("key").alias("tool"), F.col("count").alias("events"))
+    tools = _latency_tools(calls.join(per_tool, ["scope", "tool"], "left").withColumn("p95", F.col("p95") / F.lit(1e6)))
+    sides = F.regexp_extract("kind", "^turn_(.*)$", 1)
+    split = rows.where(F.col("kind").startswith("turn_")).select("scope", F.col("key").alias("turn_id"), sides.alias("side"), F.col("other").alias("key"), F.col("count").alias("n"), "failures", "latency", "timed")
+    return _assemble([whole, baseline, p95, _top_lists(counts, LISTS), tools, _turn_lists(turns_from_counts(split, LIST_SIZE, ["scope"]))], rules)
+
+
 def _assemble(parts: Sequence[DataFrame], rules: Rules) -> DataFrame:
     merged = merge_groups(["scope"], *parts)
     return merged.select(
@@ -271,7 +323,10 @@ def _latency_tools(p95: DataFrame) -> DataFrame:
 
 
 def _slow_turns(current: DataFrame) -> DataFrame:
-    top = turns_by_latency(current, LIST_SIZE, ["scope"])
+    return _turn_lists(turns_by_latency(current, LIST_SIZE, ["scope"]))
+
+
+def _turn_lists(top: DataFrame) -> DataFrame:
     order = Window.partitionBy("scope").orderBy(F.col("avg_latency_ms").desc(), F.col("turn_id"))
     entry = F.struct(
         "rank", F.col("turn_id").alias("key"), F.col("doc_count").alias("count"),

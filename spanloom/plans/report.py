@@ -108,11 +108,17 @@ def slow_turns(events: DataFrame, time_range="now-24h", as_of=None, ts="ts", siz
 def turns_by_latency(rows: DataFrame, size: int, by=()) -> DataFrame:
     """One scan: totals and the counts of both side keys come from the same grouped rows."""
     by = list(by)
+    return turns_from_counts(turn_counts(rows, by), size, by)
+
+
+def turn_counts(rows: DataFrame, by=()) -> DataFrame:
+    """Rows, failures and latency per turn and session, and per turn and component."""
+    by = list(by)
     sides = F.array(
         F.struct(F.lit("session").alias("side"), F.col("conversation_id").alias("key")),
         F.struct(F.lit("component").alias("side"), F.col("component_type").alias("key")),
     )
-    split = (
+    return (
         rows.where(F.col("turn_id").isNotNull())
         .select(*by, "turn_id", "event_outcome", "latency_ms", F.explode(sides).alias("_s"))
         .groupBy(*by, "turn_id", F.col("_s.side").alias("side"), F.col("_s.key").alias("key"))
@@ -124,6 +130,11 @@ def turns_by_latency(rows: DataFrame, size: int, by=()) -> DataFrame:
         )
     )
 
+
+def turns_from_counts(split: DataFrame, size: int, by=()) -> DataFrame:
+    """The slowest turns out of ``turn_counts``."""
+    by = list(by)
+
     def once(column: str):
         return F.sum(F.when(F.col("side") == "session", F.col(column)))
 
