@@ -55,3 +55,23 @@ register(
     "replay_text",
     f"{_tree('trace_id')} SELECT tr.scope, tr.span_id, {TEXT} AS text FROM tr JOIN nd ON nd.scope = tr.scope AND nd.span_id = tr.span_id",
 )(lambda spark, sf: replay.lines(replay.replay(events(spark, sf))).select("scope", "span_id", "text"))
+
+
+def _toured(scope, name):
+    register(
+        f"replay_{name}_tour",
+        f"""{EV.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_nodes(scope)},
+lk AS (SELECT nd.*, p.span_id AS up FROM nd LEFT JOIN nd p ON p.scope = nd.scope AND p.span_id = nd.parent_id),
+tr AS (SELECT scope, span_id, span_id AS root, 0 AS depth, [(ts, step, span_id)] AS path FROM lk WHERE up IS NULL
+  UNION ALL SELECT lk.scope, lk.span_id, tr.root, tr.depth + 1, list_append(tr.path, (ts, step, lk.span_id)) FROM lk JOIN tr ON tr.scope = lk.scope AND tr.span_id = lk.up),
+an AS (SELECT scope, span_id AS top, span_id, up FROM lk UNION ALL SELECT an.scope, lk.span_id, an.span_id, lk.up FROM an JOIN lk ON lk.scope = an.scope AND lk.span_id = an.up),
+sm AS (SELECT an.scope, top, count(*) AS events, count(*) FILTER (event_outcome = 'failure') AS failures, sum(CAST(latency_ms AS DECIMAL(30,6))) AS latency
+  FROM an JOIN nd ON nd.scope = an.scope AND nd.span_id = an.span_id GROUP BY 1, 2)
+SELECT tr.scope, tr.span_id, root, CAST(depth AS INTEGER) AS depth, row_number() OVER (PARTITION BY tr.scope ORDER BY path) - 1 AS pre,
+  row_number() OVER (PARTITION BY tr.scope ORDER BY path) + events - 2 AS last, events, failures, CAST(latency AS DOUBLE) AS latency
+FROM tr JOIN sm ON sm.scope = tr.scope AND sm.top = tr.span_id""",
+    )(lambda spark, sf: replay.toured(events(spark, sf), scope).withColumn("latency", F.col("latency").cast("double")))
+
+
+_toured("trace_id", "trace")
+_toured("conversation_id", "session")

@@ -5,12 +5,13 @@ Each has a form for one id and a form that answers for every id in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import average, count_if, exact, failed, fixed, keep_external, money, total
 from ..functions.timeframe import at_least
 from ..operators.facets import best, terms
+from ..operators.ordering import numbered
 from ..operators.quantiles import quantiles
 
 TRACE_COLUMNS = (
@@ -35,9 +36,8 @@ def _recent(events: DataFrame, time_range: str, as_of) -> DataFrame:
 
 def _numbered(rows: DataFrame, group: str, size: int | None) -> DataFrame:
     """Rows with their place in their group; all of them unless a ``size`` is asked for."""
-    order = Window.partitionBy(group).orderBy(F.col("ts").asc(), F.col("span_id").asc_nulls_last())
-    numbered = rows.withColumn("seq", F.row_number().over(order))
-    return numbered if size is None else numbered.where(F.col("seq") <= size)
+    placed = numbered(rows, [group], "ts", [F.col("span_id").asc_nulls_last()]).withColumn("seq", F.col("seq").cast("int"))
+    return placed if size is None else placed.where(F.col("seq") <= size)
 
 
 def _first(rows: DataFrame, size: int | None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.forest import forest, last_per_span
+from ..operators.tour import tour
 
 # Fields of a replayed node.
 NODE_FIELDS = {
@@ -77,13 +78,28 @@ def nodes(events: DataFrame, scope: str = "trace_id") -> DataFrame:
 def replay(events: DataFrame, scope: str = "trace_id") -> DataFrame:
     """Every reachable node with depth, root and pre-order path.
 
-    The forest is built from the edges alone; the node fields join it once.
+    The forest is built from the edges alone; the node fields join it once. A path is as long as the tree is
+    deep: for chains of thousands of spans take ``toured``.
     """
     shaped = _shaped(events, scope)
     placed = forest(_last(shaped, ["parent_id"]), "scope")
     return _last(shaped, list(NODE_FIELDS.values())).join(placed, ["scope", "span_id"])
 
 
+def toured(events: DataFrame, scope: str = "trace_id") -> DataFrame:
+    """Every reachable node with depth, root, pre-order place and what its subtree holds; for trees of any depth.
+
+    ``events``, ``failures`` and ``latency`` (milliseconds, a decimal) are sums over the subtree, the node included. The nodes of a subtree
+    are those of its scope with places ``pre`` to ``last``, so a listing or a cut of a tree is a range of one column.
+    """
+    found = _last(_shaped(events, scope), ["parent_id", "outcome", "latency_ms"])
+    edges = found.select(
+        "scope", "span_id", "parent_id", "place", F.col("place.timestamp").alias("_at"), F.col("events").cast("bigint").alias("events"),
+        F.when(F.col("outcome") == "failure", 1).otherwise(0).cast("bigint").alias("failures"), F.col("latency_ms").cast("decimal(38,6)").alias("latency"),
+    )
+    return tour(edges, "scope", at="_at", weights=["events", "failures", "latency"])
+
+
 def replay_one(events: DataFrame, session_id: str = "", trace_id: str = "", max_events: int | None = None) -> DataFrame:
     """Tree of one session (it takes precedence) or one trace, in print order."""
     if not session_id and not trace_id:

@@ -72,3 +72,22 @@ def small_side(df: DataFrame, limit: int | None = None, cheap: bool = False) ->
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in kept.columns), F.lit(0))
     size = kept.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
     return F.broadcast(kept) if size <= (BROADCAST_BYTES if limit is None else limit) else kept
+
+
+class Rounds:
+    """Tables of an iteration in the shared folder; a round takes the place of the one before the last, which nobody reads any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.kept = spark, scratch_path(spark, label), []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{len(self.kept)}"
+        df.write.parquet(path)
+        self.kept.append(path)
+        if len(self.kept) > 2:
+            self._remove(self.kept[-3])
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _remove(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
