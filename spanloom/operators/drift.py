@@ -1,4 +1,9 @@
-"""Difference between declared and live JSON documents, for many documents at once."""
+"""Difference between declared and live JSON documents, for many documents at once.
+
+Trees of hashes: every document has one for its whole text, and only documents whose hashes differ are brought together. From
+there on both sides of a path stand in one row; a subtree that reads the same on both sides stops at its root, the others are
+opened, one level per round. So the work follows what differs, and no level is joined.
+"""
 
 from __future__ import annotations
 
@@ -7,41 +12,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small_side, spread
 
 _OBJECT = "map<string,variant>"
 _LIST = "array<variant>"
 
 
-def json_nodes(documents: DataFrame, key: str, body: str) -> DataFrame:
-    """Every object, list and value of each document, one level per round.
+def unequal(local: DataFrame, remote: DataFrame, key: str, body: str) -> DataFrame:
+    """``key, v, w``: both sides of the documents that are in both tables and do not have the same text."""
+    # Dealt by key in full: a few input splits can hold many times their size in members.
+    many = spread(local.sparkSession)
+    ours, theirs = (df.select(F.col(key).alias("_k"), F.col(body).cast("string").alias("_b")) for df in (local, remote))
+    marked = ours.select("_k", F.sha2("_b", 256).alias("_h")).join(theirs.select("_k", F.sha2("_b", 256).alias("_g")), "_k")
+    apart = small_side(marked.where(~F.col("_h").eqNullSafe(F.col("_g"))).select("_k").distinct(), cheap=True)
+    left, right = ours.join(apart, "_k", "left_semi"), theirs.join(apart, "_k", "left_semi").withColumnRenamed("_b", "_c")
+    both = left.repartition(many, "_k").join(right.repartition(many, "_k"), "_k").where(~F.col("_b").eqNullSafe(F.col("_c")))
+    return both.select(F.col("_k").alias(key), F.try_parse_json("_b").alias("v"), F.try_parse_json("_c").alias("w"))
 
-    Result: ``key, path, parent, kind, text, size``. Paths read ``a.b[0].c``. The
-    documents are spread over the tasks before they are opened: a few input splits
-    can hold many times their size in nodes.
-    """
-    level = documents.repartition(F.col(key)).select(
-        key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.try_parse_json(F.col(body)).alias("v")
-    )
-    done: list[DataFrame] = []
-    while True:
-        opened = cut(
-            level.withColumn("o", F.try_variant_get("v", "$", _OBJECT)).withColumn("l", F.try_variant_get("v", "$", _LIST))
-        )
-        kind = F.when(F.col("o").isNotNull(), "object").when(F.col("l").isNotNull(), "list").otherwise("value")
-        done.append(
-            opened.select(
-                key, "path", "parent", kind.alias("kind"), F.to_json("v").alias("text"), F.coalesce(F.size("o"), F.size("l")).alias("size")
-            )
-        )
-        inner = opened.where(F.col("o").isNotNull() | F.col("l").isNotNull())
-        if inner.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        children = F.expr(
-            "if(o IS NOT NULL, transform(map_entries(o), e -> named_struct('path', concat(path, if(path = '', '', '.'), e.key), 'v', e.value)), "
-            "transform(l, (x, i) -> named_struct('path', concat(path, '[', i, ']'), 'v', x)))"
-        )
-        level = inner.select(key, F.col("path").alias("parent"), F.explode(children).alias("c")).select(key, "c.path", "parent", "c.v")
+
+def _opened(level: DataFrame) -> DataFrame:
+    """Kind of both sides, and their members where one is a container."""
+    rows = level
+    for side in "vw":
+        rows = rows.withColumn(f"{side}o", F.try_variant_get(side, "$", _OBJECT)).withColumn(f"{side}l", F.try_variant_get(side, "$", _LIST))
+        rows = rows.withColumn(f"{side}k", F.when(F.col(f"{side}o").isNotNull(), "object").when(F.col(f"{side}l").isNotNull(), "list").otherwise("value"))
+    return rows
 
 
 def _same(left: Column, right: Column) -> Column:
@@ -58,30 +53,41 @@ def drift(local: DataFrame, remote: DataFrame, key: str = "asset", body: str = "
     A missing object is reported once, at its top; lists of different length are
     reported and compared as far as both go.
     """
-    ours = json_nodes(local, key, body)
-    theirs = json_nodes(remote, key, body).select(
-        F.col(key).alias("_k"), F.col("path").alias("_p"), F.col("kind").alias("_kind"), F.col("text").alias("_text"), F.col("size").alias("_size")
-    )
-    parents = theirs.where(F.col("_kind") == "object").select(F.col("_k").alias("_pk"), F.col("_p").alias("_pp"))
-    both = ours.join(theirs, (F.col(key) == F.col("_k")) & (F.col("path") == F.col("_p")), "left")
-    found = both.join(parents, (F.col(key) == F.col("_pk")) & (F.col("parent") == F.col("_pp")), "left")
+    # "has": the remote side has this path; "inside": its parent there is an object, so a member can be missing.
+    level = unequal(local, remote, key, body).select(key, F.lit("").alias("path"), "v", "w", F.lit(True).alias("has"))
+    size = lambda side: F.coalesce(F.size(f"{side}o"), F.size(f"{side}l"))
     kind = (
-        F.when(F.col("_k").isNull(), F.when(F.col("_pk").isNotNull(), "missing_in_remote"))
-        .when(F.col("kind") != F.col("_kind"), "value_mismatch")
-        .when((F.col("kind") == "list") & (F.col("size") != F.col("_size")), "list_length_mismatch")
-        .when((F.col("kind") == "value") & ~_same(F.col("text"), F.col("_text")), "value_mismatch")
+        F.when(~F.col("has"), "missing_in_remote")
+        .when(F.col("vk") != F.col("wk"), "value_mismatch")
+        .when((F.col("vk") == "list") & (size("v") != size("w")), "list_length_mismatch")
+        .when((F.col("vk") == "value") & ~_same(F.to_json("v"), F.to_json("w")), "value_mismatch")
     )
-    return (
-        found.withColumn("type", kind)
-        .where(F.col("type").isNotNull())
-        .select(
-            key,
-            "path",
-            "type",
-            F.when(F.col("type") == "list_length_mismatch", F.col("size").cast("string")).otherwise(F.col("text")).alias("local"),
-            F.when(F.col("type") == "list_length_mismatch", F.col("_size").cast("string")).otherwise(F.col("_text")).alias("remote"),
-        )
+    long = F.col("type") == "list_length_mismatch"
+    members = F.expr(
+        "CASE WHEN vo IS NOT NULL AND wo IS NOT NULL THEN transform(map_entries(vo), e -> named_struct('path', concat(path, if(path = '', '', '.'), e.key), 'v', e.value, "
+        "  'w', try_element_at(wo, e.key), 'has', map_contains_key(wo, e.key))) "
+        "WHEN vl IS NOT NULL AND wl IS NOT NULL THEN transform(slice(vl, 1, least(size(vl), size(wl))), (x, i) -> named_struct('path', concat(path, '[', i, ']'), 'v', x, 'w', wl[i], 'has', true)) "
+        "WHEN vl IS NOT NULL AND wo IS NOT NULL THEN transform(vl, (x, i) -> named_struct('path', concat(path, '[', i, ']'), 'v', x, 'w', CAST(NULL AS VARIANT), 'has', false)) END"
     )
+    done = []
+
+    def differing(opened: DataFrame) -> DataFrame:
+        """Notes what differs on this level; gives the members of the next that do not read the same on both sides.
+
+        Numbers that read differently are compared when they are reached.
+        """
+        typed = opened.withColumn("type", kind).where(F.col("type").isNotNull())
+        done.append(typed.select(
+            key, "path", "type", F.when(long, size("v").cast("string")).otherwise(F.to_json("v")).alias("local"), F.when(long, size("w").cast("string")).otherwise(F.to_json("w")).alias("remote")
+        ))
+        inner = opened.where(F.col("has") & (F.col("vk") != "value")).select(key, F.explode(members).alias("m")).select(key, "m.*")
+        return inner.where(~F.col("has") | ~F.to_json("v").eqNullSafe(F.to_json("w")))
+
+    while True:
+        below = differing(cut(_opened(level)))
+        level = differing(_opened(below))  # two levels a round
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def drift_status(local: DataFrame, remote: DataFrame, key: str = "asset", body: str = "body") -> DataFrame:

@@ -10,8 +10,11 @@ the group's size; equal values collapse into one row before any sort.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -86,23 +89,60 @@ def opened_buckets(near: DataFrame, by: Sequence[str], probs: Mapping[str, float
     return _picked(near, list(by), probs)
 
 
+def _sliding_ranks(key: str, every: int, steps: int, probs: Sequence[float]):
+    """For the windows of one stretch of time: the buckets that hold the wanted ranks of the ``steps`` windows before each.
+
+    Counts per bucket slide along: what enters is added, what leaves is taken off, so a cell is touched twice however long the reach.
+    """
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        cells, asked = group[group["_b"].notna()].sort_values("_at"), np.unique(group[group["_b"].isna()]["_at"].to_numpy(np.int64))
+        buckets, place = np.unique(cells["_b"].to_numpy(np.int64), return_inverse=True)
+        at, count = cells["_at"].to_numpy(np.int64), cells["_c"].to_numpy(np.int64)
+        entered, left = np.searchsorted(at, asked, side="left"), np.searchsorted(at, asked - steps * every, side="left")
+        held, out, first, last = np.zeros(len(buckets), np.int64), [], 0, 0
+        for window, upto, gone in zip(asked.tolist(), entered.tolist(), left.tolist()):
+            np.add.at(held, place[last:upto], count[last:upto])
+            np.subtract.at(held, place[first:gone], count[first:gone])
+            first, last = gone, upto
+            running = np.cumsum(held)
+            n = int(running[-1]) if len(running) else 0
+            edges = {edge for p in probs for edge in (math.floor((n - 1) * p), math.ceil((n - 1) * p))} if n else set()
+            for k in {int(np.searchsorted(running, edge, side="right")) for edge in edges}:
+                out.append((window, int(buckets[k]), int(running[k] - held[k]), n))
+        found = pd.DataFrame(out, columns=["_start", "_b", "_before", "_n"], dtype="int64")
+        found.insert(0, key, group[key].iloc[0])
+        return found
+
+    return work
+
+
 def sliding_quantiles(rows: DataFrame, by: str, start: str, value: str, every: int, reach: int, probs: Mapping[str, float]) -> DataFrame:
     """Percentiles of the rows ``every`` to ``reach`` seconds before each window; exact.
 
-    Rows carry their tumbling window's ``start`` in seconds. Counts per value bucket are handed to the windows
-    that look back on them; only the values of the buckets that hold a wanted rank are read again.
+    Rows carry their tumbling window's ``start`` in seconds. They are counted per window and value bucket; time is cut into
+    stretches as long as the reach, so a count is handed to two of them at most, not to every window that looks back on
+    it. A stretch is bounded by its windows times the buckets, whatever the rows. Values are read again only in the buckets
+    that hold a wanted rank, and only in the stretches that see them.
     """
+    steps = reach // every
+    stretch = lambda seconds: F.floor(seconds / F.lit(steps * every)).cast("bigint")
+    seen = F.explode(F.array_distinct(F.array(stretch(F.col("_at") + every), stretch(F.col("_at") + steps * every)))).alias("_stretch")
     known = rows.where(F.col(value).isNotNull()).select(by, F.col(start).alias("_at"), F.col(value).alias("_v"), value_bucket(F.col(value)).alias("_b"))
     values = known.groupBy(by, "_at", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    windows = F.explode(F.transform(F.sequence(F.lit(1), F.lit(reach // every)), lambda k: F.col("_at") + k * every))
-    counts = values.groupBy(by, "_at", "_b").agg(F.sum("_c").alias("_c")).select(by, "_b", "_c", windows.alias(start))
-    summed = counts.groupBy(by, start, "_b").agg(F.sum("_c").alias("_c"))
-    asked = rows.select(by, start).distinct()
-    targets = _holding(summed.join(asked, [by, start], "left_semi"), [by, start], probs)
+    cells = values.groupBy(by, "_at", "_b").agg(F.sum("_c").alias("_c")).select(by, "_at", "_b", "_c", seen)
+    nothing = F.lit(None).cast("bigint")
+    asked = rows.select(by, F.col(start).alias("_at")).distinct().select(by, "_at", nothing.alias("_b"), nothing.alias("_c"), stretch(F.col("_at")).alias("_stretch"))
+    kind = rows.schema[by].dataType.simpleString()
+    found = cells.unionByName(asked).groupBy(by, "_stretch").applyInPandas(
+        _sliding_ranks(by, every, steps, list(probs.values())), f"{by} {kind}, _start bigint, _b bigint, _before bigint, _n bigint"
+    )
+    targets = found.withColumn("_stretch", stretch(F.col("_start")))
     near = (
-        values.join(targets.drop("_c"), [by, "_b"])
-        .where((F.col("_at") <= F.col(start) - every) & (F.col("_at") >= F.col(start) - reach))
-        .groupBy(by, start, "_b", "_v", "_before", "_n")
+        values.select("*", seen)
+        .join(targets, [by, "_stretch", "_b"])
+        .where((F.col("_at") <= F.col("_start") - every) & (F.col("_at") >= F.col("_start") - steps * every))
+        .groupBy(by, F.col("_start").alias(start), "_b", "_v", "_before", "_n")
         .agg(F.sum("_c").alias("_c"))
     )
     return _picked(near, [by, start], probs)

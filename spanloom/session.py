@@ -55,6 +55,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for a shuffle that must not be made smaller: the session's number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that later rounds do not replay it."""
     shared_dir(df.sparkSession)
