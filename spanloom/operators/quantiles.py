@@ -118,22 +118,26 @@ def _sliding_ranks(key: str, every: int, steps: int, probs: Sequence[float]):
 
 
 def sliding_quantiles(rows: DataFrame, by: str, start: str, value: str, every: int, reach: int, probs: Mapping[str, float]) -> DataFrame:
-    """Percentiles of the rows ``every`` to ``reach`` seconds before each window; exact.
+    """Percentiles of the rows ``every`` to ``reach`` seconds before each window; exact. Rows carry their tumbling window's ``start`` in seconds."""
+    values = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(start).alias("_at"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return sliding_counted(values, rows.select(by, F.col(start).alias("_at")).distinct(), by, start, every, reach, probs)
 
-    Rows carry their tumbling window's ``start`` in seconds. They are counted per window and value bucket; time is cut into
-    stretches as long as the reach, so a count is handed to two of them at most, not to every window that looks back on
-    it. A stretch is bounded by its windows times the buckets, whatever the rows. Values are read again only in the buckets
-    that hold a wanted rank, and only in the stretches that see them.
+
+def sliding_counted(values: DataFrame, windows: DataFrame, by: str, start: str, every: int, reach: int, probs: Mapping[str, float]) -> DataFrame:
+    """The same of values counted per window already (``by, _at, _v, _c``), for the given ``windows`` (``by, _at``).
+
+    Counts per window and value bucket: time is cut into stretches as long as the reach, so a count is handed to two of them
+    at most, not to every window that looks back on it. A stretch is bounded by its windows times the buckets, whatever the
+    rows. Values are read again only in the buckets that hold a wanted rank, and only in the stretches that see them.
     """
     steps = reach // every
     stretch = lambda seconds: F.floor(seconds / F.lit(steps * every)).cast("bigint")
     seen = F.explode(F.array_distinct(F.array(stretch(F.col("_at") + every), stretch(F.col("_at") + steps * every)))).alias("_stretch")
-    known = rows.where(F.col(value).isNotNull()).select(by, F.col(start).alias("_at"), F.col(value).alias("_v"), value_bucket(F.col(value)).alias("_b"))
-    values = known.groupBy(by, "_at", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    values = values.select(by, "_at", "_v", "_c", value_bucket(F.col("_v")).alias("_b"))
     cells = values.groupBy(by, "_at", "_b").agg(F.sum("_c").alias("_c")).select(by, "_at", "_b", "_c", seen)
     nothing = F.lit(None).cast("bigint")
-    asked = rows.select(by, F.col(start).alias("_at")).distinct().select(by, "_at", nothing.alias("_b"), nothing.alias("_c"), stretch(F.col("_at")).alias("_stretch"))
-    kind = rows.schema[by].dataType.simpleString()
+    asked = windows.select(by, "_at", nothing.alias("_b"), nothing.alias("_c"), stretch(F.col("_at")).alias("_stretch"))
+    kind = values.schema[by].dataType.simpleString()
     found = cells.unionByName(asked).groupBy(by, "_stretch").applyInPandas(
         _sliding_ranks(by, every, steps, list(probs.values())), f"{by} {kind}, _start bigint, _b bigint, _before bigint, _n bigint"
     )

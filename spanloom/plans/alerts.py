@@ -8,17 +8,17 @@ analyzers are expressions over that row.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import count_if, exact, failed, fixed, keep_external, top_key, total
-from ..functions.timeframe import at_least, bucket, within
+from ..functions.timeframe import at_least, within
 from ..operators.facets import best, facet_counts, ranked_lists
-from ..operators.quantiles import counted_quantiles, merge_groups, quantiles, sliding_quantiles, value_bucket
-from ..session import cut
+from ..operators.quantiles import counted_quantiles, merge_groups, quantiles, sliding_counted, value_bucket
+from ..session import cut, written
 from .report import turns_by_latency, turns_from_counts
 
 
@@ -201,11 +201,11 @@ def _top_lists(counts: DataFrame, lists: Mapping[str, tuple[str, str]]) -> DataF
     return ranked.groupBy("scope").agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == n, entry))).cast(ENTRY).alias(n) for n in lists])
 
 
-def window_facts(events: DataFrame, every: str = "15 minutes", by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+def window_facts(events: DataFrame, every: str = "15 minutes", by: Sequence[str] = (), ts: str = "ts", lists: Collection[str] | None = None) -> DataFrame:
     """All that an alert check asks of a window, counted: one row per window, scope and counted thing (``kind``, ``key``, ``other``, ``number``).
 
-    Works on tables and, with a watermark on ``ts``, on streams. Kinds: ``all``; the facets; ``bucket`` (value bucket of the duration);
-    ``duration`` (its value, per tool); ``turn_session`` and ``turn_component``.
+    Works on tables and, with a watermark on ``ts``, on streams. Kinds: ``all``; the facets; ``bucket`` (value bucket of the duration, on
+    streams); ``duration`` (its value, per tool); ``turn_session`` and ``turn_component``. ``lists`` names the evidence lists wanted.
     """
     none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
 
@@ -214,9 +214,13 @@ def window_facts(events: DataFrame, every: str = "15 minutes", by: Sequence[str]
         return one if needs is None else F.when(needs.isNotNull(), one)
 
     duration = F.col("event_duration")
-    things = [thing("all"), thing("bucket", number=value_bucket(duration), needs=duration), thing("duration", F.col("tool_name"), number=duration, needs=duration)]
-    things += [thing(facet, F.col(column), needs=F.col(column)) for facet, column in FACETS.items()]
-    things += [thing(f"turn_{side}", F.col("turn_id"), F.col(FACETS[side]), needs=F.col("turn_id")) for side in ("session", "component")]
+    wanted = EVIDENCE_LISTS if lists is None else lists
+    facets = {LISTS[name][0] for name in wanted if name in LISTS} | ({"tool"} if "top_latency_tools" in wanted else set())
+    things = [thing("all"), thing("duration", F.col("tool_name"), number=duration, needs=duration)]
+    things += [thing("bucket", number=value_bucket(duration), needs=duration)] if events.isStreaming else []
+    things += [thing(facet, F.col(column), needs=F.col(column)) for facet, column in FACETS.items() if facet in facets]
+    if "top_turns" in wanted:
+        things += [thing(f"turn_{side}", F.col("turn_id"), F.col(FACETS[side]), needs=F.col("turn_id")) for side in ("session", "component")]
     measures = ["event_outcome", "input_tokens", "output_tokens", "retry_count", "latency_ms"]
     rows = scoped(keep_external(events, "all"), by).select(ts, F.col("scope").alias("base"), *measures, F.explode(F.array_compact(F.array(*things))).alias("t"))
     grouped = rows.groupBy(F.window(ts, every).alias("w"), "base", "t.kind", "t.key", "t.other", "t.number").agg(
@@ -235,22 +239,32 @@ def window_scope() -> Column:
     return F.concat("base", F.lit("@"), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-def from_facts(facts: DataFrame, baseline: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def from_facts(facts: DataFrame, baseline: DataFrame, rules: Rules = Rules(), lists: Collection[str] | None = None) -> DataFrame:
     """The wide rows of the windows in ``facts`` (as ``window_facts`` counts them), without reading an event.
 
-    ``baseline`` has ``scope`` and ``b_events``, ``b_errors``, ``b_tokens``, ``b_retries``.
+    ``baseline`` has ``scope`` and ``b_events``, ``b_errors``, ``b_tokens``, ``b_retries``, perhaps ``b_p95_ms``.
     """
+    wanted = EVIDENCE_LISTS if lists is None else lists
     rows = facts.withColumn("scope", window_scope())
     whole = rows.where(F.col("kind") == "all").select("scope", F.col("count").alias("events"), F.col("failures").alias("errors"), "tokens", "retries")
     counts = rows.where(F.col("kind").isin(*FACETS)).select("scope", F.col("kind").alias("facet"), "key", "count", "failures", F.col("tokens_in").alias("tokens"), "retries")
     values = rows.where(F.col("kind") == "duration").select("scope", F.col("key").alias("tool"), F.col("number").alias("_v"), F.col("count").alias("_c"))
-    p95 = counted_quantiles(values.drop("tool"), ["scope"], {"p95": 0.95}).select("scope", (F.col("p95") / F.lit(1e6)).alias("p95_ms"))
-    per_tool = counted_quantiles(values.where(F.col("tool").isNotNull()), ["scope", "tool"], {"p95": 0.95})
-    calls = counts.where(F.col("facet") == "tool").select("scope", F.col("key").alias("tool"), F.col("count").alias("events"))
-    tools = _latency_tools(calls.join(per_tool, ["scope", "tool"], "left").withColumn("p95", F.col("p95") / F.lit(1e6)))
-    sides = F.regexp_extract("kind", "^turn_(.*)$", 1)
-    split = rows.where(F.col("kind").startswith("turn_")).select("scope", F.col("key").alias("turn_id"), sides.alias("side"), F.col("other").alias("key"), F.col("count").alias("n"), "failures", "latency", "timed")
-    return _assemble([whole, baseline, p95, _top_lists(counts, LISTS), tools, _turn_lists(turns_from_counts(split, LIST_SIZE, ["scope"]))], rules)
+    parts = [whole, baseline]
+    named = {name: source for name, source in LISTS.items() if name in wanted}
+    if named:
+        parts.append(_top_lists(counts, named))
+    if "top_latency_tools" in wanted:
+        p95 = counted_quantiles(values.drop("tool"), ["scope"], {"p95": 0.95}).select("scope", (F.col("p95") / F.lit(1e6)).alias("p95_ms"))
+        per_tool = counted_quantiles(values.where(F.col("tool").isNotNull()), ["scope", "tool"], {"p95": 0.95})
+        calls = counts.where(F.col("facet") == "tool").select("scope", F.col("key").alias("tool"), F.col("count").alias("events"))
+        tools = _latency_tools(merge_groups(["scope", "tool"], calls, per_tool).withColumn("p95", F.col("p95") / F.lit(1e6)))
+        parts += [p95, tools]
+    if "top_turns" in wanted:
+        sides = F.regexp_extract("kind", "^turn_(.*)$", 1)
+        split = rows.where(F.col("kind").startswith("turn_"))
+        split = split.select("scope", F.col("key").alias("turn_id"), sides.alias("side"), F.col("other").alias("key"), F.col("count").alias("n"), "failures", "latency", "timed")
+        parts.append(_turn_lists(turns_from_counts(split, LIST_SIZE, ["scope"])))
+    return _assemble(parts, rules)
 
 
 def _assemble(parts: Sequence[DataFrame], rules: Rules) -> DataFrame:
@@ -275,44 +289,27 @@ def per_window(
     rules: Rules = Rules(),
     by: Sequence[str] = (),
     only: Sequence[str] = (),
-    approx: bool = False,
     ts: str = "ts",
 ) -> DataFrame:
     """The wide rows of every tumbling window: each is compared with the time before it.
 
-    Baselines come from a roll-up with one row per scope and window, summed over a
-    range frame, so no event is read once per window it belongs to. The baseline P95
-    is exact: counts per value bucket slide along, and only the bucket that holds
-    the rank is opened.
+    Events are counted once, as facts; all else is read off those. Baselines are sums over a range frame of one row per scope
+    and window. The baseline P95 is exact: counts per value bucket slide along, and only the bucket that holds the rank
+    is opened.
     ``scope`` reads ``<scope>@<window start>``.
     """
-    external = scoped(keep_external(events, "all").withColumn("window_start", bucket(events, every, ts)), by)
-    rows = (
-        external.withColumn("base", F.col("scope"))
-        .withColumn("scope", F.concat("base", F.lit("@"), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
-        .withColumn("in_current", F.lit(True))
-        .withColumn("in_baseline", F.lit(False))
-    )
-    additive = {
-        "events": F.count(F.lit(1)),
-        "errors": count_if(failed()),
-        "tokens": total(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))),
-        "retries": total("retry_count").cast("bigint"),
-    }
-    rolled = rows.groupBy("base", "window_start", "scope").agg(*[c.alias(n) for n, c in additive.items()])
+    spans = events.sparkSession.range(1).select(*[F.expr(f"CAST(INTERVAL {length} AS INTERVAL SECOND)").cast("decimal(20,6)").cast("bigint") for length in (every, baseline)]).first()
+    wanted = {name for kind, lists in EVIDENCE_OF.items() if not only or kind in only for name in lists}
+    facts = written(window_facts(events, every, by, ts, wanted), "facts", "kind")  # the only scan of the events
     seconds = F.unix_timestamp(F.col("window_start").cast("timestamp"))
-    width, reach = (F.expr(f"CAST(INTERVAL {length} AS INTERVAL SECOND)").cast("decimal(20,6)").cast("bigint") for length in (every, baseline))
-    spans = events.sparkSession.range(1).select(width.alias("w"), reach.alias("r")).first()
-    frame = Window.partitionBy("base").orderBy(seconds).rangeBetween(-spans.r, -spans.w)
-    metrics = rolled.select("*", *[F.coalesce(F.sum(n).over(frame), F.lit(0)).alias(f"b_{n}") for n in additive])
-    metrics = metrics.withColumn("_start", seconds)
-    timed = rows.select("base", F.unix_timestamp(F.col("window_start").cast("timestamp")).alias("_start"), "event_duration")
-    slid = sliding_quantiles(timed, "base", "_start", "event_duration", spans.w, spans.r, {"b_p95_ms": 0.95})
-    names = metrics.select("scope", "base", "_start")
-    b_p95 = slid.join(names, ["base", "_start"]).select("scope", (F.col("b_p95_ms") / F.lit(1e6)).alias("b_p95_ms"))
-    base = metrics.select("scope", "events", "errors", "tokens", "retries", "b_events", "b_errors", "b_tokens", "b_retries")
-    mine = {*base.columns, "b_p95_ms"} - {"scope"}
-    return _assemble([base, b_p95, *[part.drop(*mine) for part in _evidence(rows, only, approx)]], rules)
+    frame = Window.partitionBy("base").orderBy(seconds).rangeBetween(-spans[1], -spans[0])
+    names = {"events": "count", "errors": "failures", "tokens": "tokens", "retries": "retries"}
+    whole = facts.where(F.col("kind") == "all").withColumn("scope", window_scope()).withColumn("_start", seconds)
+    before = whole.select("base", "_start", "scope", *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(f"b_{n}") for n, c in names.items()])
+    values = facts.where(F.col("kind") == "duration").groupBy("base", seconds.alias("_at"), F.col("number").alias("_v")).agg(F.sum("count").alias("_c"))
+    slid = sliding_counted(values, whole.select("base", F.col("_start").alias("_at")), "base", "_start", spans[0], spans[1], {"b_p95_ms": 0.95})
+    b_p95 = slid.join(before.select("scope", "base", "_start"), ["base", "_start"]).select("scope", (F.col("b_p95_ms") / F.lit(1e6)).alias("b_p95_ms"))
+    return from_facts(facts, merge_groups(["scope"], before.drop("base", "_start"), b_p95), rules, wanted)
 
 
 def _latency_tools(p95: DataFrame) -> DataFrame:

@@ -66,6 +66,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str, *partition: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, so that each reader takes the columns and partitions it needs."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # A side of a join of at most this size is sent to every task.
 BROADCAST_BYTES = 8 << 20
 
