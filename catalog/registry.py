@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checks, core, evaluations, ingest, live, paths, signals, streams, trees
+from . import checks, core, evaluations, ingest, inputs, live, paths, signals, streams, trees
 
-MODULES = (core, signals, evaluations, trees, ingest, checks, streams, live, paths)
+MODULES = (core, signals, evaluations, trees, ingest, checks, streams, live, inputs, paths)
 
 
 def plans() -> dict:

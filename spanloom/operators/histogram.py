@@ -81,3 +81,25 @@ def roll_up(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
     if "duration_sketch" in metrics.columns:
         parts.append(F.kll_merge_agg_bigint("duration_sketch").alias("duration_sketch"))
     return metrics.groupBy(*by).agg(*parts)
+
+
+def distinct_sketches(
+    df: DataFrame, interval: str, columns: Sequence[str], dimensions: Sequence[str] = (), ts: str = "ts", lg_k: int = 14
+) -> DataFrame:
+    """Distinct values per time bucket and dimensions as mergeable sketches, ``<column>_sketch``: a count distinct that can be stored and rolled up.
+
+    Nulls do not count. A sketch takes at most 2**lg_k bytes; estimates of few hundred values are exact, of more off by
+    ``distinct_error(lg_k)`` at three standard deviations.
+    """
+    return date_histogram(df, interval, dimensions, ts, **{f"{c}_sketch": F.hll_sketch_agg(F.col(c).cast("string"), lg_k) for c in columns})
+
+
+def distinct_counts(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct values over everything that was sketched, per group: a union of sketches, no value is read again."""
+    found = [c for c in sketches.columns if c.endswith("_sketch")]
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c.removesuffix("_sketch")) for c in found])
+
+
+def distinct_error(lg_k: int = 14) -> float:
+    """Relative error of an estimate at three standard deviations."""
+    return 3 * 1.04 / 2 ** (lg_k / 2)
