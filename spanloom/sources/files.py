@@ -67,7 +67,8 @@ def read_text_tree(
 
     UTF-8 (a byte order mark is dropped). With ``encodings`` (for instance ``LADDER``) a file with other bytes is read by the first that
     accepts all of them, and the column ``encoding`` names it. Without, or if none does, ``readable`` is false and the content
-    has replacement characters in place of the other bytes. ``max_bytes`` leaves out larger files, none by default.
+    has replacement characters in place of the other bytes. ``max_bytes`` leaves out larger files, none by default. Empty files
+    are not listed, as Spark does not read them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     base = F.regexp_replace(F.lit(path.rstrip("/")), "^file:/*", "/")
