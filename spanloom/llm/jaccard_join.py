@@ -547,4 +547,4 @@ def _by(doc_id: str, of: str, text: str):
 
 
 def report(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")

@@ -8,7 +8,7 @@ from tests import oracle
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
-    "op1_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+    "op1_jaccard_join": ["doc_id", "n_shingles", "component_id", "n_links"],
     "op2_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op3_repeats": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op4_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
