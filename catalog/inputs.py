@@ -6,14 +6,15 @@ import json
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import histogram
+from spanloom.operators import heavy, histogram, pricing
 from spanloom.operators.normalize import normalize
 from spanloom.plans import panels
 from spanloom.session import scratch_path, written
-from spanloom.sources import files, otlp
+from spanloom.sources import files, otlp, prices
 
 from .core import EV, PANEL, register
 from .ingest import EDGES, _payloads
+from .paths import KNOWN
 from .projection import AS_OF, RANGE, events, table
 from .streams import HOUR
 
@@ -133,3 +134,40 @@ def distinct_roll_up(spark, sf):
         parts.append(histogram.distinct_counts(rows, ["level", "bucket", "service_name"]))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("level", "bucket", "service_name", F.col("conversation_id").alias("sessions"), F.col("tool_name").alias("tools"))
+
+
+# ---------------------------------------------------------------- the first of very many keys
+WORDS = "SELECT unnest(string_split(text, ' ')) AS word FROM documents"
+
+
+@register("top_words", f"SELECT word, count(*) AS count FROM ({WORDS}) WHERE word <> '' GROUP BY 1 ORDER BY count DESC, word LIMIT 25")
+def top_words(spark, sf):
+    """The most frequent of some hundred thousand words, without grouping them all."""
+    rows = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    return heavy.top_keys(rows, "word", 25)
+
+
+@register("top_sessions_stored", f"{EV} SELECT conversation_id, count(*) AS count FROM ev GROUP BY 1 ORDER BY count DESC, conversation_id LIMIT 12")
+def top_sessions_stored(spark, sf):
+    """The busiest sessions of the whole time, from daily counters that were stored."""
+    daily = written(heavy.summaries(events(spark, sf), "conversation_id", "1 day", 64), "counters")
+    chosen, certain = heavy.candidates(daily, 12)
+    rows = events(spark, sf)
+    return heavy.verified(rows, "conversation_id", chosen, 12) if certain else heavy.top_keys(rows, "conversation_id", 12)
+
+
+# ---------------------------------------------------------------- prices as a table
+@register(
+    "price_table",
+    f"""{EV}, k(model, low, high) AS ({KNOWN}) SELECT request_model, CAST(low AS DOUBLE) AS price_in, CAST(high AS DOUBLE) AS price_out, count(*) AS calls
+    FROM ev JOIN k ON k.model = request_model GROUP BY 1, 2, 3""",
+)
+def price_table(spark, sf):
+    """Prices that are a table of 601 rows: distinct models joined on their prefixes."""
+    given = {"House-Model-1": {"input": 1, "output": 2}} | {f"filler-{i}": [i, i] for i in range(600)}
+    known = [(pattern, str(low), str(high)) for pattern, (low, high) in prices.prices(json.dumps(given)).items()]
+    rows = spark.createDataFrame(known, "pattern string, low string, high string")
+    rows = rows.selectExpr("pattern", "CAST(low AS DECIMAL(12,6)) AS price_in", "CAST(high AS DECIMAL(12,6)) AS price_out")
+    priced = pricing.with_price(events(spark, sf).where("request_model IS NOT NULL"), rows)
+    found = priced.groupBy("request_model", F.col("_price.price_in").cast("double").alias("price_in"), F.col("_price.price_out").cast("double").alias("price_out"))
+    return found.agg(F.count(F.lit(1)).alias("calls"))
