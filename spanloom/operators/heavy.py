@@ -76,6 +76,6 @@ def top_keys(df: DataFrame, column: str, size: int = 10, k: int = COUNTERS) -> D
 
 def verified(df: DataFrame, column: str, chosen: DataFrame, size: int) -> DataFrame:
     """The first ``size`` of the chosen keys by their exact counts."""
-    keys = small_side(chosen)
-    mine = df.join(keys, F.col(column).cast("string") == keys["key"], "left_semi")
+    keys = small_side(chosen.select(F.col("key").alias("_chosen")))
+    mine = df.join(keys, F.col(column).cast("string") == F.col("_chosen"), "left_semi")
     return terms(mine, column, size)
