@@ -6,7 +6,13 @@ depends on the size, so a set emits its segments for its own class of sizes and
 that are common (by a sample) are left out of segments that hold others, so shared passages link nobody. Each
 task combines equal segments before the shuffle (a segment that a third of all documents share leaves a task
 once) and links their owners; what meets after the shuffle is linked too. The components of these links are
-families: no similar pair lies across two of them.
+families: no similar pair lies across two of them, but passages that a few documents share chain strangers.
+
+So families are cut before any set is sent. Each set has a parity sketch, a bit per hash range that says whether it
+holds an odd number of shingles there. Every shingle that only one of two sets has flips one bit, so sketches of
+similar sets differ in no more bits than the sets may differ in shingles, while those of strangers differ in many.
+Sketches, a sixtieth of the sets, meet in pairs of blocks of one class of sizes or of neighbouring ones; the
+components of sketches that are near enough are the families that remain.
 
 Inside a family, signature trees find the similar pairs. A leaf holds a set's size and a bitmap of its hashed
 shingles, a node the size range and the OR of its children. Two trees are descended together; a pair of nodes is
@@ -35,6 +41,8 @@ from .common import free_name, parts_for, runs, sent, settle, spread, stored, wo
 from .graph import components
 
 BLOCK = 1024
+#: Sketches of a block, and words of sketches that are compared at once.
+WIDE, TABLE = 4096, 1 << 20
 #: Segments that a task holds before it combines and sends them.
 FLUSH = 1 << 20
 #: Segments of one bucket after the shuffle, about.
@@ -101,7 +109,7 @@ class Sizes:
         as any shared passage fills the small ones. Their order depends on what they hold alone, so of two similar sets
         the one whose last segment ranks higher agrees with the other in one that both send.
         """
-        own = bisect_right(self.low, len(hashes)) - 1
+        own = self.own(len(hashes))
         out = []
         mixed = mix(hashes + np.uint64(0xA0761D6478BD642F))
         rare = np.ones(len(hashes), bool)
@@ -126,6 +134,15 @@ class Sizes:
         return np.concatenate(out)
 
 
+    def own(self, size: int) -> int:
+        """Class of a set of ``size`` shingles."""
+        return bisect_right(self.low, size) - 1
+
+    def bits(self, c: int) -> int:
+        """Width of the sketches of a class: a power of two, about as many bits as shingles."""
+        return 1 << min(16, max(6, self.low[c].bit_length()))
+
+
 @lru_cache
 def sizes_for(num: int, den: int) -> Sizes:
     return Sizes(num, den)
@@ -391,6 +408,94 @@ def tree_counts(left: list[np.ndarray], right: list[np.ndarray] | None, sizes: S
     return count, root
 
 
+def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Bit by bit whether a set holds an odd number of the hashes that are equal modulo ``bits``, in 64-bit words."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """The sketches (a row each) that ``width`` words would have given."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near_links(left: np.ndarray, a: np.ndarray, right: np.ndarray | None, b: np.ndarray, sizes: Sizes) -> list[tuple[int, int]]:
+    """Links that connect whatever sketches near enough connect, inside ``left`` or between it and ``right``.
+
+    ``a`` and ``b`` are the sizes of the sets; numbers of ``right`` continue those of ``left``.
+    """
+    shift = 0 if right is None else len(left)
+    right, b = (left, a) if right is None else (right, b)
+    label = np.arange(len(left) + (len(right) if shift else 0))
+    theirs = np.arange(len(right)) + shift
+    out: list[tuple[int, int]] = []
+    step = max(1, TABLE // max(1, right.size))
+    for k in range(0, len(left), step):
+        x, n = left[k : k + step], a[k : k + step, None]
+        fits = (sizes.den * n >= sizes.num * b) & (sizes.den * b >= sizes.num * n)
+        fits &= np.bitwise_count(x[:, None, :] ^ right).sum(axis=2, dtype=np.int64) <= n + b - 2 * sizes.needed(n, b)
+        for i in np.flatnonzero(fits.any(axis=1)).tolist():
+            near = theirs[fits[i]]
+            met, first = np.unique(label[near], return_index=True)
+            apart = met != label[k + i]
+            if apart.any():
+                out += [(k + i, int(j)) for j in near[first[apart]]]
+                label[np.isin(label, met[apart])] = label[k + i]
+    return out
+
+
+def _near(num: int, den: int):
+    def work(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sizes = sizes_for(num, den)
+        vertices, lengths = group["vertex"].to_numpy(), group["n_shingles"].to_numpy()
+        kind, own = group["class"].to_numpy(), group["own"].to_numpy()
+        low, i, j = (int(group[n].iloc[0]) for n in ("low", "i", "j"))
+        mine = (kind == low) & (own == i)
+        if mine.all() and (group["step"].iloc[0] or i != j) or not mine.any():
+            return
+        sides = [np.flatnonzero(mine)] + ([np.flatnonzero(~mine)] if not mine.all() else [])
+        tables = [np.stack([np.frombuffer(s, np.uint64) for s in group["sketch"].iloc[at]]) for at in sides]
+        width = min(t.shape[1] for t in tables)
+        tables = [folded(t, width) for t in tables]
+        ids = vertices[np.concatenate(sides)]
+        links = near_links(tables[0], lengths[sides[0]], tables[1] if len(sides) > 1 else None, lengths[sides[-1]], sizes)
+        yield pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}, dtype="int64")
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        settle()
+        yield from runs(frames, ["family", "low", "step", "i", "j"], work)
+
+    return near
+
+
+def _cut(members: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
+    """``(vertex, family)`` of families cut by sketches; similar sets stay together, and sets with no near sketch go."""
+    found = members.where("vertex IS NOT NULL").join(family, "vertex").dropDuplicates(["vertex"])
+    found = stored(found.select("vertex", "family", "n_shingles", "class", "sketch"), "sketches")
+    counts = found.groupBy("family", "class").agg(F.count(F.lit(1)).alias("n"))
+    # A family has a few dozen classes of sizes at most.
+    counts = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("rows"))
+
+    def blocks(kind: str) -> str:
+        return f"cast(ceil(try_element_at(rows, {kind}) / {WIDE}) AS int)"
+
+    def across(kind: str, low: str, step: int, i: str, j: str) -> str:
+        pair = f"struct({low} AS low, {step} AS step, {i} AS i, {j} AS j)"
+        return f"if({blocks(kind)} IS NULL, array(), transform(sequence(0, coalesce({blocks(kind)}, 1) - 1), w -> {pair}))"
+
+    pairs = f"""concat({across('class', 'class', 0, 'least(own, w)', 'greatest(own, w)')},
+        {across('class + 1', 'class', 1, 'own', 'w')}, {across('class - 1', 'class - 1', 1, 'w', 'own')})"""
+    dealt = found.join(counts, "family").withColumn("own", F.expr(f"cast(pmod(xxhash64(vertex), {blocks('class')}) AS int)"))
+    dealt = dealt.withColumn("pair", F.explode(F.expr(pairs))).where("pair.step = 1 OR rows[class] > 1")
+    keys = ["family", "low", "step", "i", "j"]
+    dealt = dealt.select("vertex", "n_shingles", "class", "own", "sketch", "family", "pair.low", "pair.step", "pair.i", "pair.j")
+    links = dealt.repartition(spread(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(_near(num, den), "a long, b long")
+    return components(links).select(F.col("id").alias("vertex"), F.col("component").alias("family"))
+
+
 def _families(num: int, den: int, counted: bool):
     def work(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
         sizes = sizes_for(num, den)
@@ -437,14 +542,17 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
+        sizes = sizes_for(num, den)
         for batch in batches:
-            found = [shingles(t, size) for t in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(h) for h in found], pa.int64()), pa.array([vertex(h) if len(h) else None for h in found], pa.int64())],
-                names=["doc_id", "n_shingles", "vertex"],
-            )
-
-    members = stored(source.mapInArrow(describe, "doc_id long, n_shingles long, vertex long"), "members")
+            rows = []
+            for text in batch.column("body").to_pylist():
+                found = shingles(text, size)
+                c = sizes.own(len(found))
+                rows.append((len(found), vertex(found), c, parity(found, sizes.bits(c)).tobytes()) if len(found) else (0, None, None, None))
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "vertex", "class", "sketch"])
+
+    members = stored(source.mapInArrow(describe, "doc_id long, n_shingles long, vertex long, class int, sketch binary"), "members")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     spark = docs.sparkSession
     share = 5.2 * (den - num) / (den + num)  # segments per shingle, about
@@ -452,8 +560,8 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
     common = spark.sparkContext.broadcast(_common(source, int(total), size))
     segments = source.select("body").mapInArrow(_segments("body", size, num, den, buckets, common), "bucket long, linked boolean, payload binary")
     met = segments.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(_meetings, "a long, b long")
-    family = components(met)
-    family = family.select(F.col("id").alias("vertex"), F.col("component").alias("family"))
+    family = components(met).select(F.col("id").alias("vertex"), F.col("component").alias("family"))
+    family = _cut(members, family, num, den)
     counts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     # One document stands for each vertex; its shingles are made again from its text.
     stands = members.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"))
@@ -478,7 +586,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: st
     keys = ["family", "i", "j"]
     schema = "vertex long, links long, root long" if counted else "a long, b long"
     links = other.repartition(spread(spark), *keys).sortWithinPartitions(*keys).mapInPandas(_families(num, den, counted), schema)
-    return members, links
+    return members.drop("class", "sketch"), links
 
 
 def classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", counted: bool = False) -> DataFrame:

@@ -83,6 +83,7 @@ def brute_components(rows, size, num, den):
 @pytest.mark.parametrize("size,num,block", [(3, 90, 1024), (5, 80, 8), (3, 50, 8), (1, 80, 1024)])
 def test_jaccard_join(docs, rows, monkeypatch, size, num, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "WIDE", block)
     found = sorted_rows(jaccard_join.classes(docs, size, num, 100))
     assert found == brute_components([(i, t) for i, t, _ in rows], size, num, 100)
 
@@ -141,6 +142,39 @@ def test_segments_meet_where_differences_hit_the_large_ones(near, share):
         b = b[b != hit[0]]
 
 
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(num):
+    sizes, rng = jaccard_join.Sizes(num, 100), np.random.default_rng(num)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 600)), dtype=np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a))) :], b[: int(rng.integers(0, 9))]]))
+        x, y = (jaccard_join.parity(s, sizes.bits(sizes.own(len(s))))[None] for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        assert (jaccard_join.folded(x, width)[0] == jaccard_join.parity(a, 64 * width)).all()
+        apart = np.bitwise_count(jaccard_join.folded(x, width) ^ jaccard_join.folded(y, width)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+        if jaccard_join.similar(a, b, sizes):
+            assert abs(sizes.own(len(a)) - sizes.own(len(b))) <= 1
+
+
+@pytest.mark.parametrize("table", [1, 1 << 20])
+def test_near_sketches_connect_similar_sets_and_part_strangers(monkeypatch, table):
+    monkeypatch.setattr(jaccard_join, "TABLE", table)
+    sizes, rng = jaccard_join.Sizes(80, 100), np.random.default_rng(7)
+    passage = rng.integers(0, 1 << 64, 100, dtype=np.uint64)  # strangers share half of their shingles
+    bases = [np.unique(np.append(passage, rng.integers(0, 1 << 64, 100, dtype=np.uint64))) for _ in range(20)]
+    sets = [np.unique(np.append(rng.permutation(b)[k:], rng.integers(0, 1 << 64, k, dtype=np.uint64))) for b in bases for k in (0, 3, 9)]
+    sketches, lengths = np.stack([jaccard_join.parity(s, 256) for s in sets]), np.array([len(s) for s in sets])
+
+    def label(links):
+        return pivots.labels(len(sets), np.array([i for i, _ in links], np.int64), np.array([j for _, j in links], np.int64)).tolist()
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard_join.similar(sets[i], sets[j], sizes)]
+    assert label(jaccard_join.near_links(sketches, lengths, None, lengths, sizes)) == label(every)
+    across = [(i, j) for i, j in every if (i < 31) != (j < 31)]
+    assert label(jaccard_join.near_links(sketches[:31], lengths[:31], sketches[31:], lengths[31:], sizes)) == label(across)
+
+
 def test_tree_links_connect_what_all_pairs_connect():
     sizes, rng = jaccard_join.Sizes(80, 100), np.random.default_rng(2)
     bases = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(2, 80)), dtype=np.uint64)) for _ in range(6)]
