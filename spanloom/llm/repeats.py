@@ -10,7 +10,8 @@ passages) is sorted: suffixes at sampled positions by their triples, by recursio
 merged with the others, and neighbours in that order compared over ``length`` bytes.
 
 Work is dealt by anchor hash; counts of contexts are combined before they are shuffled, so a passage in a third of
-all documents is one row per task. A hash with more than ``MOST`` contexts that differ is dealt on by windows.
+all documents is one row per task. A hash with more than ``MOST`` contexts that differ is dealt on by windows: chunks
+of contexts send each window once to a bucket of windows, which answers a bit for it.
 The texts are read three times; they are shuffled where the contexts are cut out and, unless the spans of all
 documents are small, where those are removed.
 """
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,10 @@ PIECE = 1 << 20
 FLUSH, KNOWN = 2 << 20, 4 << 20
 #: Contexts of one anchor that are sorted in one task, and bytes that are sorted together.
 MOST, TOGETHER = 5000, 1 << 18
+#: Contexts whose windows are sent together, and contexts whose windows are hashed at once.
+CHUNK, BLOCK = 8192, 512
+#: The place of a window that a chunk holds at two places.
+TWICE = -(1 << 63)
 
 
 # --- anchors ---
@@ -191,10 +197,13 @@ def repeated_starts(contexts: list[bytes], places: list[int], length: int) -> li
     offset = np.arange(len(text)) - np.repeat(begins, sizes + 1)
     order = order[(np.repeat(sizes, sizes + 1) - offset)[order] >= length]
     place = (np.repeat(np.array(places, np.int64), sizes + 1) + offset)[order]
-    raw = text.astype(np.uint16)
+    # A suffix that counts has ``length`` bytes in its context, so neighbours are compared by words of eight.
+    wide = 8 if length >= 8 else 1
+    octets = np.append((text - 2).astype(np.uint8), np.zeros(wide - 1, np.uint8))
+    word = np.ndarray((len(text),), f"<u{wide}", buffer=octets, strides=(1,)).copy()
     live = np.arange(max(0, len(order) - 1))
-    for k in range(length):
-        live = live[raw[order[live] + k] == raw[order[live + 1] + k]]
+    for k in [*range(0, length - wide + 1, wide), length - wide]:
+        live = live[word[order[live] + k] == word[order[live + 1] + k]]
     first = np.ones(len(order), bool)
     first[live + 1] = False
     runs_at = np.flatnonzero(first)
@@ -379,6 +388,121 @@ def _likely(differ: DataFrame, buckets: int) -> DataFrame:
 
 
 
+def _chunks(contexts: DataFrame) -> DataFrame:
+    """``CHUNK`` contexts in a row, and how many windows they hold at most (their bytes)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, total = TaskContext.get().partitionId() << 32, [], 0
+
+        def pack() -> pa.RecordBatch:
+            every = pa.Table.from_batches(held)
+            key, anchor, begin, asks = (every.column(c).to_numpy() for c in ("key", "anchor", "begin", "asks"))
+            texts = every.column("bytes").to_pylist()
+            facts = np.stack([key, anchor, begin, asks.astype(np.int64), np.array([len(t) for t in texts], np.int64)])
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int64()), "facts": [facts.tobytes()], "bytes": [b"".join(texts)], "size": pa.array([int(facts[4].sum())], pa.int64())})
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, CHUNK):
+                piece = batch.slice(k, CHUNK)
+                if total + piece.num_rows > CHUNK:
+                    yield pack()
+                    at, held, total = at + 1, [], 0
+                if piece.num_rows:
+                    held.append(piece)
+                    total += piece.num_rows
+        if total:
+            yield pack()
+
+    return contexts.select("key", "anchor", "begin", "asks", "bytes").mapInArrow(work, "chunk long, facts binary, bytes binary, size long")
+
+
+def chunk_windows(facts: np.ndarray, raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of a chunk's contexts: the context, the start in it, and a hash of the window and its anchor."""
+    sizes = facts[4]
+    begins = np.cumsum(sizes) - sizes
+    text = np.frombuffer(raw, np.uint8)
+    rows, starts, ids = [], [], []
+    for low in range(0, len(sizes), BLOCK):
+        some = np.arange(low, min(low + BLOCK, len(sizes)))
+        first, last = int(begins[some[0]]), int(begins[some[-1]] + sizes[some[-1]])
+        hashes = gram_hashes(text[first:last], length)
+        many = np.maximum(sizes[some] - length + 1, 0)
+        row = np.repeat(some, many)
+        start = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        mixed = hashes[begins[row] - first + start] ^ (facts[1][row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        rows.append(row)
+        starts.append(start)
+        ids.append(mixed.view(np.int64))
+    return tuple(np.concatenate(x) for x in (rows, starts, ids))
+
+
+def _counted(chunks: DataFrame, length: int) -> DataFrame:
+    """Ranges of contexts that ask, covered by windows that start at two places at least among all chunks.
+
+    A chunk sends each of its windows once, whatever its number there: its place, or ``TWICE`` if the chunk itself
+    has two. Buckets of windows answer a bit for each, in the order in which they were asked.
+    """
+    spark = chunks.sparkSession
+    windows = chunks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(spread(spark), parts_for(windows, FLUSH))
+
+    def distinct(facts: bytes, raw: bytes) -> tuple:
+        table = np.frombuffer(facts, np.int64).reshape(5, -1)
+        row, start, ids = chunk_windows(table, raw, length)
+        values, owner = np.unique(ids, return_inverse=True)
+        order = np.argsort(values % buckets, kind="stable")
+        return table, row, start, owner, values, order, np.searchsorted((values % buckets)[order], np.arange(buckets + 1))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, facts, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "facts", "bytes"))):
+                table, row, start, owner, values, order, cuts = distinct(facts, raw)
+                place = table[0][row] * np.int64(0x2545F4914F6CDD1D) + table[2][row] + start
+                low, high = np.full(len(values), np.iinfo(np.int64).max), np.full(len(values), np.iinfo(np.int64).min)
+                np.minimum.at(low, owner, place)
+                np.maximum.at(high, owner, place)
+                low[low != high] = TWICE
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    some = order[cuts[k] : cuts[k + 1]]
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "payload": [values[some].tobytes() + low[some].tobytes()]})
+
+    def answer(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        parts = [np.frombuffer(p, np.int64).reshape(2, -1) for p in group["payload"]]
+        values, place = np.concatenate(parts, axis=1)
+        order = np.argsort(values)
+        sorted_values, sorted_place = values[order], place[order]
+        new = np.append(True, sorted_values[1:] != sorted_values[:-1])
+        first = np.flatnonzero(new)
+        low, high = np.minimum.reduceat(sorted_place, first), np.maximum.reduceat(sorted_place, first)
+        again = np.empty(len(values), bool)
+        again[order] = ((low != high) | (low == TWICE))[np.cumsum(new) - 1]
+        ends = np.cumsum([p.shape[1] for p in parts])
+        bits = [np.packbits(x).tobytes() for x in np.split(again, ends[:-1])]
+        yield pd.DataFrame({"chunk": group["chunk"].to_numpy(), "bucket": group["bucket"].to_numpy(), "bits": bits})
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for facts, raw, answers in zip(*(batch.column(c).to_pylist() for c in ("facts", "bytes", "answers"))):
+                table, row, start, owner, values, order, cuts = distinct(facts, raw)
+                again = np.zeros(len(values), bool)
+                for a in answers:
+                    some = order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]
+                    again[some] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=len(some)).astype(bool)
+                hit = np.flatnonzero(again[owner] & (table[3][row] == 1))
+                if not len(hit):
+                    continue
+                row, start = row[hit], start[hit]
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] - start[:-1] > length)))
+                last = np.append(first[1:], len(hit)) - 1
+                begin = table[2][row[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(table[0][row[first]]), pa.array(begin + start[first]), pa.array(begin + start[last] + length)], names=["key", "begin", "end"])
+
+    sent = chunks.mapInArrow(send, "bucket long, chunk long, payload binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    bits = sent.mapInPandas(lambda frames: runs(frames, ["bucket"], answer), "chunk long, bucket long, bits binary")
+    answers = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    return chunks.join(answers, "chunk").select("facts", "bytes", "answers").mapInArrow(mark, "key long, begin long, end long")
+
+
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``key`` and ``spans`` of every document with repeated passages: ranges [from, to) of bytes, which may overlap."""
     spark = docs.sparkSession
@@ -442,20 +566,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     edges = few.mapInPandas(sort, "key long, begin long, end long")
     many = cut.where(F.col("contexts") > MOST)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 50):
-                rows = []
-                for r in batch.slice(k, 50).to_pylist():
-                    rows += [(r["key"], r["asks"], r["begin"] + i, xxhash.xxh3_128_digest(r["bytes"][i : i + length])) for i in range(len(r["bytes"]) - length + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["key", "asks", "begin", "window"]
-                )
-
-    each = many.mapInArrow(windows, "key long, asks boolean, begin long, window binary")
-    place = F.struct("key", "begin")
-    twice = each.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(F.col("low") != F.col("high")).select("window")
-    more = each.where("asks").join(twice, "window").select("key", "begin", (F.col("begin") + length).alias("end"))
+    more = _counted(stored(_chunks(many), "chunks"), length)
     return whole.unionByName(edges).unionByName(more).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
