@@ -40,8 +40,8 @@ from .common import parts_for, runs, settle, spread, stored, words
 WORDS, ENDINGS = 448, 64
 HIDDEN, WINDOW, LANES = 16, 16, 512
 ROUNDS = 2
-#: Tokens of a window that is learnt from at full pace.
-FULL = 4096
+#: Tokens of a window that is learnt from at full pace, and tokens whose probabilities are computed at once.
+FULL, BLOCK = 4096, 1024
 #: Tokens whose counts go to every task (12 bytes each).
 FREQUENT = 400_000
 #: Distinct tokens of pieces that a task holds before it sends them, and tokens per bucket, about.
@@ -230,58 +230,81 @@ def initial(weights: np.ndarray) -> dict[str, np.ndarray]:
 def states(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
     """States after each step of a window (steps by lanes); ``fresh`` resets the state before a step."""
     inputs = p["E"][x]
+    goes_on = (~fresh).astype(np.float32)[:, :, None]
     out = np.empty((*x.shape, HIDDEN), np.float32)
     kept = []
     for t in range(len(x)):
-        before = np.where(fresh[t][:, None], np.float32(0), h)
-        a = inputs[t] + before @ p["U"]
-        z = 1 / (1 + np.exp(-a[:, :HIDDEN]))
+        before = h * goes_on[t]
+        a = before @ p["U"]
+        a += inputs[t]
+        z = np.exp(-a[:, :HIDDEN])
+        z += 1
+        np.reciprocal(z, out=z)
         c = np.tanh(a[:, HIDDEN:])
-        h = before + z * (c - before)
-        out[t] = h
+        h = out[t]
+        np.subtract(c, before, out=h)
+        h *= z
+        h += before
         kept.append((before, z, c))
     return out, kept
 
 
+def exponentials(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of ``h @ weights + bias``, scaled per row where they could overflow, and the sum of each row."""
+    a = h @ weights
+    a += bias
+    if (np.abs(weights).sum(axis=0) + np.abs(bias)).max() > 40:  # no state is outside [-1, 1]
+        a -= a.max(axis=1, keepdims=True)
+    np.exp(a, out=a)
+    return a, a @ np.ones(a.shape[1], np.float32)
+
+
 def log_probabilities(p: dict, h: np.ndarray, y: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log of the probability of each ``y`` after state ``h``; with ``slopes``, adds gradients of their sum."""
     cuts = p["cuts"]
-    owner = np.searchsorted(cuts, y, side="right") - 1
+    classes = len(cuts) - 1
+    class_of = np.repeat(np.arange(classes, dtype=np.uint8 if classes < 256 else np.int64), np.diff(cuts))
+    owner = class_of[y]
+    order = np.argsort(owner, kind="stable")  # words of a class stand side by side
+    ends = np.cumsum(np.bincount(owner, minlength=classes))
+    h, y, owner = h[order], y[order], owner[order]
     rows = np.arange(len(y))
-    a = h @ p["C"] + p["c"]
-    a -= a.max(axis=1, keepdims=True)
-    e = np.exp(a)
-    total = e.sum(axis=1, keepdims=True)
-    out = a[rows, owner] - np.log(total[:, 0])
-    back = None
-    if slopes is not None:
-        off = -e / total
-        off[rows, owner] += 1
-        slopes["C"] += h.T @ off
-        slopes["c"] += off.sum(axis=0)
-        back = off @ p["C"].T
-    order = np.argsort(owner.astype(np.uint8) if len(cuts) < 256 else owner, kind="stable")
-    ends = np.cumsum(np.bincount(owner, minlength=len(cuts) - 1))
+    out = np.empty(len(y), np.float32)
+    back = None if slopes is None else np.empty((len(y), HIDDEN), np.float32)
+    backward = np.ascontiguousarray(p["C"].T)
+    for begin in range(0, len(y), BLOCK):  # what fits in a near cache
+        some = slice(begin, begin + BLOCK)
+        inner, at = rows[: len(y[some])], owner[some]
+        e, total = exponentials(h[some], p["C"], p["c"])
+        out[some] = np.log(np.maximum(e[inner, at] / total, np.float32(1e-38)))
+        if slopes is not None:
+            e *= (-1 / total)[:, None]
+            e[inner, at] += 1
+            slopes["C"] += h[some].T @ e
+            slopes["c"] += np.ones(len(e), np.float32) @ e
+            np.matmul(e, backward, out=back[some])
     begin = 0
     for k, end in enumerate(ends.tolist()):
         low, high = int(cuts[k]), int(cuts[k + 1])
         if end > begin and high - low > 1:
-            some = order[begin:end]
-            b = h[some] @ p["W"][:, low:high] + p["w"][low:high]
-            b -= b.max(axis=1, keepdims=True)
-            e = np.exp(b)
-            total = e.sum(axis=1, keepdims=True)
-            at = y[some] - low
-            inner = np.arange(len(some))
-            out[some] += b[inner, at] - np.log(total[:, 0])
+            some = slice(begin, end)
+            e, total = exponentials(h[some], p["W"][:, low:high], p["w"][low:high])
+            inner, at = rows[: end - begin], y[some] - low
+            out[some] += np.log(np.maximum(e[inner, at] / total, np.float32(1e-38)))
             if slopes is not None:
-                off = -e / total
-                off[inner, at] += 1
-                slopes["W"][:, low:high] += h[some].T @ off
-                slopes["w"][low:high] += off.sum(axis=0)
-                back[some] += off @ p["W"][:, low:high].T
+                e *= (-1 / total)[:, None]
+                e[inner, at] += 1
+                slopes["W"][:, low:high] += h[some].T @ e
+                slopes["w"][low:high] += np.ones(len(e), np.float32) @ e
+                back[some] += e @ p["W"][:, low:high].T
         begin = end
-    return out, back
+    given = np.empty_like(out)
+    given[order] = out
+    if back is not None:
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        back = unsorted
+    return given, back
 
 
 def lanes(docs: list[np.ndarray], count: int) -> list[list[int]]:
@@ -345,13 +368,16 @@ class Trainer:
         whole = whole.reshape(*x.shape, HIDDEN)
         gates = np.empty((*x.shape, 2 * HIDDEN), np.float32)
         later = np.zeros_like(h)
+        goes_on, recurrent = (~fresh).astype(np.float32)[:, :, None], np.ascontiguousarray(p["U"].T)
         for t in range(len(x) - 1, -1, -1):
             before, z, c = kept[t]
             d = whole[t] + later
-            gates[t, :, :HIDDEN] = d * (c - before) * z * (1 - z)
-            gates[t, :, HIDDEN:] = d * z * (1 - c * c)
+            through = d * z
+            stays = d - through
+            gates[t, :, :HIDDEN] = stays * z * (c - before)
+            gates[t, :, HIDDEN:] = through * (1 - c * c)
             slopes["U"] += before.T @ gates[t]
-            later = np.where(fresh[t][:, None], np.float32(0), d * (1 - z) + gates[t] @ p["U"].T)
+            later = (stays + gates[t] @ recurrent) * goes_on[t]
         order = np.argsort(x.ravel(), kind="stable")
         seen, starts = np.unique(x.ravel()[order], return_index=True)
         slopes["E"][seen] = np.add.reduceat(gates.reshape(-1, 2 * HIDDEN)[order], starts, axis=0)
