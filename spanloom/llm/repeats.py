@@ -519,7 +519,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     asked = once.unionByName(one.select("r.key", "anchor", "contexts", "r.begin", "r.end", F.lit(False).alias("asks")))
     # A document's contexts together are a few times its length at most.
     per_doc = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "contexts", "begin", "end", "asks")).alias("wanted"))
-    with_text = source.join(per_doc, "key").select("key", "body", "wanted")
+    with_text = source.join(per_doc.hint("merge"), "key").select("key", "body", "wanted")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ["key", "anchor", "contexts", "begin", "asks"]
