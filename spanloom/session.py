@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def session(app: str = "spanloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans rely on; cluster settings win elsewhere."""
@@ -18,7 +21,7 @@ def session(app: str = "spanloom", master: str | None = None, **conf: str) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config(STATE_STORE, ROCKSDB)
         # rows of one session meet in their map task first, so a busy conversation is not one task's input
         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     )
@@ -29,6 +32,19 @@ def session(app: str = "spanloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """``spark``, or where its streams keep their state in Spark's default store a second session with the same settings whose
+    streams keep it in RocksDB: ``transformWithState`` runs on no other store of Spark. ``spark`` itself stays as it is."""
+    if not spark.conf.get(STATE_STORE).endswith(".HDFSBackedStateStoreProvider"):
+        return spark
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set(STATE_STORE, ROCKSDB)
+    return own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.quantiles import opened_buckets, value_bucket
 from ..plans import alerts
-from ..session import cut
+from ..session import cut, with_rocksdb
 from .ingest import start
 
 SUMS = ("events", "errors", "tokens", "retries")
@@ -150,8 +150,9 @@ def watch(
 ) -> StreamingQuery:
     """Write the alerts of each window that ``roll_up`` has closed below ``out``, and below ``rows_out`` their event rows.
 
-    A repeated batch overwrites its own folders, so a retry adds nothing twice.
+    A repeated batch overwrites its own folders, so a retry adds nothing twice. The state needs RocksDB, whatever store the session has.
     """
+    spark = with_rocksdb(spark)
     width, reach = seconds(spark, every), seconds(spark, baseline)
     stored = spark.read.parquet(path)
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.plans import alerts, health
+from spanloom.session import ROCKSDB, STATE_STORE, with_rocksdb
 from spanloom.streaming import ingest, joins, metrics, sessions, watch
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -164,6 +165,25 @@ def test_watch_equals_the_batch_over_many_batches(spark, tmp_path, baseline):
     assert quiet == wide.where(~F.col("scope").endswith(str(last))).count() - found.select("scope").distinct().count()
 
 
+def test_watch_runs_in_a_session_with_the_default_state_store(spark, tmp_path):
+    plain, default = spark.newSession(), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    plain.conf.set(STATE_STORE, default)
+    plain.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    own = with_rocksdb(plain)
+    assert (own.conf.get(STATE_STORE), own.conf.get("spark.sql.session.timeZone")) == (ROCKSDB, "Asia/Tokyo") and with_rocksdb(own) is own
+    plain.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = watched_rows(3)
+    landing, facts, out = (str(tmp_path / x) for x in ("in", "facts", "out"))
+    plain.createDataFrame(rows, WATCHED).write.parquet(landing)
+    watch.roll_up(plain.readStream.schema(WATCHED).parquet(landing), facts, str(tmp_path / "cp1"), "1 day", ["service_name"], "1 minute").awaitTermination()
+    watch.watch(plain, facts, out, str(tmp_path / "cp2"), "1 day", "7 days").awaitTermination()
+    last = str(max(r[0] for r in rows).replace(hour=0, minute=0, second=0))
+    want = alerts.analyze(alerts.per_window(plain.createDataFrame(rows, WATCHED), "1 day", "7 days", by=["service_name"])).where(~F.col("scope").endswith(last))
+    found = [sorted((r.scope, r.alert_type, r.severity) for r in df.collect()) for df in (plain.read.parquet(out), want)]
+    assert found[0] == found[1] != []
+    assert plain.conf.get(STATE_STORE) == default
+
+
 def test_merged_histograms_and_ranks():
     rng = np.random.default_rng(1)
     baseline = watch.Baseline(1, 10)
