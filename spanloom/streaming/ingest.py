@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.normalize import normalize
 from ..schema import PARTITION_COLUMN
+from ..session import spread
 from ..sources import feedback, files, otlp
 from ..sources.events import conform
 
@@ -24,6 +25,10 @@ SOURCES = {
 
 # The micro-batch cadence of the collector.
 BATCH_INTERVAL = "5 seconds"
+#: Tasks that the rows of one folder and batch are dealt to, so also the files it gets at most.
+SLICES = 8
+#: Up to so many partitions Spark writes a shuffle row by row (``spark.shuffle.sort.bypassMergeThreshold``); above, it first gathers rows in memory.
+UNGATHERED = 200
 
 
 def open_stream(spark: SparkSession, kind: str, path: str, max_files: int = 1000, **options) -> DataFrame:
@@ -47,6 +52,16 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str] | None = None, delay: st
     return watched.where(complete).dropDuplicatesWithinWatermark(list(keys)).unionByName(watched.where(~complete))
 
 
+def dealt(stream: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows dealt by folder and a slice of their content.
+
+    The sink sorts a task's rows by folder, and a row group of a landed file is one task however many rows it holds. Dealt, a task
+    sorts a share of the batch.
+    """
+    content = [c for c, kind in stream.dtypes if "map<" not in kind]  # a map has no hash
+    return stream.repartition(min(spread(stream.sparkSession), UNGATHERED), *partition_by, F.pmod(F.xxhash64(*content), F.lit(SLICES)))
+
+
 def start(
     stream: DataFrame,
     path: str,
@@ -59,6 +74,7 @@ def start(
     ``interval`` None works off what is there and stops. The checkpoint makes a
     restarted query go on where it stopped; the file sink commits each batch once.
     """
+    stream = dealt(stream, partition_by) if partition_by else stream
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")

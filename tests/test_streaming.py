@@ -130,3 +130,14 @@ def test_stream_and_batch_give_the_same_rows(spark, tmp_path, kind):
     assert {(r.tool_name, r.event_action) for r in streamed.collect()} == want
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
     assert streamed.count() == 2
+
+
+def test_a_large_row_group_is_not_one_task_of_the_sink(spark, tmp_path):
+    landing, out = str(tmp_path / "one"), str(tmp_path / "table")
+    rows = spark.range(2000).selectExpr("timestamp_seconds(1704067200 + id) AS ts", "'s' || id AS span_id", "map('id', id) AS more", "array(id) AS some")
+    rows.unionByName(rows.where("span_id = 's1'")).coalesce(1).write.parquet(landing)
+    stream = spark.readStream.schema(rows.schema).parquet(landing).withColumn("event_date", F.to_date("ts"))
+    ingest.start(stream, out, str(tmp_path / "deal"), ["event_date"]).awaitTermination()
+    files = [r["count"] for r in spark.read.parquet(out).groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 2001 and 1 < len(files) <= ingest.SLICES and max(files) < 1000
+    assert spark.read.parquet(out).where("span_id = 's1'").count() == 2
