@@ -1,7 +1,7 @@
 """Pre-order places of a forest by an Euler tour and list ranking.
 
-Every node has two arcs, into it and out of it; each arc knows the next one of a walk around the trees of its scope. Doubling the
-pointers sums, for every arc, what lies from it to the end of the walk: arcs down and up, any weights, and the next root left. From
+Every node has two arcs, into it and out of it, a leaf one for both; each arc knows the next one of a walk around the trees of its scope.
+Doubling the pointers sums, for every arc, what lies from it to the end of the walk: arcs down and up, any weights, and the next root left. From
 that follow the place of a node, the end of its subtree, its depth, its root and sums over its subtree. A row stays as
 narrow as it was however deep a tree is, and a chain of n nodes takes log2(2n) rounds. The rounds replace each other in the
 shared folder. Arcs of a cycle reach no end and fall out.
@@ -26,21 +26,25 @@ def siblings(nodes: DataFrame, scope: str, place: str, at: str | None) -> DataFr
 
 
 def arcs(nodes: DataFrame, scope: str, weights: Sequence[str], place: str = "_place", at: str | None = None) -> DataFrame:
-    """``arc, next, down, up, root`` and the weights; ``nodes`` has ``_id`` (unique), ``_up`` (id of the parent or null) and is stored."""
+    """``arc, next, down, up, root`` and the weights; a leaf has the arc into it alone, which leads on as that out of it would.
+
+    ``nodes`` has ``_id`` (unique), ``_up`` (id of the parent or null) and is stored."""
     ordered = cut(siblings(nodes, scope, place, at).select("_id", "_up", F.col(scope).alias("_s"), "_n", *weights))
     first = ordered.where("_n = 1 AND _up IS NOT NULL").select(F.col("_up").alias("_p"), F.col("_id").alias("_child"))
     after = ordered.select(F.col("_s").alias("_as"), F.col("_up").alias("_au"), (F.col("_n") - 1).alias("_an"), F.col("_id").alias("_next"))
     same = F.col("_s").eqNullSafe(F.col("_as")) & F.col("_up").eqNullSafe(F.col("_au")) & (F.col("_n") == F.col("_an"))
     known = ordered.join(first, F.col("_id") == F.col("_p"), "left").join(after, same, "left")
+    leaf, past = F.col("_child").isNull(), F.coalesce(F.col("_next") * 2, F.col("_up") * 2 + 1)
+    root = F.when(F.col("_up").isNull(), F.col("_id"))
     into = F.struct(
-        (F.col("_id") * 2).alias("arc"), F.coalesce(F.col("_child") * 2, F.col("_id") * 2 + 1).alias("next"), F.lit(1).cast("bigint").alias("down"), F.lit(0).cast("bigint").alias("up"),
-        F.lit(None).cast("bigint").alias("root"), *[F.coalesce(w, F.lit(0)).cast(ordered.schema[w].dataType).alias(w) for w in weights],
+        (F.col("_id") * 2).alias("arc"), F.when(leaf, past).otherwise(F.col("_child") * 2).alias("next"), F.lit(1).cast("bigint").alias("down"), leaf.cast("bigint").alias("up"),
+        F.when(leaf, root).alias("root"), *[F.coalesce(w, F.lit(0)).cast(ordered.schema[w].dataType).alias(w) for w in weights],
     )
     out = F.struct(
-        (F.col("_id") * 2 + 1).alias("arc"), F.coalesce(F.col("_next") * 2, F.col("_up") * 2 + 1).alias("next"), F.lit(0).cast("bigint").alias("down"), F.lit(1).cast("bigint").alias("up"),
-        F.when(F.col("_up").isNull(), F.col("_id")).alias("root"), *[F.lit(0).cast(ordered.schema[w].dataType).alias(w) for w in weights],
+        (F.col("_id") * 2 + 1).alias("arc"), past.alias("next"), F.lit(0).cast("bigint").alias("down"), F.lit(1).cast("bigint").alias("up"),
+        root.alias("root"), *[F.lit(0).cast(ordered.schema[w].dataType).alias(w) for w in weights],
     )
-    return known.select(F.explode(F.array(into, out)).alias("a")).select("a.*")
+    return known.select(F.explode(F.when(leaf, F.array(into)).otherwise(F.array(into, out))).alias("a")).select("a.*")
 
 
 def ranked(walk: DataFrame, sums: Sequence[str]) -> DataFrame:
@@ -79,13 +83,15 @@ def tour(
     found = ranked(walk, ["down", "up", *weights])
     into = found.where("arc % 2 = 0").withColumn("_id", F.expr("arc div 2"))
     out = found.where("arc % 2 = 1").select(F.expr("arc div 2").alias("_o"), F.col("down").alias("_down"), *[F.col(w).alias(f"_{w}") for w in weights])
-    both = into.join(out, F.col("_id") == F.col("_o")).join(own.select("_id", "_scope", "_node"), "_id")
+    mine = own.select("_id", "_scope", "_node", *[F.coalesce(w, F.lit(0)).cast(edges.schema[w].dataType).alias(f"_own_{w}") for w in weights])
+    both = cut(into.join(out, F.col("_id") == F.col("_o"), "left").join(mine, "_id"))
     whole = both.groupBy(F.col("_scope").alias("_ws")).agg(F.max("down").alias("_whole"))
     roots = own.select(F.col("_id").alias("root"), F.col("_node").alias("_root"))
     placed = both.join(whole, F.col("_scope") == F.col("_ws")).join(roots, "root")
-    sums = [(F.col(w) - F.col(f"_{w}")).cast(edges.schema[w].dataType).alias(w) for w in weights]
+    leaf = F.col("_o").isNull()
+    sums = [F.when(leaf, F.col(f"_own_{w}")).otherwise(F.col(w) - F.col(f"_{w}")).cast(edges.schema[w].dataType).alias(w) for w in weights]
     pre = F.col("_whole") - F.col("down")
     return placed.select(
         F.col("_scope").alias(scope), F.col("_node").alias(node), F.col("_root").alias("root"), (F.col("up") - F.col("down")).cast("int").alias("depth"),
-        pre.alias("pre"), (pre + F.col("down") - F.col("_down") - 1).alias("last"), *sums,
+        pre.alias("pre"), F.when(leaf, pre).otherwise(pre + F.col("down") - F.col("_down") - 1).alias("last"), *sums,
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators.ordering import numbered, sliced
-from spanloom.operators.tour import tour
+from spanloom.operators.tour import arcs, tour
 from spanloom.plans import queries, replay
 
 EDGES = "scope string, span_id string, parent_id string, place int, at bigint, w bigint"
@@ -87,6 +87,15 @@ def test_toured_sums_count_repeated_rows(spark):
     assert got["a"][2:] == (3, 1, decimal.Decimal("4.5")) and got["b"][2:] == (2, 1, 3) and got["_evt_"][2:] == (1, 1, 0)
 
 
+def test_leaves_have_one_arc(spark):
+    rows = [("s", "a", None, 1, None, 2), ("s", "b", "a", 2, None, 3), ("s", "c", "a", 3, None, None), ("s", "d", None, 4, None, 7)]
+    nodes = spark.createDataFrame([(k, r[0], {"a": 0}.get(r[2]), r[3], r[5]) for k, r in enumerate(rows)], "_id bigint, _scope string, _up bigint, _place int, w bigint")
+    walk = {r.arc: (r.next, r.down, r.up, r.root, r.w) for r in arcs(nodes, "_scope", ["w"]).collect()}
+    assert walk == {0: (2, 1, 0, None, 2), 2: (4, 1, 1, None, 3), 4: (1, 1, 1, None, 0), 1: (6, 0, 1, 0, 0), 6: (None, 1, 1, 3, 7)}
+    found = tour(spark.createDataFrame(rows, EDGES), "scope", weights=["w"])
+    assert sorted(map(tuple, found.select("scope", "span_id", "root", "depth", "pre", "last", "w").collect())) == brute(rows)
+
+
 PLACED = "who string, ts timestamp, tie int"
 
 
