@@ -69,6 +69,36 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (parts.path or "/") + query
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the body compressed, so that a shuffle of whole payloads writes less."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [None if b is None else zlib.compress(b) for b in batch.column("body").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("body"), "body", pa.array(bodies, pa.binary()))
+
+    rows = rows.withColumn("body", F.col("body").cast("binary"))
+    return rows.mapInArrow(work, rows.schema)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """What ``packed`` had; the rows of a batch go on in pieces of ``FILE_BYTES`` or one row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("body")
+            begin, held, size = 0, [], 0
+            for k in range(batch.num_rows):
+                body = batch.column(at)[k].as_py()
+                held.append(None if body is None else zlib.decompress(body))
+                size += len(held[-1] or b"")
+                if size >= FILE_BYTES or k + 1 == batch.num_rows:
+                    yield batch.slice(begin, len(held)).set_column(at, "body", pa.array(held, pa.binary()))
+                    begin, held, size = k + 1, [], 0
+
+    return rows.mapInArrow(work, rows.schema).withColumn("body", F.col("body").cast("string"))
+
+
 def write(pages: DataFrame, to: str, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """One record per row of ``pages``.
 
@@ -99,7 +129,8 @@ def write(pages: DataFrame, to: str, least: int = 0, page_id: str = "page_id", u
         F.lit(END + END), block,
     )
     files = parts_for(int(volume), FILE_BYTES)
-    rows.repartition(files, F.xxhash64("id", "url", "digest")).select(record.alias("value")).write.option("lineSep", END + END).text(to)
+    rows = packed(rows.withColumn("body", F.when(~revisit, F.col("body"))))  # a revisit has no payload
+    unpacked(rows.repartition(files, F.xxhash64("id", "url", "digest"))).select(record.alias("value")).write.option("lineSep", END + END).text(to)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:

@@ -585,3 +585,12 @@ def test_decontaminate(spark, docs, rows, none, piece_bytes):
     assert decontaminate.search(docs, table).columns == [*docs.columns, "n_words_", "hit_spans_", "hit_items"]
     assert decontaminate.search(none.drop("n_words", "hit_spans"), table).count() == 0
     assert decontaminate.search(docs, table.limit(0)).where("hit_items <> array()").count() == 0
+
+
+def test_payloads_are_packed_for_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    bodies = [None, "", "é事" * 9, "a" * 5000, "b" * 400, "c" * 700, None]
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "id long, body string").coalesce(1)
+    small = warc.packed(rows)
+    assert small.schema["body"].dataType.typeName() == "binary" and max(len(r.body or b"") for r in small.collect()) < 200
+    assert [tuple(r) for r in warc.unpacked(small).orderBy("id").collect()] == list(enumerate(bodies))
