@@ -6,37 +6,41 @@ equal anchors in equal places. So a repeated window lies in the contexts (``leng
 before) of two anchors of one hash, and an anchor whose hash occurs once needs no look. Contexts that occur
 twice as a whole are repeated all over and need none either; of the others, only those that have half a window
 around the anchor in common with another can hold a repeated one. What is left (contexts at the edges of repeated
-passages) is sorted: suffixes at sampled positions by their triples, by recursion on the names of the triples,
-merged with the others, and neighbours in that order compared over ``length`` bytes.
+passages) is cut to the bytes around the anchor that another context has too, and sorted: suffixes at sampled
+positions by their triples, by recursion on the names of the triples, merged with the others, and neighbours in
+that order compared over ``length`` bytes.
 
 Work is dealt by anchor hash; counts of contexts are combined before they are shuffled, so a passage in a third of
 all documents is one row per task. A hash with more than ``MOST`` contexts that differ is dealt on by windows: chunks
 of contexts send each window once to a bucket of windows, which answers a bit for it.
-The texts are read three times; they are shuffled where the contexts are cut out and, unless the spans of all
-documents are small, where those are removed.
+The texts are read twice from the source. They are shuffled once, into a table bucketed by their key, where the
+contexts are cut out and the spans removed at every size of the input.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BYTES, as_bytes, parts_for, runs, settle, spread, stored
+from ..session import scratch_path
+from .common import as_bytes, parts_for, runs, settle, spread, stored
 
 LENGTH, GRAM = 200, 40
 PIECE = 1 << 20
 #: Anchors that a task holds before it sends their counts, and contexts that are known to every task.
 FLUSH, KNOWN = 2 << 20, 4 << 20
-#: Contexts of one anchor that are sorted in one task, and bytes that are sorted together.
-MOST, TOGETHER = 5000, 1 << 18
+#: Contexts of one anchor that are sorted in one task, and bytes of contexts that are cut and sorted together.
+MOST, TOGETHER = 5000, 1 << 16
 #: Contexts whose windows are sent together, and contexts whose windows are hashed at once.
 CHUNK, BLOCK = 8192, 512
 #: The place of a window that a chunk holds at two places.
@@ -113,20 +117,29 @@ def packed(*columns: np.ndarray) -> np.ndarray | None:
     bits = [int(c.max(initial=0)).bit_length() for c in columns]
     if sum(bits) > 63:
         return None
-    out = np.zeros(len(columns[0]), np.int64)
-    for c, b in zip(columns, bits):
-        out = (out << b) | c
+    out = columns[0].astype(np.int64)
+    for c, b in zip(columns[1:], bits[1:]):
+        out <<= b
+        out |= c
     return out
 
 
 def ranked(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by their columns, and the rank of each row (equal rows share one, from 1 on)."""
+    n = len(columns[0])
     one = packed(*columns)
-    order = np.lexsort(columns[::-1]) if one is None else np.argsort(one)
-    change = np.zeros(len(order), np.int64)
-    for c in columns if one is None else (one,):
-        change[1:] |= c[order][1:] != c[order][:-1]
-    rank = np.empty(len(order), np.int64)
+    bits = n.bit_length()
+    change = np.zeros(n, np.int64)
+    if one is not None and n and int(one.max()).bit_length() + bits <= 63:  # places side by side with the columns
+        both = np.sort((one << bits) | np.arange(n))
+        order = both & ((1 << bits) - 1)
+        both >>= bits
+        change[1:] = both[1:] != both[:-1]
+    else:
+        order = np.lexsort(columns[::-1]) if one is None else np.argsort(one)
+        for c in columns if one is None else (one,):
+            change[1:] |= c[order][1:] != c[order][:-1]
+    rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(change) + 1
     return order, rank
 
@@ -155,9 +168,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     padded = np.concatenate([s, np.zeros(3, s.dtype)])
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # one position past the end keeps names apart
-    sample = np.concatenate([ones, twos])
-    order, names = ranked(padded[sample], padded[sample + 1], padded[sample + 2])
+    past = n + (n % 3 == 1)  # one position past the end keeps names apart
+    sample = np.concatenate([np.arange(1, past, 3), np.arange(2, n, 3)])
+    order, names = ranked(*(np.concatenate([padded[1 + k : past + k : 3], padded[2 + k : n + k : 3]]) for k in range(3)))
     if names.max(initial=0) < len(names):
         order = suffix_array(names)
         names = np.empty(len(names), np.int64)
@@ -167,9 +180,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[n:] = 0
     sampled = sample[order]
     sampled = sampled[sampled < n]
-    zeros = np.arange(0, n, 3)
-    others = zeros[ranked(padded[zeros], rank[zeros + 1])[0]]
-    one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    others = 3 * ranked(padded[:n:3], rank[1 : n + 1 : 3])[0]
+    first = sampled % 3 == 1
+    one, two = sampled[first], sampled[~first]
     place = np.arange(len(others))
     place += before((padded[one], rank[one + 1]), (padded[others], rank[others + 1]))
     place += before((padded[two], padded[two + 1], rank[two + 2]), (padded[others], padded[others + 1], rank[others + 2]))
@@ -224,7 +237,7 @@ def _bodies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _marked(source: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row per anchor: its hash, and hash, begin and end of its context (the hash tells where in it the anchor is).
+    """A row per anchor: its hash and place, and hash, begin and end of its context (the hash tells where in it the anchor is).
 
     ``left`` and ``right`` are hashes of the anchor's string with half a window before it, or behind it (0 where
     the text is too short); every window around the anchor holds one of the two.
@@ -236,7 +249,7 @@ def _marked(source: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 piece = batch.slice(k, 500)
-                keys, hashes, begins, ends, contexts, lefts, rights = [], [], [], [], [], [], []
+                keys, hashes, places, begins, ends, contexts, lefts, rights = [], [], [], [], [], [], [], []
                 for key, body in zip(piece.column("key").to_pylist(), piece.column("body").to_pylist()):
                     raw = as_bytes(body)
                     at, found = found_anchors(raw, length, gram)
@@ -246,15 +259,16 @@ def _marked(source: DataFrame, length: int, gram: int) -> DataFrame:
                     rights += [digest(raw[p : p + gram + half], seed=1) - (1 << 63) if p + gram + half <= len(raw) else 0 for p in at.tolist()]
                     keys.append(np.full(len(at), key))
                     hashes.append(found)
+                    places.append(at)
                     begins.append(begin)
                     ends.append(end)
                 anchor = (np.concatenate(hashes) ^ np.uint64(1 << 63)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(anchor), pa.array(contexts, pa.int64()), pa.array(np.concatenate(begins)), pa.array(np.concatenate(ends)), pa.array(lefts, pa.int64()), pa.array(rights, pa.int64())],
-                    names=["key", "anchor", "context", "begin", "end", "left", "right"],
+                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(anchor), pa.array(contexts, pa.int64()), pa.array(np.concatenate(places)), pa.array(np.concatenate(begins)), pa.array(np.concatenate(ends)), pa.array(lefts, pa.int64()), pa.array(rights, pa.int64())],
+                    names=["key", "anchor", "context", "at", "begin", "end", "left", "right"],
                 )
 
-    return source.select("key", "body").mapInArrow(work, "key long, anchor long, context long, begin long, end long, left long, right long")
+    return source.select("key", "body").mapInArrow(work, "key long, anchor long, context long, at long, begin long, end long, left long, right long")
 
 
 def combined(anchor: np.ndarray, context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,18 +333,18 @@ def _seen(marked: DataFrame, known: DataFrame, length: int) -> DataFrame:
     if known.count() > KNOWN:
         both = marked.join(known, "context")
         whole = both.where(F.col("repeated") & (F.col("end") - F.col("begin") >= length)).select("key", "begin", "end")
-        differ = both.where("contexts > 1").select("key", "begin", "end", "anchor", "context", "contexts", "repeated", "left", "right")
+        differ = both.where("contexts > 1").select("key", "begin", "end", "at", "anchor", "context", "contexts", "repeated", "left", "right")
         return whole.unionByName(differ, allowMissingColumns=True)
     found, signed = _gathered(known.select("context", F.when(F.col("repeated"), -F.col("contexts")).otherwise(F.col("contexts"))))
     shared = spark.sparkContext.broadcast((found, np.clip(signed, -(1 << 30), 1 << 30).astype(np.int32)))
-    names = ["key", "begin", "end", "anchor", "context", "contexts", "repeated", "left", "right"]
+    names = ["key", "begin", "end", "at", "anchor", "context", "contexts", "repeated", "left", "right"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, facts = shared.value
         for batch in batches:
             if not batch.num_rows or not len(contexts):
                 continue
-            key, anchor, context, begin, end, left, right = (c.to_numpy() for c in batch.columns)
+            key, anchor, context, place, begin, end, left, right = (c.to_numpy() for c in batch.columns)
             at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
             hit = contexts[at] == context
             many, repeated = np.abs(facts[at]).astype(np.int64), facts[at] < 0
@@ -340,13 +354,13 @@ def _seen(marked: DataFrame, known: DataFrame, length: int) -> DataFrame:
                 first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (b[1:] > e[:-1])))
                 last = np.append(first[1:], len(rows)) - 1
                 none = pa.nulls(len(first), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(b[first]), pa.array(e[last]), none, none, none, pa.nulls(len(first), pa.bool_()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(b[first]), pa.array(e[last]), none, none, none, none, pa.nulls(len(first), pa.bool_()), none, none], names=names)
             rows = np.flatnonzero(hit & (many > 1))
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (key, begin, end, anchor, context, many, repeated, left, right)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (key, begin, end, place, anchor, context, many, repeated, left, right)], names=names)
 
-    return marked.select("key", "anchor", "context", "begin", "end", "left", "right").mapInArrow(
-        work, "key long, begin long, end long, anchor long, context long, contexts long, repeated boolean, left long, right long"
+    return marked.select("key", "anchor", "context", "at", "begin", "end", "left", "right").mapInArrow(
+        work, "key long, begin long, end long, at long, anchor long, context long, contexts long, repeated boolean, left long, right long"
     )
 
 
@@ -370,7 +384,7 @@ def _likely(differ: DataFrame, buckets: int) -> DataFrame:
     twice = stored(_known(halves, buckets).where("repeated").select(F.col("context").alias("half")), "halves")
     if twice.count() > KNOWN:
         ways = [differ.join(twice, F.col(side) == F.col("half"), "left_semi") for side in ("left", "right")]
-        return ways[0].unionByName(ways[1]).dropDuplicates(["key", "begin", "end", "anchor", "context"])
+        return ways[0].unionByName(ways[1]).dropDuplicates(["key", "at", "anchor", "context"])
     shared = differ.sparkSession.sparkContext.broadcast(_gathered(twice.select("half", F.lit(0).cast("long").alias("n")))[0])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,8 +400,6 @@ def _likely(differ: DataFrame, buckets: int) -> DataFrame:
     return differ.mapInArrow(work, differ.schema)
 
 
-
-
 def _chunks(contexts: DataFrame) -> DataFrame:
     """``CHUNK`` contexts in a row, and how many windows they hold at most (their bytes)."""
 
@@ -503,10 +515,72 @@ def _counted(chunks: DataFrame, length: int) -> DataFrame:
     return chunks.join(answers, "chunk").select("facts", "bytes", "answers").mapInArrow(mark, "key long, begin long, end long")
 
 
+def _bucketed(source: DataFrame) -> DataFrame:
+    """Key, id and text of every row in a table bucketed by key: joins with it by key leave the texts where they are."""
+    spark = source.sparkSession
+    name, buckets = f"texts_{uuid.uuid4().hex}", spread(spark)
+    source.repartition(buckets, "key").write.bucketBy(buckets, "key").option("path", scratch_path(spark, "texts")).saveAsTable(name)
+    return spark.table(name)
+
+
+def shared_extents(before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of bytes, how many of the first ones another row has too at most; the two are read and sorted apart."""
+
+    def most(rows: np.ndarray) -> np.ndarray:
+        order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+        differ = rows[order[1:]] != rows[order[:-1]]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        out = np.zeros(len(rows), np.int64)
+        out[order[1:]] = common
+        out[order[:-1]] = np.maximum(out[order[:-1]], common)
+        return out
+
+    return most(before), most(behind)
+
+
+def trimmed(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, anchors_at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of anchors cut to what can lie in a repeated window: begins and ends in ``raw``, which holds them all.
+
+    Equal windows have equal anchors in equal places, so a repeated one ends no later than the bytes from its anchor
+    on that another context has too, and begins no earlier than those before the anchor's end. Bytes that
+    are read past a context's edge can only make both longer.
+    """
+    edge = np.zeros(length, np.uint8)
+    padded = np.concatenate([edge, raw, edge])
+    at = anchors_at + length
+    behind = np.lib.stride_tricks.sliding_window_view(padded, length)[at]
+    back = np.lib.stride_tricks.sliding_window_view(padded[::-1], length)[len(padded) - at - gram]
+    left, right = shared_extents(np.ascontiguousarray(back), np.ascontiguousarray(behind))
+    return np.maximum(begins, anchors_at + gram - left), np.minimum(ends, anchors_at + right)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Whole groups of equal ``anchor`` out of batches that come sorted by it, about ``size`` bytes of contexts at once."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest = pa.concat_tables([*([rest] if rest else []), pa.Table.from_batches([batch])]).combine_chunks()
+        anchor = rest.column("anchor").to_numpy()
+        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        sizes = pc.binary_length(rest.column("bytes")).to_numpy().astype(np.int64)
+        part = (np.cumsum(sizes) - sizes)[first] // size
+        cuts = first[np.append(True, part[1:] != part[:-1])].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield rest.slice(a, b - a)
+        rest = rest.slice(cuts[-1])
+    if rest:
+        yield rest
+
+
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``key`` and ``spans`` of every document with repeated passages: ranges [from, to) of bytes, which may overlap."""
-    spark = docs.sparkSession
     source = _bodies(docs, text, doc_id)
+    return _spans(source, _bucketed(source), length, gram)
+
+
+def _spans(source: DataFrame, texts: DataFrame, length: int, gram: int) -> DataFrame:
+    spark, reach = source.sparkSession, length - gram
     marked = stored(_marked(source, length, gram), "anchors")
     buckets = max(spread(spark), parts_for(marked.count(), FLUSH))
     known = stored(_known(marked, buckets), "known")
@@ -514,57 +588,50 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     whole = seen.where("anchor IS NULL").select("key", "begin", "end")
     # Contexts that differ meet as texts: those that occur once, and one document's for each that repeats.
     differ = stored(_likely(seen.where("anchor IS NOT NULL"), buckets), "likely")
-    once = differ.where(~F.col("repeated")).select("key", "anchor", "contexts", "begin", "end", F.lit(True).alias("asks"))
-    one = differ.where("repeated").groupBy("context", "anchor", "contexts").agg(F.min(F.struct("key", "begin", "end")).alias("r"))
-    asked = once.unionByName(one.select("r.key", "anchor", "contexts", "r.begin", "r.end", F.lit(False).alias("asks")))
+    once = differ.where(~F.col("repeated")).select("key", "anchor", "contexts", "at", "end", F.lit(True).alias("asks"))
+    one = differ.where("repeated").groupBy("context", "anchor", "contexts").agg(F.min(F.struct("key", "at", "end")).alias("r"))
+    asked = once.unionByName(one.select("r.key", "anchor", "contexts", "r.at", "r.end", F.lit(False).alias("asks")))
     # A document's contexts together are a few times its length at most.
-    per_doc = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "contexts", "begin", "end", "asks")).alias("wanted"))
-    with_text = source.join(per_doc.hint("merge"), "key").select("key", "body", "wanted")
+    per_doc = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "contexts", "at", "end", "asks")).alias("wanted"))
+    with_text = texts.join(per_doc.hint("merge"), "key").select("key", "body", "wanted")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["key", "anchor", "contexts", "begin", "asks"]
+        fields = ["key", "anchor", "contexts", "at", "asks"]
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
                 rows: list[tuple] = []
                 for r in batch.slice(k, 100).to_pylist():
                     raw = as_bytes(r["body"])
-                    rows += [(r["key"], w["anchor"], w["contexts"], w["begin"], w["asks"], raw[w["begin"] : w["end"]]) for w in r["wanted"]]
+                    rows += [(r["key"], w["anchor"], w["contexts"], w["at"], w["asks"], raw[max(w["at"] - reach, 0) : w["end"]]) for w in r["wanted"]]
                 arrays = [pa.array([r[i] for r in rows], pa.bool_() if f == "asks" else pa.int64()) for i, f in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[5] for r in rows], pa.binary())], names=[*fields, "bytes"])
 
-    cut = stored(with_text.mapInArrow(cut_out, "key long, anchor long, contexts long, begin long, asks boolean, bytes binary"), "contexts")
+    cut = stored(with_text.mapInArrow(cut_out, "key long, anchor long, contexts long, at long, asks boolean, bytes binary"), "contexts")
     few = cut.where(F.col("contexts") <= MOST).repartition(spread(spark), "anchor").sortWithinPartitions("anchor")
 
-    def sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def work(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            nonlocal size
-            held.append(group)
-            size += sum(map(len, group["bytes"]))
-            if size >= TOGETHER:
-                yield finish()
-
-        def finish() -> pd.DataFrame:
-            nonlocal held, size
-            every = pd.concat(held, ignore_index=True)
-            held, size = [], 0
-            owner = pd.factorize(every["key"])[0].astype(np.int64)
-            places = ((owner << 40) + every["begin"].to_numpy()).tolist()
+        for group in _groups(batches, TOGETHER):
+            key, at, asks = (group.column(c).to_numpy() for c in ("key", "at", "asks"))
+            texts = group.column("bytes").to_pylist()
+            joint = b"".join(texts)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            first = np.cumsum(sizes) - sizes
+            low, high = trimmed(np.frombuffer(joint, np.uint8), first, first + sizes, first + np.minimum(at, reach), length, gram)
+            some = np.flatnonzero(high - low >= length)
+            if not len(some):
+                continue
+            begin = (np.maximum(at - reach, 0) + low - first)[some]
+            owner = np.unique(key[some], return_inverse=True)[1].astype(np.int64)
+            contexts = [joint[a:b] for a, b in zip(low[some].tolist(), high[some].tolist())]
             out: list[tuple] = []
-            for key, begin, asks, starts in zip(every["key"], every["begin"], every["asks"], repeated_starts(every["bytes"].tolist(), places, length)):
-                if asks and len(starts):
-                    out += [(key, begin + a, begin + b) for a, b in covered(starts, length)]
-            return pd.DataFrame(out, columns=["key", "begin", "end"], dtype="int64")
-
-        yield from runs(frames, ["anchor"], work)
-        if held:
-            yield finish()
+            for k, b, asking, starts in zip(key[some].tolist(), begin.tolist(), asks[some].tolist(), repeated_starts(contexts, ((owner << 40) + begin).tolist(), length)):
+                if asking and len(starts):
+                    out += [(k, b + x, b + y) for x, y in covered(starts, length)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["key", "begin", "end"])
 
-    edges = few.mapInPandas(sort, "key long, begin long, end long")
-    many = cut.where(F.col("contexts") > MOST)
+    edges = few.mapInArrow(sort, "key long, begin long, end long")
+    many = cut.where(F.col("contexts") > MOST).withColumn("begin", F.greatest(F.col("at") - reach, F.lit(0)))
 
     more = _counted(stored(_chunks(many), "chunks"), length)
     return whole.unionByName(edges).unionByName(more).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
@@ -595,9 +662,9 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
     * other columns are not read.
     """
     source = _bodies(docs, text, doc_id)
-    found = stored(spans(docs, text, doc_id, length, gram), "spans")
-    size = found.agg(F.sum(F.size("spans") * 16 + 48)).first()[0] or 0
-    both = source.join(F.broadcast(found) if size <= SMALL_BYTES else found, "key", "left").select("doc_id", "body", "spans")
+    texts = _bucketed(source)
+    found = stored(_spans(source, texts, length, gram), "spans")
+    both = texts.join(found.hint("merge"), "key", "left").select("doc_id", "body", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -326,6 +326,29 @@ def test_repeats(spark, rows, none, monkeypatch, most, piece):
         assert repeats.remove(none).count() == 0
 
 
+def test_repeats_joins_texts_alike_at_every_size(spark, capsys):
+    given = [(i, "".join(random.Random(i % 3).choice("abcdefgh ") for _ in range(300))) for i in range(6)]
+    found = repeats.remove(spark.createDataFrame(given, "doc_id long, text string"))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the spans alone: texts stay in their buckets
+    assert sorted_rows(repeats.report(found)) == brute_repeats(given, 200)
+
+
+def test_contexts_are_cut_to_what_they_share():
+    rng = random.Random(8)
+    any_of = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    gram, left, right = any_of(12), any_of(20), any_of(25)
+    contexts = [any_of(18) + left + gram + any_of(38), any_of(18) + left + gram + right + any_of(13), any_of(38) + gram + right + any_of(13), any_of(38) + any_of(12) + any_of(38)]
+    sizes = np.array([len(c) for c in contexts])
+    first = np.cumsum(sizes) - sizes
+    low, high = repeats.trimmed(np.frombuffer(b"".join(contexts), np.uint8), first, first + sizes, first + 38, 50, 12)
+    for k, (begin, end) in enumerate([(18, 50), (18, 75), (38, 75)]):  # what another context has too is kept
+        assert low[k] - first[k] <= begin and high[k] - first[k] >= end
+    assert (high - low)[0] < 50 and (high - low)[3] < 50 and (high - low)[1] >= 50
+
+
 # ---------------------------------------------------------------- 5
 
 
