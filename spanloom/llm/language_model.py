@@ -39,6 +39,8 @@ from .common import parts_for, runs, settle, spread, stored, words
 #: Words of the network at least, and classes of endings.
 WORDS, ENDINGS = 448, 64
 HIDDEN, WINDOW, LANES = 16, 16, 512
+#: Steps of a scored window at most, where few lanes go on.
+LONGEST = 16 * WINDOW
 ROUNDS = 2
 #: Tokens of a window that is learnt from at full pace, and tokens whose probabilities are computed at once.
 FULL, BLOCK = 4096, 1024
@@ -53,6 +55,8 @@ LEAST, SHARE = 100, 8 << 20
 TOGETHER = 3 << 20
 END = -(1 << 63)  # the end token; its class of endings is 0
 STOP = b"\n"  # no word
+#: Rows whose words are scored at once, over the whole vocabulary instead of class by class.
+FEW = 32
 
 
 def keys_of(found: list[bytes]) -> np.ndarray:
@@ -249,14 +253,23 @@ def states(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np
     return out, kept
 
 
-def exponentials(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def reaches(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The most that each column of ``h @ weights + bias`` can be away from 0: no state is outside [-1, 1]."""
+    return np.abs(weights).sum(axis=0) + np.abs(bias)
+
+
+def ones(n: int, held: np.ndarray = np.ones(1 << 14, np.float32)) -> np.ndarray:
+    return held[:n] if n <= len(held) else np.ones(n, np.float32)
+
+
+def exponentials(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of ``h @ weights + bias``, scaled per row where they could overflow, and the sum of each row."""
     a = h @ weights
     a += bias
-    if (np.abs(weights).sum(axis=0) + np.abs(bias)).max() > 40:  # no state is outside [-1, 1]
+    if reach > 40:
         a -= a.max(axis=1, keepdims=True)
     np.exp(a, out=a)
-    return a, a @ np.ones(a.shape[1], np.float32)
+    return a, a @ ones(a.shape[1])
 
 
 def log_probabilities(p: dict, h: np.ndarray, y: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -272,30 +285,44 @@ def log_probabilities(p: dict, h: np.ndarray, y: np.ndarray, slopes: dict | None
     out = np.empty(len(y), np.float32)
     back = None if slopes is None else np.empty((len(y), HIDDEN), np.float32)
     backward = np.ascontiguousarray(p["C"].T)
+    reach = float(reaches(p["C"], p["c"]).max())
     for begin in range(0, len(y), BLOCK):  # what fits in a near cache
         some = slice(begin, begin + BLOCK)
         inner, at = rows[: len(y[some])], owner[some]
-        e, total = exponentials(h[some], p["C"], p["c"])
+        e, total = exponentials(h[some], p["C"], p["c"], reach)
         out[some] = np.log(np.maximum(e[inner, at] / total, np.float32(1e-38)))
         if slopes is not None:
             e *= (-1 / total)[:, None]
             e[inner, at] += 1
             slopes["C"] += h[some].T @ e
-            slopes["c"] += np.ones(len(e), np.float32) @ e
+            slopes["c"] += ones(len(e)) @ e
             np.matmul(e, backward, out=back[some])
+    reach_of = np.maximum.reduceat(reaches(p["W"], p["w"]), cuts[:-1])
     begin = 0
+    if len(y) <= FEW and reach_of.max() <= 40:
+        e = exponentials(h, p["W"], p["w"], 0)[0]
+        e *= class_of == owner[:, None]
+        total = e.sum(axis=1)
+        out += np.log(np.maximum(e[rows, y] / total, np.float32(1e-38)))
+        if slopes is not None:
+            e *= (-1 / total)[:, None]
+            e[rows, y] += 1
+            slopes["W"] += h.T @ e
+            slopes["w"] += e.sum(axis=0)
+            back += e @ p["W"].T
+        ends = ends[:0]
     for k, end in enumerate(ends.tolist()):
         low, high = int(cuts[k]), int(cuts[k + 1])
         if end > begin and high - low > 1:
             some = slice(begin, end)
-            e, total = exponentials(h[some], p["W"][:, low:high], p["w"][low:high])
+            e, total = exponentials(h[some], p["W"][:, low:high], p["w"][low:high], reach_of[k])
             inner, at = rows[: end - begin], y[some] - low
             out[some] += np.log(np.maximum(e[inner, at] / total, np.float32(1e-38)))
             if slopes is not None:
                 e *= (-1 / total)[:, None]
                 e[inner, at] += 1
                 slopes["W"][:, low:high] += h[some].T @ e
-                slopes["w"][low:high] += np.ones(len(e), np.float32) @ e
+                slopes["w"][low:high] += ones(len(e)) @ e
                 back[some] += e @ p["W"][:, low:high].T
         begin = end
     given = np.empty_like(out)
@@ -318,10 +345,11 @@ def lanes(docs: list[np.ndarray], count: int) -> list[list[int]]:
     return [out[k] for k in np.argsort(-load, kind="stable")]
 
 
-def windows(docs: list[np.ndarray], first: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def windows(docs: list[np.ndarray], first: int, count: int, most: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows over documents (arrays of vocabulary numbers that end with the end token ``first``).
 
     Inputs, targets and fresh marks (steps by lanes; -1: past the lane's end), and the document of each target.
+    A window of few lanes has more steps, for about ``FULL`` tokens, but no more than ``most``.
     """
     dealt_out = [lane for lane in lanes(docs, count) if lane]
     if not dealt_out:
@@ -337,17 +365,25 @@ def windows(docs: list[np.ndarray], first: int, count: int) -> Iterator[tuple[np
     x[1:] = np.where(y[:-1] < 0, first, y[:-1])
     fresh = np.ones_like(y, bool)
     fresh[1:] = who[1:] != who[:-1]
-    for t in range(0, longest, WINDOW):
+    t = 0
+    while t < longest:
         live = int((y[t] >= 0).sum())  # lanes are sorted, so those that go on are the first ones
-        yield x[t : t + WINDOW, :live], y[t : t + WINDOW, :live], fresh[t : t + WINDOW, :live], who[t : t + WINDOW, :live]
+        end = t + min(most, max(WINDOW, FULL // live))
+        yield x[t:end, :live], y[t:end, :live], fresh[t:end, :live], who[t:end, :live]
+        t = end
 
 
 class Trainer:
     def __init__(self, p: dict[str, np.ndarray], pace: float = 0.01):
-        self.p = {k: v.copy() for k, v in p.items()}
         self.names = [k for k in p if k != "cuts"]
-        self.first = {k: np.zeros_like(p[k]) for k in self.names}
-        self.second = {k: np.zeros_like(p[k]) for k in self.names}
+        cuts = np.cumsum([p[k].size for k in self.names])[:-1]
+        # What is kept by name are views of one array each.
+        self.all = np.concatenate([p[k].ravel() for k in self.names])
+        self.all_slopes, self.all_first, self.all_second = (np.zeros_like(self.all) for _ in range(3))
+        self.p, self.slopes, self.first = (
+            {k: part.reshape(p[k].shape) for k, part in zip(self.names, np.split(a, cuts))} for a in (self.all, self.all_slopes, self.all_first)
+        )
+        self.p["cuts"] = p["cuts"].copy()
         self.steps, self.tokens, self.pace = 0, 0, pace
 
     def learn(self, docs: list[np.ndarray], first: int) -> None:
@@ -361,7 +397,8 @@ class Trainer:
         p = self.p
         out, kept = states(p, x, fresh, h)
         given = y.ravel() >= 0
-        slopes = {k: np.zeros_like(p[k]) for k in self.names}
+        slopes = self.slopes
+        self.all_slopes.fill(0)
         _, back = log_probabilities(p, out.reshape(-1, HIDDEN)[given], y.ravel()[given], slopes)
         whole = np.zeros((x.size, HIDDEN), np.float32)
         whole[given] = back
@@ -369,15 +406,19 @@ class Trainer:
         gates = np.empty((*x.shape, 2 * HIDDEN), np.float32)
         later = np.zeros_like(h)
         goes_on, recurrent = (~fresh).astype(np.float32)[:, :, None], np.ascontiguousarray(p["U"].T)
+        before, z, c = (np.stack(part) for part in zip(*kept))
+        stays = 1 - z
+        factors = np.concatenate([stays * z * (c - before), z * (1 - c * c)], axis=2).reshape(*x.shape, 2, HIDDEN)
+        split = gates.reshape(*x.shape, 2, HIDDEN)
         for t in range(len(x) - 1, -1, -1):
-            before, z, c = kept[t]
-            d = whole[t] + later
-            through = d * z
-            stays = d - through
-            gates[t, :, :HIDDEN] = stays * z * (c - before)
-            gates[t, :, HIDDEN:] = through * (1 - c * c)
-            slopes["U"] += before.T @ gates[t]
-            later = (stays + gates[t] @ recurrent) * goes_on[t]
+            d = whole[t]
+            d += later
+            np.multiply(d[:, None, :], factors[t], out=split[t])
+            later = gates[t] @ recurrent
+            d *= stays[t]
+            later += d
+            later *= goes_on[t]
+        slopes["U"] += before.reshape(-1, HIDDEN).T @ gates.reshape(-1, 2 * HIDDEN)
         order = np.argsort(x.ravel(), kind="stable")
         seen, starts = np.unique(x.ravel()[order], return_index=True)
         slopes["E"][seen] = np.add.reduceat(gates.reshape(-1, 2 * HIDDEN)[order], starts, axis=0)
@@ -386,11 +427,14 @@ class Trainer:
         self.tokens += n
         one, two = 1 - 0.9**self.steps, 1 - 0.99**self.steps
         pace = np.float32(self.pace * min(1.0, n / FULL))  # windows of few lanes say little
-        for k in self.names:
-            g = slopes[k] / n
-            self.first[k] = 0.9 * self.first[k] + 0.1 * g
-            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
-            p[k] += pace * (self.first[k] / one) / (np.sqrt(self.second[k] / two) + 1e-6)
+        g = self.all_slopes / n
+        self.all_first *= 0.9
+        self.all_first += 0.1 * g
+        self.all_second *= 0.99
+        self.all_second += 0.01 * g * g
+        g = np.sqrt(self.all_second / two)
+        g += 1e-6
+        self.all += pace * (self.all_first / one) / g
         return out[-1]
 
 
@@ -398,7 +442,7 @@ def log10_of(p: dict, docs: list[np.ndarray], first: int) -> np.ndarray:
     """The network's log10 probability of each whole document."""
     out = np.zeros(len(docs))
     h = np.zeros((0, HIDDEN), np.float32)
-    for x, y, fresh, who in windows(docs, first, 2 * LANES):
+    for x, y, fresh, who in windows(docs, first, 2 * LANES, LONGEST):
         if x.shape[1] > len(h):
             h = np.zeros((x.shape[1], HIDDEN), np.float32)
         after, _ = states(p, x, fresh, h[: x.shape[1]])

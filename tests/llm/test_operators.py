@@ -580,6 +580,32 @@ def test_probabilities_sum_to_one():
     assert math.isclose(float(np.exp(found).sum()), 1.0, rel_tol=1e-4)
 
 
+def test_few_lanes_are_scored_in_long_windows(monkeypatch):
+    rng = np.random.default_rng(2)
+    p = language_model.initial(np.arange(90, 0, -1.0))
+    docs = [rng.integers(0, 90, n).astype(np.int32) for n in (3000, 40, 17, 1)]
+    seen, states = [], language_model.states
+    monkeypatch.setattr(language_model, "states", lambda p, x, fresh, h: seen.append(x.shape) or states(p, x, fresh, h))
+    found = language_model.log10_of(p, docs, 0)
+    assert len(seen) <= 20  # 3000 steps of one lane were 188 windows
+    monkeypatch.setattr(language_model, "LONGEST", language_model.WINDOW)
+    monkeypatch.setattr(language_model, "FEW", 0)
+    assert np.allclose(language_model.log10_of(p, docs, 0), found, rtol=1e-5)
+
+
+def test_few_rows_have_the_slopes_of_many(monkeypatch):
+    rng = np.random.default_rng(4)
+    p = language_model.initial(np.arange(90, 0, -1.0))
+    p["W"] = rng.normal(0, 0.5, p["W"].shape).astype(np.float32)
+    h, y = rng.uniform(-1, 1, (20, language_model.HIDDEN)).astype(np.float32), rng.integers(0, 90, 20)
+    results = []
+    for few in (32, 0):
+        monkeypatch.setattr(language_model, "FEW", few)
+        slopes = {k: np.zeros_like(v) for k, v in p.items() if k != "cuts"}
+        results.append([*language_model.log_probabilities(p, h, y, slopes), *slopes.values()])
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(*results))
+
+
 # ---------------------------------------------------------------- 10
 
 
