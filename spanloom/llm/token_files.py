@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,12 @@ class Numbers(dict):
         return found
 
 
+def joint(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and where each ends."""
+    ends = np.cumsum([len(ids) for ids in found], dtype=np.int64)
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]) if len(ends) else 0), ends
+
+
 class Encoder:
     """Ids of texts by one tokenizer file; a worker sends each distinct word through the library once.
 
@@ -110,6 +117,12 @@ class Encoder:
         suffix = spec["model"].get("end_of_word_suffix")
         pieces = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.by_piece = self.by_word and bool(suffix) and cuts[0].get("pattern") == {"Regex": pieces}
+        # Letters a to z then reach the library's model as they are, so a run of them needs nothing before it.
+        normal = spec.get("normalizer") or {}
+        steps = [n["type"] for n in normal.get("normalizers", [normal] if normal else [])]
+        blanks = all(n.get("pattern") == {"Regex": r"\s+"} for n in normal.get("normalizers", [normal]) if n.get("type") == "Replace")
+        level = cuts[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.bare = self.by_piece and level and blanks and {*steps} <= {"NFC", "Replace", "Lowercase"} and not any(re.fullmatch("[a-z]+", t["content"]) for t in spec.get("added_tokens", []))
         self.vocabulary = max(self.tool.get_vocab(with_added_tokens=True).values()) + 1
         self.ends = np.zeros(self.vocabulary, bool)
         for token, i in spec["model"]["vocab"].items():
@@ -138,10 +151,18 @@ class Encoder:
 
     def learn(self, new: list) -> None:
         """Units are words as text, or runs of plain letters or of signs in Latin-1."""
-        plain = [i for i, u in enumerate(new) if isinstance(u, bytes) and LETTERS.match(u)]
-        letters = set(plain)
-        whole = [i for i in range(len(new)) if i not in letters]
+        plain, bare, whole = [], [], []
+        for i, u in enumerate(new):
+            if not isinstance(u, bytes) or not LETTERS.match(u):
+                whole.append(i)
+            elif self.bare and u.isascii():
+                bare.append(i)
+            else:
+                plain.append(i)
         rows = np.zeros(len(new), np.int64)
+        tokenize = self.tool.model.tokenize
+        found = [[t.id for t in tokenize(new[i].decode("ascii"))] for i in bare]
+        rows[bare] = self.add(*joint(found))
         together = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
         texts = [b" ".join([new[i] for i in some]).decode("latin-1") for some in together]
         for some, encoding in zip(together, self.tool.encode_batch_fast(texts, add_special_tokens=False)):
@@ -153,7 +174,7 @@ class Encoder:
                 whole += some
         texts = [new[i].decode("latin-1") if isinstance(new[i], bytes) else new[i] for i in whole]
         found = [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-        rows[whole] = self.add(np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found], dtype=np.int64))
+        rows[whole] = self.add(*joint(found))
         self.rows = np.concatenate([self.rows, rows])
 
     def units(self, text: str) -> list:

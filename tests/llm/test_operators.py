@@ -266,6 +266,23 @@ def test_encoder_gives_what_the_library_gives():
     assert [x.tolist() for x in token_files.Encoder(path).encode(texts)] == expected
 
 
+def test_encoder_sends_runs_of_letters_to_the_model_alone():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, tool, asked = token_files.Encoder(path), Tokenizer.from_file(path), []
+
+    class Asked:
+        model = encoder.tool.model
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return tool.encode_batch_fast(texts, **how)
+
+    encoder.tool = Asked()
+    texts = ["Paper lantern, 12 rivers... carry", "ungewöhnlich größe straße", "zzzqqxv " * 3, "", "don't"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and not any(w.isascii() and w.isalpha() for t in asked for w in t.split())
+
+
 def test_counter_gives_what_the_library_gives():
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts, tool = awkward(2), Tokenizer.from_file(path)
