@@ -203,7 +203,8 @@ def _flight(name: dict, own: dict, last: bool):
             for i in pool:
                 done[i] = False
             copies = [c + e for c, e in zip(table.column(name["copies"]).to_pylist(), extra)]
-            put = lambda t, n, v: t.set_column(t.schema.get_field_index(n), n, pa.array(v, t.schema.field(n).type))
+            # the field with its nullability: what is held must have the schema of the next batch
+            put = lambda t, n, v: t.set_column(t.schema.get_field_index(n), t.schema.field(n), pa.array(v, t.schema.field(n).type))
             table = put(put(table, name["copies"], copies), own["p"], p)
             held = table.filter(pa.array([not d for d in done]))
             yield from table.filter(pa.array(done)).combine_chunks().to_batches()

@@ -1,6 +1,9 @@
 """Registered queries of the training-data operators: SQL where there is any, else shape and totals."""
 
+import collections
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanloom.llm import catalog
@@ -50,3 +53,22 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns and docs.count() > 0, name
     found = corpus_pipeline.tokens(spark, docs, SF)
     assert found.columns == COLUMNS["op2_token_files"] and found.count() == docs.count()
+
+
+def test_mix_stage_in_several_batches(spark):
+    docs = spark.range(0, 600, 1, 4).select(
+        F.col("id").alias("doc_id"),
+        F.expr("repeat('word ', cast(1 + id % 50 as int))").alias("text"),
+        F.lit("en").alias("lang"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+        F.lit(0).cast("long").alias("n_chars"),
+    )
+    whole = collections.Counter(tuple(r) for r in corpus_pipeline.mixed(spark, docs, SF).collect())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 16)
+        assert collections.Counter(tuple(r) for r in corpus_pipeline.mixed(spark, docs, SF).collect()) == whole
+    finally:
+        spark.conf.set(key, was)
+    assert {r[0] for r in whole} <= set(range(600)) and len({r[3] for r in whole}) == 3
