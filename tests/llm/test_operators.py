@@ -510,6 +510,23 @@ def test_mixing(docs, rows, none, units):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_a_task_in_several_batches(spark):
+    sized = spark.range(0, 3000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.pmod(F.xxhash64("id"), F.lit(400)).alias("words"))
+    whole = mixing.mix(sized, size="words", units=100).collect()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    try:
+        for rows in (64, 7):
+            spark.conf.set(key, rows)
+            assert sorted(mixing.mix(sized, size="words", units=100).collect()) == sorted(whole)
+    finally:
+        spark.conf.set(key, was)
+    assert sorted(r.doc_id for r in whole) == list(range(3000))
+    for s in {r.source for r in whole}:
+        own = [r for r in whole if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 400
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(0)
     for _ in range(300):
